@@ -27,12 +27,17 @@ def month_number(c: Column) -> Column:
 
 
 def _grain(date: Column, grain: str) -> Column:
-    return F.when(date.isNotNull(), F.struct(date.alias("date"), F.lit(grain).alias("grain")))
+    return text.let(
+        date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(grain).alias("grain")))
+    )
 
 
 def normal(c: Column) -> Column:
     """First date in a text as ``(date, grain)``: full date, month (day 01), year (07-01)."""
-    c = text.strip(c)
+    return text.let(text.strip(c), _normal)
+
+
+def _normal(c: Column) -> Column:
     iso = text.find(c, ISO_WORD, 0)
     month = F.when(
         c.rlike(MONTH_YEAR),
@@ -47,14 +52,18 @@ def normal(c: Column) -> Column:
 
 def _dated(date: Column, confidence: str | Column) -> Column:
     confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
-    return F.when(
-        date.isNotNull(), F.struct(date.alias("date"), confidence.alias("confidence"))
+    return text.let(
+        date,
+        lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), confidence.alias("confidence"))),
     )
 
 
 def from_file_name(path: Column) -> Column:
     """``(date, span, confidence)`` coded in a file name: year range, ISO, day-first, other."""
-    base = paths.name(path)
+    return text.let(paths.name(path), _from_base_name)
+
+
+def _from_base_name(base: Column) -> Column:
     first = F.regexp_extract(base, YEAR_RANGE, 1)
     second = F.regexp_extract(base, YEAR_RANGE, 2)
     early, late = F.least(first, second), F.greatest(first, second)
@@ -74,9 +83,10 @@ def from_file_name(path: Column) -> Column:
             date.alias("date"), covered.alias("span"), F.lit("high").alias("confidence")
         )
 
-    return F.when(base.rlike(YEAR_RANGE), high(F.concat(late, F.lit("-07-01")), span)).when(
-        single.isNotNull(), high(single, F.substring(single, 1, 4))
+    whole = text.let(
+        single, lambda date: F.when(date.isNotNull(), high(date, F.substring(date, 1, 4)))
     )
+    return F.when(base.rlike(YEAR_RANGE), high(F.concat(late, F.lit("-07-01")), span)).otherwise(whole)
 
 
 def from_fields(field, skip_date: bool = False) -> Column:
@@ -124,12 +134,13 @@ def ingest_order_key(path: Column, mtime: Column) -> Column:
     """
     dated_part = r"(?U)\A(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?(?=[\s\x1c-\x1f_\-.]|\z)"
     hits = F.filter(F.split(path, "/"), lambda p: p.rlike(dated_part))
-    last = F.try_element_at(hits, F.lit(-1))
 
-    def piece(group: int, default: str) -> Column:
-        value = F.regexp_extract(last, dated_part, group)
-        return F.when(value == "", default).otherwise(value)
+    def coded(last: Column) -> Column:
+        def piece(group: int) -> Column:
+            return text.present(F.regexp_extract(last, dated_part, group))
+
+        month, day = F.coalesce(piece(2), F.lit("12")), F.coalesce(piece(3), F.lit("31"))
+        return F.concat(piece(1), F.lit("-"), month, F.lit("-"), day, F.lit("T23:59:59"))
 
-    coded = F.concat_ws("-", piece(1, ""), piece(2, "12"), piece(3, "31"))
     clock = F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(last.isNotNull(), F.concat(coded, F.lit("T23:59:59"))).otherwise(clock)
+    return F.coalesce(text.let(F.try_element_at(hits, F.lit(-1)), coded), clock)

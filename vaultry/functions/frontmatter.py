@@ -77,32 +77,41 @@ def _closing(all_lines: Column) -> Column:
         all_lines, lambda line, i: (i > 0) & text.strip(line).isin("---", "...")
     )
     at = F.array_position(is_rule, F.lit(True))
-    return F.when(opened & (at > 0), at - 1)
+    return F.when(opened, F.nullif(at, F.lit(0)) - 1)
 
 
 def closed_lines(all_lines: Column) -> Column:
     """Lines between the rules; empty when the block is missing or unclosed."""
-    end = _closing(all_lines).cast("int")
-    return F.coalesce(F.slice(all_lines, F.lit(2), F.greatest(end - 1, F.lit(0))), _none())
+    def cut(lines: Column) -> Column:
+        return text.let(
+            _closing(lines).cast("int"),
+            lambda end: F.slice(lines, F.lit(2), F.greatest(end - 1, F.lit(0))),
+        )
+
+    return F.coalesce(text.let(all_lines, cut), _none())
 
 
 def closing_line_number(all_lines: Column) -> Column:
     """1-based number of the closing rule, 0 when there is none."""
-    return F.coalesce(_closing(all_lines) + 1, F.lit(0)).cast("int")
+    return F.coalesce(text.let(all_lines, _closing) + 1, F.lit(0)).cast("int")
 
 
 def has_flag(all_lines: Column, key: str, value: str) -> Column:
     """True when the block (unclosed: the whole text) holds the line ``key: value``."""
-    opened = F.coalesce(text.strip(F.get(all_lines, F.lit(0))) == "---", F.lit(False))
     pattern = rf"(?U)\A{SPACE}*{re.escape(key)}{SPACE}*:{SPACE}*{re.escape(value)}{SPACE}*\z"
-    end = F.coalesce(_closing(all_lines), F.size(all_lines)).cast("int")
-    inside = F.slice(all_lines, F.lit(2), F.greatest(end - 1, F.lit(0)))
-    return opened & F.coalesce(F.exists(inside, lambda line: line.rlike(pattern)), F.lit(False))
+
+    def found(lines: Column) -> Column:
+        opened = F.coalesce(text.strip(F.get(lines, F.lit(0))) == "---", F.lit(False))
+        end = F.coalesce(_closing(lines), F.size(lines)).cast("int")
+        inside = F.slice(lines, F.lit(2), F.greatest(end - 1, F.lit(0)))
+        return opened & F.coalesce(F.exists(inside, lambda line: line.rlike(pattern)), F.lit(False))
+
+    return text.let(all_lines, found)
 
 
-def says_ingest_false(all_lines: Column) -> Column:
+def says_ingest_false(front_lines: Column) -> Column:
     pattern = rf"""(?iU)\A{SPACE}*ingest{SPACE}*:{SPACE}*(?:"false"|'false'|false){SPACE}*(?:#.*)?\z"""
-    return F.exists(closed_lines(all_lines), lambda line: line.rlike(pattern))
+    return F.exists(front_lines, lambda line: line.rlike(pattern))
 
 
 # dates reading ---------------------------------------------------------------------------------

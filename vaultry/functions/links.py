@@ -82,12 +82,11 @@ def file_targets(content: Column, front_lines: Column) -> Column:
 
 def cleaned_target(c: Column, cut_anchor: bool = True) -> Column:
     """Brackets, quotes and percent-escapes removed; NULL for external or empty targets."""
+    # every step mentions its input once, so the expression stays small inside lambdas
     c = text.strip(c)
-    c = F.when(c.rlike(r"(?s)\A<.*>\z"), text.strip(F.regexp_replace(c, r"\A<|>\z", ""))).otherwise(c)
-    quoted = c.rlike(r"(?s)\A(?:\".*\"|'.*')\z")
-    c = F.when(quoted, text.strip(F.regexp_replace(c, r"""\A["']|["']\z""", ""))).otherwise(c)
+    c = F.regexp_replace(c, rf"(?sU)\A<{text.SPACE}*(.*?){text.SPACE}*>\z", "$1")
+    c = F.regexp_replace(c, rf"""(?sU)\A(["']){text.SPACE}*(.*?){text.SPACE}*\1\z""", "$2")
     c = F.translate(paths.url_decoded(c), "\\", "/")
     if cut_anchor:
-        c = F.substring_index(F.substring_index(c, "#", 1), "?", 1)
-    external = c.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:")
-    return F.when((c != "") & ~c.startswith("#") & ~external, c)
+        c = F.regexp_replace(c, r"(?s)[#?].*\z", "")
+    return text.present(F.regexp_replace(c, r"(?si)\A(?:#|[a-z][a-z0-9+.-]*:).*\z", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import text, vocab
 
 
 def parts(c: Column) -> Column:
@@ -19,6 +19,10 @@ def tidy(c: Column) -> Column:
 
 def resolved(c: Column) -> Column:
     """``tidy`` that also folds ``..``; NULL when the path climbs above its root."""
+    return text.let(c, _resolved)
+
+
+def _resolved(c: Column) -> Column:
     empty = F.array().cast("array<string>")
     folded = F.aggregate(
         parts(c),
@@ -35,10 +39,10 @@ def resolved(c: Column) -> Column:
             )
         ),
     )
-    folded = F.when(c.contains(".."), folded).otherwise(
-        F.struct(parts(c).alias("kept"), F.lit(False).alias("escaped"))
+    climbed = text.let(
+        folded, lambda state: F.when(~state["escaped"], F.array_join(state["kept"], "/"))
     )
-    return F.when(~folded["escaped"], F.array_join(folded["kept"], "/"))
+    return F.when(c.contains(".."), climbed).otherwise(F.array_join(parts(c), "/"))
 
 
 def name(c: Column) -> Column:
@@ -114,4 +118,4 @@ def in_resources(c: Column) -> Column:
 def url_decoded(c: Column) -> Column:
     """Percent-decoding that leaves ``+`` and stray ``%`` alone."""
     safe = F.replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.when(c.contains("%"), F.url_decode(safe)).otherwise(c)
+    return F.url_decode(safe)

@@ -11,6 +11,7 @@ from ..session import checkpointed
 
 MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 1_000_000
+PLAIN_JOIN_BYTES = 256 << 20
 
 
 def hot_keys(
@@ -23,6 +24,15 @@ def hot_keys(
     return counts.where(F.col("_n") > floor).select(*keys, F.lit(True).alias("_hot"))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables ``df`` reads; None where the session does not expose it."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except AttributeError:
+        return None
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -32,14 +42,22 @@ def spread_join(
     salts: int = 64,
     max_hot: int = MAX_HOT_KEYS,
     min_rows: int = MIN_HOT_ROWS,
+    plain_below: int = PLAIN_JOIN_BYTES,
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``salts`` tasks.
 
-    Only the rows of hot keys are replicated on the right.  The hot-key table is broadcast: it
-    has fewer than ``max_hot`` rows.  Rows with a NULL key never match and are spread as well.
-    ``spread_by`` names left columns that differ between the rows of one key.
+    A left side that reads less than ``plain_below`` bytes is joined as it is: one task can hold
+    any of its keys.  Otherwise the left side is checkpointed, so that counting its keys does not compute
+    it twice, and its hot keys are salted.  Only rows of hot keys are replicated on the right.
+    The hot-key table is broadcast: it has fewer than ``max_hot`` rows.  Rows with a NULL key never
+    match and are spread as well.  ``spread_by`` names left columns that differ between the rows of
+    one key.
     """
     keys = list(keys)
+    size = input_bytes(left)
+    if size is not None and size < plain_below:
+        return left.join(right, keys, how)
+    left = checkpointed(left)
     hot = hot_keys(left, keys, max_hot, min_rows)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     any_null = F.lit(False)

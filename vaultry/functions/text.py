@@ -14,6 +14,11 @@ _BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 _FINAL_BREAK = rf"(?:{_BREAK})\z"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
@@ -43,7 +48,7 @@ def find(c: Column, pattern: str, group: int = 1) -> Column:
 
 def present(c: Column) -> Column:
     """NULL for an empty string."""
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def outside_fences(all_lines: Column) -> Column:

@@ -72,18 +72,22 @@ def blocks_of(body_lines: Column) -> Column:
             .otherwise(state(acc["stack"], owned, acc["found"]))
         )
 
-    trimmed = F.transform(body_lines, text.rstrip)
-    folded = F.aggregate(trimmed, start, step)["found"]
-    return F.when(
-        F.exists(body_lines, lambda l: l.contains("^")), folded
-    ).otherwise(start["found"])
+    return F.aggregate(F.transform(body_lines, text.rstrip), start, step)["found"]
+
+
+def with_lines(files: DataFrame) -> DataFrame:
+    """Front-matter and body lines as columns, so that several expressions share them."""
+    return files.select(
+        "*",
+        text.lines(frontmatter.inventory_block(F.col("content"))).alias("_front"),
+        text.lines(frontmatter.inventory_body(F.col("content"))).alias("_body"),
+    )
 
 
 def index_pages(files: DataFrame) -> DataFrame:
     """Page rows from (path, content): path, kind, title, migration_status, provenance_schema."""
-    parsed = provenance.callouts(files)
-    front = text.lines(frontmatter.inventory_block(F.col("content")))
-    body = text.lines(frontmatter.inventory_body(F.col("content")))
+    parsed = with_lines(provenance.callouts(files))
+    front, body = F.col("_front"), F.col("_body")
     return parsed.select(
         "path",
         paths.kind(F.col("path")).alias("kind"),
@@ -121,13 +125,12 @@ def with_metadata(found: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def index_raw_notes(files: DataFrame) -> DataFrame:
     """Raw-note rows from (path, content): path, title, date, source_type, headings."""
-    front = text.lines(frontmatter.inventory_block(F.col("content")))
-    body = text.lines(frontmatter.inventory_body(F.col("content")))
+    front, body = F.col("_front"), F.col("_body")
 
     def field(*keys: str) -> Column:
         return F.coalesce(*[text.present(frontmatter.inventory_value(front, k)) for k in keys])
 
-    return files.select(
+    return with_lines(files).select(
         "path",
         title(F.col("path"), frontmatter.inventory_value(front, "title"), body).alias("title"),
         field("date", "created").alias("date"),

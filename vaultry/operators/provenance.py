@@ -81,47 +81,65 @@ def source_items(raw: Column) -> Column:
     after the comma does not.  So once an item reads like a source, later pieces that do not are
     glued to it.
     """
-    inner = _inner(raw)
-    pieces = F.regexp_extract_all(inner, F.lit(_PIECE), F.lit(0))
+    pieces = F.regexp_extract_all(_inner(raw), F.lit(_PIECE), F.lit(0))
+    items = text.let(pieces, _glued)
+    return F.when(
+        is_list(raw), F.transform(F.filter(items, lambda item: item != ""), unquoted)
+    )
+
+
+def _glued(pieces: Column) -> Column:
     indexed = F.transform(
         pieces, lambda p, i: F.struct(i.alias("at"), p.rlike(_SOURCE_START).alias("starts"))
     )
-    first = F.array_position(F.transform(indexed, lambda p: p["starts"]), F.lit(True))
-    heads = F.transform(
-        F.filter(indexed, lambda p: p["starts"] | (first == 0) | (p["at"] < first)),
-        lambda p: p["at"],
-    )
-    items = F.transform(
-        heads,
-        lambda at, i: text.strip(
-            F.array_join(
-                F.slice(
-                    pieces, at + 1,
-                    F.coalesce(F.get(heads, i + 1), F.size(pieces)) - at,
-                ),
-                ",",
-            )
-        ),
-    )
-    items = F.transform(F.filter(items, lambda item: item != ""), unquoted)
-    return F.when(
-        is_list(raw), F.when(inner == "", F.array().cast("array<string>")).otherwise(items)
-    )
+
+    def heads(marked: Column) -> Column:
+        first = F.array_position(F.transform(marked, lambda p: p["starts"]), F.lit(True))
+        return text.let(
+            first,
+            lambda f: F.transform(
+                F.filter(marked, lambda p: p["starts"] | (f == 0) | (p["at"] < f)),
+                lambda p: p["at"],
+            ),
+        )
+
+    def join(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, i: text.strip(
+                F.array_join(
+                    F.slice(
+                        pieces, at + 1, F.coalesce(F.get(starts, i + 1), F.size(pieces)) - at
+                    ),
+                    ",",
+                )
+            ),
+        )
+
+    return text.let(text.let(indexed, heads), join)
 
 
 # callouts --------------------------------------------------------------------------------------
 def _payload(all_lines: Column) -> Column:
     """Lines of the first callout without their quote marks; NULL when there is none."""
-    at = F.array_position(F.transform(all_lines, lambda l: l.rlike(_OPENING)), F.lit(True))
-    rest = F.slice(all_lines, at.cast("int") + 1, F.size(all_lines))
-    stop = F.array_position(
-        F.transform(rest, lambda l: text.lstrip(l).startswith(">")), F.lit(False)
-    ).cast("int")
-    quoted = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    bodies = F.transform(
-        quoted, lambda l: text.rstrip(F.regexp_replace(text.lstrip(l), r"\A> ?", ""))
-    )
-    return F.when(at > 0, bodies)
+    opening = F.array_position(F.transform(all_lines, lambda l: l.rlike(_OPENING)), F.lit(True))
+
+    def quoted(rest: Column) -> Column:
+        stop = F.array_position(
+            F.transform(rest, lambda l: text.lstrip(l).startswith(">")), F.lit(False)
+        ).cast("int")
+        return text.let(
+            stop, lambda s: F.slice(rest, F.lit(1), F.when(s > 0, s - 1).otherwise(F.size(rest)))
+        )
+
+    def bodies(at: Column) -> Column:
+        rest = F.slice(all_lines, at.cast("int") + 1, F.size(all_lines))
+        return F.transform(
+            text.let(rest, quoted),
+            lambda l: text.rstrip(F.regexp_replace(text.lstrip(l), r"\A> ?", "")),
+        )
+
+    return text.let(F.nullif(opening, F.lit(0)), bodies)
 
 
 _STATE = (
@@ -190,7 +208,9 @@ def _grammar(payload: Column) -> Column:
 
 def callouts(pages: DataFrame, content: str = "content") -> DataFrame:
     """``pages`` plus ``callout``: NULL or struct(form, schema, migration_status, entries)."""
-    parsed = pages.withColumn("_payload", _payload(text.lines(F.col(content)))).withColumn(
+    # the substring test spares pages without a callout the line split
+    marked = F.when(F.lower(content).contains("[!provenance]"), text.lines(F.col(content)))
+    parsed = pages.withColumn("_payload", text.let(marked, _payload)).withColumn(
         "_parsed", F.when(F.col("_payload").isNotNull(), _grammar(F.col("_payload")))
     )
 

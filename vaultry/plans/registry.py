@@ -28,4 +28,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         freshness_queries,
+        ingest_queries,
+        link_queries,
     )
