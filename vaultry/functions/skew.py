@@ -115,3 +115,42 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+
+
+def with_previous(
+    df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], bucket: int = 4096
+) -> DataFrame:
+    """``df`` plus ``previous``: struct of ``columns`` of the row before, NULL for the first row.
+
+    Rows are windowed by (keys, position bucket).  Only the last row of each bucket is windowed by
+    key alone, so a key with very many rows is spread over its buckets.
+    """
+    b = df.withColumn("_bucket", F.floor(F.col(position) / bucket))
+    row = F.struct(*columns)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(position)
+    ends = b.groupBy(*keys, "_bucket").agg(F.max_by(row, F.col(position)).alias("_end"))
+    carried = ends.select(
+        *keys, "_bucket", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried")
+    )
+    return b.withColumn("_before", F.lag(row).over(inside)).join(carried, [*keys, "_bucket"]).withColumn(
+        "previous", F.coalesce("_before", "_carried")
+    ).drop("_before", "_carried", "_bucket")
+
+
+def with_last_start(
+    df: DataFrame, keys: Sequence[str], position: str, starts: Column, column: str, bucket: int = 4096
+) -> DataFrame:
+    """``df`` plus ``column``: position of the latest row at or before it where ``starts`` holds.
+
+    Bucketed like :func:`with_previous`.
+    """
+    b = df.withColumn("_bucket", F.floor(F.col(position) / bucket)).withColumn(
+        "_start", F.when(starts, F.col(position))
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_top"))
+    carried = tops.select(*keys, "_bucket", F.max("_top").over(earlier).alias("_carried"))
+    return b.withColumn("_seen", F.max("_start").over(inside)).join(carried, [*keys, "_bucket"]).withColumn(
+        column, F.coalesce("_seen", "_carried")
+    ).drop("_seen", "_carried", "_bucket", "_start")

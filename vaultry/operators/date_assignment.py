@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, frontmatter, paths, text, vocab
+from ..functions import dates, frontmatter, paths, skew, text, vocab
 
 _SECTION = r"(?iU)\A#{2,}[\s\x1c-\x1f]+Sources[\s\x1c-\x1f]*\z"
 _HEADING = r"(?U)\A#{1,6}[\s\x1c-\x1f]+\S"
@@ -120,7 +120,7 @@ def page_source_dates(pages: DataFrame, raw_notes: DataFrame) -> DataFrame:
         F.min("_raw").alias("_raw")
     ).join(known, "_raw")
     files = exact.unionByName(continued.select("_raw", "target", "fields"))
-    joined = lines.join(files, "target", "left")
+    joined = skew.spread_join(lines, files, ["target"], "left", ["path", "line"])
 
     def field(key: str) -> Column:
         return F.col(f"fields.{key}")

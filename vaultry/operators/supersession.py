@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, paths, text, vocab
+from ..session import checkpointed
 
 _LINK = r"\[\[([^\]]+)\]\]"
 _PHRASE = r"(?iU)\b(" + "|".join(vocab.SUPERSESSION_PHRASES) + r")\b"
@@ -95,11 +96,15 @@ def cycles(superseded_by: DataFrame) -> DataFrame:
     first = superseded_by.where("outcome = 'resolved'").groupBy("path").agg(
         F.min_by("resolved", "position").alias("next")
     )
-    chains = first.select("path", F.array("next").alias("steps"))
+    # each round reads the table twice, so it is materialised first
+    chains = checkpointed(first.select("path", F.array("next").alias("steps")))
     for _ in range(6):
         onward = chains.select(F.col("path").alias("_end"), F.col("steps").alias("_more"))
-        chains = chains.withColumn("_end", F.element_at("steps", -1)).join(onward, "_end", "left").select(
-            "path", F.concat("steps", F.coalesce("_more", F.array().cast("array<string>"))).alias("steps")
+        doubled = chains.withColumn("_end", F.element_at("steps", -1)).join(onward, "_end", "left")
+        chains = checkpointed(
+            doubled.select(
+                "path", F.concat("steps", F.coalesce("_more", F.array().cast("array<string>"))).alias("steps")
+            )
         )
     walked = chains.select(
         "path", F.slice(F.concat(F.array("path"), F.col("steps")), 1, MAX_CHAIN + 1).alias("walk")

@@ -30,4 +30,5 @@ def load_all() -> None:
         freshness_queries,
         ingest_queries,
         link_queries,
+        text_queries,
     )
