@@ -25,16 +25,21 @@ MDIMAGE = r"!\[[^\]]*+\]\(" + _MD_TARGET
 TITLE_LINK = r"\[\[([^\]|#]++)(?:#[^\]|]++)?(?:\|[^\]]++)?\]\]"
 
 
-def _matches(line: Column, pattern: str, kind: str) -> Column:
+def _matches(line: Column, opening: str, pattern: str, kind: str) -> Column:
+    """Matches in a line, skipped without a regex when the line lacks the opening."""
     raws = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    targets = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.zip_with(
+    wiki = pattern in (LIVE_WIKILINK, EMBED)
+    found = F.transform(
         raws,
-        targets,
-        lambda raw, target: F.struct(
-            F.lit(kind).alias("type"), raw.alias("raw"), text.strip(target).alias("target")
+        lambda raw: F.struct(
+            F.lit(kind).alias("type"), raw.alias("raw"),
+            text.strip(
+                F.regexp_replace(raw, r"\A!?\[\[", "") if wiki else F.regexp_extract(raw, pattern, 1)
+            ).alias("target"),
         ),
     )
+    none = F.array().cast("array<struct<type:string,raw:string,target:string>>")
+    return F.when(line.contains(opening), found).otherwise(none)
 
 
 def in_lines(all_lines: Column, images: bool) -> Column:
@@ -46,12 +51,12 @@ def in_lines(all_lines: Column, images: bool) -> Column:
 
     def of(entry: Column) -> Column:
         line = entry["text"]
-        found = [_matches(line, LIVE_WIKILINK, "wikilink")]
+        found = [_matches(line, "[[", LIVE_WIKILINK, "wikilink")]
         if images:
-            found.append(_matches(line, EMBED, "image"))
-        found.append(_matches(line, MDLINK, "markdown"))
+            found.append(_matches(line, "![[", EMBED, "image"))
+        found.append(_matches(line, "](", MDLINK, "markdown"))
         if images:
-            found.append(_matches(line, MDIMAGE, "image"))
+            found.append(_matches(line, "](", MDIMAGE, "image"))
         return F.transform(
             F.concat(*found),
             lambda link, i: F.struct(

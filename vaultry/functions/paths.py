@@ -42,7 +42,8 @@ def _resolved(c: Column) -> Column:
     climbed = text.let(
         folded, lambda state: F.when(~state["escaped"], F.array_join(state["kept"], "/"))
     )
-    return F.when(c.contains(".."), climbed).otherwise(F.array_join(parts(c), "/"))
+    untidy = c.rlike(r"(?:\A|/)(?:\.\.?)?(?:/|\z)")
+    return F.when(~untidy, c).when(c.contains(".."), climbed).otherwise(F.array_join(parts(c), "/"))
 
 
 def name(c: Column) -> Column:

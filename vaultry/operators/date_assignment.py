@@ -91,8 +91,8 @@ def source_lines(pages: DataFrame) -> DataFrame:
         return text.let(F.nullif(start, F.lit(0)), body)
 
     rows = pages.where(F.lower("content").contains("sources")).select(
-        "path", F.posexplode(text.let(text.lines(F.col("content")), section)).alias("line", "text")
-    ).withColumn("target", _raw_target(F.col("text")))
+        "path", F.posexplode_outer(text.let(text.lines(F.col("content")), section)).alias("line", "text")
+    ).where("line IS NOT NULL").withColumn("target", _raw_target(F.col("text")))
     return rows.where(
         F.col("target").isNotNull() | F.col("text").contains("raw/") | F.col("text").rlike(_BULLET)
     )
@@ -186,30 +186,35 @@ def upserted(content: Column, date: Column, span: Column, confidence: Column) ->
         F.lit("date: "), date, F.lit("\ndate_span: "), span, F.lit("\ndate_confidence: "), confidence
     )
 
-    def into(block: Column) -> Column:
+    def write(whole: Column) -> Column:
         kept = frontmatter.without_keys(
-            text.lines(F.regexp_replace(block, r"\A\n+|\n+\z", "")),
+            text.lines(F.regexp_replace(frontmatter.dates_block(whole), r"\A\n+|\n+\z", "")),
             vocab.MANAGED_DATE_KEYS + vocab.LEGACY_DATE_KEYS,
         )
-        return F.concat(
+        inside = F.concat(
             F.lit("---\n"), F.array_join(F.concat(kept, F.array(fresh)), "\n"), F.lit("\n---"),
-            frontmatter.dates_body(content),
+            frontmatter.dates_body(whole),
+        )
+        closed = whole.startswith("---") & (F.locate("\n---", whole, 4) > 0)
+        return F.when(closed, inside).otherwise(
+            F.concat(F.lit("---\n"), fresh, F.lit("\n---\n"), whole)
         )
 
-    closed = content.startswith("---") & (F.locate("\n---", content, 4) > 0)
-    return F.when(closed, into(frontmatter.dates_block(content))).otherwise(
-        F.concat(F.lit("---\n"), fresh, F.lit("\n---\n"), content)
-    )
+    return text.let(content, write)
 
 
 def reverted(content: Column) -> Column:
     """Text without the managed keys."""
-    closed = content.startswith("---") & (F.locate("\n---", content, 4) > 0)
-    kept = frontmatter.without_keys(
-        text.lines(F.regexp_replace(frontmatter.dates_block(content), r"\A\n|\n+\z", "")),
-        vocab.MANAGED_DATE_KEYS + vocab.LEGACY_DATE_KEYS,
-    )
-    return F.when(
-        closed,
-        F.concat(F.lit("---\n"), F.array_join(kept, "\n"), F.lit("\n---"), frontmatter.dates_body(content)),
-    ).otherwise(content)
+
+    def write(whole: Column) -> Column:
+        closed = whole.startswith("---") & (F.locate("\n---", whole, 4) > 0)
+        kept = frontmatter.without_keys(
+            text.lines(F.regexp_replace(frontmatter.dates_block(whole), r"\A\n|\n+\z", "")),
+            vocab.MANAGED_DATE_KEYS + vocab.LEGACY_DATE_KEYS,
+        )
+        return F.when(
+            closed,
+            F.concat(F.lit("---\n"), F.array_join(kept, "\n"), F.lit("\n---"), frontmatter.dates_body(whole)),
+        ).otherwise(whole)
+
+    return text.let(content, write)

@@ -23,8 +23,8 @@ def note_relations(raw_files: DataFrame, raw_notes: DataFrame | None = None) ->
     own = F.filter(F.array(names.plain_title(F.coalesce("title", F.lit("")))), lambda t: t != "")
     keys = F.array_union(stems, own)
     return rows.select(
-        F.explode(keys).alias("title_key"), F.col("path").alias("note"), "date"
-    )
+        F.explode_outer(keys).alias("title_key"), F.col("path").alias("note"), "date"
+    ).where("title_key IS NOT NULL")
 
 
 def evidence_by_title(relations: DataFrame, related_limit: int = 10) -> DataFrame:

@@ -101,8 +101,9 @@ def index_blocks(files: DataFrame) -> DataFrame:
     """Block rows from (path, content), metadata joined on (path, id)."""
     body = text.lines(frontmatter.inventory_body(F.col("content")))
     found = files.where(F.col("content").contains("^")).select(
-        "path", F.posexplode(blocks_of(body)).alias("ordinal", "block")
-    ).select("path", "ordinal", "block.*")
+        # the outer form keeps Spark from adding filters that would parse every page again
+        "path", F.posexplode_outer(blocks_of(body)).alias("ordinal", "block")
+    ).where("block IS NOT NULL").select("path", "ordinal", "block.*")
     metadata = provenance.block_metadata(provenance.callouts(files)).withColumnRenamed("block_id", "id")
     return with_metadata(found, metadata)
 

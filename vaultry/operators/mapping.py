@@ -85,14 +85,14 @@ def map_notes(notes: DataFrame, pages: DataFrame) -> DataFrame:
     """
     keys = page_keys(pages).withColumnRenamed("path", "page")
     linked = notes.where(F.col("content").contains("[[")).select(
-        F.col("path").alias("note"), F.explode(F.array_distinct(links.title_targets(F.col("content")))).alias("_t")
+        F.col("path").alias("note"), F.explode_outer(F.array_distinct(links.title_targets(F.col("content")))).alias("_t")
     ).select(
         "note", F.lit("wikilink").alias("reason"),
         F.explode(F.array("_t", paths.drop_md(F.col("_t")), paths.stem(F.col("_t")))).alias("_v"),
     )
     titled = notes.select(
         F.col("path").alias("note"), F.lit("title-match").alias("reason"),
-        F.explode(
+        F.explode_outer(
             F.array_union(
                 names.title_variants(F.coalesce("title", F.lit(""))),
                 names.title_variants(paths.stem(F.col("path"))),

@@ -139,8 +139,8 @@ def text_mentions(stems: DataFrame, texts: DataFrame) -> DataFrame:
         "path", "content", F.coalesce(lengths, F.array().cast("array<int>")).alias("_sizes")
     )
     runs = sized.select(
-        "path", F.explode(text.let(F.regexp_extract_all("content", F.lit(word), F.lit(0)), runs_of)).alias("run")
-    ).select("path", "run.*").distinct()
+        "path", F.explode_outer(text.let(F.regexp_extract_all("content", F.lit(word), F.lit(0)), runs_of)).alias("run")
+    ).where("run IS NOT NULL").select("path", "run.*").distinct()
     met = runs.join(wanted, ["core", "_words"])
 
     def borders(side: str, wanted_side: str, at_edge: str, meets: Column) -> Column:

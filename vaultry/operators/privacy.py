@@ -47,7 +47,7 @@ def closure_relative(notes: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     cleaned = notes.select(
         F.col("path").alias("linked_from"),
-        F.explode(F.transform("targets", lambda t: links.cleaned_target(t))).alias("target"),
+        F.explode_outer(F.transform("targets", lambda t: links.cleaned_target(t))).alias("target"),
     ).where("target IS NOT NULL AND NOT startswith(target, '/')")
     folder = paths.parent(F.col("linked_from"))
     full = F.when(F.col("target").startswith("raw/"), F.col("target")).otherwise(
@@ -72,7 +72,7 @@ def closure_by_name(notes: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     cleaned = notes.select(
         F.col("path").alias("linked_from"),
-        F.explode(
+        F.explode_outer(
             F.transform("targets", lambda t: links.cleaned_target(t, cut_anchor=False))
         ).alias("target"),
     ).where("target IS NOT NULL")

@@ -237,9 +237,10 @@ def block_metadata(with_callouts: DataFrame) -> DataFrame:
     Columns: path, block_id, position, the named fields, ``sources`` (array), ``sources_given``,
     ``sources_listed``, ``status_given`` / ``confidence_given``, ``field_count``.
     """
-    entries = with_callouts.where(F.col("callout.form") != "other").select(
-        "path", F.posexplode("callout.entries").alias("position", "entry")
-    ).select("path", "position", "entry.*")
+    usable = F.when(F.col("callout.form") != "other", F.col("callout.entries"))
+    entries = with_callouts.select(
+        "path", F.posexplode_outer(usable).alias("position", "entry")
+    ).where("entry IS NOT NULL").select("path", "position", "entry.*")
 
     def latest(key: str) -> Column:
         return F.max(
@@ -267,8 +268,8 @@ def block_ids(pages: DataFrame, content: str = "content") -> DataFrame:
         text.outside_fences(text.lines(F.col(content))), F.lit(BLOCK_ID), F.lit(1)
     )
     found = pages.where(F.col(content).contains("^")).select(
-        "path", F.explode(ids).alias("block_id")
-    )
+        "path", F.explode_outer(ids).alias("block_id")
+    ).where("block_id IS NOT NULL")
     return found.groupBy("path", "block_id").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -342,8 +343,8 @@ def metadata_issues(metadata: DataFrame) -> DataFrame:
         ),
     )
     return metadata.select(
-        "path", "block_id", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue")
-    ).select("path", "block_id", "issue.*")
+        "path", "block_id", F.explode_outer(F.filter(issues, lambda i: i.isNotNull())).alias("issue")
+    ).where("issue IS NOT NULL").select("path", "block_id", "issue.*")
 
 
 def validate(pages: DataFrame, content: str = "content") -> DataFrame:
@@ -359,13 +360,13 @@ def validate(pages: DataFrame, content: str = "content") -> DataFrame:
         ).alias("message"),
         F.lit("error").alias("severity"),
     )
-    page_level = parsed.where("callout IS NOT NULL").select(
+    page_level = parsed.select(
         "path", none.alias("block_id"),
-        F.explode(
+        F.explode_outer(
             F.filter(
                 F.array(
                     _issue(
-                        ~F.col("callout.schema").eqNullSafe(vocab.PROVENANCE_SCHEMA), "invalid-schema",
+                        F.col("callout").isNotNull() & ~F.col("callout.schema").eqNullSafe(vocab.PROVENANCE_SCHEMA), "invalid-schema",
                         F.lit(f"Expected schema '{vocab.PROVENANCE_SCHEMA}'."),
                     ),
                     _issue(
@@ -376,18 +377,17 @@ def validate(pages: DataFrame, content: str = "content") -> DataFrame:
                 lambda i: i.isNotNull(),
             )
         ).alias("issue"),
-    ).select("path", "block_id", "issue.*")
+    ).where("issue IS NOT NULL").select("path", "block_id", "issue.*")
     metadata = (
         block_metadata(parsed)
         .join(ids.select("path", "block_id", F.lit(True).alias("_seen")), ["path", "block_id"], "left")
         .join(
-            parsed.where(F.col("callout.migration_status") == vocab.MINIMAL_MIGRATION).select(
-                "path", F.lit(True).alias("_minimal")
-            ),
-            "path", "left",
+            parsed.select("path", F.col("callout.migration_status").alias("_migration")), "path", "left"
         )
         .withColumn("in_text", F.coalesce("_seen", F.lit(False)))
-        .withColumn("minimal_stamp", F.coalesce("_minimal", F.lit(False)))
+        .withColumn(
+            "minimal_stamp", F.coalesce(F.col("_migration") == vocab.MINIMAL_MIGRATION, F.lit(False))
+        )
     )
     return duplicates.unionByName(page_level).unionByName(metadata_issues(metadata))
 

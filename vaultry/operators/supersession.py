@@ -129,7 +129,7 @@ def body_candidates(pages: DataFrame, declared_paths: DataFrame, ignored: DataFr
         rows = rows.join(ignored, "path", "left_anti")
     body = text.outside_fences(text.lines(frontmatter.dates_body(F.col("content"))))
     hits = rows.where(F.col("content").rlike(_PHRASE)).select(
-        "path", F.posexplode(F.split(body, "\n")).alias("ordinal", "line")
+        "path", F.posexplode_outer(F.split(body, "\n")).alias("ordinal", "line")
     ).where(F.col("line").rlike(_PHRASE) & ~text.strip(F.col("line")).rlike(r"\A[#|]"))
     phrase = F.regexp_extract("line", _PHRASE, 1)
     before = F.regexp_substr("line", F.lit(rf"(?s)\A.*?(?={_PHRASE})"))

@@ -45,7 +45,7 @@ def parse_cues(files: DataFrame) -> DataFrame:
     chunks = F.split(
         F.array_join(F.transform(lines, lambda l: F.when(text.strip(l) == "", "").otherwise(l)), "\n"), r"\n\n+"
     )
-    rows = files.select("file", F.posexplode(chunks).alias("pos", "chunk")).where(
+    rows = files.select("file", F.posexplode_outer(chunks).alias("pos", "chunk")).where(
         F.col("chunk").contains("-->")
     ).select("file", "pos", F.split("chunk", "\n").alias("_lines"))
 

@@ -21,8 +21,9 @@ def extract(notes: DataFrame, images: bool = False, skip_front_matter: bool = Fa
     )
     found = rows.select(
         "path", frontmatter.closing_line_number(F.col("_lines")).alias("_front_end"),
-        F.explode(links.in_lines(F.col("_lines"), images)).alias("link"),
-    ).select(
+        # the outer form keeps Spark from adding filters that would parse every note again
+        F.explode_outer(links.in_lines(F.col("_lines"), images)).alias("link"),
+    ).where("link IS NOT NULL").select(
         "path", "link.*", (F.col("link.line") <= F.col("_front_end")).alias("in_front_matter")
     )
     return found.where(~F.col("in_front_matter")) if skip_front_matter else found
@@ -70,17 +71,26 @@ def file_keys(files: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = files.select(F.explode(F.concat(single, suffixes, dirs)).alias("k"))
+    rows = files.select(F.explode_outer(F.concat(single, suffixes, dirs)).alias("k"))
     return rows.where("k IS NOT NULL").select("k.*").distinct()
 
 
+def _with_forms(targets: DataFrame) -> DataFrame:
+    """Forms of a target that several keys share, computed once."""
+    target = F.col("target")
+    return targets.withColumns(
+        {
+            "_full": paths.resolved(target), "_known": paths.known_extension(target),
+            "_md": paths.resolved(F.concat(target, F.lit(".md"))),
+            "_nested": paths.tidy(target).contains("/"),
+        }
+    )
+
+
 def _wikilink_keys(target: Column) -> Column:
-    """Keys that prove a wikilink target exists."""
-    full = paths.resolved(target)
-    known = paths.known_extension(target)
-    folder = paths.tidy(target).contains("/")
+    """Keys that prove a wikilink target exists; needs the columns of :func:`_with_forms`."""
+    full, md, known, folder = (F.col(c) for c in ("_full", "_md", "_known", "_nested"))
     inside = ~target.startswith("/")
-    md = F.concat(target, F.lit(".md"))
     loose = names.straight_quotes(F.regexp_replace(target, r"\A\./", ""))
 
     def key(scope: str, value: Column, when: Column) -> Column:
@@ -90,10 +100,10 @@ def _wikilink_keys(target: Column) -> Column:
     return F.array(
         key("file", full, inside), key("dir", full, inside),
         key("noext", full, inside & ~known & open_end),
-        key("file", paths.resolved(md), inside & known),
+        key("file", md, inside & known),
         key("top_file", full, inside & folder), key("top_dir", full, inside & folder),
         key("top_noext", full, inside & folder & ~known & open_end),
-        key("top_file", paths.resolved(md), inside & folder & known),
+        key("top_file", md, inside & folder & known),
         key("stem", F.when(known, paths.stem(target)).otherwise(paths.name(target)), ~folder),
         key("suffix", loose, F.lit(True)), key("suffix", F.concat(loose, F.lit(".md")), F.lit(True)),
     )
@@ -131,10 +141,10 @@ def broken(found: DataFrame, files: DataFrame) -> DataFrame:
     local = checked_links(found).where("NOT external").withColumn(
         "_folder", F.when(F.col("wiki_style"), "").otherwise(paths.parent(F.col("path")))
     )
-    targets = local.select("wiki_style", "target", "_folder").distinct()
+    targets = _with_forms(local.select("wiki_style", "target", "_folder").distinct())
     keyed = targets.select(
         "*",
-        F.explode(
+        F.explode_outer(
             F.filter(
                 F.when(F.col("wiki_style"), _wikilink_keys(F.col("target"))).otherwise(
                     _mdlink_keys(F.col("target"), F.col("_folder"))
@@ -226,7 +236,7 @@ def resolve_to_page(targets: DataFrame, files: DataFrame, pages: DataFrame) -> D
     wanted = targets.select("target").distinct()
     exact = wanted.where(~target.startswith("/")).select(
         "target",
-        F.explode(
+        F.explode_outer(
             F.filter(
                 F.array(
                     candidate(1, full, F.lit(True)), candidate(2, md, ~known),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import inventory, page_checks, provenance, vault_links
-from ..sources.tables import table
+from ..session import checkpointed
+from ..sources.tables import spread, table
 from . import documents_vault, text_vault
 from .registry import query
 from .vault_sql import KINDS, PAGES, STATUSES, with_views
@@ -132,7 +133,8 @@ def links_extract_roundtrip(spark, sf):
 
 
 def _broken(spark, sf):
-    found = vault_links.extract(text_vault.order_notes(spark, sf), images=True)
+    # resolution reads the links twice; parsing the notes once is cheaper
+    found = checkpointed(vault_links.extract(text_vault.order_notes(spark, sf), images=True))
     return found, vault_links.broken(found, text_vault.vault_files(spark, sf))
 
 
@@ -214,7 +216,7 @@ def backlink_counts(spark, sf):
 def stubs(spark, sf):
     """Documents as pages under a raised threshold; Spanish ones acknowledge being stubs."""
     head = F.when(F.col("lang") == "es", "---\nstub: true\n---\n").otherwise("---\ntype: x\n---\n# Title\n- [[link]]\n")
-    pages = table(spark, sf, "documents").select(
+    pages = spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("wiki/concepts/doc "), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.concat(head, "text").alias("content"),
     )
@@ -250,7 +252,7 @@ def text_mentions(spark, sf):
     stems = table(spark, sf, "benchmark").select(
         F.regexp_extract("text", r"(?U)\A\s*([^\s.,;:!?]+ [^\s.,;:!?]+)", 1).alias("stem")
     ).where("stem <> ''")
-    texts = table(spark, sf, "documents").select(
+    texts = spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")
     )
     return page_checks.text_mentions(stems, texts)

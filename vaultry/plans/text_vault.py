@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .projection import KINDS, choose, part_path
 
 
@@ -74,7 +74,7 @@ def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
             F.when(key % 9 == 0, ">   ghost:\n>     status: open\n").otherwise(""), "\nAfterword.\n",
         ),
     ).otherwise("")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         part_path(key).alias("path"),
         _cat(title, heading, "Intro line.\n\n", prose, fence, callout).alias("content"),
     )
@@ -106,7 +106,7 @@ def order_notes(spark: SparkSession, sf: str) -> DataFrame:
         before, after = frame.split("{}")
         body.append(_cat(before, target, after))
     body.append(_cat("[[Part ", s(key), "|(broken link) gone]]\n"))
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         _cat("raw/orders/Order ", s(key), ".md").alias("path"), F.concat(*body).alias("content")
     )
 
@@ -114,4 +114,7 @@ def order_notes(spark: SparkSession, sf: str) -> DataFrame:
 def vault_files(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of the part pages and the order notes."""
     pages = table(spark, sf, "part").select(part_path(F.col("p_partkey")).alias("path"))
-    return pages.unionByName(order_notes(spark, sf).select("path"))
+    notes = table(spark, sf, "orders").select(
+        _cat("raw/orders/Order ", s(F.col("o_orderkey")), ".md").alias("path")
+    )
+    return pages.unionByName(notes)
