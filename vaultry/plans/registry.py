@@ -31,4 +31,5 @@ def load_all() -> None:
         ingest_queries,
         link_queries,
         text_queries,
+        change_queries,
     )
