@@ -17,10 +17,9 @@ _SPEC = (
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     """Stamp requests from a JSON manifest: a list, or an object with ``auto_ok``."""
     whole = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(
-        F.from_json("value", f"array<struct<{_ddl()}>>"),
-        F.from_json("value", f"auto_ok array<struct<{_ddl()}>>")["auto_ok"],
-    )
+    listed = F.when(
+        text.lstrip(F.col("value")).startswith("["), F.from_json("value", f"array<struct<{_ddl()}>>")
+    ).otherwise(F.from_json("value", f"auto_ok array<struct<{_ddl()}>>")["auto_ok"])
     return specs(whole.select(F.explode(listed).alias("s")).select("s.*"))
 
 
