@@ -241,7 +241,7 @@ def test_vault_source_and_plan(spark, tmp_path):
     files = vault.read(spark, str(tmp_path))
     assert {r["path"] for r in files.collect()} == {"wiki/a/_index.md", "wiki/a/p.md", "raw/x/_resources/f #1.pdf", "top.md"}
     assert vault.as_text(files, strict=True).count() == 3
-    plan = rewrite.plan(vault.as_text(files).where("path LIKE '%p.md'"), F.lit("new"))
+    plan = rewrite.plan(vault.as_text(files).where("path = 'wiki/a/p.md'"), F.lit("new"))
     assert [r["outcome"] for r in file_sink.apply(plan, str(tmp_path), dry_run=True).collect()] == ["written"]
     rows = spark.createDataFrame([tuple(r) for r in plan.collect()], plan.schema)
     assert [r["outcome"] for r in file_sink.apply(rows, str(tmp_path)).collect()] == ["written"]
