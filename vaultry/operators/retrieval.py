@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..session import checkpointed
+
 K1, B = 1.2, 0.75
 
 
@@ -23,16 +26,21 @@ def lexical_index(texts: DataFrame, key: str, content: str) -> DataFrame:
 def bm25(texts: DataFrame, key: str, content: str, question: str, k: int = 15) -> DataFrame:
     """Top ``k`` texts for a question: key, score.
 
-    Only the question's terms are counted, inside each row; nothing but scores is shuffled.
+    Only the question's terms are counted, inside each row; nothing but counts leaves it.
     """
     terms = sorted({t.lower() for t in question.split() if t})
 
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("_tokens", lambda t: t == term))
+    def counts(found: Column) -> Column:
+        def occurrences(term: str) -> Column:
+            return F.size(F.filter(found, lambda t: t == term))
+
+        return F.struct(
+            F.size(found).alias("_length"), *[occurrences(w).alias(f"_tf{i}") for i, w in enumerate(terms)]
+        )
 
-    rows = texts.select(key, tokens(F.col(content)).alias("_tokens")).select(
-        key, F.size("_tokens").alias("_length"),
-        *[occurrences(w).alias(f"_tf{i}") for i, w in enumerate(terms)],
+    # the totals and the scores read these few numbers; the texts are read once
+    rows = checkpointed(
+        texts.select(key, text.let(tokens(F.col(content)), counts).alias("c")).select(key, "c.*")
     )
     totals = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"),

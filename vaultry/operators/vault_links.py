@@ -19,8 +19,10 @@ def extract(notes: DataFrame, images: bool = False, skip_front_matter: bool = Fa
     rows = notes.where(F.col("content").contains("[")).select(
         "path", text.lines(F.col("content")).alias("_lines")
     )
+    # computed before the explode, which would otherwise repeat it for every link
+    rows = rows.withColumn("_front_end", frontmatter.closing_line_number(F.col("_lines")))
     found = rows.select(
-        "path", frontmatter.closing_line_number(F.col("_lines")).alias("_front_end"),
+        "path", "_front_end",
         # the outer form keeps Spark from adding filters that would parse every note again
         F.explode_outer(links.in_lines(F.col("_lines"), images)).alias("link"),
     ).where("link IS NOT NULL").select(

@@ -31,7 +31,7 @@ def doc_path() -> Column:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """path, name, mtime, content, plus the document columns."""
-    return spread(table(spark, sf, "documents")).select(
+    return spread(table(spark, sf, "documents"), barrier=False).select(
         "*", doc_path().alias("path"), doc_name().alias("name"),
         (F.lit(1_577_836_800) + F.col("doc_id") * 3600).alias("mtime"), F.col("text").alias("content"),
     )

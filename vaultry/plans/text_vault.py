@@ -117,4 +117,4 @@ def vault_files(spark: SparkSession, sf: str) -> DataFrame:
     notes = table(spark, sf, "orders").select(
         _cat("raw/orders/Order ", s(F.col("o_orderkey")), ".md").alias("path")
     )
-    return pages.unionByName(notes)
+    return spread(pages.unionByName(notes))
