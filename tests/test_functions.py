@@ -125,7 +125,7 @@ def test_front_matter_readings_differ(spark):
 
 
 @pytest.mark.parametrize("given, date, grain", [
-    ("on 2024-03-14.", "2024-03-14", "day"), ("Sept. 2020", "2020-09-01", "month"), ("GOSDK-196636", None, None), ("of 2021_x", "2021-07-01", "year"),
+    ("on 2024-03-14.", "2024-03-14", "day"), ("Sept. 2020", "2020-09-01", "month"), ("TASK-196636", None, None), ("of 2021_x", "2021-07-01", "year"),
 ])
 def test_normal_date(spark, given, date, grain):
     got = value(spark, dates.normal, given)
