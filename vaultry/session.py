@@ -24,15 +24,26 @@ def build_session(app_name: str = "vaultry", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``, set as the context's checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only when that is unset (a single
-    machine, as in tests) is a temporary folder chosen.
+    Where it is unset, a local master (all tasks on one machine, as in tests) gets a new temporary folder; any other
+    master raises, since executors do not see each other's local folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vaultry-checkpoint-"))
+    folder = context.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="vaultry-checkpoint-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
