@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, rules, simhash, token_files
+from . import bpe, mixing, rules, simhash, token_files, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,20 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS r FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN r <> page_id THEN r END AS refers_to FROM q
+"""
+
+
+@query("op3_warc_dictionary", WARC_SQL)
+def warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write(spark.read.parquet(f"{folder}/pages.parquet"))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.grouped(documents(spark, folder))
@@ -63,6 +77,38 @@ def rule_bitmask_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rules.verdicts(rules.ledger(documents(spark, folder)))
 
 
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM s),
+l AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+c AS (SELECT *, cap * shares <= budget * weight AS capped FROM l),
+v AS (SELECT budget, shares FROM c WHERE NOT capped ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size,
+    CASE WHEN capped THEN cap::DOUBLE ELSE (v.budget * weight)::DOUBLE / v.shares END AS target
+  FROM c LEFT JOIN v ON true),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+x AS (
+  SELECT d.*, source_size, target, whole + CASE WHEN
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) <= target - whole * source_size THEN 1 ELSE 0 END AS copies
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (size * copies)::BIGINT AS taken FROM x
+"""
+
+
+@query("op6_hash_threshold_mix", MIXING_SQL)
+def hash_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(documents(spark, folder))
+
+
 @query("op8_orc_token_files")
 def orc_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write(documents(spark, folder), public_tokenizers.path(TOKENIZER))
