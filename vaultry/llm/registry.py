@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rules, simhash, token_files, warc
+from . import bpe, mixing, rules, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op2_counterfactual_toxicity")
+def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS r FROM p)
