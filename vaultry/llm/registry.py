@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rules, simhash, token_files, toxicity, warc
+from . import bpe, lm, mixing, rules, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -121,6 +121,11 @@ def orc_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, files))
 
 
+@query("op9_backoff_automaton")
+def backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scored(documents(spark, folder))
+
+
 @query("op10_bpe_transducer")
 def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")

@@ -41,9 +41,9 @@ class Settings:
     max_features: int = 4_000
     min_documents: int = 5
     least_z: float = 4.0
-    l2: float = 1.0
+    l2: float = 0.1
     swap_penalty: float = 50.0
-    rounds: int = 400
+    rounds: int = 1000
 
 
 @dataclass(frozen=True)
