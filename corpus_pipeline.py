@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultry.llm import bpe, rules, simhash
+from vaultry.llm import bpe, mixing, rules, secrets, simhash
 from vaultry.llm.shared import documents, stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,7 +21,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.verdicts(rules.ledger(docs, carry=tuple(columns))).where("kept").select(*columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every SimHash group, that of the smallest ``doc_id``; rows without a ``doc_id`` stay."""
+    return simhash.survivors(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secrets.masked(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.repeated(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids`` and digests of every row."""
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
+    return coded.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("token ids", token_ids),
+]
 
 #: The stages after the first have no form in SQL.
 ORACLE_SQL = None

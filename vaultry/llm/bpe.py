@@ -28,10 +28,9 @@ from .shared import put_file, text_slices, texts_of, work_folder
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept by a worker beside the lexicon; a bound on memory only.
-CACHE_PIECES = 200_000
+KNOWN_PIECES = 500_000
 #: Longer chunks (in characters) are merged one by one with a heap.
 LONG = 64
-_STOPS = ".,;:!?"
 _NONE = 1 << 40
 
 
@@ -68,7 +67,7 @@ class Merger:
         self._single = np.asarray(self.single, np.int64)
         self.split = regex.compile(PATTERN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
+        self.known = chunks.Known(KNOWN_PIECES)
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank, leftmost first, is merged until none is left."""
@@ -137,42 +136,23 @@ class Merger:
         return [flat_ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def chunks(self, texts: list[str]) -> list[list[int]]:
-        """:meth:`chunk` of many chunks; the pre-tokens met for the first time are merged together."""
+        """:meth:`chunk` of many different chunks; their pre-tokens are merged together."""
         find, special = self.split.findall, self.special
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known, missing = self.known, {}
         parts_of: list[list[str] | None] = []
         for text in texts:
             if len(text) > LONG or "<" in text and any(s in text for s in special):
                 parts_of.append(None)
-                continue
-            # a blank, letters and one stop need no pattern
-            if not text:
-                parts = []
-            elif text in known:
-                parts = [text]
             elif text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-                parts = [text]
-            elif text[-1] in _STOPS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
-                parts = [text[:-1], text[-1]]
+                parts_of.append([text])  # a blank and letters need no pattern
             else:
-                parts = find(text)
-            parts_of.append(parts)
-            for part in parts:
-                if part not in known:
-                    missing[part] = None
-        known.update(zip(missing, self.pieces([p.encode() for p in missing])))
-        out = []
-        for text, parts in zip(texts, parts_of):
-            if parts is None:
-                ids = self.chunk(text)
-            elif len(parts) == 1:
-                ids = known[parts[0]]
-            else:
-                known[text] = ids = [i for p in parts for i in known[p]]
-            out.append(ids)
-        return out
+                parts_of.append(find(text))
+        new = list(dict.fromkeys(p for parts in parts_of if parts for p in parts))
+        ids_of = dict(zip(new, self.pieces([p.encode() for p in new])))
+        return [
+            self.chunk(text) if parts is None else ids_of[parts[0]] if len(parts) == 1
+            else [i for p in parts for i in ids_of[p]]
+            for text, parts in zip(texts, parts_of)
+        ]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a chunk or of a whole text."""
@@ -186,7 +166,7 @@ class Merger:
     def _ordinary(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.split.findall(text):
-            out += self.known.get(part) or self.piece(part.encode())
+            out += self.piece(part.encode())
         return out
 
 
@@ -210,24 +190,12 @@ def lookup(words: pa.Array, lexicon: Lexicon, merges: Merger) -> pa.ListArray:
     bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
     ranks = lexicon.ranks(data, bounds[:-1], np.diff(bounds))
-    unseen = np.flatnonzero(ranks < 0)
-    made = merges.chunks(words.take(pa.array(unseen)).to_pylist())
-    known = np.maximum(ranks, 0)
-    lengths = np.diff(lexicon.starts)[known] if len(lexicon) else np.zeros(len(ranks), np.int64)
-    lengths = np.where(ranks < 0, 0, lengths)
-    lengths[unseen] = [len(m) for m in made]
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.empty(starts[-1], np.int32)
-    seen = np.flatnonzero(ranks >= 0)
-    if len(seen):
-        n = lengths[seen]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        flat[np.repeat(starts[seen], n) + inside] = lexicon.ids[np.repeat(lexicon.starts[ranks[seen]], n) + inside]
-    if len(unseen):
-        n = lengths[unseen]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        flat[np.repeat(starts[unseen], n) + inside] = [i for m in made for i in m]
-    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
+    inside, outside = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+    merged = chunks.resolve(words.take(pa.array(outside)), merges.known, merges.chunks)
+    both = pa.concat_arrays([lexicon.lists(ranks[inside]), merged])
+    order = np.empty(len(ranks), np.int64)
+    order[np.concatenate((inside, outside))] = np.arange(len(ranks))
+    return both.take(pa.array(order))
 
 
 def chunk_counts(docs: DataFrame, text: str = "text", max_bytes: int = 32, held: int = 300_000) -> DataFrame:
@@ -243,7 +211,7 @@ def chunk_counts(docs: DataFrame, text: str = "text", max_bytes: int = 32, held:
                 words, codes, _ = chunks.different(texts_of(part, text))
                 numbers = np.bincount(codes, minlength=len(words))
                 keep = (numbers > 0) & (np.asarray(pc.binary_length(words)) <= max_bytes)
-                for word, n in zip(words.filter(pa.array(keep)).to_pylist(), numbers[keep].tolist()):
+                for word, n in zip(words.filter(pa.array(keep)).to_numpy(zero_copy_only=False).tolist(), numbers[keep].tolist()):
                     sums[word] = sums.get(word, 0) + n
                 if len(sums) >= held:
                     yield pa.RecordBatch.from_pydict({"chunk": list(sums), "n": list(sums.values())})

@@ -22,25 +22,58 @@ SPECIAL = "<|endoftext|>"
 _ODD = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] | [\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-Resolver = Callable[[list[str]], list]
-
-
-class Cache:
-    """A dict of at most ``limit`` entries: the older half goes when it is full."""
+class Known:
+    """Ids of the pieces met so far.  Beyond ``limit`` all are forgotten before new ones come: a bound on memory only."""
 
     def __init__(self, limit: int):
-        self.half, self.new, self.old = max(limit // 2, 1), {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.half:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+        self.limit, self.at, self.size = limit, {}, 0
+        self.ids, self.starts = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+
+    def clear(self) -> None:
+        self.at, self.size = {}, 0
+
+    def add(self, pieces: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = len(self.at), int(lengths.sum())
+        while n + len(pieces) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        while self.size + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.size : self.size + total] = [i for x in ids for i in x]
+        self.starts[n] = self.size
+        self.starts[n + 1 : n + 1 + len(pieces)] = self.size + np.cumsum(lengths)
+        self.size += total
+        self.at.update(zip(pieces, range(n, n + len(pieces))))
+
+
+_STOPS = ".,;:!?"
+
+
+def halves(chunk: str) -> tuple[str, str]:
+    """A chunk as two pieces that are encoded apart: a word and the stop behind it; the second one may be empty."""
+    if chunk and chunk[-1] in _STOPS and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+        return chunk[:-1], chunk[-1]
+    return chunk, ""
+
+
+def resolve(words: pa.Array, known: Known, encode_new: Callable[[list[str]], list]) -> pa.ListArray:
+    """Ids of different chunks: their pieces' ids are looked up, and made by ``encode_new`` at first sight."""
+    texts = words.to_numpy(zero_copy_only=False).tolist()
+    split = [halves(t) for t in texts]
+    pieces = list(dict.fromkeys(p for pair in split for p in pair))
+    new = [p for p in pieces if p not in known.at]
+    if len(known.at) + len(new) > known.limit:
+        known.clear()
+        new = pieces
+    known.add(new, encode_new(new))
+    at = known.at
+    index = np.asarray([at[p] for pair in split for p in pair], np.int64)
+    starts = known.starts[index]
+    lengths = known.starts[index + 1] - starts
+    ends = np.cumsum(lengths)
+    flat = known.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.concatenate(([0], ends[1::2])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
 
 
 def cut(texts: pa.Array) -> pa.ListArray:
@@ -76,6 +109,8 @@ def encode(texts: pa.Array, ids_of: Callable[[pa.Array], pa.ListArray]) -> tuple
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     chunks, codes, bounds = different(texts)
     # only chunks that occur are encoded: a first chunk has left its code without blank
-    used, codes = np.unique(codes, return_inverse=True)
-    gathered = ids_of(chunks.take(pa.array(used))).take(pa.array(codes))
+    used = np.flatnonzero(np.bincount(codes, minlength=len(chunks)))
+    place = np.zeros(len(chunks), np.int64)
+    place[used] = np.arange(len(used))
+    gathered = ids_of(chunks.take(pa.array(used))).take(pa.array(place[codes]))
     return np.asarray(gathered.flatten(), dtype=np.int32), plain_offsets(gathered)[bounds]

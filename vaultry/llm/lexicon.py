@@ -8,6 +8,7 @@ its token ids.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _MAGIC = np.int64(0x4C455831)
 
@@ -140,5 +141,10 @@ class Lexicon:
             step += 1
         return np.where(known, rank, -1)
 
-    def ids_at(self, rank: int) -> np.ndarray:
-        return self.ids[self.starts[rank] : self.starts[rank + 1]]
+    def lists(self, ranks: np.ndarray) -> pa.ListArray:
+        """Ids of the words of these ranks."""
+        starts = self.starts[ranks]
+        lengths = self.starts[ranks + 1] - starts
+        ends = np.cumsum(lengths)
+        flat = self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))

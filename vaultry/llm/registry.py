@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, rules, simhash, token_files, toxicity, warc
+from . import bpe, lm, mixing, rules, secrets, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -115,6 +115,11 @@ def hash_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder))
 
 
+@query("op7_secret_forest")
+def secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.findings(documents(spark, folder))
+
+
 @query("op8_orc_token_files")
 def orc_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write(documents(spark, folder), public_tokenizers.path(TOKENIZER))

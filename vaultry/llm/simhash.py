@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -134,3 +134,17 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike"
     )
+
+
+def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of every group of :func:`grouped`, with the columns of ``docs``: the smallest key, of equal keys the least text.
+
+    Rows without a key cannot be named by a group; they all stay.
+    """
+    named = docs.where(F.col(key).isNotNull())
+    kept = grouped(named, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = named.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    # equal keys meet in one task: a key is a document's name, not a class of documents
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_text"))
+    once = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").withColumn("_n", first).where("_n = 1")
+    return once.select("_row.*").unionByName(docs.where(F.col(key).isNull()))

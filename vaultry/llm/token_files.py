@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from . import chunks
 from .shared import text_slices, texts_of, work_folder
 
-#: Chunks whose ids a worker keeps; a bound on memory only.
-CACHE_CHUNKS = 300_000
-#: Longer chunks are not kept.
-LONG = 64
+#: Pieces whose ids a worker keeps; a bound on memory only.
+KNOWN_PIECES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,21 +41,15 @@ def _library(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, chunks.Cache(CACHE_CHUNKS)
+    return tokenizer, chunks.Known(KNOWN_PIECES)
 
 
 def _ids_of(words: pa.Array, path: str) -> pa.ListArray:
-    """Ids of different chunks by the tokenizers library; known ones from the worker's cache."""
-    tokenizer, cache = _library(path)
-    texts = words.to_pylist()
-    ids = [cache.get(t) for t in texts]
-    unseen = [i for i, found in enumerate(ids) if found is None]
-    made = tokenizer.encode_batch_fast([texts[i] for i in unseen], add_special_tokens=False)
-    for i, encoding in zip(unseen, made):
-        ids[i] = encoding.ids
-        if len(texts[i]) <= LONG:
-            cache.put(texts[i], encoding.ids)
-    return pa.array(ids, pa.list_(pa.int32()))
+    """Ids of different chunks by the tokenizers library; a worker encodes a piece again only after it has forgotten it."""
+    tokenizer, known = _library(path)
+    return chunks.resolve(
+        words, known, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    )
 
 
 def write(
