@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, rules, secrets, simhash, token_files, toxicity, warc
+from . import bpe, lm, mixing, neighbours, rules, secrets, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_nn_descent_near_dedup")
+def nn_descent_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query("op2_counterfactual_toxicity")
 def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
