@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import chunks
 from .lexicon import Lexicon, compiled
-from .shared import put_file, text_slices, texts_of, work_folder
+from .shared import highest, put_file, stored, text_slices, texts_of, work_folder
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, tokenizer: str, text: str = "text", max_words: int = 30
     occurs.  Returns the name of the file, which each executor fetches once from the shared folder.
     """
     spark = docs.sparkSession
-    top = chunk_counts(docs, text).where(F.col("n") >= min_count).orderBy(F.desc("n"), "chunk").limit(max_words)
+    top = highest(stored(chunk_counts(docs, text).where(F.col("n") >= min_count), "chunk-counts"), "n", max_words)
     merges = merger(tokenizer)
     words = [r.chunk for r in top.select("chunk").collect()]
     entries = dict(zip([w.encode() for w in words], merges.chunks(words)))

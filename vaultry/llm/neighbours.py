@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import bounded_sample, stored
 
 #: Angles closer than this to a bound are decided by comparing vectors.
 SLACK = 1e-7
@@ -214,8 +214,8 @@ def _improved(lists: DataFrame, centres: DataFrame, sizes: DataFrame | None, set
 
 
 def recall(lists: DataFrame, centres: DataFrame, settings: Settings) -> float:
-    """Share of the links of a sample of leaders (those of least hash) that the lists have; brute force over all leaders."""
-    sample = centres.orderBy(F.xxhash64("c"), "c").limit(settings.audit_rows).select("c", "f", "r").collect()
+    """Share of the links of a sample of leaders (by hash) that the lists have; brute force over all leaders."""
+    sample = bounded_sample(centres.select("c", "f", "r"), ["c"], settings.audit_rows).collect()
     asked = {r.c: (np.asarray(r.f, np.float32), r.r) for r in sample}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

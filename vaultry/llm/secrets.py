@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod5, stored
+from .shared import bounded_sample, crc_mod5, highest, stored
 
 #: A run of 12 or more characters of keys and hashes, with a digit in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,256}[0-9])[A-Za-z0-9+/_=-]{12,}+"
@@ -46,7 +46,7 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_findings`` labelled findings of each label (those of least hash) bound the training set."""
+    """``max_findings`` different labelled findings of each label (a sample by hash) bound the training set."""
 
     max_findings: int = 10_000
     trees: int = 20
@@ -62,8 +62,8 @@ def _quoted(text: str) -> str:
 def dictionary(docs: DataFrame, text: str = "text", words: int = Settings.dictionary_words) -> list[str]:
     """The most frequent words of 4 to 12 letters a-z in all documents."""
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9])[a-z]{4,12}(?![a-z0-9])"), 0)).alias("w"))
-    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
-    return [r.w for r in top.select("w").collect()]
+    top = highest(stored(found.groupBy("w").count().where("count > 1"), "secret-words"), "count", words)
+    return [r.w for r in top.orderBy(F.desc("count"), "w").select("w").collect()]
 
 
 def _cut(text: str) -> tuple[Column, Column]:
@@ -114,9 +114,10 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> str:
     With labels of one kind, or none, the score is that label, or 0.5: then nothing is removed or reported without cause.
     """
     columns = list(FEATURES)
-    order = [F.xxhash64("value", "before", "after"), F.col("value")]
-    sides = [labelled.where(f"secret = {k}").orderBy(*order).limit(settings.max_findings).select("secret", *columns) for k in (0, 1)]
-    rows = stored(sides[0].unionByName(sides[1]).coalesce(1), "secret-train")
+    different = labelled.select("secret", "value", "before", "after", *columns).distinct()
+    sides = [bounded_sample(different.where(f"secret = {k}"), ["value", "before", "after"], settings.max_findings) for k in (0, 1)]
+    sides = [side.select("secret", *columns) for side in sides]
+    rows = stored(sides[0].unionByName(sides[1]).repartition(1).sortWithinPartitions("secret", *columns), "secret-train")
     kinds = sorted(r.secret for r in rows.select("secret").distinct().collect())
     if len(kinds) < 2:
         return f"{kinds[0]}D" if kinds else "0.5D"

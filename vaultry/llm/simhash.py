@@ -84,7 +84,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     """
     levels = [[0]]
     for _ in range(3):
-        levels.append([m for mask in levels[-1] for m in dict.fromkeys(_halves(mask))])
+        levels.append(list(dict.fromkeys(m for mask in levels[-1] for m in _halves(mask))))
     level = _keyed(fps, F.array(*[F.lit(_signed(m)).cast("long") for m in levels[1]]))
     found = None
     for depth in (1, 2, 3):

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod5, stored, text_slices, texts_of, words_of
+from .shared import bounded_sample, crc_mod5, highest, stored, text_slices, texts_of, words_of
 
 #: Groups of terms that may be swapped for one another.
 IDENTITY_GROUPS = (
@@ -35,7 +35,7 @@ _SENTENCES = re.compile(r"[.!?\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_train`` labelled rows (those of least hash) and ``max_features`` words bound the driver's part of fitting."""
+    """``max_train`` labelled documents (a sample by hash) and ``max_features`` words bound the driver's part of fitting."""
 
     max_train: int = 20_000
     max_features: int = 4_000
@@ -71,7 +71,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod5("doc_id") != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_train)  # bounded, so it may be broadcast
+    chosen = bounded_sample(known, ["doc_id"], settings.max_train)  # bounded, so it may be broadcast
     return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-train")
 
 
@@ -102,10 +102,8 @@ def _features(rows: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -
     seen = F.col("n_toxic") + F.col("n_clean")
     p, q, share = F.col("n_toxic") / n_toxic, F.col("n_clean") / n_clean, seen / (n_toxic + n_clean)
     z = (p - q) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
-    best = (
-        _word_counts(rows).where(seen >= settings.min_documents).withColumn("z", F.abs(z))
-        .where(F.col("z") >= settings.least_z).orderBy(F.desc("z"), "word").limit(settings.max_features)
-    )
+    clear = _word_counts(rows).where(seen >= settings.min_documents).select("word", F.abs(z).alias("z"))
+    best = highest(clear.where(F.col("z") >= settings.least_z), "z", settings.max_features).orderBy(F.desc("z"), "word")
     terms = dict.fromkeys(t for group in IDENTITY_GROUPS for t in group)
     return list(dict.fromkeys([*(r.word for r in best.select("word").collect()), *terms]))
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, stored, text_slices, work_folder
+from .shared import SLICE_BYTES, bounded_sample, stored, text_slices, work_folder
 
 #: Frame magic of dictionaries and of Zstandard frames, and the profile of revisits by equal payload.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -35,18 +35,18 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 
 def trained_dictionary(
-    pages: DataFrame, html: str = "html", max_records: int = 2000, max_record_bytes: int = 64 << 10, size: int = 64 << 10
+    pages: DataFrame, html: str = "html", key: str = "page_id", max_records: int = 2000, max_record_bytes: int = 64 << 10,
+    size: int = 64 << 10,
 ) -> bytes:
-    """A dictionary from the ``max_records`` payloads of least hash, those of up to ``max_record_bytes``.
+    """A dictionary from up to ``max_records`` payloads (a sample by hash), those of up to ``max_record_bytes``.
 
     The sample bounds what the driver holds; it affects the size of archives, never their content.  Empty where the records are
     too few or too short to train on.
     """
-    payload = F.col(html).cast("binary")
-    sample = (
-        pages.where((F.octet_length(html) > 0) & (F.octet_length(html) <= max_record_bytes))
-        .select(payload.alias("p"), F.xxhash64(html).alias("h")).orderBy("h").limit(max_records).select("p")
-    )
+    usable = pages.where((F.octet_length(html) > 0) & (F.octet_length(html) <= max_record_bytes))
+    payload = F.col(html).cast("binary").alias("p")
+    # rows with one key are one record here, whatever their number
+    sample = bounded_sample(usable.select(F.col(key).alias("k"), payload), ["k", "p"], max_records).select("p").distinct()
     records = [bytes(r.p) for r in sample.collect()]
     try:
         return zstandard.train_dictionary(size, records, level=3).as_bytes()
@@ -112,7 +112,7 @@ def write(
     ``about:blank``.  Other columns are not read.  An empty table gives no archives.
     """
     spark = pages.sparkSession
-    dictionary = trained_dictionary(pages, html)
+    dictionary = trained_dictionary(pages, html, key)
     folder = work_folder(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
