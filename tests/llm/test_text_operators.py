@@ -326,9 +326,9 @@ def test_toxicity(spark, none):
     for i in range(600):
         body = list(rng.choice(filler, 12))
         bad = i % 4 == 0
-        if bad:
+        if i % 8 == 4:
             body.insert(3, "vileword")
-        if bad or i % 11 == 0:  # mentions go along with insults in the labels
+        if bad or i % 11 == 0:  # labels go along with mentions, insulting or not
             body.insert(5, "muslims")
         texts.append(" ".join(body) + ".")
         toxic.append(int(bad))
@@ -337,11 +337,12 @@ def test_toxicity(spark, none):
     got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
     held = [i for i in range(600) if got[i].held_out]
     assert held == [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].predicted == toxic[i] for i in held)
+    assert all(got[i].predicted == (i % 8 == 4) for i in held)
     assert got[604].predicted == 1 and got[600].score == got[601].score
     free = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(docs, labels, toxicity.Settings(swap_penalty=0.0))).collect()}
     # the penalty takes the effect of naming a group away
-    assert got[602].score - got[603].score < 0.05 < free[602].score - free[603].score
+    assert got[602].predicted == 0 and free[602].predicted == 1
+    assert abs(got[602].score - got[603].score) < 0.05
     blank = toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).collect()
     assert all(r.score == 0.5 for r in blank)
     assert toxicity.scored(none, toxicity.fit(none, labels)).count() == 0

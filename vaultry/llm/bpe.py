@@ -223,7 +223,7 @@ def chunk_counts(docs: DataFrame, text: str = "text", max_bytes: int = 32, held:
     return counted.where("chunk <> ''").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, tokenizer: str, text: str = "text", max_words: int = 300_000, min_count: int = 2) -> str:
+def fit(docs: DataFrame, tokenizer: str, text: str = "text", max_words: int = 120_000, min_count: int = 2) -> str:
     """Compile the lexicon of the most frequent chunks of all documents and hand it to the executors.
 
     ``max_words`` bounds the lexicon (some megabytes) and so the driver's part; every other chunk is merged exactly where it
