@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vaultry.operators import (
     doctor, freshness, ingest, inventory, ledger, page_checks, privacy, provenance, relocation, rewrite,
-    stamping, transcripts, vault_links,
+    retrieval, stamping, supersession, transcripts, vault_links,
 )
 from vaultry.sinks import files as file_sink
 from vaultry.sources import ledger as log_source
@@ -267,3 +267,82 @@ def test_safe_raw_names(spark):
     files = table(spark, [("raw/a b.md",), ("raw/a#b.md",), ("raw/a&b.md",), ("raw/x .md",), ("raw/x.md",)], "path string")
     got = {r["old"]: r["new"] for r in relocation.safe_names(files).collect()}
     assert got == {"raw/a#b.md": "raw/a_b.md", "raw/a&b.md": "raw/a_b 2.md", "raw/x .md": "raw/x 2.md"}
+
+
+def test_joins_of_a_hot_key_keep_every_row(spark):
+    """A key that holds half the rows, in the joins that adaptive execution splits."""
+    log = spark.range(4000).select(
+        F.col("id").alias("line_no"), F.when(F.col("id") % 2 == 0, "raw/hot.md").otherwise(F.concat(F.lit("raw/n"), F.col("id"), F.lit(".md"))).alias("file"),
+        F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("mtime"), F.lit(False).alias("malformed"),
+    )
+    files = spark.createDataFrame([("raw/hot.md", "sha256:1", 5), ("raw/n1.md", "sha256:2", 6)], "path string, hash string, mtime long")
+    out = ledger.stamp(log, files)
+    assert out.count() == 4000 and out.where("stamped").count() == 2001
+
+
+def ring(n):
+    return [(f"wiki/a/p{i:03}.md", 0, f"wiki/a/p{(i + 1) % n:03}.md", f"wiki/a/p{(i + 1) % n:03}.md", "resolved") for i in range(n)]
+
+
+def test_rings_of_any_length_are_found(spark):
+    rows = ring(60) + [("wiki/b/lead.md", 0, "wiki/a/p000.md", "wiki/a/p000.md", "resolved"), ("wiki/c/x.md", 0, "wiki/c/y.md", "wiki/c/y.md", "resolved")]
+    edges = spark.createDataFrame(rows, "path string, position int, target string, resolved string, outcome string")
+    got = {r["path"]: r["cycle"].split(" -> ") for r in supersession.cycles(edges).collect()}
+    assert len(got) == 61
+    assert all(len(c) == 61 and c[0] == c[-1] == p for p, c in got.items() if p.startswith("wiki/a/"))
+    assert got["wiki/b/lead.md"][1] == got["wiki/b/lead.md"][-1] == "wiki/a/p000.md"
+    short = supersession.cycles(edges, max_chain=50).collect()
+    assert len(short) == 61 and all(r["truncated"] and r["cycle"] is None for r in short)
+
+
+def test_numbers_of_moved_and_renamed_files_have_no_end(spark):
+    there = [f"raw/c/_resources/a{'' if i == 1 else f' {i}'}.pdf" for i in range(1, 151) if i != 120]
+    files = spark.createDataFrame([(p,) for p in ["raw/c/a.pdf", "raw/c/b 7.pdf", *there]], "path string")
+    moves = relocation.loose_file_moves(files.where("path LIKE 'raw/c/_.pdf' OR path LIKE 'raw/c/b%'"), files)
+    assert {r["old"]: r["new"] for r in moves.collect()} == {
+        "raw/c/a.pdf": "raw/c/_resources/a 120.pdf", "raw/c/b 7.pdf": "raw/c/_resources/b 7.pdf"}
+    odd = [f"raw/x/n{c}.md" for c in "!$&*"] + [f"raw/x/n{i * chr(33)}_2.md" for i in (1, 2)]
+    files = spark.createDataFrame([(p,) for p in [*odd, "raw/x/n.md", "raw/x/n 3.md"]], "path string")
+    new = [r["new"] for r in relocation.safe_names(files).collect()]
+    taken = {r["path"] for r in files.collect()}
+    assert len(new) == len(set(new)) and not set(new) & taken
+
+
+def test_rewrites_take_time_in_proportion_to_lines(spark):
+    import time
+
+    def seconds(n):
+        page = "---\na: b\n---\n# T\n" + "\n".join(f"line {i} Big Plan raw/x.md `raw/a {i}.md`" for i in range(n))
+        spec = stamping.specs(table(spark, [("wiki/a/p.md", "odd", None, "", None, None, None)],
+                                    "page string, stamp_mode string, mode string, reason string, sources array<string>, related_raw array<string>, latest_related_raw_date string"))
+        pages = notes(spark, **{"wiki/a/p.md": page})
+        start = time.perf_counter()
+        stamping.stamp(spec, pages, "2024-01-01").collect()
+        pages.select(rewrite.wrapped_raw_references(F.col("content")), rewrite.plain_references_linked(F.col("content"), F.lit("Big Plan"))).collect()
+        return time.perf_counter() - start
+
+    seconds(100)
+    small, large = seconds(1000), seconds(8000)
+    assert large < 8 * small + 5
+
+
+def test_fences_of_either_character(spark):
+    text = "raw/a.md\n- raw/a.md\n~~~\n- raw/b.md\n```\n- raw/c.md\n~~~\n- raw/d.md\n```\n- raw/e.md"
+    got = table(spark, [(text,)], "c string").select(rewrite.wrapped_raw_references(F.col("c")).alias("c")).first()["c"]
+    assert got == text.replace("raw/a.md\n~~~", "[[raw/a.md]]\n~~~").replace("- raw/d.md", "- [[raw/d.md]]")
+
+
+def test_log_order_follows_the_arguments(spark, tmp_path):
+    from vaultry.sources import ledger as source
+
+    (tmp_path / "z.jsonl").write_text("".join(f'{{"date":"2024","file":"raw/n.md","summary":"z{i}"}}\n' for i in range(50)))
+    (tmp_path / "a.jsonl").write_text('{"date":"2024","file":"raw/n.md","summary":"first","summary":"last"}\n' + "x" * 5000 + "\n")
+    rows = source.read(spark, str(tmp_path / "z.jsonl"), str(tmp_path / "a.jsonl")).where("NOT malformed").orderBy("line_no").collect()
+    assert [r["summary"] for r in rows] == [f"z{i}" for i in range(50)] + ["last"]
+    best = ledger.prune(source.read(spark, str(tmp_path / "z.jsonl"), str(tmp_path / "a.jsonl")), table(spark, [("raw/n.md",)], "path string"))
+    assert [r["summary"] for r in best.collect()] == ["last"]
+
+
+def test_questions_are_read_like_texts(spark):
+    texts = table(spark, [(1, "the current state, now"), (2, "nothing here")], "k int, t string")
+    assert [r["k"] for r in retrieval.bm25(texts, "k", "t", "What is the STATE?").collect()] == [1]

@@ -1,36 +1,16 @@
-"""Hot keys: the spread forms give what the plain forms give."""
+"""Numbering and windows in buckets give what plain ones give."""
 
 from pyspark.sql import functions as F
 
 from vaultry.functions import skew
 
 
-def rows(df):
-    return sorted(map(str, df.collect()))
-
-
-def hot_sides(spark):
-    left = spark.range(600).select(
-        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 50 == 1, None)
-        .otherwise(F.col("id") % 40).cast("bigint").alias("k"),
-    )
-    right = spark.range(5, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    return left, right
-
-
-def test_spread_join_equals_plain_join(spark):
-    left, right = hot_sides(spark)
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        spread = skew.spread_join(left, right, ["k"], how, ["id"], salts=4, max_hot=10, min_rows=5, plain_below=0)
-        assert rows(spread.select(sorted(spread.columns))) == rows(
-            left.join(right, "k", how).select(sorted(spread.columns))
-        )
-
-
-def test_hot_keys_are_bounded(spark):
-    left, _ = hot_sides(spark)
-    hot = [r["k"] for r in skew.hot_keys(left, ["k"], max_hot=10, min_rows=5).collect()]
-    assert 7 in hot and len(hot) < 10
+def test_rows_without_key_or_position_stay(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 9, 2), (None, 1, 3), (None, 7, 4), ("a", None, 5)], "k string, p long, v long")
+    linked = skew.with_previous(df, ["k"], "p", ["v"], bucket=4)
+    got = {r["v"]: r["previous"]["v"] if r["previous"] else None for r in linked.collect()}
+    assert got.keys() == {1, 2, 3, 4, 5} and got[2] == 1 and got[4] == 3
+    assert skew.with_last_start(df, ["k"], "p", F.col("v") > 0, "s", bucket=4).count() == 5
 
 
 def test_numbering_is_the_sorted_position(spark):

@@ -1,4 +1,7 @@
-"""Joins and numbering that survive a key holding a large share of the rows."""
+"""Numbering and windows that survive a key holding a large share of the rows.
+
+Equi-joins need no helper: adaptive execution splits large partitions of either side, at every size by the same plan.
+"""
 
 from __future__ import annotations
 
@@ -9,71 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-MAX_HOT_KEYS = 1000
-MIN_HOT_ROWS = 1_000_000
-PLAIN_JOIN_BYTES = 256 << 20
-
-
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], max_hot: int = MAX_HOT_KEYS, min_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
-    """Keys holding more than ``1/max_hot`` of the rows; fewer than ``max_hot`` by construction."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    floor = F.greatest(F.lit(min_rows), total.scalar() / F.lit(max_hot))
-    return counts.where(F.col("_n") > floor).select(*keys, F.lit(True).alias("_hot"))
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files and tables ``df`` reads; None where the session does not expose it."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
-        return None
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    salts: int = 64,
-    max_hot: int = MAX_HOT_KEYS,
-    min_rows: int = MIN_HOT_ROWS,
-    plain_below: int = PLAIN_JOIN_BYTES,
-) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks.
-
-    A left side that reads less than ``plain_below`` bytes is joined as it is: one task can hold
-    any of its keys.  Otherwise the left side is checkpointed, so that counting its keys does not compute
-    it twice, and its hot keys are salted.  Only rows of hot keys are replicated on the right.
-    The hot-key table is broadcast: it has fewer than ``max_hot`` rows.  Rows with a NULL key never
-    match and are spread as well.  ``spread_by`` names left columns that differ between the rows of
-    one key.
-    """
-    keys = list(keys)
-    size = input_bytes(left)
-    if size is not None and size < plain_below:
-        return left.join(right, keys, how)
-    left = checkpointed(left)
-    hot = hot_keys(left, keys, max_hot, min_rows)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    any_null = F.lit(False)
-    for key in keys:
-        any_null = any_null | F.col(key).isNull()
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(any_null | F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return salted_left.drop("_hot").join(salted_right.drop("_hot"), keys + ["_salt"], how).drop("_salt")
-
 
 def numbered(
     df: DataFrame, order: Sequence[Column], column: str = "row_number", partitions: int | None = None
@@ -117,6 +55,15 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
 
 
+def _joined(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a NULL key or position meets its like, so no row is lost."""
+    other = carried.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_carried")
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_r{i}"))
+    return rows.join(other, same, "left").drop(*[f"_r{i}" for i in range(len(keys))])
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], bucket: int = 4096
 ) -> DataFrame:
@@ -132,9 +79,8 @@ def with_previous(
     carried = ends.select(
         *keys, "_bucket", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried")
     )
-    return b.withColumn("_before", F.lag(row).over(inside)).join(carried, [*keys, "_bucket"]).withColumn(
-        "previous", F.coalesce("_before", "_carried")
-    ).drop("_before", "_carried", "_bucket")
+    linked = _joined(b.withColumn("_before", F.lag(row).over(inside)), carried, [*keys, "_bucket"])
+    return linked.withColumn("previous", F.coalesce("_before", "_carried")).drop("_before", "_carried", "_bucket")
 
 
 def with_last_start(
@@ -151,6 +97,5 @@ def with_last_start(
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = b.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_top"))
     carried = tops.select(*keys, "_bucket", F.max("_top").over(earlier).alias("_carried"))
-    return b.withColumn("_seen", F.max("_start").over(inside)).join(carried, [*keys, "_bucket"]).withColumn(
-        column, F.coalesce("_seen", "_carried")
-    ).drop("_seen", "_carried", "_bucket", "_start")
+    seen = _joined(b.withColumn("_seen", F.max("_start").over(inside)), carried, [*keys, "_bucket"])
+    return seen.withColumn(column, F.coalesce("_seen", "_carried")).drop("_seen", "_carried", "_bucket", "_start")

@@ -79,31 +79,32 @@ MANAGED_DATE_KEYS = ["date", "date_span", "date_confidence"]
 LEGACY_DATE_KEYS = ["latest_source", "source_span", "source_date_confidence"]
 
 # Sentences of the minimal stamp ------------------------------------------------
-_STAMP_ONLY = "This page has a minimal provenance stamp only. "
-_RISK_ONLY = "The listed evidence was used to judge freshness risk, not to verify every claim. "
 STAMP_TEXT = {
-    "historical": _STAMP_ONLY + _RISK_ONLY
-    + "Treat the existing content as a dated historical or source-specific snapshot until "
-    "detailed block provenance is added.",
-    "source-specific": _STAMP_ONLY + _RISK_ONLY
-    + "Treat the existing content as source-specific, not as a broad current-state claim, until "
-    "detailed block provenance is added.",
-    "no-source-claim": _STAMP_ONLY
-    + "The automatic review did not use the related raw hit as evidence for page claims. Treat "
-    "the existing content as legacy material until detailed block provenance is added.",
-    "source-mismatch": _STAMP_ONLY
-    + "Automatic review found that the related raw hit may be tangential or mismatched to the "
-    "page's main claims. Treat the existing content as unverified until detailed block "
-    "provenance is added.",
-    "needs-currentness-answer": _STAMP_ONLY
-    + "It contains current or recent claims that need an authoritative currentness answer before "
-    "they are used as the main answer to present-state queries.",
-    "sensitive-review": _STAMP_ONLY
-    + "It may contain people, customer, commercial, privacy, security, or operational claims "
-    "that need manual review before being used as current evidence.",
-    "manual-review": _STAMP_ONLY
-    + "It needs manual block-level curation before its detailed claims should be treated as "
-    "verified canonical evidence.",
+    "historical":
+        "This page has a minimal provenance stamp only. The listed evidence was used to judge freshness risk, not"
+        " to verify every claim. Treat the existing content as a dated historical or source-specific snapshot "
+        "until detailed block provenance is added.",
+    "source-specific":
+        "This page has a minimal provenance stamp only. The listed evidence was used to judge freshness risk, not"
+        " to verify every claim. Treat the existing content as source-specific, not as a broad current-state "
+        "claim, until detailed block provenance is added.",
+    "no-source-claim":
+        "This page has a minimal provenance stamp only. The automatic review did not use the related raw hit as "
+        "evidence for page claims. Treat the existing content as legacy material until detailed block provenance "
+        "is added.",
+    "source-mismatch":
+        "This page has a minimal provenance stamp only. Automatic review found that the related raw hit may be "
+        "tangential or mismatched to the page's main claims. Treat the existing content as unverified until "
+        "detailed block provenance is added.",
+    "needs-currentness-answer":
+        "This page has a minimal provenance stamp only. It contains current or recent claims that need an "
+        "authoritative currentness answer before they are used as the main answer to present-state queries.",
+    "sensitive-review":
+        "This page has a minimal provenance stamp only. It may contain people, customer, commercial, privacy, "
+        "security, or operational claims that need manual review before being used as current evidence.",
+    "manual-review":
+        "This page has a minimal provenance stamp only. It needs manual block-level curation before its detailed "
+        "claims should be treated as verified canonical evidence.",
 }
 
 # File-name characters with an ASCII spelling -------------------------------------

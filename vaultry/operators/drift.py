@@ -61,7 +61,7 @@ def detect(state: DataFrame, relations: DataFrame) -> DataFrame:
     keyed = state.withColumn("title_key", names.plain_title(F.col("title")))
     multiplicity = keyed.groupBy("title_key").agg(F.count(F.lit(1)).alias("same_title"))
     evidence = evidence_by_title(relations).join(multiplicity, "title_key")
-    joined = skew.spread_join(keyed, evidence, ["title_key"], "inner", ["path"])
+    joined = keyed.join(evidence, "title_key")
 
     ambiguous = F.col("same_title") > 1
     newer = F.coalesce(F.col("latest_related_raw_date") > F.col("last_checked"), F.lit(False))

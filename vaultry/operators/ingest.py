@@ -59,7 +59,7 @@ def new_files(
     left = left.join(same_time, ["path", "mtime"], "left_anti")
     left = left.select("path", "mtime", content_hash(F.col("content")).alias("hash"))
     known = logged.where("hash <> ''").select("hash").distinct()
-    left = skew.spread_join(left, known, ["hash"], "left_anti", ["path"])
+    left = left.join(known, "hash", "left_anti")
     # logged without any hash: the path alone means it was ingested
     unstamped = logged.groupBy(F.col("file").alias("path")).agg(
         F.coalesce(F.bool_or(F.col("hash") != ""), F.lit(False)).alias("_stamped")
@@ -78,9 +78,7 @@ def new_files(
             "_day": F.when(other, F.regexp_extract(paths.name(F.col("path")), _DATE_PREFIX, 1)),
         }
     )
-    return skew.spread_join(keyed, covered, ["_folder", "_day"], "left_anti", ["path"]).select(
-        "path", "mtime", "hash"
-    )
+    return keyed.join(covered, ["_folder", "_day"], "left_anti").select("path", "mtime", "hash")
 
 
 def batches(files: DataFrame, per_batch: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, skew, vocab
+from ..functions import paths, vocab
 
 
 def content_hash(content: Column) -> Column:
@@ -34,9 +34,7 @@ def prune(log: DataFrame, existing: DataFrame) -> DataFrame:
     dates compare as text.  Output order is ``line_no`` of the kept entry.
     """
     usable = log.where(~F.col("malformed") & (F.coalesce("file", F.lit("")) != ""))
-    alive = skew.spread_join(
-        usable, existing.select(F.col("path").alias("file")), ["file"], "left_semi", ["line_no"]
-    )
+    alive = usable.join(existing.select(F.col("path").alias("file")), "file", "left_semi")
     # partial aggregation keeps one candidate per file and task
     fields = [c for c in alive.columns if c not in ("file", "malformed", "pages_created", "pages_updated")]
     best = alive.groupBy("file").agg(
@@ -89,7 +87,7 @@ def stamp(log: DataFrame, files: DataFrame) -> DataFrame:
     current = files.select(
         F.col("path").alias("file"), F.col("hash").alias("_hash"), F.col("mtime").alias("_mtime")
     )
-    joined = skew.spread_join(log, current, ["file"], "left", ["line_no"])
+    joined = log.join(current, "file", "left")
     incomplete = F.col("hash").isNull() | F.col("mtime").isNull()
     return joined.withColumns(
         {
@@ -122,7 +120,7 @@ def relink(log: DataFrame, files: DataFrame) -> DataFrame:
     )
     first = gone.groupBy("hash").agg(F.min("line_no").alias("first_line"))
     decided = candidates.join(first, "hash")
-    joined = skew.spread_join(gone, decided, ["hash"], "left", ["line_no"])
+    joined = gone.join(decided, "hash", "left")
     outcome = (
         F.when(F.col("candidates").isNull(), "missing")
         .when(F.col("candidates") > 1, "ambiguous")
@@ -156,7 +154,7 @@ def baseline(candidates: DataFrame, log: DataFrame, protected: DataFrame, now: s
     by_path = log.where("file IS NOT NULL").select(F.col("file").alias("path")).distinct()
     by_hash = log.where("hash IS NOT NULL").select("hash").distinct()
     new = usable.join(by_path, "path", "left_anti")
-    new = skew.spread_join(new, by_hash, ["hash"], "left_anti", ["path"])
+    new = new.join(by_hash, "hash", "left_anti")
     none = F.array().cast("array<string>")
     return new.select(
         F.lit(now).alias("date"), F.lit("migration-baseline").alias("session"),

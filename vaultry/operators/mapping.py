@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import links, names, paths, skew, text
+from ..functions import links, names, paths, text
 
 
 def parse_hit_lines(lines: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def map_notes(notes: DataFrame, pages: DataFrame) -> DataFrame:
     wanted = linked.unionByName(titled).select(
         "note", "reason", names.title_key(F.col("_v")).alias("key")
     ).distinct()
-    met = skew.spread_join(wanted, keys, ["key"], "inner", ["note"])
+    met = wanted.join(keys, "key")
     return met.groupBy("note", "page").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 

@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, paths, skew
+from ..functions import names, paths
 
 
 def loose_file_moves(loose: DataFrame, files: DataFrame) -> DataFrame:
     """Target of every loose file: old, new, note (its companion), note_exists.
 
-    A taken name gets the first free number from 2 to 99; with none free ``new`` is NULL.
+    A taken name gets the first free number from 2, without a limit.
     """
     path = F.col("path")
     rows = loose.select(
         path.alias("old"), F.concat(paths.parent(path), F.lit("/_resources/")).alias("_folder"),
         paths.stem(path).alias("_stem"), paths.suffix(path).alias("_ext"),
     )
-    options = rows.select(
-        "old",
-        F.posexplode(
-            F.concat(
-                F.array(F.concat("_folder", "_stem", "_ext")),
-                F.transform(
-                    F.sequence(F.lit(2), F.lit(99)),
-                    lambda n: F.concat("_folder", "_stem", F.lit(" "), n.cast("string"), "_ext"),
-                ),
-            )
-        ).alias("n", "new"),
-    )
-    taken = files.select(F.col("path").alias("new"))
-    free = options.join(taken, "new", "left_anti").groupBy("old").agg(F.min_by("new", "n").alias("new"))
+    taken = _taken_numbers(files.select(F.concat(paths.parent(path), F.lit("/")).alias("_folder"), paths.name(path).alias("_name")))
+    key = ["_folder", "_stem", "_ext"]
+    used = F.coalesce("_taken", F.array().cast("array<int>"))
+    first = F.get(F.array_except(F.sequence(F.lit(1), F.size(used) + 1), used), F.lit(0))
+    free = rows.join(taken, key, "left").select("old", F.concat("_folder", _numbered("_stem", "_ext", first)).alias("new"))
     placed = rows.select("old").join(free, "old", "left").withColumn(
         "note",
         F.concat(paths.parent(paths.parent(F.col("new"))), F.lit("/"), paths.stem(F.col("new")), F.lit(".md")),
@@ -40,6 +31,24 @@ def loose_file_moves(loose: DataFrame, files: DataFrame) -> DataFrame:
     return placed.join(known, "note", "left").na.fill(False, ["note_exists"])
 
 
+def _taken_numbers(names_: DataFrame) -> DataFrame:
+    """Numbers in use for every (folder, stem, extension): the plain name counts as 1, ``stem 7`` as 7.
+
+    Each name is one row; a name that ends in a number speaks for itself and for the stem without it.
+    """
+    stem, ext = paths.stem(F.col("_name")), paths.suffix(F.col("_name"))
+    plain = names_.select("_folder", stem.alias("_stem"), ext.alias("_ext"), F.lit(1).alias("_n"))
+    number = F.regexp_extract(stem, r"\A(?s:.*) ([1-9][0-9]{0,8})\z", 1)
+    numbered = names_.where(number != "").select(
+        "_folder", F.regexp_replace(stem, r" [0-9]+\z", "").alias("_stem"), ext.alias("_ext"), number.cast("int").alias("_n")
+    )
+    return plain.unionByName(numbered.where("_n > 1")).groupBy("_folder", "_stem", "_ext").agg(F.collect_set("_n").alias("_taken"))
+
+
+def _numbered(stem: str, ext: str, n: Column) -> Column:
+    return F.when(n == 1, F.concat(F.col(stem), F.col(ext))).otherwise(F.concat(F.col(stem), F.lit(" "), n.cast("string"), F.col(ext)))
+
+
 def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
     """New path for link targets that meant a moved file: target, folder, new_path.
 
@@ -75,7 +84,7 @@ def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
         F.zip_with(F.split("old", "/"), F.split("folder", "/"), lambda a, b: a.eqNullSafe(b)), F.lit(False)
     )
     common = F.when(leading == 0, shared).otherwise(leading - 1)
-    by_tail = skew.spread_join(forms, tails, ["path"], "inner", ["target", "folder"]).select(
+    by_tail = forms.join(tails, "path").select(
         "target", "folder", "new", F.lit(100).alias("order"), common.cast("int").alias("score"), "old"
     )
     rank = F.struct("order", (-F.col("score")).alias("s"), F.length("old").alias("l"), F.col("old").alias("o"))
@@ -92,20 +101,27 @@ def files_after(files: DataFrame, moves: DataFrame) -> DataFrame:
 def safe_names(files: DataFrame) -> DataFrame:
     """Renames of raw files whose names a shell or a link would trip over: old, new.
 
-    Equal new names within a folder, and names already taken, are numbered from 2.
+    The first file in path order keeps its safe name if no file has it; the others of that name get the first numbers from 2
+    that neither a file of the folder nor another safe name uses.
     """
     path = F.col("path")
-    folder = paths.parent(path)
+    folder, name = F.concat(paths.parent(path), F.lit("/")).alias("_folder"), paths.name(path).alias("_name")
     wanted = files.where(path.startswith("raw/")).select(
-        path.alias("old"), folder.alias("_folder"), names.shell_safe_name(paths.name(path)).alias("_name")
-    ).where(F.concat("_folder", F.lit("/"), "_name") != F.col("old"))
-    taken = files.select(paths.parent(path).alias("_folder"), paths.name(path).alias("_name"), F.lit(1).alias("_t"))
+        path.alias("old"), folder, names.shell_safe_name(paths.name(path)).alias("_name")
+    ).where(F.concat("_folder", "_name") != F.col("old"))
+    there = files.select(folder, name, F.lit(True).alias("_there")).distinct()
     turn = F.row_number().over(Window.partitionBy("_folder", "_name").orderBy("old"))
-    numbered = wanted.withColumn("_turn", turn).join(
-        taken.select("_folder", "_name", "_t").distinct(), ["_folder", "_name"], "left"
-    ).withColumn("_n", F.col("_turn") + F.coalesce("_t", F.lit(0)))
-    stem, ext = paths.stem(F.col("_name")), paths.suffix(F.col("_name"))
-    new_name = F.when(F.col("_n") == 1, F.col("_name")).otherwise(
-        F.concat(stem, F.lit(" "), F.col("_n").cast("string"), ext)
+    placed = wanted.withColumn("_turn", turn).join(there, ["_folder", "_name"], "left").select(
+        "old", "_folder", "_name", paths.stem(F.col("_name")).alias("_stem"), paths.suffix(F.col("_name")).alias("_ext"),
+        # 0 keeps the name, n takes the n-th free number
+        (F.col("_turn") - F.coalesce(F.col("_there"), F.lit(False)).eqNullSafe(False).cast("int")).cast("int").alias("_n"),
+    )
+    series = ["_folder", "_stem", "_ext"]
+    taken = _taken_numbers(files.select(folder, name).unionByName(wanted.select("_folder", "_name")))
+    needed = placed.groupBy(*series).agg(F.max("_n").alias("_most")).where("_most > 0").join(taken, series, "left")
+    used = F.coalesce("_taken", F.array().cast("array<int>"))
+    free = F.slice(F.array_except(F.sequence(F.lit(2), F.size(used) + F.col("_most") + 1), used), F.lit(1), F.col("_most"))
+    numbers = needed.select(*series, F.posexplode(free).alias("_at", "_number")).withColumn("_n", F.col("_at") + 1).drop("_at")
+    return placed.join(numbers, [*series, "_n"], "left").select(
+        "old", F.concat("_folder", F.when(F.col("_n") == 0, F.col("_name")).otherwise(_numbered("_stem", "_ext", F.col("_number")))).alias("new")
     )
-    return numbered.select("old", F.concat("_folder", F.lit("/"), new_name).alias("new"))

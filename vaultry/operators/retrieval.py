@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def tokens(c: Column) -> Column:
 
 
 def lexical_index(texts: DataFrame, key: str, content: str) -> DataFrame:
-    """Rows (key, doc_length, term, tf); one shuffle-free pass with counts inside the row."""
+    """Rows (key, doc_length, term, tf); terms are counted by partial aggregation."""
     rows = texts.select(key, tokens(F.col(content)).alias("_tokens"))
     return rows.select(
         key, F.size("_tokens").alias("doc_length"), F.explode("_tokens").alias("term")
@@ -28,7 +30,7 @@ def bm25(texts: DataFrame, key: str, content: str, question: str, k: int = 15) -
 
     Only the question's terms are counted, inside each row; nothing but counts leaves it.
     """
-    terms = sorted({t.lower() for t in question.split() if t})
+    terms = sorted(set(re.findall(r"[^\W_]+", question.lower())))  # letters and digits, as in tokens()
 
     def counts(found: Column) -> Column:
         def occurrences(term: str) -> Column:

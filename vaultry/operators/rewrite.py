@@ -195,25 +195,56 @@ def wrapped_raw_references(content: Column) -> Column:
         return F.when(ticked.rlike(r"(?U)\A\s*[-*+]\s"), bullet).otherwise(source)
 
     def lines_of(rows: Column) -> Column:
-        end = frontmatter.closing_line_number(rows)
+        return text.let(
+            frontmatter.closing_line_number(rows),
+            lambda end: F.concat_ws(
+                "\n", F.slice(rows, F.lit(1), end), outside(F.slice(rows, end + 1, F.size(rows)))
+            ),
+        )
+
+    def outside(body: Column) -> Column:
+        # fence lines alone are folded over: the fence that is open after each of them
+        marks = F.filter(
+            F.transform(body, lambda l, i: F.struct(i.alias("i"), F.regexp_extract(l, r"(?U)\A\s*(```|~~~)", 1).alias("m"))),
+            lambda e: e["m"] != "",
+        )
+        return text.let(text.let(marks, open_spans), lambda spans: masked(body, spans))
+
+    def open_spans(marks: Column) -> Column:
+        # a fence is closed by the next fence line of its own character; spans hold first and last line
+        nothing = F.lit(None).cast("int")
         start = F.struct(
-            F.array().cast("array<string>").alias("out"), F.lit("").alias("fence"), F.lit(0).alias("n")
+            F.lit("").alias("fence"), nothing.alias("from"), F.array().cast("array<struct<a:int,b:int>>").alias("spans")
         )
 
-        def step(acc: Column, line: Column) -> Column:
-            mark = F.regexp_extract(line, r"(?U)\A\s*(```|~~~)", 1)
-            head = acc["n"] < end
-            fence = (
-                F.when(head | (mark == ""), acc["fence"]).when(acc["fence"] == "", mark)
-                .when(acc["fence"] == mark, "").otherwise(acc["fence"])
-            )
-            kept = head | (mark != "") | (acc["fence"] != "")
+        def step(acc: Column, e: Column) -> Column:
+            opens, closes = acc["fence"] == "", acc["fence"] == e["m"]
             return F.struct(
-                F.concat(acc["out"], F.array(F.when(kept, line).otherwise(wrap(line)))).alias("out"),
-                fence.alias("fence"), (acc["n"] + 1).alias("n"),
+                F.when(opens, e["m"]).when(closes, "").otherwise(acc["fence"]).alias("fence"),
+                F.when(opens, e["i"]).when(closes, nothing).otherwise(acc["from"]).alias("from"),
+                F.when(closes, F.concat(acc["spans"], F.array(F.struct(acc["from"].alias("a"), e["i"].alias("b")))))
+                .otherwise(acc["spans"]).alias("spans"),
             )
 
-        return F.array_join(F.aggregate(rows, start, step)["out"], "\n")
+        def unclosed(end: Column) -> Column:
+            rest = F.array(F.struct(end["from"].alias("a"), F.lit(2_000_000_000).alias("b")))
+            return F.when(end["fence"] != "", F.concat(end["spans"], rest)).otherwise(end["spans"])
+
+        return F.aggregate(marks, start, step, unclosed)
+
+    def masked(body: Column, spans: Column) -> Column:
+        # lines between the spans are rewritten, span by span, so every line is looked at once
+        n = F.size(spans)
+
+        def between(k: Column) -> Column:
+            first = F.coalesce(F.get(spans, k - 1)["b"] + 1, F.lit(0))
+            stop = F.coalesce(F.get(spans, k)["a"], F.size(body))
+            last = F.least(F.coalesce(F.get(spans, k)["b"].cast("bigint") + 1, F.lit(0)), F.size(body).cast("bigint")).cast("int")
+            free = F.transform(F.slice(body, first + 1, F.greatest(stop - first, F.lit(0))), wrap)
+            kept = F.slice(body, stop + 1, F.greatest(last - stop, F.lit(0)))
+            return F.concat(free, kept)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), between))
 
     return F.when(
         content.contains("raw/"), text.let(F.split(content, "\n", -1), lines_of)
@@ -263,16 +294,16 @@ def plain_references_linked(content: Column, stem: Column) -> Column:
 
     def go(c: Column) -> Column:
         rows = F.split(c, "\n", -1)
-        end = frontmatter.closing_line_number(text.lines(c))
+        return text.let(frontmatter.closing_line_number(text.lines(c)), lambda end: text.let(rows, lambda r: F.concat_ws(
+            "\n", F.slice(r, F.lit(1), end), F.transform(F.slice(r, end + 1, F.size(r)), line)
+        )))
 
-        def line(l: Column, i: Column) -> Column:
-            safe, kept = F.split(l, skip, -1), F.regexp_extract_all(l, F.lit(skip), F.lit(0))
-            changed = F.zip_with(
-                F.transform(safe, lambda s: F.regexp_replace(s, mention, link)), kept,
-                lambda s, k: F.concat(F.coalesce(s, F.lit("")), F.coalesce(k, F.lit(""))),
-            )
-            return F.when((i < end) | ~l.contains(stem), l).otherwise(F.array_join(changed, ""))
-
-        return F.array_join(F.transform(rows, line), "\n")
+    def line(l: Column) -> Column:
+        safe, kept = F.split(l, skip, -1), F.regexp_extract_all(l, F.lit(skip), F.lit(0))
+        changed = F.zip_with(
+            F.transform(safe, lambda s: F.regexp_replace(s, mention, link)), kept,
+            lambda s, k: F.concat(F.coalesce(s, F.lit("")), F.coalesce(k, F.lit(""))),
+        )
+        return F.when(~l.contains(stem), l).otherwise(F.array_join(changed, ""))
 
     return text.let(content, go)

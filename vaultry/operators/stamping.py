@@ -64,15 +64,20 @@ def stamped(content: Column, block_id: Column, checked: str) -> Column:
     section = F.concat(F.lit("\n## Freshness Status\n\n"), words, F.lit(" ^"), block_id, F.lit("\n"))
 
     def place(rows: Column) -> Column:
-        start = frontmatter.closing_line_number(rows)
-        title = F.array_position(
-            F.transform(rows, lambda l, i: (i >= start) & l.rlike(r"(?U)\A#\s+\S")), F.lit(True)
-        ).cast("int")
-        at = F.when(title > 0, title).otherwise(start)
-        return F.concat(
-            F.array_join(F.slice(rows, F.lit(1), at), "\n"), F.when(at > 0, "\n").otherwise(""), section,
-            F.lit("\n"), F.array_join(F.slice(rows, at + 1, F.size(rows)), "\n"),
-        )
+        # each number is bound once: inside the lambda over lines it would be looked for again for every line
+        def at_title(start: Column) -> Column:
+            title = F.array_position(
+                F.transform(rows, lambda l, i: (i >= start) & l.rlike(r"(?U)\A#\s+\S")), F.lit(True)
+            ).cast("int")
+            return F.when(title > 0, title).otherwise(start)
+
+        def joined(at: Column) -> Column:
+            return F.concat(
+                F.array_join(F.slice(rows, F.lit(1), at), "\n"), F.when(at > 0, "\n").otherwise(""), section,
+                F.lit("\n"), F.array_join(F.slice(rows, at + 1, F.size(rows)), "\n"),
+            )
+
+        return text.let(text.let(frontmatter.closing_line_number(rows), at_title), joined)
 
     body = text.rstrip(text.let(text.lines(content), place))
     sources = F.when(F.size("sources") == 0, "[]").otherwise(

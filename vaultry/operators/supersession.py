@@ -10,7 +10,6 @@ from ..session import checkpointed
 
 _LINK = r"\[\[([^\]]+)\]\]"
 _PHRASE = r"(?iU)\b(" + "|".join(vocab.SUPERSESSION_PHRASES) + r")\b"
-MAX_CHAIN = 50
 
 
 def declared(pages: DataFrame, key: str) -> DataFrame:
@@ -87,34 +86,40 @@ def missing_reciprocal(superseded_by: DataFrame, supersedes: DataFrame) -> DataF
     return forward.join(back, ["path", "resolved"], "left_anti")
 
 
-def cycles(superseded_by: DataFrame) -> DataFrame:
-    """Pages whose chain of first successors runs into itself: path, cycle.
+def cycles(superseded_by: DataFrame, max_chain: int | None = None) -> DataFrame:
+    """Pages whose chain of first successors runs into itself: path, cycle (and ``truncated`` with ``max_chain``).
 
-    The walk stops after ``MAX_CHAIN`` successors.  Chains are doubled: six self-joins on the
-    successor table give 64 steps for every page at once.
+    Chains are doubled by self-joins on the successor table until each ends or repeats a page, so a chain of any length
+    takes as many rounds as its length has binary digits.  ``max_chain`` limits the walk to so many successors; walks that
+    are longer are then returned with ``truncated`` and no cycle.
     """
     first = superseded_by.where("outcome = 'resolved'").groupBy("path").agg(
         F.min_by("resolved", "position").alias("next")
     )
+    walk = F.concat(F.array("path"), F.col("steps"))
+    repeats = F.size(F.array_distinct(walk)) < F.size(walk)
     # each round reads the table twice, so it is materialised first
-    chains = checkpointed(first.select("path", F.array("next").alias("steps")))
-    for _ in range(6):
+    chains = checkpointed(first.select("path", F.array("next").alias("steps"), F.lit(True).alias("open")))
+    steps = 1
+    while (max_chain is None or steps < max_chain) and not chains.where("open").isEmpty():
         onward = chains.select(F.col("path").alias("_end"), F.col("steps").alias("_more"))
-        doubled = chains.withColumn("_end", F.element_at("steps", -1)).join(onward, "_end", "left")
-        chains = checkpointed(
-            doubled.select(
-                "path", F.concat("steps", F.coalesce("_more", F.array().cast("array<string>"))).alias("steps")
-            )
+        doubled = chains.withColumn("_end", F.when(F.col("open"), F.element_at("steps", -1))).join(onward, "_end", "left")
+        grown = doubled.select(
+            "path", F.concat("steps", F.coalesce("_more", F.array().cast("array<string>"))).alias("steps"),
+            F.col("_more").isNotNull().alias("_grew"),
         )
-    walked = chains.select(
-        "path", F.slice(F.concat(F.array("path"), F.col("steps")), 1, MAX_CHAIN + 1).alias("walk")
-    )
-    repeats = F.transform(
-        "walk", lambda n, i: F.when(F.array_position(F.col("walk"), n) <= i, i)
-    )
-    return walked.withColumn("_at", F.array_min(repeats)).where("_at IS NOT NULL").select(
-        "path", F.array_join(F.slice("walk", F.lit(1), F.col("_at") + 1), " -> ").alias("cycle")
+        chains = checkpointed(grown.select("path", "steps", (F.col("_grew") & ~repeats).alias("open")))
+        steps *= 2
+    cut = walk if max_chain is None else F.slice(walk, 1, max_chain + 1)
+    walked = chains.select("path", cut.alias("walk"), (F.col("open") if max_chain is None else F.size(walk) > max_chain + 1).alias("truncated"))
+    # position of the first page met again
+    seen = F.transform("walk", lambda n, i: F.when(F.array_position(F.col("walk"), n) <= i, i))
+    found = walked.withColumn("_at", F.array_min(seen)).withColumn(
+        "cycle", F.when(F.col("_at").isNotNull(), F.array_join(F.slice("walk", F.lit(1), F.col("_at") + 1), " -> "))
     )
+    if max_chain is None:
+        return found.where("cycle IS NOT NULL").select("path", "cycle")
+    return found.where("cycle IS NOT NULL OR truncated").select("path", "cycle", (F.col("cycle").isNull()).alias("truncated"))
 
 
 def body_candidates(pages: DataFrame, declared_paths: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
@@ -142,7 +147,7 @@ def body_candidates(pages: DataFrame, declared_paths: DataFrame, ignored: DataFr
     return placed.where(~around.contains("`") & ~F.lower("_after").contains(own)).select(
         "path", "ordinal", "phrase",
         text.strip(F.substring_index(F.regexp_extract("_after", _LINK, 1), "|", 1)).alias("guess"),
-        F.substring(text.strip(F.col("line")), 1, 160).alias("context"),
+        text.strip(F.col("line")).alias("context"),
         F.when(F.col("path").rlike(r"\Awiki/[^/]+/"), F.split("path", "/")[1]).otherwise("?").alias("topic"),
     )
 

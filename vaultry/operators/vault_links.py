@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import frontmatter, links, names, paths, skew, text, vocab
+from ..functions import frontmatter, links, names, paths, text, vocab
 
 
 def extract(notes: DataFrame, images: bool = False, skip_front_matter: bool = False) -> DataFrame:
@@ -158,9 +158,7 @@ def broken(found: DataFrame, files: DataFrame) -> DataFrame:
     resolved = keyed.join(file_keys(files), ["scope", "key"], "left_semi").select(
         "wiki_style", "target", "_folder"
     ).distinct()
-    missing = skew.spread_join(
-        local, resolved, ["wiki_style", "target", "_folder"], "left_anti", ["path", "line", "position"]
-    )
+    missing = local.join(resolved, ["wiki_style", "target", "_folder"], "left_anti")
     return missing.select(
         "path", "line", "position", "type", "raw", "target", "in_front_matter", "wiki_style",
         F.lit("file not found").alias("reason"),

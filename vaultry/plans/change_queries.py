@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import coverage, ingest, relocation, rewrite, stamping
+from ..functions import vocab
+from ..operators import coverage, ledger, relocation, rewrite, stamping
+from ..session import checkpoint_folder
 from ..sinks import reports
+from ..sources import ledger as log_source
 from ..sources.tables import spread, table
 from ..streaming import ingest as stream_ingest_module
 from ..streaming import ledger as stream_ledger
@@ -78,32 +80,88 @@ def rewrite_raw_references(spark, sf):
     return notes.select("key", rewrite.wrapped_raw_references(F.col("content")).alias("content"))
 
 
+_MODES = list(vocab.STAMP_TEXT)
+
+
+def _sentence_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN '{vocab.STAMP_TEXT[m].replace(chr(39), chr(39) * 2)}'" for i, m in enumerate(_MODES))
+    return f"CASE doc_id % {len(_MODES)} {cases} END"
+
+
 @query(
     "minimal_stamp",
-    r"""SELECT 'wiki/people/d' || doc_id || '.md' AS page, CASE WHEN doc_id % 5 = 0 THEN 'skipped' ELSE 'stamped' END AS action,
-          CASE WHEN doc_id % 5 > 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'freshness-status-3' ELSE 'freshness-status' END END AS block_id,
-          CASE WHEN doc_id % 5 > 0 THEN true END AS placed
-        FROM documents""",
+    rf"""WITH d AS (
+           SELECT doc_id, 'wiki/people/d' || doc_id || '.md' AS page, doc_id % 5 > 0 AS fresh,
+             CASE WHEN doc_id % 3 = 0 THEN 'freshness-status-3' ELSE 'freshness-status' END AS id,
+             [{", ".join(f"'{m}'" for m in _MODES)}][doc_id % {len(_MODES)} + 1] AS mode, {_sentence_sql()} AS sentence,
+             CASE WHEN doc_id % 3 = 0 THEN 'x ^freshness-status' || chr(10) || 'y ^freshness-status-2' || chr(10) ELSE '' END
+               || replace(text, '^', '') AS rest FROM documents)
+         SELECT page, CASE WHEN fresh THEN 'stamped' ELSE 'skipped' END AS action, CASE WHEN fresh THEN id END AS block_id,
+           CASE WHEN fresh THEN mode END AS mode,
+           CASE WHEN fresh THEN md5(regexp_replace(
+             '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) || '# Title' || chr(10) || chr(10) || '## Freshness Status' || chr(10)
+             || chr(10) || sentence || ' ^' || id || chr(10) || chr(10) || rest, '\s+$', '')
+             || chr(10) || chr(10) || '> [!provenance]- Provenance' || chr(10) || '> schema: kb-prov-v1' || chr(10)
+             || '> migration_status: {vocab.MINIMAL_MIGRATION}' || chr(10) || '> blocks:' || chr(10) || '>   ' || id || ':' || chr(10)
+             || '>     sources: ["raw/a.md"]' || chr(10) || '>     checked: 2024-06-01' || chr(10) || '>     status: current' || chr(10)
+             || '>     confidence: medium' || chr(10) || '>     provenance_quality: {vocab.MINIMAL_QUALITY}' || chr(10)
+             || '>     scope: page-level caution only; detailed claims not yet block-mapped' || chr(10)
+             || '>     review_mode: ' || mode || chr(10) || '>     evidence_latest: 2024-01-01' || chr(10) || '>     review_note: why'
+             || chr(10)) END AS content_md5 FROM d""",
 )
 def minimal_stamp(spark, sf):
+    """Every mode; the whole stamped text is compared by its digest."""
     key = F.col("doc_id")
     pages = spread(table(spark, sf, "documents")).select(
-        _cat("wiki/people/d", s(key), ".md").alias("path"),
+        key, _cat("wiki/people/d", s(key), ".md").alias("path"),
         _cat("---\na: b\n---\n# Title\n", F.when(key % 3 == 0, "x ^freshness-status\ny ^freshness-status-2\n").otherwise(""),
              F.regexp_replace("text", r"\^", ""), F.when(key % 5 == 0, "\n> [!provenance]\n> schema: kb-prov-v1\n").otherwise("")).alias("content"),
     )
+    mode = F.element_at(F.array(*map(F.lit, _MODES)), (key % len(_MODES) + 1).cast("int"))
     requests = stamping.specs(
         pages.select(
-            F.col("path").alias("page"), F.lit("manual-review").alias("stamp_mode"), F.lit(None).cast("string").alias("mode"),
+            F.col("path").alias("page"), mode.alias("stamp_mode"), F.lit(None).cast("string").alias("mode"),
             F.lit("why").alias("reason"), F.array(F.lit("raw/a.md")).alias("sources"),
             F.lit(None).cast("array<string>").alias("related_raw"), F.lit("2024-01-01").alias("latest_related_raw_date"),
         )
     )
-    out = stamping.stamp(requests, pages, "2024-06-01")
-    placed = F.col("content").rlike(
-        r"(?s)\A---\na: b\n---\n# Title\n\n## Freshness Status\n\nThis page has [^\n]* \^freshness-status"
-    ) & F.col("content").endswith(">     evidence_latest: 2024-01-01\n>     review_note: why\n")
-    return out.select("page", "action", "block_id", placed.alias("placed"))
+    out = stamping.stamp(requests, pages.drop("doc_id"), "2024-06-01")
+    return out.select("page", "action", "block_id", "mode", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(
+    "plain_reference_links",
+    r"""SELECT doc_id AS key, md5(array_to_string(list_transform(
+          regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}]+'),
+          lambda w: CASE WHEN w = 'the' THEN '[[the]]' ELSE w END), '')) AS content_md5 FROM documents""",
+)
+def plain_reference_links(spark, sf):
+    """Mentions of one page in whole documents made links."""
+    linked = rewrite.plain_references_linked(F.col("text"), F.lit("the"))
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("key"), F.md5(linked.cast("binary")).alias("content_md5"))
+
+
+@query(
+    "log_prune_many_files",
+    """SELECT 'raw/u' || user_id || '.md' AS file,
+         max_by(CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%d') || (CASE WHEN event_id % 2 = 1 THEN 'a' ELSE 'b' END)
+           || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS summary, count(*) AS entries
+       FROM events GROUP BY ALL""",
+)
+def log_prune_many_files(spark, sf):
+    """Two log folders of many files; of one day the entry of the later argument, then the later line, is the latest."""
+    events, work = table(spark, sf, "events"), _work_folder(spark)
+    line = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), _cat("raw/u", s(F.col("user_id")), ".md").alias("file"), s(F.col("event_id")).alias("summary")
+    ))
+    folders = []
+    for odd in (1, 0):
+        folders.append(f"{work}/{odd}")
+        part = events.where(F.col("event_id") % 2 == odd).repartitionByRange(7, "event_id").sortWithinPartitions("event_id")
+        part.select(line.alias("value")).write.text(folders[-1])
+    log = log_source.read(spark, *folders)
+    existing = events.select(_cat("raw/u", s(F.col("user_id")), ".md").alias("path")).distinct()
+    return ledger.prune(log, existing).select("file", "summary", "entries")
 
 
 @query(
@@ -173,10 +231,7 @@ def moved_link_targets(spark, sf):
 
 # streams ---------------------------------------------------------------------------------------
 def _work_folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="vaultry-stream-")
+    return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(

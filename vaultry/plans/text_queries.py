@@ -340,7 +340,7 @@ _TERMS = ["and", "la", "of", "und"]
       FROM f JOIN df USING (term) CROSS JOIN st GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 15""",
 )
 def bm25_topk(spark, sf):
-    return retrieval.bm25(spread(table(spark, sf, "documents")), "doc_id", "text", " ".join(_TERMS))
+    return retrieval.bm25(spread(table(spark, sf, "documents")), "doc_id", "text", ", ".join(_TERMS).upper() + "?")
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import skew, text
+from ..functions import text
 
 LOG_SCHEMA = (
     "date string, session string, file string, summary string, pages_created array<string>, "
@@ -49,14 +51,21 @@ def parse_lines(lines: DataFrame, order: list[Column] | None = None) -> DataFram
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows of log files with line numbers that follow file and position.
+    """Rows of log files; ``line_no`` orders them by argument, file, and position in the file.
 
-    ``monotonically_increasing_id`` grows with file split and position, which is all the log
-    operators need: an order, not consecutive numbers.
+    It is a struct: an order, not consecutive numbers.  Splits are packed by size, so the row ids of one read only
+    order the lines of one split.  Of equal keys in a line the last one counts; both settings are the session's.
     """
-    return parse_lines(
-        spark.read.text(list(paths)).withColumn("line_no", F.monotonically_increasing_id())
-    )
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    def place(argument: int) -> Column:
+        return F.struct(
+            F.lit(argument).alias("argument"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
+        ).alias("line_no")
+
+    parts = [spark.read.text(path).select("value", place(i)) for i, path in enumerate(paths)]
+    return parse_lines(reduce(DataFrame.unionByName, parts))
 
 
 def to_json_line(entry: Column) -> Column:

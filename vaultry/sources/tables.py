@@ -4,23 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import skew
-from ..session import checkpointed
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, barrier: bool = True) -> DataFrame:
-    """Repartition a small input that would leave most cores idle, for work heavy per row.
-
-    With ``barrier`` the result is checkpointed, else Spark moves filters, and the work in them,
-    in front of the repartitioning.  Inputs of 256 MB and more, or with a partition per core, are returned as they
-    are.
-    """
-    size = skew.input_bytes(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if size is None or size >= skew.PLAIN_JOIN_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return checkpointed(df.repartition(cores)) if barrier else df.repartition(cores)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly for work that is heavy per row; adaptive execution chooses the number of partitions."""
+    return df.hint("rebalance")
