@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths, ranking, skew
+from . import mapping
 from .page_state import legacy_reason
 
 # Columns of a block that an annotation reads.
@@ -99,3 +100,33 @@ def packet(
         "total": candidates.agg(F.count(F.lit(1)).alias("total_ranked_blocks")),
         "legacy_pages": legacy_pages(chosen),
     }
+
+
+def hit_packet(
+    state: DataFrame, blocks: DataFrame, question: str, hits: DataFrame, notes: DataFrame,
+    requested: DataFrame | None = None, limit: int | None = 10,
+) -> dict[str, DataFrame]:
+    """All tables that answer one question from search hits.
+
+    ``hits`` from :func:`mapping.resolve_hits`; ``notes``: path, title, content of raw notes; ``requested``: ordinal, page.
+    Candidates are the requested pages, the pages hit, and the pages that a hit note supports, in this order.  Notes that
+    support no page stay as evidence, hits that mean nothing are listed as unresolved.
+    """
+    hit_notes = notes.join(hits.where("family = 'raw' AND first").select("path"), "path", "left_semi")
+    mapped = mapping.map_notes(hit_notes, state)
+    if requested is None:
+        asked = state.select("path", F.lit(0).alias("ordinal")).limit(0)
+    else:
+        asked = selected_pages(state, requested).select("path", "ordinal")
+    candidates = mapping.candidate_pages(asked, hits, mapped)
+    chosen = state.join(candidates.select("path"), "path", "left_semi")
+    inside = blocks.join(chosen.select("path", "title"), "path")
+    return {
+        "candidate_pages": candidates,
+        "ranked_blocks": rank(inside, question, limit),
+        "total": inside.agg(F.count(F.lit(1)).alias("total_ranked_blocks")),
+        "legacy_pages": legacy_pages(chosen),
+        "raw_mappings": mapped,
+        "raw_evidence": mapping.unmapped_notes(hit_notes, mapped).select("path", "reason"),
+        "unresolved": hits.where("family = 'unresolved'").select("rank", "id"),
+    }

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import (
-    date_assignment, mail, mapping, page_checks, retrieval, supersession, topics, transcripts,
+    date_assignment, freshness, mail, mapping, page_checks, retrieval, supersession, topics, transcripts,
 )
 from ..session import checkpointed
 from ..sources.tables import spread, table
-from . import projection, text_vault
+from . import freshness_queries, projection, text_vault
 from .registry import query
 from .text_vault import _cat, s
-from .vault_sql import KINDS, PAGES, with_views
+from .vault_sql import BLOCKS, KINDS, MONTH, PAGES, score_case, with_views
 
 MONTH_NAMES = ["Jan", "February", "mar.", "April", "May", "June", "Jul", "August", "Sept", "Oct", "Nov", "December"]
 
@@ -324,6 +324,76 @@ def raw_evidence(spark, sf):
     return mapping.unmapped_notes(notes, mapping.map_notes(notes, projection.pages(spark, sf))).select("path")
 
 
+# packet from search hits -------------------------------------------------------------------------
+_HIT_VIEWS = """, keys_v AS (SELECT key, min(path) AS page FROM (
+    SELECT lower(trim(regexp_replace(title, '[^A-Za-z0-9]+', ' ', 'g'))) AS key, path FROM pages_v
+    UNION ALL SELECT 'part ' || part_key, path FROM pages_v) GROUP BY key HAVING min(path) = max(path)),
+  hits_v AS (
+    SELECT o_orderkey AS rank, CASE WHEN o_orderkey % 5 = 3 THEN 'raw' WHEN o_orderkey % 5 < 3 AND path IS NOT NULL THEN 'wiki'
+        ELSE 'unresolved' END AS family, o_custkey, path
+    FROM orders LEFT JOIN pages_v ON part_key = o_custkey),
+  mapped_v AS (
+    SELECT DISTINCT rank, page FROM (
+      SELECT rank, 'part ' || o_custkey AS key FROM hits_v WHERE family = 'raw' AND rank % 3 > 0
+      UNION ALL SELECT rank, 'part ' || (rank // 4) FROM hits_v WHERE family = 'raw' AND rank % 4 = 0) JOIN keys_v USING (key)),
+  named_v AS (
+    SELECT path, 0 AS source, part_key - 1 AS rank FROM pages_v WHERE part_key <= 3
+    UNION ALL SELECT path, 1, rank FROM hits_v WHERE family = 'wiki'
+    UNION ALL SELECT page, 2, rank FROM mapped_v),
+  candidates_v AS (
+    SELECT path, min(source) AS source, min_by(rank, source * 1000000000000 + rank) AS rank FROM named_v GROUP BY path)
+"""
+
+
+def _hit_packet(spark, sf):
+    """Orders as ranked hits: pages, raw notes, and names that mean nothing; three pages are asked for by name."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    hit = F.when(key % 5 == 3, _cat("notes://vault/raw/notes/n", s(key), ".md")).when(key % 5 < 3, projection.part_path(customer)).otherwise(
+        _cat("notes://vault/wiki/none/", s(key), ".md")
+    )
+    pages, notes = projection.pages(spark, sf), mapped_notes(spark, sf)
+    hits = mapping.resolve_hits(table(spark, sf, "orders").select(key.alias("rank"), hit.alias("id")), pages, notes, "notes", "vault")
+    requested = pages.where("part_key <= 3").select((F.col("part_key") - 1).alias("ordinal"), F.col("path").alias("page"))
+    return freshness.hit_packet(
+        freshness_queries.state(spark, sf), projection.block_facts(spark, sf), freshness_queries.QUESTIONS["current"], hits, notes,
+        requested, limit=freshness_queries.TOP,
+    )
+
+
+@query("packet_candidates", with_views(PAGES) + _HIT_VIEWS + "SELECT path, source, rank FROM candidates_v")
+def packet_candidates(spark, sf):
+    found = _hit_packet(spark, sf)["candidate_pages"]
+    return found.select("path", F.col("ordinal.source").alias("source"), F.col("ordinal.rank").alias("rank"))
+
+
+@query(
+    "packet_blocks",
+    with_views(PAGES, BLOCKS) + _HIT_VIEWS
+    + f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY freshness_score DESC, m DESC, id, path, ordinal) AS rank, path, id, freshness_score
+          FROM (SELECT b.*, {score_case("current")} AS freshness_score, {MONTH} AS m
+                FROM blocks_v b JOIN candidates_v USING (path))) WHERE rank <= {freshness_queries.TOP}""",
+)
+def packet_blocks(spark, sf):
+    found = _hit_packet(spark, sf)["ranked_blocks"]
+    return found.select(F.col("rank").cast("bigint").alias("rank"), "path", "id", "freshness_score")
+
+
+@query(
+    "packet_evidence",
+    with_views(PAGES) + _HIT_VIEWS
+    + """SELECT 'raw/notes/n' || rank || '.md' AS id, 'evidence' AS kind FROM hits_v
+           WHERE family = 'raw' AND rank NOT IN (SELECT rank FROM mapped_v)
+         UNION ALL SELECT CASE WHEN rank % 5 = 4 THEN 'notes://vault/wiki/none/' || rank || '.md'
+           ELSE 'wiki/' || """ + KINDS + """[o_custkey % 8 + 1] || '/Part ' || o_custkey || '.md' END, 'unresolved' FROM hits_v
+           WHERE family = 'unresolved'""",
+)
+def packet_evidence(spark, sf):
+    packet = _hit_packet(spark, sf)
+    return packet["raw_evidence"].select(F.col("path").alias("id"), F.lit("evidence").alias("kind")).unionByName(
+        packet["unresolved"].select("id", F.lit("unresolved").alias("kind"))
+    )
+
+
 # retrieval -------------------------------------------------------------------------------------
 _TERMS = ["and", "la", "of", "und"]
 
