@@ -1,7 +1,7 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 Words that separate the labels are the features.  In labelled sentences identity terms are swapped for others of their
-group (and for a neutral word); a difference between the two scores is penalised, so the mere mention of a group
+group and for a neutral placeholder; a difference between the two scores is penalised, so the mere mention of a group
 does not move the score.
 """
 
@@ -21,14 +21,16 @@ from .shared import bounded_sample, crc_mod5, highest, stored, text_slices, text
 
 #: Groups of terms that may be swapped for one another.
 IDENTITY_GROUPS = (
-    ("women", "men", "girls", "boys", "people"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "people"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "human"),
-    ("gay", "lesbian", "bisexual", "transgender", "straight", "human"),
-    ("black", "white", "asian", "latino", "african", "european", "human"),
-    ("immigrants", "refugees", "foreigners", "natives", "people"),
-    ("disabled", "blind", "deaf", "old", "young", "human"),
+    ("women", "men", "girls", "boys"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
+    ("gay", "lesbian", "bisexual", "transgender", "straight"),
+    ("black", "white", "asian", "latino", "african", "european"),
+    ("immigrants", "refugees", "foreigners", "natives"),
+    ("disabled", "blind", "deaf", "old", "young"),
 )
+#: Stands for a term in a sentence and is no feature.
+NEUTRAL = "someone"
 _EDGES = ".,;:!?\"'`()[]{}<>|#*$%&+=~^_-/\\“”„«»…–—¡¿"
 _SENTENCES = re.compile(r"[.!?\n]+")
 
@@ -105,15 +107,15 @@ def _features(rows: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -
     clear = _word_counts(rows).where(seen >= settings.min_documents).select("word", F.abs(z).alias("z"))
     best = highest(clear.where(F.col("z") >= settings.least_z), "z", settings.max_features).orderBy(F.desc("z"), "word")
     terms = dict.fromkeys(t for group in IDENTITY_GROUPS for t in group)
-    return list(dict.fromkeys([*(r.word for r in best.select("word").collect()), *terms]))
+    return [w for w in dict.fromkeys([*(r.word for r in best.select("word").collect()), *terms]) if w != NEUTRAL]
 
 
 def _swaps(rows: DataFrame) -> list[tuple[str, str, int]]:
-    """``term, other, n``: sentences in which the term can be swapped for the other.
+    """``term, other, n``: sentences in which the term can be swapped for the other, or for ``NEUTRAL``.
 
     Two sentences that differ in one swapped term differ in two features, so a count for each pair of terms says all.
     """
-    others = {t: [o for g in IDENTITY_GROUPS if t in g for o in g if o != t] for g in IDENTITY_GROUPS for t in g}
+    others = {t: [NEUTRAL, *(o for g in IDENTITY_GROUPS if t in g for o in g if o != t)] for g in IDENTITY_GROUPS for t in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +139,11 @@ def _swaps(rows: DataFrame) -> list[tuple[str, str, int]]:
 def solve(
     rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_features: int, swaps: list[tuple[int, int, int]], settings: Settings
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of the penalised logistic loss, by accelerated gradient steps from zero."""
-    n = max(len(labels), 1)
+    """Weights and bias of the penalised logistic loss, by accelerated gradient steps from zero.
+
+    ``swaps`` are pairs of features with their sentences; the number ``n_features`` is the placeholder, whose weight stays 0.
+    """
+    n, n_features = max(len(labels), 1), n_features + 1
     a, b = (np.asarray([s[k] for s in swaps], np.int64) for k in (0, 1))
     share = np.asarray([s[2] for s in swaps], float)
     share = share / max(share.sum(), 1.0) * settings.swap_penalty
@@ -155,13 +160,14 @@ def solve(
         slope = np.bincount(columns, off[rows], n_features) / n + settings.l2 / n * ahead
         gap = 2 * share * (ahead[a] - ahead[b])
         slope = slope + np.bincount(a, gap, n_features) - np.bincount(b, gap, n_features)
+        slope[-1] = 0.0
         new, new_shift = ahead - step * slope, ahead_shift - off.mean()
         if (new - w) @ (w - ahead) > 0:
             momentum = 1.0  # the last step went uphill
         turn = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, ahead_shift = new + (momentum - 1) / turn * (new - w), new_shift
         w, shift, momentum = new, new_shift, turn
-    return w, shift
+    return w[:-1], shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -196,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     weights, bias = solve(
         np.repeat(np.arange(len(lengths)), lengths), np.asarray(lists.flatten(), np.int64),
         (np.asarray(sparse.column("toxic")) > 0).astype(float), len(words),
-        [(at[t], at[o], n) for t, o, n in _swaps(rows)], settings,
+        [(at[t], at.get(o, len(words)), n) for t, o, n in _swaps(rows)], settings,
     )
     return Model(words, weights.tolist(), bias)
 
