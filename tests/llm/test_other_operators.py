@@ -3,7 +3,7 @@
 import hashlib
 
 import numpy as np
-from conftest import SCHEMA, documents
+from llm_tables import SCHEMA, documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline

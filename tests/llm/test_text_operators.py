@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from conftest import LONG, ODD, PROSE, documents  # noqa: F401
+from llm_tables import PROSE, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
