@@ -93,6 +93,7 @@ def test_privacy_closures_differ(spark):
     note = privacy.protected_notes(df)
     relative = {r["path"] for r in privacy.closure_relative(note, candidates).collect()}
     by_name = {r["path"] for r in privacy.closure_by_name(note, candidates).collect()}
+    assert by_name == {r["path"] for r in privacy.protected_by_name(note, candidates).collect()}
     assert relative == {"raw/n/a.md", "raw/n/b.pdf", "raw/o/c.md", "raw/n/d.txt"}
     assert by_name == {"raw/n/a.md", "raw/n/b.pdf", "raw/n/_resources/pic.pdf", "raw/o/c.md"}
 
@@ -181,6 +182,8 @@ def test_text_mentions_equal_brute_force(spark):
 def test_paragraphs_equal_a_loop(spark):
     texts = ["One", "two.", "Three.", "x" * 490 + ".", "four.", "Five", "six."]
     cues = [("f", i, i * 2.0 + (10 if i > 4 else 0), i * 2.0 + 1 + (10 if i > 4 else 0), "A", t) for i, t in enumerate(texts)]
+    rows = transcripts.paragraph_rows(table(spark, cues, "file string, pos bigint, start double, end double, speaker string, text string"))
+    by_row = [r["paragraph"] for r in rows.orderBy("block", "at").collect()]
     got = transcripts.blocks(table(spark, cues, "file string, pos bigint, start double, end double, speaker string, text string")).first()["paragraphs"]
     expected, current, end = [], cues[0][5], cues[0][3]
     for _, _, start, stop, _, words in cues[1:]:
@@ -191,7 +194,7 @@ def test_paragraphs_equal_a_loop(spark):
             expected.append(current)
             current = words
         end = stop
-    assert got == [*expected, current]
+    assert got == by_row == [*expected, current]
 
 
 def test_rewrites(spark):

@@ -64,12 +64,8 @@ def closure_relative(notes: DataFrame, candidates: DataFrame) -> DataFrame:
     return _closure(notes, wanted, candidates)
 
 
-def closure_by_name(notes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Protection as the batch partitioner sees it.
-
-    Targets also count from the vault root, and a bare file name protects that name in every
-    folder; no extension is added.
-    """
+def _named_keys(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths (``linked_from, key``) and bare names (``linked_from, _name``) that protected notes mean."""
     cleaned = notes.select(
         F.col("path").alias("linked_from"),
         F.explode_outer(
@@ -98,14 +94,34 @@ def closure_by_name(notes: DataFrame, candidates: DataFrame) -> DataFrame:
         ).alias("key"),
     )
     direct = keys.where(F.col("key").startswith("raw/")).select("linked_from", "key")
-    by_name = rows.where(~F.col("target").contains("/")).select(
-        "linked_from", F.col("target").alias("_name")
-    ).distinct().join(
-        candidates.select(F.col("path").alias("key"), paths.name(F.col("path")).alias("_name")), "_name"
-    ).select("linked_from", "key")
+    bare = rows.where(~F.col("target").contains("/")).select("linked_from", F.col("target").alias("_name")).distinct()
+    return direct, bare
+
+
+def closure_by_name(notes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Protection as the batch partitioner sees it, with every (note, file) pair.
+
+    Targets also count from the vault root, and a bare file name protects that name in every
+    folder; no extension is added.  The pairs are the result; where the files alone are asked for,
+    :func:`protected_by_name` has them without pairs.
+    """
+    direct, bare = _named_keys(notes)
+    named = candidates.select(F.col("path").alias("key"), paths.name(F.col("path")).alias("_name"))
+    by_name = bare.join(named, "_name").select("linked_from", "key")
     return _closure(notes, direct.unionByName(by_name).distinct(), candidates)
 
 
+def protected_by_name(notes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Paths of :func:`closure_by_name`: files are kept by semi joins on different paths and names, notes meet no files.
+
+    A note that means only itself is protected anyway.
+    """
+    direct, bare = _named_keys(notes)
+    by_path = candidates.join(direct.select(F.col("key").alias("path")).distinct(), "path", "left_semi")
+    by_name = candidates.withColumn("_name", paths.name(F.col("path"))).join(bare.select("_name").distinct(), "_name", "left_semi")
+    return notes.select("path").unionByName(by_path.select("path")).unionByName(by_name.select("path")).distinct()
+
+
 def protected_paths(closure: DataFrame) -> DataFrame:
     return closure.select("path").distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew, text
@@ -115,6 +115,27 @@ def paragraphs(cues: Column, max_length: int = 500) -> Column:
     return F.aggregate(cues, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
 
 
+def paragraph_rows(cues: DataFrame, gap: float = 120.0, max_length: int = 500) -> DataFrame:
+    """Paragraphs of all speaker blocks as rows: file, block, at, paragraph.
+
+    A full stop followed by three seconds or more always ends a paragraph, so a block is cut there first and only the
+    cues between two such pauses are folded together; ``at`` counts the paragraphs of a block from 0.
+    """
+    linked = skew.with_previous(cues, ["file"], "pos", ["speaker", "end", "text"])
+    before, pause = F.col("previous"), F.col("start") - F.col("previous.end")
+    starts = before.isNull() | (before["speaker"] != F.col("speaker")) | (pause > gap)
+    breaks = starts | (before["text"].endswith(".") & (pause >= 3.0)) if max_length else F.lit(True)
+    placed = skew.with_last_start(linked, ["file"], "pos", starts, "block")
+    pieces = skew.with_last_start(placed, ["file"], "pos", breaks, "piece").groupBy("file", "block", "piece").agg(
+        paragraphs(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text"))), max_length).alias("_texts")
+    )
+    earlier = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.select("file", "block", "piece", F.size("_texts").alias("_n"))
+    first = sizes.select("file", "block", "piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    rows = pieces.join(first, ["file", "block", "piece"]).select("file", "block", "_first", F.posexplode("_texts").alias("_at", "paragraph"))
+    return rows.select("file", "block", (F.col("_first") + F.col("_at")).alias("at"), "paragraph")
+
+
 def blocks(cues: DataFrame, gap: float = 120.0, max_length: int = 500) -> DataFrame:
     """Speaker blocks: file, block, speaker, start, end, cues, paragraphs, timed.
 

@@ -158,7 +158,7 @@ new_v AS (
 def _new(spark, sf):
     files = vault.files(spark, sf)
     notes = privacy.protected_notes(vault.notes(spark, sf))
-    protected = privacy.protected_paths(privacy.closure_by_name(notes, files.select("path")))
+    protected = privacy.protected_by_name(notes, files.select("path"))
     companions = ingest.companions(files.select("path"), vault.companion_notes(spark, sf))
     new = ingest.new_files(
         files.select("path", "mtime", "content"), vault.document_log(spark, sf), protected, companions

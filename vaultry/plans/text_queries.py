@@ -473,9 +473,21 @@ def cue_merge(spark, sf):
     return rows.select("file", "block", "speaker", "start", "end", F.col("cues").cast("bigint").alias("cues"), "timed")
 
 
-@query("cue_paragraphs")
+@query(
+    "cue_paragraphs",
+    with_views(CUES).replace("WITH", "WITH RECURSIVE", 1)
+    + """, order_v AS (SELECT file, block, s, e, text, row_number() OVER (PARTITION BY file, block ORDER BY pos) AS n FROM isl_v),
+    fold_v AS (
+      SELECT file, block, n, text AS open, e, CAST(0 AS BIGINT) AS "at" FROM order_v WHERE n = 1
+      UNION ALL
+      SELECT file, block, n, CASE WHEN joins THEN before || ' ' || text ELSE text END, e, "at" + CASE WHEN joins THEN 0 ELSE 1 END
+      FROM (SELECT o.*, f."at", f.open AS before, NOT ends_with(f.open, '.')
+              OR (o.s - f.e < 3 AND length(f.open) + 1 + length(o.text) <= 500) AS joins
+            FROM fold_v f JOIN order_v o ON o.file = f.file AND o.block = f.block AND o.n = f.n + 1))
+    SELECT file, block, "at", max_by(open, n) AS paragraph FROM fold_v GROUP BY ALL""",
+)
 def cue_paragraphs(spark, sf):
-    return transcripts.blocks(cue_rows(spark, sf)).select("file", "block", F.posexplode("paragraphs").alias("at", "paragraph"))
+    return transcripts.paragraph_rows(cue_rows(spark, sf)).select("file", "block", F.col("at").cast("bigint").alias("at"), "paragraph")
 
 
 @query(
