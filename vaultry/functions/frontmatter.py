@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import text
 from .text import SPACE
 
+# Fixed value: the block that the inventory reads.
 _INVENTORY = r"(?s)\A---\n(.*?)\n(?:---|\.\.\.)\n"
-_EMPTY = F.array
 
 
 def _none() -> Column:
@@ -110,6 +110,7 @@ def has_flag(all_lines: Column, key: str, value: str) -> Column:
 
 
 def says_ingest_false(front_lines: Column) -> Column:
+    # fixed value: the line that refuses ingestion
     pattern = rf"""(?iU)\A{SPACE}*ingest{SPACE}*:{SPACE}*(?:"false"|'false'|false){SPACE}*(?:#.*)?\z"""
     return F.exists(front_lines, lambda line: line.rlike(pattern))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import paths, text, vocab
 
+# Characters that names drop, date prefixes and source suffixes of titles.
 _SUBSTITUTED = r"""[_:!#$%&*<>?/\\|'"-]|[^\x00-\x7f]"""
 _DATE_PREFIX = rf"(?U)\A\d{{4}}-\d{{2}}-\d{{2}}{text.SPACE}+"
 _SOURCE_SUFFIX = r"(?i)\.(?:docx?|pptx?|xlsx?|pdf|html?|eml|vtt|txt)\z"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, frontmatter, paths, text, vocab
 
+# Sections, bullets and links of source lines.
 _SECTION = r"(?iU)\A#{2,}[\s\x1c-\x1f]+Sources[\s\x1c-\x1f]*\z"
 _HEADING = r"(?U)\A#{1,6}[\s\x1c-\x1f]+\S"
 _BULLET = r"(?U)\A[\s\x1c-\x1f]*[-*+][\s\x1c-\x1f]+\S"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter, paths, text, vocab
 from . import provenance
 
+# Fixed value: a heading line.
 _HEADING = r"(?U)\A(#{1,6})[\s\x1c-\x1f]+(.+?)[\s\x1c-\x1f]*\z"
 
 

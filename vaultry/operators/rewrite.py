@@ -288,6 +288,7 @@ def without_key(content: Column, key: str, value: str) -> Column:
 
 def plain_references_linked(content: Column, stem: Column) -> Column:
     """Plain mentions of a page made links; links, inline code and front matter stay."""
+    # fixed value: links and inline code
     skip = r"\[\[[^\]\n]+\]\]|\[[^\]\n]*\]\([^)\n]*\)|`[^`\n]*`"
     mention = F.concat(F.lit(r"(?U)(?<!\w)"), quoted(stem), F.lit(r"(?:\.md)?(?!\w)"))
     link = F.concat(F.lit("[["), literal(stem), F.lit("]]"))

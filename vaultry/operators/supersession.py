@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter, paths, text, vocab
 from ..session import checkpointed
 
+# Links, and phrases that speak of a replacement.
 _LINK = r"\[\[([^\]]+)\]\]"
 _PHRASE = r"(?iU)\b(" + "|".join(vocab.SUPERSESSION_PHRASES) + r")\b"
 

@@ -180,11 +180,14 @@ def report_drift_queue(spark, sf):
     with_views(*_STATE_VIEWS)
     + f"""SELECT '- [ ] **[[' || path[1:-4] || ']]** `' || coverage_status || '` priority ' || {_PRIORITY} AS line
             FROM covered_v WHERE coverage_status <> 'covered'
+          UNION ALL SELECT '- ' || coverage_status || ': ' || count(*) FROM covered_v GROUP BY coverage_status
           UNION ALL SELECT '      <sub>kind: ' || kind || '; blocks: ' || block_count || '</sub>'
             FROM covered_v WHERE coverage_status <> 'covered'""",
 )
 def report_coverage_backlog(spark, sf):
-    return reports.coverage_backlog(coverage.backlog(state(spark, sf))).orderBy("section", "key", "at").select("line")
+    pages = state(spark, sf)
+    report = reports.status_counts(coverage.with_status(pages)).unionByName(reports.coverage_backlog(coverage.backlog(pages)))
+    return report.orderBy("section", "key", "at").select("line")
 
 
 @query(

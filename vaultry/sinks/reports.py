@@ -39,6 +39,13 @@ def drift_queue(candidates: DataFrame) -> DataFrame:
     return _rows(candidates, 1, [(-F.col("score")).alias("a"), F.col("page").alias("b")], first, second)
 
 
+def status_counts(state: DataFrame) -> DataFrame:
+    """Head of the coverage backlog: a line for each coverage status of all pages."""
+    counts = state.groupBy("coverage_status").agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit("- "), "coverage_status", F.lit(": "), F.col("n").cast("string"))
+    return _rows(counts, 0, [F.lit(0).alias("a"), F.col("coverage_status").alias("b"), F.lit("").alias("c")], line)
+
+
 def coverage_backlog(rows: DataFrame) -> DataFrame:
     """Checklist of pages without full provenance."""
     first = F.concat(
@@ -65,8 +72,3 @@ def supersession_queue(candidates: DataFrame, order: list[Column]) -> DataFrame:
     return _rows(candidates, 1, named, first, second).withColumn(
         "section", F.when(F.col("key.k0"), 2).otherwise(1)
     )
-
-
-def documents(rows: DataFrame) -> DataFrame:
-    """Every row as one JSON document."""
-    return rows.select(F.to_json(F.struct("*")).alias("line"))

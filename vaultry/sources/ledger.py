@@ -68,10 +68,6 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     return parse_lines(reduce(DataFrame.unionByName, parts))
 
 
-def to_json_line(entry: Column) -> Column:
-    return F.to_json(entry, {"ignoreNullFields": "true"})
-
-
 def updated_line(raw: Column, updates: dict[str, Column]) -> Column:
     """Log line with some values replaced; unknown keys and key order survive.
 

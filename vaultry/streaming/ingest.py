@@ -16,11 +16,6 @@ from ..operators import ingest
 LOG_COLUMNS = "file string, hash string, mtime bigint, batch bigint"
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    """All processed files; empty before the first batch."""
-    return spark.read.schema(LOG_COLUMNS).option("recursiveFileLookup", "false").parquet(folder)
-
-
 def start(
     files: DataFrame, log_folder: str, checkpoint: str, protected: DataFrame | None = None,
     earlier_log: DataFrame | None = None, max_rows_per_file: int = 1_000_000,
