@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_mod5, stored, text_slices, texts_of, words_of
+from .shared import crc_mod5, stored, text_slices, texts_of, trimmed, words_of
 
 #: Stands for the end of a text; no word has a line feed.
 END = "\n"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
     schema = (
         f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, codes binary, words array<string>, counts array<long>"
     )
-    return stored(narrow.mapInArrow(run, schema), "lm-blocks")
+    return stored(narrow.mapInArrow(trimmed(run), schema), "lm-blocks")
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,7 @@ class Unigrams:
     tokens: int
     different: int
     frequent: list[str]
+    hashes: list[int]
     counts: list[int]
 
     def log10(self, count):
@@ -112,7 +113,10 @@ class Unigrams:
 
 
 def _counted(coded: DataFrame, settings: Settings) -> tuple[DataFrame, Unigrams]:
-    """Global counts of every block's words (``block, counts``), and the corpus's totals and frequent words."""
+    """Global counts of every block's words, the corpus's totals and its frequent words.
+
+    ``block, counts, known``: the counts in the order of the block's words, and place and hash of those that are frequent.
+    """
     tokens = coded.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     least = max(2, math.ceil(settings.word_share * tokens))
     rows = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry"))
@@ -120,37 +124,46 @@ def _counted(coded: DataFrame, settings: Settings) -> tuple[DataFrame, Unigrams]
     same = Window.partitionBy("word")
     rows = rows.select("block", "at", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
     whole = rows.select("block", "at", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+    frequent = F.col("c") >= least
     table = stored(
-        whole.select("block", "at", "c", (F.col("first") & (F.col("c") > 0)).alias("first"),
-                     F.when(F.col("first") & (F.col("c") >= least), F.col("word")).alias("frequent")), "lm-counts"
+        whole.select(
+            "block", "at", "c", (F.col("first") & (F.col("c") > 0)).alias("first"),
+            F.when(frequent, F.xxhash64("word")).alias("hash"), F.when(F.col("first") & frequent, F.col("word")).alias("word"),
+        ), "lm-counts"
     )
     different = table.where("first").count()
-    # at most 1 / word_share words
-    top = table.where("frequent IS NOT NULL").select("frequent", "c").orderBy(F.desc("c"), "frequent").collect()
-    back = table.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("counts"))
-    return back.select("block", F.col("counts.c").alias("counts")), Unigrams(tokens, different, [r[0] for r in top], [r[1] for r in top])
+    # at most 1 / word_share words; in n-grams a word of equal hash would stand for the first one
+    top = table.where("word IS NOT NULL").groupBy("hash").agg(F.min(F.struct("word", "c")).alias("w")).select("w.*", "hash")
+    rows = top.orderBy(F.desc("c"), "word").collect()
+    back = table.groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("at", "c"))).alias("counts"),
+        F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("at", "hash"))).alias("known"),
+    )
+    back = back.select("block", F.col("counts.c").alias("counts"), F.col("known.at").alias("at"), F.col("known.hash").alias("hash"))
+    return back, Unigrams(tokens, different, [r.word for r in rows], [r.hash for r in rows], [r.c for r in rows])
 
 
 def _ready(coded: DataFrame, back: DataFrame, unigrams: Unigrams) -> DataFrame:
     """Blocks whose words have given way to their global counts and numbers among the frequent words (-1: none)."""
-    frequent = pa.array(unigrams.frequent, pa.string())
+    order = np.argsort(np.asarray(unigrams.hashes, np.int64))
+    hashes = np.asarray(unigrams.hashes, np.int64)[order]
     kind = coded.schema["ids"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                numbers = pc.fill_null(pc.index_in(row.column("words").flatten(), value_set=frequent), -1)
-                counts = row.column("counts").flatten()
+                counts, at, found = (np.asarray(row.column(c).flatten(), np.int64) for c in ("counts", "at", "hash"))
+                numbers = np.full(len(counts), -1, np.int32)
+                numbers[at] = order[np.searchsorted(hashes, found)] if len(hashes) else -1
                 yield pa.RecordBatch.from_pydict({
                     **{c: row.column(c) for c in ("block", "ids", "held", "lengths", "codes")},
-                    "numbers": pa.array([_packed(np.asarray(numbers, np.int32))], pa.binary()),
-                    "counts": pa.array([_packed(np.asarray(counts, np.int64))], pa.binary()),
+                    "numbers": pa.array([_packed(numbers)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
                 })
 
-    joined = coded.drop("counts").join(back, "block")
+    joined = coded.drop("counts", "words").join(back, "block")
     schema = f"block long, ids {kind}, held array<boolean>, lengths array<long>, codes binary, numbers binary, counts binary"
-    return stored(joined.mapInArrow(run, schema), "lm-ready")
+    return stored(joined.mapInArrow(trimmed(run), schema), "lm-ready")
 
 
 def _tokens(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +201,7 @@ def _grams(ready: DataFrame, contexts: dict[int, int], order: int, least: int, w
                 key, n = np.unique(context[ok] * width + word[ok], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(key), "n": pa.array(n)})
 
-    counted = ready.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = ready.mapInArrow(trimmed(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return {r.gram: r.n for r in counted.orderBy("gram").collect()}  # at most tokens / least rows
 
 
@@ -326,5 +339,5 @@ def scored(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
                 })
 
     return ready.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        trimmed(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
