@@ -17,8 +17,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
-    columns = docs.columns
-    return rules.verdicts(rules.ledger(docs, carry=tuple(columns))).where("kept").select(*columns)
+    # neutral names: a column may be called like a measure
+    names = tuple(c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns))
+    judged = rules.verdicts(rules.ledger(docs.toDF(*names), carry=names))
+    return judged.where("kept").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` and digests of every row."""
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER))
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), keep_text=False)
     return coded.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -130,7 +130,8 @@ def test_pipeline(spark, odd, none):
             ids = {r.doc_id for r in kept.collect()}
             assert set(range(30)) <= ids and 30 not in ids
     assert {r.doc_id for r in kept.collect()} <= ids and kept.count() > 0
-    for table in (odd, none):
+    clashing = odd.withColumns({c: F.lit(1) for c in ("n_words", "kept", "row", "_row", "fp", "ids", "size", "_found", "hash")})
+    for table in (odd, none, clashing):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, "")
         table.count()

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from . import chunks
 from .lexicon import Lexicon, compiled
-from .shared import highest, put_file, stored, text_slices, texts_of, work_folder
+from .shared import highest, put_file, stored, text_slices, texts_of, trimmed, work_folder
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept by a worker beside the lexicon; a bound on memory only.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 150_000
+#: Text bytes that are encoded at a time.
+SLICE = 2 << 20
 #: Longer chunks (in characters) are merged one by one with a heap.
 LONG = 64
 _NONE = 1 << 40
@@ -219,7 +221,7 @@ def chunk_counts(docs: DataFrame, text: str = "text", max_bytes: int = 32, held:
         if sums:
             yield pa.RecordBatch.from_pydict({"chunk": list(sums), "n": list(sums.values())})
 
-    counted = docs.select(text).mapInArrow(count, "chunk string, n long")
+    counted = docs.select(text).mapInArrow(trimmed(count), "chunk string, n long")
     return counted.where("chunk <> ''").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
@@ -242,13 +244,13 @@ def fit(docs: DataFrame, tokenizer: str, text: str = "text", max_words: int = 12
 
 
 def encode(
-    docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: str = "text", ids: bool = True
+    docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: str = "text", ids: bool = True, keep_text: bool = True
 ) -> DataFrame:
     """``docs`` plus ``n_tokens``, ``ids`` (if asked for), ``ids_sha256`` and ``decoded_sha256``.
 
     Ids equal those of the tokenizers library for the same file without special tokens added; a special token's string in a
     text becomes its id.  ``decoded_sha256`` is of the text that the ids decode to.  A NULL or empty text has no ids and
-    decodes to the empty text.  Repeated rows are encoded each; other columns are kept, unless one has the name of a result
+    decodes to the empty text.  Repeated rows are encoded each; the text is dropped without ``keep_text``; other columns are kept, unless one has the name of a result
     column, which replaces it.  An empty table gives an empty result.
     """
     name = lexicon or fit(docs, tokenizer, text)
@@ -260,24 +262,26 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, merges, tokens = _lexicon(name), merger(tokenizer), _token_bytes(tokenizer)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 flat, bounds = chunks.encode(texts_of(part), lambda w: lookup(w, automaton, merges))
                 decoded = decode(flat, bounds, tokens)
                 raw = flat.astype("<u4").tobytes()
                 at = (bounds * 4).tolist()
                 out = {"row": part.column("row")} if kept else {}
-                out |= {"text": part.column("text"), "n_tokens": pa.array(np.diff(bounds))}
+                if keep_text:
+                    out["text"] = part.column("text")
+                out["n_tokens"] = pa.array(np.diff(bounds))
                 if ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 out["ids_sha256"] = pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
                 out["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+        merges.known.clear()  # the worker may go on to other work
 
-    # the text leaves the worker again only where it is wanted: the caller prunes it by dropping the column
-    schema = (f"row {packed.schema['row'].dataType.simpleString()}, " if kept else "") + "text string, n_tokens long, "
+    schema = (f"row {packed.schema['row'].dataType.simpleString()}, " if kept else "") + ("text string, " if keep_text else "") + "n_tokens long, "
     schema += ("ids array<int>, " if ids else "") + "ids_sha256 string, decoded_sha256 string"
-    result = packed.mapInArrow(run, schema)
-    return result.select(*([F.col("row")[c].alias(c) for c in kept]), F.col("text").alias(text), *made)
+    result = packed.mapInArrow(trimmed(run), schema)
+    return result.select(*([F.col("row")[c].alias(c) for c in kept]), *([F.col("text").alias(text)] if keep_text else []), *made)
 
 
 def decode(ids: np.ndarray, bounds: np.ndarray, tokens: pa.Array) -> list[bytes]:

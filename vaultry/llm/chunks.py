@@ -26,11 +26,12 @@ class Known:
     """Ids of the pieces met so far.  Beyond ``limit`` all are forgotten before new ones come: a bound on memory only."""
 
     def __init__(self, limit: int):
-        self.limit, self.at, self.size = limit, {}, 0
-        self.ids, self.starts = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.limit = limit
+        self.clear()
 
     def clear(self) -> None:
         self.at, self.size = {}, 0
+        self.ids, self.starts = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
     def add(self, pieces: list[str], ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))

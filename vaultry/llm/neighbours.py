@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_sample, stored
+from .shared import bounded_sample, stored, trimmed
 
 #: Angles closer than this to a bound are decided by comparing vectors.
 SLACK = 1e-7
@@ -96,7 +96,7 @@ def balls(nodes: DataFrame, settings: Settings) -> DataFrame:
                     })
 
     floats = nodes.select("node", F.col("u").cast("array<float>").alias("f"))
-    keys = stored(floats.mapInArrow(run, "node long, bucket long, dim long"), "nn-buckets")
+    keys = stored(floats.mapInArrow(trimmed(run), "node long, bucket long, dim long"), "nn-buckets")
     first = keys.groupBy("dim", "bucket").agg(F.min("node").alias("leader"))
     offers = keys.join(first, ["dim", "bucket"]).where("node > leader").select("node", "leader").distinct()
     own, other = nodes.select("node", "u"), nodes.select(F.col("node").alias("leader"), F.col("u").alias("lu"))
@@ -158,9 +158,9 @@ def _start(centres: DataFrame, settings: Settings) -> DataFrame:
                             "gap": pa.array(np.take_along_axis(gap, best, axis=1).ravel().astype(np.float64)),
                         })
 
-    dealt = centres.select("c", "f", "r").mapInArrow(keyed, "place long, c long, f array<float>, r double")
+    dealt = centres.select("c", "f", "r").mapInArrow(trimmed(keyed), "place long, c long, f array<float>, r double")
     placed = dealt.repartitionByRange("place", "c").sortWithinPartitions("place", "c")
-    found = placed.mapInArrow(near, "c long, d long, gap double")
+    found = placed.mapInArrow(trimmed(near), "c long, d long, gap double")
     return stored(_best(found, None, settings.neighbours), "nn-start")
 
 
@@ -209,7 +209,7 @@ def _improved(lists: DataFrame, centres: DataFrame, sizes: DataFrame | None, set
                 c, d, gap = map(np.concatenate, out)
                 yield pa.RecordBatch.from_pydict({"c": pa.array(c), "d": pa.array(d), "gap": pa.array(gap.astype(np.float64))})
 
-    found = groups.mapInArrow(run, "c long, d long, gap double")
+    found = groups.mapInArrow(trimmed(run), "c long, d long, gap double")
     return stored(_best(lists.unionByName(found), sizes, k), "nn-lists")
 
 
@@ -228,7 +228,7 @@ def recall(lists: DataFrame, centres: DataFrame, settings: Settings) -> float:
                         hit = (gap <= settings.angle) & (ids[rows] != c)
                         yield pa.RecordBatch.from_pydict({"c": pa.array(np.full(hit.sum(), c)), "d": pa.array(ids[rows][hit])})
 
-    true = centres.select("c", "f", "r").mapInArrow(run, "c long, d long")
+    true = centres.select("c", "f", "r").mapInArrow(trimmed(run), "c long, d long")
     both = lists.select("c", "d").unionByName(lists.select(F.col("d").alias("c"), F.col("c").alias("d"))).distinct().withColumn("found", F.lit(1))
     n, found = true.join(both, ["c", "d"], "left").agg(F.count(F.lit(1)), F.count("found")).first()
     return found / n if n else 1.0

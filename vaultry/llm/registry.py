@@ -139,5 +139,5 @@ def backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe_transducer")
 def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
-    coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=False)
+    coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=False, keep_text=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain_offsets, text_slices, texts_of, words_of
+from .shared import plain_offsets, text_slices, texts_of, trimmed, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps")
 WINDOW = 5
@@ -126,19 +126,21 @@ def ledger(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     fails ``few_words``.  Equal rows give equal rows.  Columns that are not carried are not read; a carried one may
     have any name that is no measure.  An empty table gives an empty ledger.
     """
-    packed = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text"))
+    others = [c for c in carry if c != text]
+    packed = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text).alias("text"))
+    whole = len(others) < len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = measured(texts_of(part))
-                yield pa.RecordBatch.from_pydict(
-                    {"row": part.column("row")} | {k: pa.array(found[k].astype(np.int64)) for k in MEASURES}
-                )
+                kept = {c: part.column(c) for c in (("row", "text") if whole else ("row",))}
+                yield pa.RecordBatch.from_pydict(kept | {k: pa.array(found[k].astype(np.int64)) for k in MEASURES})
 
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
-    out = packed.mapInArrow(run, schema)
-    return out.select(*[F.col("row")[c].alias(c) for c in carry], *MEASURES).withColumn("failed_bits", failure_bits())
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, " + "text string, " * whole + ", ".join(f"{m} long" for m in MEASURES)
+    out = packed.mapInArrow(trimmed(run), schema)
+    columns = [(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in carry]
+    return out.select(*columns, *MEASURES).withColumn("failed_bits", failure_bits())
 
 
 def verdicts(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:

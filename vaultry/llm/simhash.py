@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, text_slices
+from .shared import stored, text_slices, trimmed
 
 SEED = 42
 #: Bits by which linked fingerprints may differ.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                     "fp": pa.array([fingerprint(t) for t in part.column("text").to_pylist()], pa.int64()),
                 })
 
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chunks
-from .shared import text_slices, texts_of, work_folder
+from .shared import text_slices, texts_of, trimmed, work_folder
 
 #: Pieces whose ids a worker keeps; a bound on memory only.
 KNOWN_PIECES = 1_000_000
@@ -87,7 +87,7 @@ def write(
                 at += int(ends[-1])
 
     rows = ranged.sortWithinPartitions("doc_id").mapInArrow(
-        run, "doc_id long, file_start long, n_tokens long, ids array<int>"
+        trimmed(run), "doc_id long, file_start long, n_tokens long, ids array<int>"
     )
     out = TokenFiles(f"{folder}/data", f"{folder}/manifest")
     (
@@ -136,4 +136,4 @@ def checksums(rows: DataFrame) -> DataFrame:
                 "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64()),
             })
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, crc_mod5, highest, stored, text_slices, texts_of, words_of
+from .shared import bounded_sample, crc_mod5, highest, stored, text_slices, texts_of, trimmed, words_of
 
 #: Groups of terms that may be swapped for one another.
 IDENTITY_GROUPS = (
@@ -95,7 +95,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                     {"word": coded.dictionary, "n_toxic": pa.array(n[0]), "n_clean": pa.array(n[1])}
                 )
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "word string, n_toxic long, n_clean long")
+    counted = rows.select("text", "toxic").mapInArrow(trimmed(run), "word string, n_toxic long, n_clean long")
     return counted.where("word <> ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
@@ -132,7 +132,7 @@ def _swaps(rows: DataFrame) -> list[tuple[str, str, int]]:
                 "n": pa.array(list(pairs.values()), pa.int64()),
             })
 
-    found = rows.select("text").mapInArrow(run, "term string, other string, n long").groupBy("term", "other").agg(F.sum("n").alias("n"))
+    found = rows.select("text").mapInArrow(trimmed(run), "term string, other string, n long").groupBy("term", "other").agg(F.sum("n").alias("n"))
     return [(r.term, r.other, r.n) for r in found.orderBy("term", "other").collect()]  # no more rows than pairs of terms
 
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, features array<int>"
     # at most max_train rows of max_features small numbers
-    sparse = rows.mapInArrow(run, schema).orderBy("doc_id").select("toxic", "features").toArrow()
+    sparse = rows.mapInArrow(trimmed(run), schema).orderBy("doc_id").select("toxic", "features").toArrow()
     lists = sparse.column("features").combine_chunks()
     lengths = np.asarray(pc.list_value_length(lists), np.int64)
     at = {w: i for i, w in enumerate(words)}
@@ -228,4 +228,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     narrow = docs.select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(trimmed(run), f"doc_id {kind}, held_out boolean, score double, predicted int")

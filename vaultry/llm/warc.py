@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, bounded_sample, stored, text_slices, work_folder
+from .shared import SLICE_BYTES, bounded_sample, stored, text_slices, trimmed, work_folder
 
 #: Frame magic of dictionaries and of Zstandard frames, and the profile of revisits by equal payload.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -135,7 +135,7 @@ def write(
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "n_records": [records], "n_bytes": [size]})
 
     rows = decided(pages, html, key, url).select(*_COLUMNS)
-    return stored(rows.mapInArrow(run, "archive string, n_records long, n_bytes long"), "warc-manifest")
+    return stored(rows.mapInArrow(trimmed(run), "archive string, n_records long, n_bytes long"), "warc-manifest")
 
 
 class _Archive:
@@ -224,7 +224,7 @@ def read(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     return manifest.select("archive").repartition(n, "archive").mapInArrow(
-        run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        trimmed(run), "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
 
