@@ -239,6 +239,30 @@ def test_language_model_odd_rows(odd):
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
 
 
+def test_language_model_keeps_rare_grams(spark):
+    """What occurs a few times is in the model however long the corpus is, and the shards say what one automaton says."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 30)) for _ in range(60)] + ["alpha beta gamma delta"] * 5
+    texts = ["filler " * 700_000, *texts]  # document 0 is in the training fold
+    docs = documents(spark, texts)
+    coded = lm.blocks(docs, block_bytes=2000)
+    back, unigrams = lm._counted(coded, lm.Settings())
+    automaton = lm.fit(lm._ready(coded, back, unigrams), unigrams, lm.Settings())
+    number = {w: i for i, w in enumerate(unigrams.frequent)}
+    assert unigrams.tokens * 1e-5 > 5
+    shards, lm.SHARD_ENTRIES = lm.SHARD_ENTRIES, 1 << 15
+    try:
+        got = {r.doc_id: r for r in lm.scored(docs).collect()}
+    finally:
+        lm.SHARD_ENTRIES = shards
+    for i, text in enumerate(texts):
+        found = [number.get(w, -1) for w in [*text.split(), "\n"]]
+        singles = [automaton.single[w] if w >= 0 else float(unigrams.log10(1)) for w in found]
+        if all(w >= 0 for w in found):
+            assert got[i].score == pytest.approx(automaton.traverse(found, singles))
+    assert got[len(texts) - 1].score > got[len(texts) - 1].base_score + 10
+
+
 # mixing
 
 

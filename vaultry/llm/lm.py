@@ -1,26 +1,30 @@
 """Language-model scores by a weighted backoff automaton.
 
-The tokens of all training documents are counted.  Frequent n-grams become states, their continuations weighted arcs, and a failure
-arc leads from every state to the one of its longest shorter suffix, at the price of the backoff weight.  A text is scored by one
-traversal from left to right that carries the state.
-
-Documents are coded in blocks of some megabytes: a block has its own list of words and the texts as numbers.  Only the words of
-a block, with their counts, are exchanged with the other blocks, so the volume follows the different words of blocks, not the
-tokens, and a word that every document has is one row for each block.
+The tokens of all training documents are counted.  N-grams that occur twice become states, their continuations weighted arcs, and a
+failure arc leads from every state to the one of its longest shorter suffix, at the price of the backoff weight.  The state before a
+word is the longest kept suffix of what precedes it, so two words before it name it: states and arcs lie in shards by the hash of
+their words, grow with the corpus, and no process holds all of them.
+
+Documents are coded in blocks of some megabytes: a block has its own list of words and the texts as numbers.  Only the words and
+n-grams of a block, with their counts, are exchanged with the other blocks, so the volume follows what is different in blocks, not the
+tokens, and a word or n-gram that every document has is one entry for each block.  Words and n-grams go by hashes of 64 bits: among ``n``
+different ones about ``n * n / 2**65`` pairs share a hash and are counted together.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod5, stored, text_slices, texts_of, trimmed, words_of
@@ -28,19 +32,21 @@ from .shared import crc_mod5, stored, text_slices, texts_of, trimmed, words_of
 #: Stands for the end of a text; no word has a line feed.
 END = "\n"
 BLOCK_BYTES = 8 << 20
+#: About as many n-grams of all blocks meet in a shard.
+SHARD_ENTRIES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Shares of the training tokens, so the model is built alike at every size.
+    """Words that can be contexts and n-grams are kept from ``least_count`` training occurrences on, at every size.
 
-    ``word_share`` and ``gram_share`` bound the automaton: at most their reciprocals of words that can be contexts, and of
-    arcs for each order.  An n-gram that occurs once is never kept.
+    ``word_share`` and ``gram_share`` raise that to a share of the training tokens, for models of bounded size.
     """
 
     order: int = 3
-    word_share: float = 1e-5
-    gram_share: float = 5e-6
+    least_count: int = 2
+    word_share: float = 0.0
+    gram_share: float = 0.0
     discount: float = 0.75
 
 
@@ -48,18 +54,29 @@ def _packed(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 
 
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _least(settings: Settings, share: float, tokens: int) -> int:
+    return max(settings.least_count, math.ceil(share * tokens))
+
+
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, words: bool = True) -> DataFrame:
     """One row for each block: the documents' ids, folds and lengths, their tokens as numbers, and the block's words.
 
-    ``counts`` has the training occurrences of every word of the block.  The rows are stored, so blocks keep their numbers.
+    ``counts`` has the training occurrences of every word of the block; the words themselves, which only :func:`fit` needs, can be left
+    out, their hashes stay.  The rows are stored, so blocks keep their numbers.
     """
     narrow = docs.select(F.col(key).alias("doc_id"), (crc_mod5(key) == 1).alias("held_out"), F.col(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
+    keep_words = words
+
     def close(parts: list, number: int) -> pa.RecordBatch:
         words = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
         lengths = np.concatenate([p[1] for p in parts])
@@ -77,7 +94,8 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_pydict({
             "block": pa.array([number]), "ids": one(ids), "held": one(held), "lengths": one(pa.array(lengths + 1)),
-            "codes": pa.array([_packed(codes)], pa.binary()), "words": one(vocabulary), "counts": one(pa.array(counts)),
+            "codes": pa.array([_packed(codes)], pa.binary()), "words": one(vocabulary if keep_words else vocabulary[:0]), "counts": one(pa.array(counts)),
+            "hashes": pa.array([_packed(_hashed(vocabulary.to_pylist()))], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,98 +113,282 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes
             yield close(parts, number)
 
     schema = (
-        f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, codes binary, words array<string>, counts array<long>"
+        f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, codes binary, words array<string>, counts array<long>, hashes binary"
     )
     return stored(narrow.mapInArrow(trimmed(run), schema), "lm-blocks")
 
 
+def _log10(count, tokens: int, different: int):
+    return np.log10((count + 0.5) / (tokens + 0.5 * (different + 1)))
+
+
 @dataclass(frozen=True)
 class Unigrams:
+    """``tokens`` of training, ``whole`` with all others; ``least`` occurrences make a word a context.  The words themselves stay in ``known`` until they are asked for."""
+
     tokens: int
     different: int
-    frequent: list[str]
-    hashes: list[int]
-    counts: list[int]
+    least: int
+    whole: int
+    known: DataFrame = field(compare=False, repr=False)
+
+    @cached_property
+    def _rows(self) -> list:
+        return self.known.orderBy(F.desc("c"), "word").collect()
+
+    @property
+    def frequent(self) -> list[str]:
+        return [r.word for r in self._rows]
+
+    @property
+    def counts(self) -> list[int]:
+        return [r.c for r in self._rows]
 
     def log10(self, count):
-        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.different + 1)))
+        return _log10(count, self.tokens, self.different)
+
+
+def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the block in row ``i``, in order, and their places in its list."""
+    hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
 
 
 def _counted(coded: DataFrame, settings: Settings) -> tuple[DataFrame, Unigrams]:
-    """Global counts of every block's words, the corpus's totals and its frequent words.
+    """``block, global``: global counts of every block's words in the order of their hashes; and the corpus's totals."""
+    size = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+    tokens, whole = (x or 0 for x in coded.select(size("counts"), size("lengths")).first())
+    least = _least(settings, settings.word_share, tokens)
 
-    ``block, counts, known``: the counts in the order of the block's words, and place and hash of those that are frequent.
-    """
-    tokens = coded.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    least = max(2, math.ceil(settings.word_share * tokens))
-    rows = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry"))
-    # a word has one row for each block at most
-    same = Window.partitionBy("word")
-    rows = rows.select("block", "at", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
-    whole = rows.select("block", "at", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
-    frequent = F.col("c") >= least
-    table = stored(
-        whole.select(
-            "block", "at", "c", (F.col("first") & (F.col("c") > 0)).alias("first"),
-            F.when(frequent, F.xxhash64("word")).alias("hash"), F.when(F.col("first") & frequent, F.col("word")).alias("word"),
-        ), "lm-counts"
-    )
-    different = table.where("first").count()
-    # at most 1 / word_share words; in n-grams a word of equal hash would stand for the first one
-    top = table.where("word IS NOT NULL").groupBy("hash").agg(F.min(F.struct("word", "c")).alias("w")).select("w.*", "hash")
-    rows = top.orderBy(F.desc("c"), "word").collect()
-    back = table.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("at", "c"))).alias("counts"),
-        F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("at", "hash"))).alias("known"),
-    )
-    back = back.select("block", F.col("counts.c").alias("counts"), F.col("known.at").alias("at"), F.col("known.hash").alias("hash"))
-    return back, Unigrams(tokens, different, [r.word for r in rows], [r.hash for r in rows], [r.c for r in rows])
+    def emit(batch: pa.RecordBatch, i: int):
+        keys, order = _words(batch, i)
+        return keys, np.asarray(batch.column("counts")[i].values, np.float64)[order][None]
+
+    back, different = _exchanged(coded.select("block", "hashes", "counts"), emit, lambda sums: sums[0], 1 + whole // SHARD_ENTRIES, "global")
+    rows = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).groupBy(F.col("e.words").alias("word"))
+    known = rows.agg(F.sum("e.counts").alias("c")).where(F.col("c") >= least)
+    return back, Unigrams(tokens, different, least, whole, known)
 
 
 def _ready(coded: DataFrame, back: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Blocks whose words have given way to their global counts and numbers among the frequent words (-1: none)."""
-    order = np.argsort(np.asarray(unigrams.hashes, np.int64))
-    hashes = np.asarray(unigrams.hashes, np.int64)[order]
+    """Blocks whose words have given way to their hashes and global counts."""
     kind = coded.schema["ids"].dataType.simpleString()
 
+    least = unigrams.least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                counts, at, found = (np.asarray(row.column(c).flatten(), np.int64) for c in ("counts", "at", "hash"))
-                numbers = np.full(len(counts), -1, np.int32)
-                numbers[at] = order[np.searchsorted(hashes, found)] if len(hashes) else -1
+                hashes, order = _words(row, 0)
+                counts = np.empty(len(order), np.int64)
+                counts[order] = _returned(row, 0, "global")[0]
+                plain = np.empty(len(order), np.uint64)
+                plain[order] = hashes
+                plain[counts < least] = 0  # such words are in no n-gram
                 yield pa.RecordBatch.from_pydict({
                     **{c: row.column(c) for c in ("block", "ids", "held", "lengths", "codes")},
-                    "numbers": pa.array([_packed(numbers)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
+                    "hashes": pa.array([_packed(plain)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
                 })
 
     joined = coded.drop("counts", "words").join(back, "block")
-    schema = f"block long, ids {kind}, held array<boolean>, lengths array<long>, codes binary, numbers binary, counts binary"
+    schema = f"block long, ids {kind}, held array<boolean>, lengths array<long>, codes binary, hashes binary, counts binary"
     return stored(joined.mapInArrow(trimmed(run), schema), "lm-ready")
 
 
-def _tokens(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent-word numbers, codes and text bounds of the block in row ``i``."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the numbers of 64 bits without visible order."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _joint(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(context + np.uint64(0x9E3779B97F4A7C15)) + word)
+
+
+class _Grams:
+    """Pairs and triples of kept words in the block of row ``i``.
+
+    ``at`` are the places where one ends, ``keys`` the different ones in order, ``of`` the number of the key by place, and ``example``
+    a place of every key.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, i: int, least: int):
+        codes = _unpacked(batch.column("codes")[i].as_py(), np.int32)
+        self.known = _unpacked(batch.column("counts")[i].as_py(), np.int64)[codes]
+        self.hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)[codes]
+        self.lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.training = np.repeat(~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool), self.lengths)
+        self.inside = np.ones(len(codes), bool)
+        self.inside[self.starts] = False
+        kept = self.known >= least
+        self.after = np.flatnonzero(self.inside & np.roll(kept, 1))  # a kept word precedes
+        self.at = self.after[kept[self.after]]
+        self._number(_joint(self.hashes[self.at - 1], self.hashes[self.at]))
+
+    def _number(self, keys: np.ndarray) -> None:
+        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        self.example = self.at[first]
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.of, self.training[self.at], len(self.keys))
+
+    def lengthen(self, counts: np.ndarray) -> None:
+        """From pairs, with the counts of all (0: not kept), to triples.  ``n2`` and ``pair``: count and key of the pair that ends at a place."""
+        self.n2, self.pair = np.zeros(len(self.known)), np.zeros(len(self.known), np.uint64)
+        self.n2[self.at], self.pair[self.at] = counts[self.of], self.keys[self.of]
+        self.paired = np.flatnonzero(self.inside & np.roll(self.n2 > 0, 1))  # a kept pair precedes
+        self.at = self.paired[self.n2[self.paired] > 0]
+        self._number(_joint(self.pair[self.at - 1], self.hashes[self.at]))
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the words and pairs that precede a word, and their numbers at ``after`` and ``paired``."""
+        keys, of = np.unique(np.concatenate((self.hashes[self.after - 1], self.pair[self.paired - 1])), return_inverse=True)
+        return keys, of[: len(self.after)], of[len(self.after) :]
+
+
+def _returned(batch: pa.RecordBatch, i: int, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the shards say to the keys of the block in row ``i``, and whether the block is the first that has the key."""
+    rows = batch.column(column)[i].as_py() or []
+    values, first = ([_unpacked(r[c], kind) for r in rows] for c, kind in (("value", np.float64), ("first", np.bool_)))
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (values, first))
+
+
+def _exchanged(
+    frame: DataFrame, emit: Callable, finish: Callable, shards: int, name: str,
+) -> tuple[DataFrame, int]:
+    """``block, <name>``: for the keys of every block, what ``finish`` makes of the sums over all blocks; and how many keys are above 0.
+
+    ``emit(batch, i)`` gives the different keys of the block in order, and values to be added, one row for each measure.  Keys go by
+    their size to ``shards``, where the blocks' pieces meet; a block has one entry for a key at most, so shards are alike in size.
+    """
+    width = -(-(1 << 64) // shards)
+    edges = np.asarray([k * width for k in range(1, shards)], np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, values = emit(batch, i)
+                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                pieces = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([batch.column("block")[i].as_py()] * len(pieces), pa.int64()),
+                    "shard": pa.array([k for k, _, _ in pieces], pa.int32()),
+                    "keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in pieces], pa.binary()),
+                    "sums": pa.array([_packed(values[:, a:b]) for _, a, b in pieces], pa.binary()),
+                })
+
+    def meet(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64) for _, _, keys, _ in rows]
+        values = np.concatenate([_unpacked(sums, np.float64).reshape(-1, len(p)) for p, (_, _, _, sums) in zip(parts, rows)], axis=1)
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")  # blocks come in order
+        keys = keys[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        sums = finish(np.add.reduceat(values[:, order], np.flatnonzero(new), axis=1))
+        value, first = np.empty(len(keys)), np.empty(len(keys), bool)
+        value[order], first[order] = sums[np.cumsum(new) - 1], new
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int32()),
+            "value": pa.array([_packed(v) for v in np.split(value, ends)], pa.binary()),
+            "first": pa.array([_packed(v) for v in np.split(first, ends)], pa.binary()),
+            "above": pa.array([int((sums > 0).sum())] + [0] * (len(rows) - 1), pa.int64()),
+        })
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "keys", "sums"))):
+                if rows and rows[0][1] != row[1]:
+                    yield meet(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield meet(rows)
+
+    sent = frame.mapInArrow(trimmed(cut), "block long, shard int, keys binary, sums binary")
+    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    back = stored(dealt.mapInArrow(trimmed(merge), "block long, shard int, value binary, first binary, above long"), f"lm-{name}")
+    above = back.agg(F.sum("above")).first()[0] or 0
+    return back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "value", "first"))).alias(name)), above
+
+
+def _model(ready: DataFrame, unigrams: Unigrams, settings: Settings) -> DataFrame:
+    """``ready`` with ``pairs``, ``triples`` (counts of those that the block has, 0 if not kept) and ``weights`` (backoff, log10)."""
+    tokens, different, known, discount = unigrams.tokens, unigrams.different, unigrams.least, settings.discount
+    least = _least(settings, settings.gram_share, tokens)
+    shards = 1 + unigrams.whole // SHARD_ENTRIES
+
+    def pairs(batch: pa.RecordBatch, i: int):
+        grams = _Grams(batch, i, known)
+        return grams.keys, grams.counts()[None]
+
+    def triples(batch: pa.RecordBatch, i: int):
+        grams = _Grams(batch, i, known)
+        grams.lengthen(_returned(batch, i, "pairs")[0])
+        return grams.keys, grams.counts()[None]
+
+    def weights(batch: pa.RecordBatch, i: int):
+        """The shares that the arcs of a context take, and those of the same words one order below; each arc in one block."""
+        grams = _Grams(batch, i, known)
+        counts, own = _returned(batch, i, "pairs")
+        mine = np.flatnonzero((counts > 0) & (own > 0))
+        at = grams.example[mine]
+        of = [grams.hashes[at - 1]]
+        taken, below = [(counts[mine] - discount) / grams.known[at - 1]], [10 ** _log10(grams.known[at], tokens, different)]
+        grams.lengthen(counts)
+        counts, own = _returned(batch, i, "triples")
+        mine = np.flatnonzero((counts > 0) & (own > 0))
+        at = grams.example[mine]
+        of.append(grams.pair[at - 1])
+        taken.append((counts[mine] - discount) / grams.n2[at - 1])
+        below.append((grams.n2[at] - discount) / grams.known[at - 1])
+        keys, _, _ = grams.contexts()
+        place = np.searchsorted(keys, np.concatenate(of))
+        return keys, np.stack([np.bincount(place, np.concatenate(x), len(keys)) for x in (taken, below)])
+
+    def often(order: int) -> Callable:
+        return lambda sums: np.where((sums[0] >= least) & (settings.order >= order), sums[0], 0.0)
+
+    def weighed(sums: np.ndarray) -> np.ndarray:
+        return np.where(sums[0] > 0, np.log10(np.maximum(1 - sums[0], 1e-12) / np.maximum(1 - sums[1], 1e-12)), 0.0)
+
+    steps = (("pairs", pairs, often(2)), ("triples", triples, often(3)), ("weights", weights, weighed))
+    for name, emit, finish in steps:
+        ready = ready.join(_exchanged(ready, emit, finish, shards, name)[0], "block", "left")
+    return ready
+
+
+def _tokens(batch: pa.RecordBatch, i: int, unigrams_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent-word numbers and text bounds of the block in row ``i``."""
     codes = _unpacked(batch.column("codes")[i].as_py(), np.int32)
-    numbers = _unpacked(batch.column("numbers")[i].as_py(), np.int32)
+    hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)
+    order = np.argsort(unigrams_hashes)
+    ordered = unigrams_hashes[order]
+    at = np.minimum(np.searchsorted(ordered, hashes), len(order) - 1)
+    numbers = np.where(ordered[at] == hashes, order[at], -1) if len(order) else np.full(len(hashes), -1)
     lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
-    return numbers[codes].astype(np.int64), codes, np.concatenate(([0], np.cumsum(lengths)))
+    return numbers[codes].astype(np.int64), np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _grams(ready: DataFrame, contexts: dict[int, int], order: int, least: int, width: int) -> dict[int, int]:
+def _grams(ready: DataFrame, contexts: dict[int, int], order: int, least: int, hashes: np.ndarray) -> dict[int, int]:
     """Counts of the n-grams of ``order`` with at least ``least`` training occurrences, by ``context id * width + word``.
 
     A context is a kept n-gram of one order less; every suffix of a kept n-gram is at least as frequent, so nothing is lost
     by looking at continuations of kept contexts alone.
     """
+    width = len(hashes) + 1
     keys = np.asarray(sorted(contexts), np.int64)
     ids = np.asarray([contexts[k] for k in keys.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                numbers, _, bounds = _tokens(batch, i)
+                numbers, bounds = _tokens(batch, i, hashes)
                 training = ~np.asarray(batch.column("held")[i].values.to_numpy(zero_copy_only=False))
                 text = np.repeat(np.where(training, np.arange(len(training)), -1), np.diff(bounds))
                 if order == 2:
@@ -206,7 +408,7 @@ def _grams(ready: DataFrame, contexts: dict[int, int], order: int, least: int, w
 
 
 class Automaton:
-    """States are contexts: 0 is empty, ``1 + w`` is the frequent word ``w``, the rest are kept pairs.
+    """The model in one process.  States are contexts: 0 is empty, ``1 + w`` is the frequent word ``w``, the rest are kept pairs.
 
     ``arcs`` leads from ``state * width + word`` to the log probability and the next state; ``fails`` and ``backoff`` have the
     failure arc of every state.
@@ -284,15 +486,16 @@ class Automaton:
 
 
 def fit(ready: DataFrame, unigrams: Unigrams, settings: Settings) -> Automaton:
-    """The automaton over the training documents of ``ready``."""
+    """The model of :func:`scored` as one automaton, for corpora whose states fit into this process: the tests hold one against the other."""
     width = len(unigrams.frequent) + 1
     automaton = Automaton(unigrams, width)
-    least = max(2, math.ceil(settings.gram_share * unigrams.tokens))
+    least = _least(settings, settings.gram_share, unigrams.tokens)
+    hashes = _hashed(unigrams.frequent)
     state_of = {w: 1 + w for w in range(len(unigrams.frequent))}
     counts = dict(enumerate(unigrams.counts))
     contexts: dict[int, int] = {}
     for order in range(2, min(settings.order, 3) + 1):
-        grams = _grams(ready, contexts, order, least, width)
+        grams = _grams(ready, contexts, order, least, hashes)
         automaton.add_order(grams, state_of, counts, settings.discount)
         if order == 2:
             contexts = {g: i for i, g in enumerate(sorted(grams))}
@@ -311,33 +514,36 @@ def scored(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
     count and are scored each; a NULL key counts as empty text for the fold.  Other columns are not read.  Without training
     documents all counts are 0.  An empty table gives an empty result.
     """
-    coded = blocks(docs, text, key)
+    coded = blocks(docs, text, key, words=False)
     back, unigrams = _counted(coded, settings)
     ready = _ready(coded, back, unigrams)
-    automaton = fit(ready, unigrams, settings)
     kind = docs.schema[key].dataType.simpleString()
-    train_tokens = unigrams.tokens
+    tokens, different, least, discount = unigrams.tokens, unigrams.different, unigrams.least, settings.discount
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                numbers, codes, bounds = _tokens(batch, i)
-                known = _unpacked(batch.column("counts")[i].as_py(), np.int64)
-                weights = unigrams.log10(known.astype(float))
-                single = weights[codes]
-                starts = bounds[:-1]
-                n = len(starts)
-                scores = []
-                for a, b in zip(starts.tolist(), bounds[1:].tolist()):
-                    scores.append(automaton.traverse(numbers[a:b].tolist(), single[a:b].tolist()))
+                grams = _Grams(batch, i, least)
+                single = _log10(grams.known.astype(float), tokens, different)
+                score = single.copy()
+                grams.lengthen(_returned(batch, i, "pairs")[0])
+                _, word_of, pair_of = grams.contexts()
+                backoff, _ = _returned(batch, i, "weights")
+                score[grams.after] += backoff[word_of]
+                arc = np.flatnonzero(grams.n2)
+                score[arc] = np.log10((grams.n2[arc] - discount) / grams.known[arc - 1])
+                score[grams.paired] += backoff[pair_of]
+                n = _returned(batch, i, "triples")[0][grams.of]
+                arc = grams.at[n > 0]
+                score[arc] = np.log10((n[n > 0] - discount) / grams.n2[arc - 1])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("ids")[i].values, "held_out": batch.column("held")[i].values,
-                    "n_tokens": pa.array(np.diff(bounds)),
-                    "n_known": pa.array(np.add.reduceat((known > 0)[codes].astype(np.int64), starts)),
-                    "train_tokens": pa.array(np.full(n, train_tokens)),
-                    "base_score": pa.array(np.add.reduceat(single, starts)), "score": pa.array(scores, pa.float64()),
+                    "n_tokens": pa.array(grams.lengths),
+                    "n_known": pa.array(np.add.reduceat((grams.known > 0).astype(np.int64), grams.starts)),
+                    "train_tokens": pa.array(np.full(len(grams.starts), tokens)),
+                    "base_score": pa.array(np.add.reduceat(single, grams.starts)), "score": pa.array(np.add.reduceat(score, grams.starts)),
                 })
 
-    return ready.mapInArrow(
+    return _model(ready, unigrams, settings).mapInArrow(
         trimmed(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
