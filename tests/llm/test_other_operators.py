@@ -107,6 +107,21 @@ def test_neighbours(spark):
     assert all(got[k] == expected[k] for k in tight)
 
 
+def test_neighbours_beyond_full_lists(spark):
+    """Leaders whose lists are still full when these stop growing have all their links."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(48)
+    centre /= np.linalg.norm(centre)
+    rows = []
+    for i in range(150):  # all pairs at cosines of about 0.94: every vector leads itself
+        v = rng.standard_normal(48)
+        v -= (v @ centre) * centre
+        rows.append((i, [float(np.float32(x)) for x in centre + 0.25 * v / np.linalg.norm(v)], 0))
+    settings = neighbours.Settings(neighbours=4, most_rounds=2, query_rows=40)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS), settings).collect()}
+    assert got == brute(rows)
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 0), (None, None, None), (2, [0.0, 1.0], 0)]
     got = sorted(map(tuple, neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=str)

@@ -3,7 +3,8 @@
 Equal vectors are one node.  Nodes within half the threshold's angle of a leader form its ball: all of them are links of one
 another by the triangle inequality, so a group of copies of any size costs one entry in the graph.  A neighbour graph over the
 leaders starts from random projections and is refined by joins of neighbours of neighbours.  Full lists are enlarged, recall is
-audited against brute force for a sample, and the pairs within the threshold are verified vector by vector.
+audited against brute force for a sample, and the pairs within the threshold are verified vector by vector.  Leaders whose lists are
+still full after ``most_rounds`` are compared with all leaders.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_sample, stored, trimmed
+from .shared import bounded_sample, stored, trimmed, work_folder
 
 #: Angles closer than this to a bound are decided by comparing vectors.
 SLACK = 1e-7
@@ -33,6 +34,8 @@ class Settings:
     block_rows: int = 128
     least_rounds: int = 2
     most_rounds: int = 8
+    last_rounds: int = 24
+    query_rows: int = 4096
     audit_rows: int = 256
     least_recall: float = 0.99
     seed: int = 11
@@ -234,26 +237,74 @@ def recall(lists: DataFrame, centres: DataFrame, settings: Settings) -> float:
     return found / n if n else 1.0
 
 
+def _exact(asked: DataFrame, centres: DataFrame, settings: Settings, folder: str) -> None:
+    """Adds ``c, d, gap`` of all links of the leaders ``asked`` to ``folder``: one job over all leaders for each ``query_rows`` of them."""
+    leaders = centres.select("c", "f", "r")
+
+    def compare(block: list) -> None:
+        ids, radii = np.asarray([r.c for r in block], np.int64), np.asarray([r.r for r in block])
+        of_dim = {n: [i for i, r in enumerate(block) if len(r.f) == n] for n in {len(r.f) for r in block}}
+        queries = {n: (ids[at], np.asarray([block[i].f for i in at], np.float32), radii[at]) for n, at in of_dim.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                others, radius = np.asarray(batch.column("c")), np.asarray(batch.column("r"))
+                for rows, matrix in _matrices(batch.column("f")):
+                    if matrix.shape[1] not in queries:
+                        continue
+                    own, vectors, r = queries[matrix.shape[1]]
+                    for start in range(0, len(rows), 512):
+                        part = rows[start : start + 512]
+                        gap = np.arccos(np.clip(matrix[start : start + 512] @ vectors.T, -1, 1)) - radius[part][:, None] - r
+                        i, j = np.nonzero((gap <= settings.angle + 1e-3) & (others[part][:, None] != own))
+                        yield pa.RecordBatch.from_pydict({"c": pa.array(own[j]), "d": pa.array(others[part][i]), "gap": pa.array(gap[i, j].astype(np.float64))})
+
+        leaders.mapInArrow(trimmed(run), "c long, d long, gap double").write.mode("append").parquet(folder)
+
+    block = []
+    for row in leaders.join(asked.select("c"), "c", "left_semi").toLocalIterator():
+        block.append(row)
+        if len(block) == settings.query_rows:
+            compare(block)
+            block = []
+    if block:
+        compare(block)
+
+
 def graph(centres: DataFrame, settings: Settings) -> DataFrame:
-    """``c, d, gap``: neighbour lists of all leaders after refinement."""
-    lists, sizes, k, links = _start(centres, settings), None, settings.neighbours, -1
-    for round_ in range(settings.most_rounds):
+    """``c, d, gap``: neighbour lists of all leaders after refinement.
+
+    Raises if lists are not settled, or audited recall is too low, after ``last_rounds``.
+    """
+    spark, folder, done = centres.sparkSession, work_folder(centres.sparkSession, "nn-exact"), None
+    lists, sizes, k, links, found = _start(centres, settings), None, settings.neighbours, -1, None
+    for round_ in range(settings.last_rounds):
         lists = _improved(lists, centres, sizes, settings)
         # lists whose last entry is a link may hide more: they are doubled
         held = lists.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("worst"))
         limit = F.coalesce("k", F.lit(k)) if sizes is not None else F.lit(k)
         held = held.join(sizes, "c", "left") if sizes is not None else held
+        growth = 2 if round_ + 1 < settings.most_rounds else 1
         grown = stored(
             held.select("c", limit.alias("k"), ((F.col("n") >= limit) & (F.col("worst") <= settings.angle)).alias("full"))
-            .select("c", F.when(F.col("full"), F.col("k") * 2).otherwise(F.col("k")).alias("k"), "full"), "nn-sizes"
+            .select("c", F.when(F.col("full"), F.col("k") * growth).otherwise(F.col("k")).alias("k"), "full"), "nn-sizes"
         )
-        n_full = grown.where("full").count()
+        full = grown.where("full") if done is None else grown.where("full").join(done, "c", "left_anti")
+        n_full = full.count()
+        if growth == 1 and n_full:  # lists grow no more
+            _exact(full, centres, settings, folder)
+            done = stored(full.select("c") if done is None else full.select("c").unionByName(done), "nn-exact-leaders")
+            n_full = 0
         sizes = grown.select("c", "k")
-        before, links = links, lists.where(F.col("gap") <= settings.angle).count()
-        settled = links <= before * 1.001 and not n_full
-        if round_ + 1 >= settings.least_rounds and settled and recall(lists, centres, settings) >= settings.least_recall:
-            break
-    return lists
+        open_ = lists if done is None else lists.join(done, "c", "left_anti")
+        before, links = links, open_.where(F.col("gap") <= settings.angle).count()
+        if round_ + 1 < settings.least_rounds or links > before * 1.001 or n_full:
+            continue
+        whole = open_ if done is None else open_.unionByName(spark.read.schema(lists.schema).parquet(folder))
+        found = recall(whole, centres, settings)
+        if found >= settings.least_recall:
+            return whole
+    raise RuntimeError(f"neighbour lists not settled after {settings.last_rounds} rounds; last audited recall: {found}")
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings(), vector: str = "embedding", key: str = "vec_id") -> DataFrame:
