@@ -307,6 +307,23 @@ def test_mix(spark, odd, none):
 # secrets
 
 
+def test_secret_candidates(spark):
+    """A key name in front of '=' is not part of the value; dotted tokens are whole; '=' is padding."""
+    value, jwt = "9f8a7b6c5d4e3f2a1b0c9d8e", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    texts = {f"API_KEY={value}": [value], f"export AWS_SECRET_ACCESS_KEY={value}": [value], f"SECRET_TOKEN_2={value} x": [value],
+             f"see http://a.b/c?token={value}&x=1": [value], f"auth: {jwt} end": [jwt], "pad abcdefgh1234abcd== end": ["abcdefgh1234abcd=="],
+             "abcdefghij1=": ["abcdefghij1="], f"password={value}={value}": [value, value], "key_name_only_2=x": []}
+    words = ["word"]
+    rows = secrets.with_candidates(documents(spark, list(texts)), words).select("text", "_found").collect()
+    for r in rows:
+        assert [c.value for c in r._found] == texts[r.text], r.text
+        if "==" not in r.text and r._found and r.text != "abcdefghij1=":
+            assert r._found[0].key_word == 1
+    found = secrets.with_candidates(documents(spark, list(texts)), words).select("text", F.inline("_found"))
+    labels = {r.text: r.secret for r in secrets.seed_labels(found).where("nth = 1").collect()}
+    assert all(labels[t] == 1 for t in texts if value in t)
+
+
 def test_secrets(spark, odd, none):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     texts = [f'some words token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and more' for i in range(40)]

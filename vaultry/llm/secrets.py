@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_sample, crc_mod5, highest, stored
 
-#: A run of 12 or more characters of keys and hashes, with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,256}[0-9])[A-Za-z0-9+/_=-]{12,}+"
+#: A run of 12 or more characters of keys and hashes, with a digit in it; '=' is padding at its end.  Parts of 12 or more behind dots belong
+#: to it.  What an '=' and a value follow is a name, so the value begins behind it, unless the run is a value itself.
+_RUN = r"(?=[A-Za-z+/_-]{0,256}[0-9])(?=[A-Za-z0-9+/_=-]{12})[A-Za-z0-9+/_-]{10,}+(?:\.[A-Za-z0-9_-]{12,}+)*+(?:=++(?![A-Za-z0-9+/_-]))?+"
+CANDIDATE = rf"(?:(?<==){_RUN}|(?<![A-Za-z0-9+/_=-]){_RUN}(?!=))"
 MASK = "[SECRET]"
 #: Words that name credentials, and words that name other numbers.
-_KEYS = r"(?i)(key|token|secret|passw|pwd|auth|credential|bearer|private)[A-Za-z_]*[\x22'\s]*[:=]?[\x22'\s]*$"
+_KEYS = r"(?i)(key|token|secret|passw|pwd|auth|credential|bearer|private)[A-Za-z0-9_]*[\x22'\s]*[:=]?[\x22'\s]*$"
 _OTHERS = r"(?i)(card|order|invoice|isbn|phone|tel|iban|uuid|checksum|commit|version|build|ticket)[A-Za-z_]*[\x22'\s#.]*[:=]?[\x22'\s]*$"
 
 FEATURES = {
