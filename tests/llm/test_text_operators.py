@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from llm_tables import PROSE, documents
+from llm_tables import PROSE, SCHEMA, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -95,6 +95,15 @@ def classes(fps, bits=2):
     return {f: find(f) for f in fs}
 
 
+def test_survivors_of_shared_keys(spark):
+    """Rows that share a key but not a text stand for their own groups."""
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(3))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, a, "en", "s", 1), (5, c, "en", "s", 1), (5, c, "en", "s", 1)]
+    got = simhash.survivors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, a), (5, b), (5, c)])
+
+
 def test_simhash(spark, odd, none):
     rows = odd.where("text IS NULL OR length(text) < 10000").select("doc_id", "text").collect()
     got = simhash.grouped(odd.where("text IS NULL OR length(text) < 10000")).collect()

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,19 +41,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def _digest(text: str) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, fp`` of every row; NULL and empty texts have fingerprint 0.  Other columns are not read."""
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """``doc_id, digest, fp`` of every row; NULL and empty texts have fingerprint 0.  Other columns are not read."""
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"),
+                    "doc_id": part.column("doc_id"), "digest": part.column("digest"),
                     "fp": pa.array([fingerprint(t) for t in part.column("text").to_pylist()], pa.int64()),
                 })
 
-    return narrow.mapInArrow(trimmed(run), "doc_id long, fp long")
+    return narrow.mapInArrow(trimmed(run), "doc_id long, digest string, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -119,32 +123,39 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     other.  A row with a NULL ``doc_id`` takes part and has its component's id, NULL where the component has no other.  Rows
     that repeat a ``doc_id`` are each fingerprinted.  An empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, text, key), "fingerprints")
+    prints = stored(fingerprints(docs, text, key).drop("digest"), "fingerprints")
+    of = _rooted(prints)
+    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = of.join(least, "root").select("fp", "n_alike", "component_id")
+    return prints.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike"
+    )
+
+
+def _rooted(prints: DataFrame) -> DataFrame:
+    """``fp, rep, n_alike, root`` of every different fingerprint; ``root`` names its group."""
     classes = stored(
         prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_alike")), "classes"
     )
     # a fingerprint is its class's node: it is unique, a doc_id may be repeated or NULL
     nodes = classes.select("fp", F.col("fp").alias("rep"))
     links = components(close_pairs(nodes), "simhash-links")
-    of = classes.join(links, classes["fp"] == links["node"], "left").select(
+    return classes.join(links, classes["fp"] == links["node"], "left").select(
         "fp", "rep", "n_alike", F.coalesce("component", "fp").alias("root")
     )
-    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of.join(least, "root").select("fp", "n_alike", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_alike"
-    )
 
 
 def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of every group of :func:`grouped`, with the columns of ``docs``: the smallest key, of equal keys the least text.
+    """One row of every group of linked fingerprints, with the columns of ``docs``: the smallest key, of equal keys one text by its digest.
 
-    Rows without a key cannot be named by a group; they all stay.
+    Groups are of texts: rows that share a key but no group do not stand for one another.  Rows without a key all stay.
     """
     named = docs.where(F.col(key).isNotNull())
-    kept = grouped(named, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = named.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    # equal keys meet in one task: a key is a document's name, not a class of documents
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_text"))
-    once = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").withColumn("_n", first).where("_n = 1")
+    prints = stored(fingerprints(named, text, key), "fingerprints")
+    of = _rooted(prints.drop("digest")).select("fp", "root")
+    least = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    kept = least.select(F.col("least.doc_id").alias("_key"), F.col("least.digest").alias("_digest"))
+    rows = named.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_key"), _digest(text).alias("_digest"))
+    # a key and a digest have one fingerprint, so one group; their repeated rows are one
+    once = rows.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"])
     return once.select("_row.*").unionByName(docs.where(F.col(key).isNull()))
