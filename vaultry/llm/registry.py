@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, neighbours, rules, secrets, simhash, token_files, toxicity, warc
+from . import bpe, lm, mixing, neighbours, periods, rules, secrets, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -141,3 +141,8 @@ def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), ids=False, keep_text=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op12_block_convolution_runs")
+def block_convolution_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digest(periods.detect(periods.with_planted_periods(documents(spark, folder))))
