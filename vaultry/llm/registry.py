@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lm, mixing, neighbours, periods, rules, secrets, simhash, token_files, toxicity, warc
+from . import bpe, chat_tree, hard_negatives, lm, mixing, neighbours, periods, rules, secrets, simhash, token_files, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -143,6 +144,53 @@ def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+NEGATIVES_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_one_bit_hard_negatives", NEGATIVES_SQL)
+def one_bit_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.with_moved_labels(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 @query("op12_block_convolution_runs")
 def block_convolution_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periods.digest(periods.detect(periods.with_planted_periods(documents(spark, folder))))
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+e AS (
+  SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS head FROM c),
+f AS (
+  SELECT *, length(head) + length(text) + len(regexp_extract_all(head, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')) + 24 AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op13_prefix_tree_chat", CHAT_SQL)
+def prefix_tree_chat(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = chat_tree.with_control_strings(spark.read.parquet(f"{folder}/conversations.parquet"))
+    tree = chat_tree.write(conversations, public_tokenizers.path(TOKENIZER))
+    return chat_tree.digest(chat_tree.read(spark, tree))
