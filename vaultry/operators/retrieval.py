@@ -17,6 +17,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def question_terms(question: str) -> list[str]:
+    """Letters and digits, as in :func:`tokens`; each term once."""
+    return sorted(set(re.findall(r"[^\W_]+", question.lower())))
+
+
 def lexical_index(texts: DataFrame, key: str, content: str) -> DataFrame:
     """Rows (key, doc_length, term, tf); terms are counted by partial aggregation."""
     rows = texts.select(key, tokens(F.col(content)).alias("_tokens"))
@@ -30,7 +35,7 @@ def bm25(texts: DataFrame, key: str, content: str, question: str, k: int = 15) -
 
     Only the question's terms are counted, inside each row; nothing but counts leaves it.
     """
-    terms = sorted(set(re.findall(r"[^\W_]+", question.lower())))  # letters and digits, as in tokens()
+    terms = question_terms(question)
 
     def counts(found: Column) -> Column:
         def occurrences(term: str) -> Column:

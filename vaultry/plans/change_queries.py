@@ -11,7 +11,7 @@ from ..operators import coverage, ledger, relocation, rewrite, stamping
 from ..session import checkpoint_folder
 from ..sinks import reports
 from ..sources import ledger as log_source
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from ..streaming import ingest as stream_ingest_module
 from ..streaming import ledger as stream_ledger
 from ..streaming import sessions as stream_sessions
@@ -27,7 +27,7 @@ from .vault_sql import with_views
 def linked_text(spark, sf):
     """Orders as notes with one link of each spelling."""
     key = s(F.col("o_custkey"))
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"), _cat("Part (", key, ")").alias("target"),
         _cat("a [[Part (", key, ")]] b [[Part (", key, ")|alias]] c [[Part (", key, ") #h]] d\n- [[Part (", key,
              ")]]\n![[Part (", key, ")]] [t](Part (", key, ")#x) [](Part (", key, "))\nend").alias("content"),
@@ -73,7 +73,7 @@ def rewrite_links(spark, sf):
 )
 def rewrite_raw_references(spark, sf):
     p = _cat("raw/n ", s(F.col("o_orderkey")), ".md")
-    notes = spread(table(spark, sf, "orders")).select(
+    notes = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"),
         _cat("---\nsource: `", p, "`\n---\nsee `", p, "` ok\n- ", p, " tail\nSource: ", p, "\n```\n~~~\n- ", p, "\n```\ntext ", p).alias("content"),
     )
@@ -112,7 +112,7 @@ def _sentence_sql() -> str:
 def minimal_stamp(spark, sf):
     """Every mode; the whole stamped text is compared by its digest."""
     key = F.col("doc_id")
-    pages = spread(table(spark, sf, "documents")).select(
+    pages = table(spark, sf, "documents").select(
         key, _cat("wiki/people/d", s(key), ".md").alias("path"),
         _cat("---\na: b\n---\n# Title\n", F.when(key % 3 == 0, "x ^freshness-status\ny ^freshness-status-2\n").otherwise(""),
              F.regexp_replace("text", r"\^", ""), F.when(key % 5 == 0, "\n> [!provenance]\n> schema: kb-prov-v1\n").otherwise("")).alias("content"),
@@ -138,7 +138,7 @@ def minimal_stamp(spark, sf):
 def plain_reference_links(spark, sf):
     """Mentions of one page in whole documents made links."""
     linked = rewrite.plain_references_linked(F.col("text"), F.lit("the"))
-    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("key"), F.md5(linked.cast("binary")).alias("content_md5"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.md5(linked.cast("binary")).alias("content_md5"))
 
 
 @query(

@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         freshness_queries,
+        index_queries,
         ingest_queries,
         link_queries,
         text_queries,

@@ -9,7 +9,7 @@ from ..operators import (
     date_assignment, freshness, mail, mapping, page_checks, retrieval, supersession, topics, transcripts,
 )
 from ..session import checkpointed
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from . import freshness_queries, projection, text_vault
 from .registry import query
 from .text_vault import _cat, s
@@ -38,7 +38,7 @@ def dated_notes(spark, sf):
         .when(case == 7, "fetched: 2022-02-02\n").otherwise("")
     )
     body = F.when(case == 8, _cat("Sent on ", day("yyyy-MM-dd"), " or 1994-01-01 or 2999-01-01.\n")).otherwise("No day.\n")
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         _cat(folder, name, ".md").alias("path"), _cat("---\ndate: 1901-01-01\n", field, "---\n", body).alias("content"),
         "o_orderkey", "o_custkey", "o_orderdate",
     )
@@ -304,7 +304,7 @@ def raw_to_page_mapping(spark, sf):
 
 def mapped_notes(spark, sf):
     key = F.col("o_orderkey")
-    return spread(table(spark, sf, "orders")).select(
+    return table(spark, sf, "orders").select(
         _cat("raw/notes/n", s(key), ".md").alias("path"),
         F.when(key % 4 == 0, _cat("2024-01-02 Mail - Part ", s(F.floor(key / 4)), ".docx")).otherwise("Untitled").alias("title"),
         F.when(key % 3 == 0, "no link").when(key % 3 == 1, _cat("x [[wiki/a/Part ", s(F.col("o_custkey")), ".md#h|y]]"))
@@ -410,7 +410,7 @@ _TERMS = ["and", "la", "of", "und"]
       FROM f JOIN df USING (term) CROSS JOIN st GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, doc_id LIMIT 15""",
 )
 def bm25_topk(spark, sf):
-    return retrieval.bm25(spread(table(spark, sf, "documents")), "doc_id", "text", ", ".join(_TERMS).upper() + "?")
+    return retrieval.bm25(table(spark, sf, "documents"), "doc_id", "text", ", ".join(_TERMS).upper() + "?")
 
 
 @query(
@@ -420,7 +420,7 @@ def bm25_topk(spark, sf):
            SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS toks FROM documents)) GROUP BY ALL""",
 )
 def lexical_index(spark, sf):
-    return retrieval.lexical_index(spread(table(spark, sf, "documents")), "doc_id", "text").withColumn(
+    return retrieval.lexical_index(table(spark, sf, "documents"), "doc_id", "text").withColumn(
         "doc_length", F.col("doc_length").cast("bigint")
     )
 
@@ -604,7 +604,7 @@ def topic_index(spark, sf):
     head = F.when(key % 3 == 0, "---\ntype: x\n---\n").when(key % 3 == 1, _cat("## Title ", s(key), "\n\nFirst one. Second.\n")).otherwise(
         _cat("---\na: b\n---\nlead\n# Title ", s(key), "\n### More\nNo stop here\n")
     )
-    pages = spread(table(spark, sf, "documents")).select(
+    pages = table(spark, sf, "documents").select(
         _cat("wiki/", kind, "/doc ", s(key), ".md").alias("path"),
         _cat(head, F.regexp_replace("text", "#", "")).alias("content"),
     )

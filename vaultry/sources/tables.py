@@ -7,8 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly for work that is heavy per row; adaptive execution chooses the number of partitions."""
-    return df.hint("rebalance")
