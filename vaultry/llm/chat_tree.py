@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -26,10 +27,8 @@ from .shared import plain_offsets, stored, trimmed, work_folder
 #: The marks of the template around a turn, and the role that is learnt.
 START, END, LEARNT = "<|im_start|>", "<|im_end|>", "assistant"
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
-#: Conversations whose places are summed up together.
-BUCKET = 4096
 
-_NODE = "pos long, depth int, digest string, ids array<int>, loss_start int, loss_stop int"
+_NODE = "pos long, depth int, digest string, ids array<int>, loss_start int, loss_stop int, offset long, segment long"
 
 
 @dataclass(frozen=True)
@@ -105,7 +104,10 @@ def ordered(conversations: DataFrame) -> DataFrame:
 
 
 def _own_turns(convs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row for every turn behind the ``shared`` first ones, with its ids and the span of them that is learnt."""
+    """A row for every turn behind the ``shared`` first ones, with its ids and the span of them that is learnt.
+
+    ``offset`` counts the tokens before it among these turns of its conversation, ``segment`` all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, first = _library(tokenizer)
@@ -128,28 +130,32 @@ def _own_turns(convs: DataFrame, tokenizer: str) -> DataFrame:
                 spans.append((begin, begin + len(body)) if role == LEARNT else (0, 0))
                 ids.append([first, *head, *body, first + 1, *newline])
             path = batch.column("path").flatten().take(pa.array(own))
+            total = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+            rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[own]
+            begins = total[np.searchsorted(rows, np.arange(len(bounds)))]
             yield pa.RecordBatch.from_pydict({
-                "pos": pa.array(np.repeat(np.asarray(batch.column("pos")), np.diff(bounds))[own]), "depth": pa.array(depth[own].astype(np.int32)),
+                "pos": pa.array(np.asarray(batch.column("pos"))[rows]), "depth": pa.array(depth[own].astype(np.int32)),
                 "digest": path, "ids": pa.array(ids, pa.list_(pa.int32())),
                 "loss_start": pa.array([a for a, _ in spans], pa.int32()), "loss_stop": pa.array([b for _, b in spans], pa.int32()),
+                "offset": pa.array(total[:-1] - begins[rows]), "segment": pa.array(np.diff(begins)[rows]),
             })
 
     return convs.select("pos", "shared", "turns", "path").mapInArrow(trimmed(run), _NODE)
 
 
-def _placed(nodes: DataFrame) -> DataFrame:
-    """``pos, depth, digest, start, stop``: sums of the tokens before, by buckets of conversations."""
-    sizes = nodes.select("pos", "depth", "digest", F.size("ids").cast("long").alias("n"), F.floor(F.col("pos") / BUCKET).alias("bucket"))
-    totals = sizes.groupBy("bucket").agg(F.sum("n").alias("total"))
-    # one row for every bucket
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket").orderBy("pos", "depth").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum("n").over(inside)
-    summed = sizes.withColumn("_stop", stop).join(bases, "bucket")
-    return summed.select(
-        "pos", "depth", "digest", (F.col("base") + F.col("_stop") - F.col("n")).alias("start"), (F.col("base") + F.col("_stop")).alias("stop")
-    )
+def _bases(segments: DataFrame, n: int) -> DataFrame:
+    """``pos, base``: the tokens of all segments (``pos, segment``) before each.
+
+    Sums go by buckets: as many places in a bucket as there are buckets.
+    """
+    width = max(math.isqrt(n), 1)
+    dealt = segments.withColumn("_bucket", F.floor(F.col("pos") / width))
+    totals = dealt.groupBy("_bucket").agg(F.sum("segment").alias("_total"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a root of n rows
+    starts = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_inside", F.coalesce(F.sum("segment").over(inside), F.lit(0))).join(starts, "_bucket")
+    return summed.select("pos", (F.col("_start") + F.col("_inside")).alias("base"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -196,7 +202,9 @@ def write(conversations: DataFrame, tokenizer: str) -> ChatTree:
     common = F.coalesce(F.size(F.array_intersect("path", "_before")), F.lit(0))
     linked = stored(convs.join(earlier, "pos", "left").withColumn("shared", common).drop("_before"), "chat-conversations")
     own = stored(_own_turns(linked.where(F.size("path") > F.col("shared")), tokenizer), "chat-turns")
-    placed = stored(_placed(own), "chat-places")
+    bases = stored(_bases(own.where("offset = 0").select("pos", "segment"), linked.count()), "chat-bases")
+    start = F.col("base") + F.col("offset")
+    placed = own.join(bases, "pos").withColumns({"start": start, "stop": start + F.size("ids")})
     refs = linked.where("shared > 0").select(
         "pos", "conv_id", F.col("shared") < F.size("path"), F.posexplode(F.slice("path", 1, F.col("shared"))).alias("depth", "digest")
     ).toDF("pos", "conv_id", "adds", "depth", "digest")
@@ -208,19 +216,17 @@ def write(conversations: DataFrame, tokenizer: str) -> ChatTree:
     paths = placed.join(ids, "pos").select("conv_id", "depth", "start").unionByName(shared.select("conv_id", "depth", "start"))
     paths.write.parquet(out.paths)
 
-    segment = placed.groupBy("pos").agg(F.min("start").alias("_first"))
-    above = segment.join(_merged(shared.where("adds").select("pos", "start", "stop")), "pos", "left")
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
-    joined = own.join(placed.drop("digest"), ["pos", "depth"]).join(above, "pos")
+    joined = placed.join(_merged(shared.where("adds").select("pos", "start", "stop")), "pos", "left")
     joined = joined.withColumn("ancestors", F.coalesce("ancestors", none)).withColumn("_last", F.try_element_at("ancestors", F.lit(-1)))
-    touching = F.coalesce(F.col("_last.stop") == F.col("_first"), F.lit(False))
+    touching = F.coalesce(F.col("_last.stop") == F.col("base"), F.lit(False))
     # the conversation's own turns before this one, as one interval with what stands directly before them
-    begin = F.when(touching, F.col("_last.start")).otherwise(F.col("_first"))
+    begin = F.when(touching, F.col("_last.start")).otherwise(F.col("base"))
     earlier = F.when(touching, F.slice("ancestors", 1, F.size("ancestors") - 1)).otherwise(F.col("ancestors"))
     grown = F.concat(earlier, F.array(F.struct(begin.alias("start"), F.col("start").alias("stop"))))
     nodes = joined.select(
-        "start", "stop", (F.coalesce("position", F.lit(0)) + F.col("start") - F.col("_first")).alias("position"),
-        F.when(F.col("start") > F.col("_first"), grown).otherwise(F.col("ancestors")).alias("ancestors"), "ids", "loss_start", "loss_stop",
+        "start", "stop", (F.coalesce("position", F.lit(0)) + F.col("offset")).alias("position"),
+        F.when(F.col("offset") > 0, grown).otherwise(F.col("ancestors")).alias("ancestors"), "ids", "loss_start", "loss_stop",
     )
     nodes.repartitionByRange("start").sortWithinPartitions("start").write.parquet(out.nodes)
     return out
