@@ -292,3 +292,37 @@ def session_activity(spark, sf):
     rows = stream_sessions.sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return rows.select("user_id", stamp("start"), stamp("last_event"), "events")
+
+
+#: Six deliveries of documents as files: all, renamed, touched, modified, unchanged, and renamed with a change.
+_DELIVERIES = [
+    ("doc_id % 5 <> 1", "doc_id", 0, ""), ("doc_id % 4 = 0", "doc_id || ' renamed'", 0, ""), ("doc_id % 3 = 0", "doc_id", 10, ""),
+    ("doc_id % 7 = 0", "doc_id", 20, " revised"), ("true", "doc_id", 0, ""), ("doc_id % 6 = 0", "doc_id || ' renamed'", 30, " twice"),
+]
+
+
+def _delivered_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {n} AS n, 'raw/' || {name} || '.md' AS file, 'sha256:' || sha256(text || '{more}') AS hash, doc_id * 100 + {late} AS mtime"
+        f" FROM documents WHERE {wanted}" for n, (wanted, name, late, more) in enumerate(_DELIVERIES)
+    )
+    return f"""WITH d AS ({rows}),
+      t AS (SELECT *, min(n) OVER (PARTITION BY file, mtime) AS first_time FROM d),
+      h AS (SELECT *, min(n) OVER (PARTITION BY hash) AS first_hash FROM t WHERE n = first_time)
+      SELECT file, hash, mtime FROM h WHERE n = first_hash"""
+
+
+@query("stream_ingest_deliveries", _delivered_sql())
+def stream_ingest_deliveries(spark, sf):
+    """Documents delivered as files six times, a micro-batch each, with a restart after the third."""
+    docs, work = table(spark, sf, "documents"), _work_folder(spark)
+    schema = "path string, mtime bigint, content string"
+    for n, (wanted, name, late, more) in enumerate(_DELIVERIES):
+        docs.where(wanted).select(
+            F.expr(f"'raw/' || {name} || '.md'").alias("path"), (F.col("doc_id") * 100 + late).cast("bigint").alias("mtime"),
+            _cat(F.col("text"), more).alias("content"),
+        ).coalesce(1).write.parquet(f"{work}/in/{n}")  # a delivery is one file, so that it is one micro-batch
+        if n in (2, len(_DELIVERIES) - 1):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in/*")
+            stream_ingest_module.start(stream, f"{work}/log", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/log").select("file", "hash", "mtime")

@@ -27,6 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
+        conversion_queries,
         freshness_queries,
         index_queries,
         ingest_queries,

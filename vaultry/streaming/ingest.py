@@ -1,49 +1,66 @@
-"""Continuous ingestion with the log as the authority on what was processed.
+"""Continuous ingestion: Spark's state store holds what was processed, the log is the sink.
 
-The file source remembers paths and times only; a renamed or touched file looks new to it.  So
-every micro-batch goes through the same deduplication as a batch run, against the log written by
-all earlier micro-batches.
+A file source remembers paths and times only; a renamed or touched file looks new to it.  Two states decide, one of the paths with their
+times, one of the content hashes.  Both are kept in the state store by key, so a micro-batch costs what its own files cost, however
+long the history is, and a restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
 
-LOG_COLUMNS = "file string, hash string, mtime bigint, batch bigint"
+LOG_COLUMNS = "file string, hash string, mtime bigint"
+_ROWS = "path string, mtime bigint, hash string"
+
+
+def _unseen_hash(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All rows of a hash in the first micro-batch that has it, none later."""
+    if state.exists:
+        return
+    state.update((True,))
+    yield from batches
+
+
+def unprocessed(
+    files: DataFrame, protected: DataFrame | None = None, earlier_log: DataFrame | None = None
+) -> DataFrame:
+    """Streaming (path, mtime, content) to the files that are new by content: path, mtime, hash.
+
+    A file is skipped when its path and time were seen before, or when its hash was; copies that come in one micro-batch are all
+    taken, as in a batch run.  A path with a NULL time is told by its hash alone.  ``earlier_log`` (file, hash, mtime) is a log
+    from before the stream, with whatever entries of the older layout there are; ``protected`` has the paths to leave out.  Both are
+    static and read in every micro-batch.
+    """
+    spark = files.sparkSession
+    nobody = spark.createDataFrame([], "path string")
+    log = spark.createDataFrame([], LOG_COLUMNS) if earlier_log is None else earlier_log.select("file", "hash", "mtime")
+    fresh = ingest.new_files(files, log, nobody if protected is None else protected, nobody)
+    # without a time, the hash tells whether a path was seen
+    timed = fresh.withColumn("_other", F.when(F.col("mtime").isNull(), F.col("hash"))).dropDuplicates(["path", "mtime", "_other"])
+    return timed.select("path", "mtime", "hash").groupBy("hash").applyInPandasWithState(
+        _unseen_hash, _ROWS, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def start(
     files: DataFrame, log_folder: str, checkpoint: str, protected: DataFrame | None = None,
     earlier_log: DataFrame | None = None, max_rows_per_file: int = 1_000_000,
 ) -> StreamingQuery:
-    """Append every file that is new by content to the log; stops when the input is drained.
+    """Append every new file to the log (Parquet: file, hash, mtime); stops when the input is drained.
 
-    ``files``: streaming (path, mtime, content).  A batch writes its own ``batch=N`` folder and
-    overwrites it when repeated, so a batch that is retried after a failure is not counted twice.
+    The sink keeps a list of the files that belong to finished micro-batches, so one that is repeated after a failure counts once.
     """
-    spark = files.sparkSession
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        log = spark.createDataFrame([], LOG_COLUMNS)
-        if batch_id > 0:
-            written = [f"{log_folder}/batch={i}" for i in range(batch_id)]
-            log = spark.read.parquet(*written)
-        log = log.select("file", "hash", "mtime")
-        if earlier_log is not None:
-            log = log.unionByName(earlier_log.select("file", "hash", "mtime"))
-        nobody = spark.createDataFrame([], "path string")
-        fresh = ingest.new_files(batch, log, nobody if protected is None else protected, nobody)
-        fresh.select(F.col("path").alias("file"), "hash", "mtime").write.mode("overwrite").option(
-            "maxRecordsPerFile", max_rows_per_file
-        ).parquet(f"{log_folder}/batch={batch_id}")
-
+    rows = unprocessed(files, protected, earlier_log).withColumnRenamed("path", "file")
     return (
-        files.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        rows.select("file", "hash", "mtime").writeStream.format("parquet").outputMode("append")
+        .option("path", log_folder).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", max_rows_per_file)
+        .trigger(availableNow=True).start()
     )
