@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, vocab
+from ..sources.ledger import updated_line
 
 
 def content_hash(content: Column) -> Column:
@@ -64,6 +65,20 @@ def prune(log: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def pruned_lines(log: DataFrame, existing: DataFrame) -> DataFrame:
+    """Lines of the pruned log (line_no, value): the kept entries as written, with the merged page lists."""
+    kept = prune(log, existing)
+    return kept.select(
+        "line_no", updated_line(F.col("raw"), {"pages_created": F.col("pages_created"), "pages_updated": F.col("pages_updated")}).alias("value")
+    )
+
+
+def baseline_lines(entries: DataFrame) -> DataFrame:
+    """Entries of :func:`baseline` as JSON lines: file, value."""
+    names_ = ["date", "session", "file", "summary", "pages_created", "pages_updated", "hash", "mtime", "migration_baseline"]
+    return entries.select("file", F.to_json(F.struct(*names_)).alias("value"))
+
+
 def prune_counts(log: DataFrame, existing: DataFrame) -> DataFrame:
     """kept, dropped (no such file), malformed, duplicates in one row."""
     kept = prune(log, existing).agg(

@@ -87,16 +87,36 @@ def missing_reciprocal(superseded_by: DataFrame, supersedes: DataFrame) -> DataF
     return forward.join(back, ["path", "resolved"], "left_anti")
 
 
+def endless(successors: DataFrame) -> DataFrame:
+    """Pages (path, next) whose chain never ends: members of rings and the pages that lead into one.
+
+    Every page points at the page 1, 2, 4, ... steps on; those whose pointer leaves the table are gone.  A row is two paths at any length of
+    chain.  While a finite chain is left, its page of just so many steps goes, so a round in which none goes is the last.
+    """
+    pointers = checkpointed(successors.select("path", F.col("next").alias("far")))
+    left = pointers.count()
+    while left:
+        onward = pointers.select(F.col("path").alias("far"), F.col("far").alias("_further"))
+        pointers = checkpointed(pointers.join(onward, "far").select("path", F.col("_further").alias("far")))
+        before, left = left, pointers.count()
+        if left == before:
+            break
+    return successors.join(pointers.select("path"), "path", "left_semi")
+
+
 def cycles(superseded_by: DataFrame, max_chain: int | None = None) -> DataFrame:
     """Pages whose chain of first successors runs into itself: path, cycle (and ``truncated`` with ``max_chain``).
 
-    Chains are doubled by self-joins on the successor table until each ends or repeats a page, so a chain of any length
-    takes as many rounds as its length has binary digits.  ``max_chain`` limits the walk to so many successors; walks that
+    Pages whose chain ends are left out first (:func:`endless`).  The other chains are doubled by self-joins until each
+    repeats a page, so a chain of any length takes as many rounds as its length has binary digits, and what is held is what is
+    returned.  ``max_chain`` limits the walk to so many successors; walks that
     are longer are then returned with ``truncated`` and no cycle.
     """
     first = superseded_by.where("outcome = 'resolved'").groupBy("path").agg(
         F.min_by("resolved", "position").alias("next")
     )
+    if max_chain is None:
+        first = endless(checkpointed(first))
     walk = F.concat(F.array("path"), F.col("steps"))
     repeats = F.size(F.array_distinct(walk)) < F.size(walk)
     # each round reads the table twice, so it is materialised first

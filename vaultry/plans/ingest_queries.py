@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import skew
 from ..operators import ingest, ledger, privacy
 from ..operators.ledger import content_hash
+from ..session import checkpoint_folder
+from ..sinks import log_files
 from ..sources.ledger import updated_line
 from ..sources.tables import table
 from . import documents_vault as vault
@@ -261,3 +266,37 @@ def log_baseline(spark, sf):
     candidates = files.select("path", content_hash(F.col("content")).alias("hash"), "mtime")
     rows = ledger.baseline(candidates, vault.document_log(spark, sf), protected, "2024-01-01 00:00:00")
     return rows.select("file", "hash", "mtime", "session")
+
+
+_COMMITTED = """
+kept_v AS (
+  SELECT b.file, b.date, CASE WHEN m.created IS NOT NULL THEN m.created WHEN b.given THEN '' END AS pages_created, false AS baseline, b.line_no AS place
+  FROM best_v b LEFT JOIN merged_v m USING (file)),
+more_v AS (
+  SELECT 'raw/users/u' || c_custkey || '.md' AS file, '2024-01-01 00:00:00' AS date, '' AS pages_created, true AS baseline,
+         10000000000 + c_custkey AS place
+  FROM customer WHERE c_mktsegment <> 'BUILDING' AND 'raw/users/u' || c_custkey || '.md' NOT IN (SELECT file FROM best_v))"""
+
+
+@query(
+    "log_commit",
+    with_views(EVENTS, _COMMITTED)
+    + "SELECT file, date, pages_created, baseline, row_number() OVER (ORDER BY place) AS position FROM (SELECT * FROM kept_v UNION ALL SELECT * FROM more_v)",
+)
+def log_commit(spark, sf):
+    """The log as files: appended, rewritten after pruning, a baseline appended, each commit sent twice; read back in its order."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    existing, order = vault.user_files(spark, sf), [F.col("line_no")]
+    entries = ledger.baseline(
+        existing.select("path", F.sha2("path", 256).alias("hash"), F.lit(7).cast("bigint").alias("mtime")),
+        ledger.prune(vault.event_log(spark, sf), existing), spark.createDataFrame([], "path string"), "2024-01-01 00:00:00",
+    )
+    number = F.regexp_extract("file", r"u([0-9]+)\.md", 1).cast("bigint")
+    for _ in range(2):
+        log_files.append(spark, folder, vault.event_log_lines(spark, sf), order, "first")
+        log_files.rewrite(spark, folder, lambda log: ledger.pruned_lines(log, existing), order, "prune")
+        log_files.append(spark, folder, ledger.baseline_lines(entries), [number], "baseline")
+    rows = skew.numbered(log_files.read(spark, folder), order, "position")
+    return rows.select(
+        "file", "date", F.array_join("pages_created", "|").alias("pages_created"), F.coalesce("migration_baseline", F.lit(False)).alias("baseline"), "position"
+    )
