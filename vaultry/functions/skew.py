@@ -99,3 +99,25 @@ def with_last_start(
     carried = tops.select(*keys, "_bucket", F.max("_top").over(earlier).alias("_carried"))
     seen = _joined(b.withColumn("_seen", F.max("_start").over(inside)), carried, [*keys, "_bucket"])
     return seen.withColumn(column, F.coalesce("_seen", "_carried")).drop("_seen", "_carried", "_bucket", "_start")
+
+
+def first_from(starts: DataFrame, keys: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The first key at or after every start, in string order: start, key (NULL where there is none).
+
+    ``starts``: one string column ``start``; ``keys``: one string column ``key``; both are made distinct.  An as-of join: starts and keys
+    are sorted together by ranges; inside a range the next key is carried back, and the first key of the ranges that follow serves the
+    starts at its end.  No row meets more than one other.
+    """
+    rows = starts.select(F.col("start").alias("_at"), F.lit(0).alias("_kind")).where("_at IS NOT NULL").distinct().unionByName(
+        keys.select(F.col("key").alias("_at"), F.lit(1).alias("_kind")).where("_at IS NOT NULL").distinct()
+    )
+    ranged = rows.repartitionByRange(partitions, "_at", "_kind") if partitions else rows.repartitionByRange("_at", "_kind")
+    laid_out = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+    found = F.when(F.col("_kind") == 1, F.col("_at"))
+    later = Window.partitionBy("_part").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per partition
+    firsts = laid_out.groupBy("_part").agg(F.min(found).alias("_first"))
+    after = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    following = firsts.select("_part", F.last("_first", ignorenulls=True).over(after).alias("_following"))
+    inside = laid_out.withColumn("_next", F.last(found, ignorenulls=True).over(later)).where("_kind = 0")
+    return inside.join(F.broadcast(following), "_part").select(F.col("_at").alias("start"), F.coalesce("_next", "_following").alias("key"))

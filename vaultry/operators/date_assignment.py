@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, frontmatter, paths, text, vocab
+from ..functions import dates, frontmatter, paths, skew, text, vocab
 
 # Sections, bullets and links of source lines.
 _SECTION = r"(?iU)\A#{2,}[\s\x1c-\x1f]+Sources[\s\x1c-\x1f]*\z"
@@ -110,16 +110,20 @@ def page_source_dates(pages: DataFrame, raw_notes: DataFrame) -> DataFrame:
     known = raw_notes.select(F.col("path").alias("_raw"), "fields")
     md = F.when(F.lower("target").endswith(".md"), F.col("target")).otherwise(F.concat("target", F.lit(".md")))
     exact = lines.where("target LIKE 'raw/%'").select("target", md.alias("_raw")).distinct().join(known, "_raw")
-    # a shortened name stands for the first file that continues it
+    # a shortened name stands for the first file of its folder that continues it: the next path in order, if any does
     cut = lines.where(F.col("target").startswith("raw/") & truncated).select(
-        "target", F.regexp_replace("target", r"\.\.\.\z", "").alias("_start")
-    ).distinct().withColumn("_folder", paths.parent(F.col("_start")))
-    in_folder = raw_notes.where(F.lower("path").endswith(".md")).select(
-        F.col("path").alias("_raw"), paths.parent(F.col("path")).alias("_folder")
+        "target", F.regexp_replace("target", r"\.\.\.\z", "").alias("start")
+    ).distinct()
+    # paths of a folder stand together when its separator sorts before all else
+    def ordered(path: Column) -> Column:
+        return F.concat(paths.parent(path), F.lit("\u0000"), paths.name(path))
+
+    pages_only = raw_notes.where(F.lower("path").endswith(".md")).select(F.col("path").alias("_raw"), ordered(F.col("path")).alias("key"))
+    keyed = cut.where(~F.col("start").endswith("/")).withColumn("start", ordered(F.col("start"))).unionByName(
+        cut.where(F.col("start").endswith("/")).withColumn("start", F.concat(F.regexp_replace("start", r"/+\z", ""), F.lit("\u0000")))
     )
-    continued = cut.join(in_folder, "_folder").where(F.startswith("_raw", "_start")).groupBy("target").agg(
-        F.min("_raw").alias("_raw")
-    ).join(known, "_raw")
+    nearest = skew.first_from(keyed.select("start"), pages_only.select("key")).where(F.startswith("key", "start"))
+    continued = keyed.join(nearest, "start").join(pages_only, "key").select("target", "_raw").join(known, "_raw")
     files = exact.unionByName(continued.select("_raw", "target", "fields"))
     joined = lines.join(files, "target", "left")
 

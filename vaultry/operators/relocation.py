@@ -55,7 +55,8 @@ def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
     ``targets``: target, folder (of the linking note); ``moves``: old, new.  An exact path, a path
     below wiki/ or raw/ or one relative to the folder wins; otherwise the moved file whose old path
     ends in the target and shares most leading folders with the note, then the shortest, then the
-    first in order.
+    first in order.  Moved files and notes meet by tail and folder, where one file is the best: a name that many files have
+    costs each note as many rows as its folder has parents.
     """
     loose = names.straight_quotes(F.regexp_replace("target", r"\A\./", ""))
     forms = targets.select("target", "folder").distinct().select(
@@ -72,25 +73,27 @@ def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
     ).join(moves, "old").select(
         "target", "folder", "new", (F.col("form") + F.col("way")).alias("order"), F.lit(0).alias("score"), "old"
     )
+    # the best moved file for a tail below every folder above it; a note then asks for its own folders, the deepest first
     tails = moves.select(
         "old", "new", F.explode(paths.trailing_paths(names.straight_quotes(F.col("old")))).alias("path")
-    )
-    shared = F.size(
-        F.filter(
-            F.zip_with(F.split("old", "/"), F.split("folder", "/"), lambda a, b: a.eqNullSafe(b)), lambda same: same
-        )
-    )
-    leading = F.array_position(
-        F.zip_with(F.split("old", "/"), F.split("folder", "/"), lambda a, b: a.eqNullSafe(b)), F.lit(False)
-    )
-    common = F.when(leading == 0, shared).otherwise(leading - 1)
-    by_tail = forms.join(tails, "path").select(
-        "target", "folder", "new", F.lit(100).alias("order"), common.cast("int").alias("score"), "old"
+    ).join(forms.select("path").distinct(), "path", "left_semi")
+    nearest = F.struct(F.length("old").alias("l"), F.col("old").alias("o"))
+    below = tails.select("path", "old", "new", F.posexplode(_leading_paths(F.col("old"))).alias("depth", "above"))
+    best = below.groupBy("path", "above").agg(F.min_by(F.struct("old", "new"), nearest).alias("b"))
+    asked = forms.select("target", "folder", "path", F.posexplode(_leading_paths(F.col("folder"))).alias("depth", "above"))
+    by_tail = asked.join(best, ["path", "above"]).select(
+        "target", "folder", F.col("b.new").alias("new"), F.lit(100).alias("order"), F.col("depth").alias("score"), F.col("b.old").alias("old")
     )
     rank = F.struct("order", (-F.col("score")).alias("s"), F.length("old").alias("l"), F.col("old").alias("o"))
     return direct.unionByName(by_tail).groupBy("target", "folder").agg(F.min_by("new", rank).alias("new_path"))
 
 
+def _leading_paths(path: Column) -> Column:
+    """Every leading run of components, the empty one first."""
+    components = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(components)), lambda i: F.array_join(F.slice(components, F.lit(1), i), "/"))
+
+
 def files_after(files: DataFrame, moves: DataFrame) -> DataFrame:
     """Paths of the vault once the moves are done."""
     return files.join(moves.select(F.col("old").alias("path"), "new"), "path", "left").select(

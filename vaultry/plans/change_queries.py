@@ -232,6 +232,54 @@ def moved_link_targets(spark, sf):
     return relocation.moved_targets(targets, moves)
 
 
+@query(
+    "moved_link_branches",
+    """WITH m AS (SELECT c_custkey AS k, 'raw/f' || (c_custkey % 7) || '/d' || (c_custkey % 3) || '/' || CASE WHEN c_custkey % 3 = 0 THEN 'same.pdf'
+                  ELSE 'n' || c_custkey || CASE WHEN c_custkey % 3 = 1 THEN '.pdf' ELSE '.md' END END AS old FROM customer),
+      moved_v AS (SELECT DISTINCT old, 'raw/new/' || old AS new FROM m),
+      asked_v AS (
+        SELECT DISTINCT 'raw/f' || (o_orderkey % 9) || '/d' || (o_orderkey % 4) AS folder, CASE o_orderkey % 6
+          WHEN 0 THEN 'same.pdf' WHEN 1 THEN old WHEN 2 THEN replace(old, 'raw/', '') WHEN 3 THEN '../../f' || (k % 7) || '/d' || (k % 3) || '/n' || k || '.pdf'
+          WHEN 4 THEN './n' || k ELSE 'd' || (k % 3) || '/n' || k || '.md' END AS target, o_orderkey % 6 AS way, k, old
+        FROM orders JOIN m ON k = o_custkey),
+      found_v AS (
+        SELECT target, folder, new, CASE WHEN way IN (1, 2) AND a.old = v.old THEN 1000 WHEN way = 3 AND a.old = v.old AND k % 3 = 1 THEN 1000
+            WHEN v.old LIKE folder || '/%' THEN 3 WHEN split_part(v.old, '/', 2) = split_part(folder, '/', 2) THEN 2 ELSE 1 END AS score, v.old
+        FROM asked_v a JOIN moved_v v ON (way = 0 AND v.old LIKE '%/same.pdf') OR (way IN (1, 2) AND v.old = a.old)
+          OR (way = 3 AND k % 3 = 1 AND v.old = a.old) OR (way = 4 AND k % 3 = 2 AND v.old = a.old) OR (way = 5 AND k % 3 = 2 AND v.old = a.old))
+      SELECT target, folder, arg_min(new, (-score, length(old), old)) AS new_path FROM found_v GROUP BY ALL""",
+)
+def moved_link_branches(spark, sf):
+    """A third of the moved files share one name; targets are exact, below raw/, relative, by tail and without extension."""
+    key, k = F.col("o_orderkey"), F.col("o_custkey")
+    kept = table(spark, sf, "customer").select("c_custkey")
+
+    def old(c):
+        name = F.when(c % 3 == 0, "same.pdf").when(c % 3 == 1, _cat("n", s(c), ".pdf")).otherwise(_cat("n", s(c), ".md"))
+        return _cat("raw/f", s(c % 7), "/d", s(c % 3), "/", name)
+
+    moves = kept.select(old(F.col("c_custkey")).alias("old")).distinct().select("old", _cat("raw/new/", F.col("old")).alias("new"))
+    way = key % 6
+    target = (
+        F.when(way == 0, "same.pdf").when(way == 1, old(k)).when(way == 2, F.regexp_replace(old(k), "raw/", ""))
+        .when(way == 3, _cat("../../f", s(k % 7), "/d", s(k % 3), "/n", s(k), ".pdf")).when(way == 4, _cat("./n", s(k)))
+        .otherwise(_cat("d", s(k % 3), "/n", s(k), ".md"))
+    )
+    asked = table(spark, sf, "orders").join(kept, k == F.col("c_custkey"), "left_semi")
+    targets = asked.select(target.alias("target"), _cat("raw/f", s(key % 9), "/d", s(key % 4)).alias("folder"))
+    return relocation.moved_targets(targets, moves)
+
+
+@query(
+    "files_after_moves",
+    """SELECT 'raw/' || CASE WHEN c_custkey % 3 = 0 THEN 'b/' ELSE 'a/' END || c_custkey || '.md' AS path FROM customer""",
+)
+def files_after_moves(spark, sf):
+    paths_ = table(spark, sf, "customer").select("c_custkey", _cat("raw/a/", s(F.col("c_custkey")), ".md").alias("path"))
+    moves = paths_.where("c_custkey % 3 = 0").select(F.col("path").alias("old"), _cat("raw/b/", s(F.col("c_custkey")), ".md").alias("new"))
+    return relocation.files_after(paths_.select("path"), moves)
+
+
 # streams ---------------------------------------------------------------------------------------
 def _work_folder(spark) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"

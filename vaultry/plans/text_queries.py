@@ -135,6 +135,39 @@ def date_assign_pages(spark, sf):
     return date_assignment.page_dates(pages, sources)
 
 
+_SHORTENED = """
+note_v AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'raw/mail/' || lpad(o_orderkey::VARCHAR, 9, '0') || ' m.md' AS path FROM orders),
+line_v AS (
+  SELECT 'wiki/people/c' || c_custkey || '.md' AS path, CASE c_custkey % 4 WHEN 0 THEN lpad((c_custkey * 7 // 10)::VARCHAR, 8, '0')
+    WHEN 1 THEN lpad((c_custkey * 7 // 100)::VARCHAR, 7, '0') WHEN 2 THEN lpad((c_custkey * 7)::VARCHAR, 9, '0') || ' z' ELSE '' END AS start
+  FROM customer)"""
+
+
+@query(
+    "date_assign_shortened",
+    with_views(_SHORTENED)
+    + """SELECT l.path, n.day AS date, 'high' AS date_confidence FROM line_v l
+         JOIN (SELECT start, min(n.path) AS path FROM (SELECT DISTINCT start FROM line_v) s JOIN note_v n ON starts_with(n.path, 'raw/mail/' || start) GROUP BY start) f
+           ON f.start = l.start JOIN note_v n ON n.path = f.path""",
+)
+def date_assign_shortened(spark, sf):
+    """Pages that cite notes of one large folder by names cut short; a name stands for the first note that continues it."""
+    key = F.col("c_custkey")
+    digits = lambda c, n: F.lpad(s(c), n, "0")
+    start = F.when(key % 4 == 0, digits(F.floor(key * 7 / 10), 8)).when(key % 4 == 1, digits(F.floor(key * 7 / 100), 7)).when(
+        key % 4 == 2, _cat(digits(key * 7, 9), " z")
+    ).otherwise("")
+    pages = table(spark, sf, "customer").select(
+        _cat("wiki/people/c", s(key), ".md").alias("path"), _cat("# T\n## Sources\n- seen in [[raw/mail/", start, "...|mail]]\n").alias("content")
+    )
+    notes = table(spark, sf, "orders").select(
+        _cat("raw/mail/", digits(F.col("o_orderkey"), 9), " m.md").alias("path"),
+        _cat("---\nsent: ", F.date_format("o_orderdate", "yyyy-MM-dd"), "\n---\nx").alias("content"),
+    )
+    found = date_assignment.page_source_dates(pages, date_assignment.date_fields(notes))
+    return found.select("path", "date", F.col("confidence").alias("date_confidence"))
+
+
 @query(
     "date_upsert_revert",
     with_views(DATED)
