@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, names, paths, text, vocab
-from . import vault_links
+from . import mentions, vault_links
 
 
 def topic_pages(files: DataFrame) -> DataFrame:
@@ -102,53 +102,6 @@ def legacy_folders(files: DataFrame) -> DataFrame:
 def text_mentions(stems: DataFrame, texts: DataFrame) -> DataFrame:
     """Stems that occur in a text as a whole word (optionally followed by ``.md``): stem, path.
 
-    No stem is compared with every text.  A stem can only occur where its words occur in a row,
-    so texts and stems meet on the literal run of as many words as the stem has; what surrounds
-    the run is checked afterwards.
+    All stems are looked for at once, see :mod:`vaultry.operators.mentions`; no stem meets a text it does not stand in.
     """
-    word = r"(?U)\w+|\W+"
-    core = F.regexp_extract("stem", r"(?Us)(\w.*\w|\w)", 1)
-    wanted = stems.select("stem").distinct().withColumns(
-        {"core": core, "_words": F.size(F.regexp_extract_all("stem", F.lit(r"(?U)\w+"), F.lit(0)))}
-    ).where("_words > 0").withColumns(
-        {
-            "_before": F.regexp_extract("stem", r"(?Us)\A(\W*)", 1),
-            "_after": F.regexp_extract("stem", r"(?Us)(\W*)\z", 1),
-        }
-    )
-    # the distinct word counts of the stems: at most as many as a file name has words
-    lengths = wanted.agg(F.array_sort(F.collect_set("_words")).alias("n")).scalar()
-
-    def runs_of(pieces: Column) -> Column:
-        starts = F.filter(
-            F.transform(pieces, lambda p, i: F.when(p.rlike(r"(?U)\A\w"), i)), lambda i: i.isNotNull()
-        )
-
-        def run(at: Column, n: Column) -> Column:
-            size = n * 2 - 1
-            return F.struct(
-                n.alias("_words"), F.array_join(F.slice(pieces, at + 1, size), "").alias("core"),
-                F.coalesce(F.get(pieces, at - 1), F.lit("")).alias("_left"),
-                F.coalesce(F.get(pieces, at + size), F.lit("")).alias("_right"),
-                (at <= 1).alias("_opens"), (at + size + 1 >= F.size(pieces)).alias("_closes"),
-            )
-
-        return F.flatten(F.transform(F.col("_sizes"), lambda n: F.transform(starts, lambda at: run(at, n))))
-
-    sized = texts.select(
-        "path", "content", F.coalesce(lengths, F.array().cast("array<int>")).alias("_sizes")
-    )
-    runs = sized.select(
-        "path", F.explode_outer(text.let(F.regexp_extract_all("content", F.lit(word), F.lit(0)), runs_of)).alias("run")
-    ).where("run IS NOT NULL").select("path", "run.*").distinct()
-    met = runs.join(wanted, ["core", "_words"])
-
-    def borders(side: str, wanted_side: str, at_edge: str, meets: Column) -> Column:
-        # punctuation of the stem must be there, and no word may touch it from outside
-        bare = F.col(wanted_side) == ""
-        return bare | (meets & ((F.length(side) > F.length(wanted_side)) | F.col(at_edge)))
-
-    fits = borders("_left", "_before", "_opens", F.col("_left").endswith(F.col("_before"))) & borders(
-        "_right", "_after", "_closes", F.col("_right").startswith(F.col("_after"))
-    )
-    return met.where(fits).select("stem", "path").distinct()
+    return mentions.mentioned(texts, stems).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import inventory, page_checks, provenance, vault_links
+from ..operators import inventory, mentions, page_checks, provenance, vault_links
 from ..session import checkpointed
 from ..sources.tables import table
 from . import documents_vault, text_vault
@@ -256,3 +256,58 @@ def text_mentions(spark, sf):
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")
     )
     return page_checks.text_mentions(stems, texts)
+
+
+_TITLED = r"""
+titled_v AS (
+  SELECT doc_id, lang, text, 'wiki/t' || doc_id || '/' || coalesce(w, 'none') || '.md' AS path, doc_id % 2 = 0 AND length(w) >= 3 AS asked, w
+  FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}_]+')[3] AS w FROM documents)),
+word_v AS (SELECT w, min(path) AS first, count(*) AS n FROM titled_v WHERE asked GROUP BY w)"""
+
+
+def _titled(spark, sf):
+    """Documents as pages named by their third word, so that thousands of titles are common words; every second one is looked for."""
+    word = F.get(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lit(2))
+    path = F.concat(F.lit("wiki/t"), F.col("doc_id").cast("string"), F.lit("/"), F.coalesce(word, F.lit("none")), F.lit(".md"))
+    pages = table(spark, sf, "documents").select("doc_id", "lang", path.alias("path"), F.col("text").alias("content"), word.alias("word"))
+    return pages.drop("word"), pages.where("doc_id % 2 = 0 AND length(word) >= 3").select("path")
+
+
+@query(
+    "title_links_many",
+    with_views(_TITLED)
+    + r"""SELECT t.doc_id AS key, md5(array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'),
+            lambda x: CASE WHEN list_contains(l.words, x) AND NOT (x = w AND asked AND alone) THEN '[[' || x || ']]' ELSE x END), '')) AS content_md5
+          FROM (SELECT titled_v.*, coalesce(word_v.n = 1, false) AS alone FROM titled_v LEFT JOIN word_v USING (w)) t
+          CROSS JOIN (SELECT list(w) AS words FROM word_v) l""",
+)
+def title_links_many(spark, sf):
+    pages, asked = _titled(spark, sf)
+    keys = pages.select("path", F.col("doc_id").alias("key"))
+    return mentions.linked(pages, asked).join(keys, "path").select("key", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(
+    "orphan_repairs",
+    with_views(_TITLED)
+    + r""", flag_v AS (SELECT *, doc_id % 3 = 0 AS flagged FROM titled_v),
+      piece_v AS (SELECT path, lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS x FROM titled_v),
+      hit_v AS (SELECT path, lang, x, count(*) AS n FROM piece_v WHERE x IN (SELECT w FROM word_v) GROUP BY ALL),
+      page_v AS (SELECT path, w, flagged, row_number() OVER (PARTITION BY w ORDER BY path) AS turn FROM flag_v WHERE asked AND lang = 'en'),
+      link_v AS (
+        SELECT o.path, h.n FROM hit_v h JOIN page_v o ON o.w = h.x AND h.lang = 'en'
+          LEFT JOIN page_v f ON f.w = h.x AND f.turn = 1
+        WHERE (o.turn = 1 AND h.path <> o.path) OR (o.turn = 2 AND h.path = f.path)),
+      sum_v AS (SELECT path, sum(n)::BIGINT AS references_linked, count(*) AS files_changed FROM link_v GROUP BY path)
+      SELECT path, coalesce(references_linked, 0) AS references_linked, coalesce(files_changed, 0) AS files_changed,
+        CASE WHEN references_linked > 0 AND flagged THEN 'removed_orphan_false'
+          WHEN references_linked IS NULL AND NOT flagged AND w IN (SELECT x FROM hit_v WHERE lang <> 'en') THEN 'added_orphan_false' END AS frontmatter
+      FROM page_v LEFT JOIN sum_v USING (path)""",
+)
+def orphan_repairs(spark, sf):
+    """English pages among themselves, the other languages as raw texts."""
+    pages, asked = _titled(spark, sf)
+    head = F.when(F.col("doc_id") % 3 == 0, "---\norphan: false\n---\n").otherwise("---\ntype: page\n---\n")
+    wiki = pages.where("lang = 'en'").select("path", F.concat(head, F.col("content")).alias("content"))
+    raw = pages.where("lang <> 'en'").select("path", "content")
+    return mentions.repairs(wiki, raw, asked.join(wiki.select("path"), "path", "left_semi"))
