@@ -1,8 +1,8 @@
 """Listing and reading a vault on a shared file system.
 
-Spark's file sources hide names that begin with ``_`` or ``.``; index pages and resource folders do.
-So folders are listed by tasks: the driver lists only the two top levels, every folder found there
-becomes a partition, and its task walks the tree below it.
+Spark's file sources hide names that begin with ``_`` or ``.``; index pages and resource folders do.  So tasks list the folders, a job for
+each level of the tree: the folders of a level are dealt out, and what they hold becomes rows.  The driver sees no names.  Files are then
+dealt out by size for reading, so one flat folder is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -14,66 +14,90 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 SCHEMA = "path string, length bigint, mtime bigint, content binary"
+#: Bytes that a task reads, about; entries of a batch while listing; bytes and files of a batch while reading.
+SPLIT_BYTES, LIST_ROWS, BATCH_BYTES, BATCH_FILES = 128 << 20, 10_000, 16 << 20, 5000
 
 
-def _shallow(root: str, depth: int) -> tuple[list[str], list[str]]:
-    """Visible folders at ``depth`` and the files above them, relative to the root."""
-    folders, files = [""], []
-    for _ in range(depth):
-        deeper = []
-        for folder in folders:
-            with os.scandir(os.path.join(root, folder)) as entries:
-                for entry in entries:
-                    rel = os.path.join(folder, entry.name)
-                    if entry.is_dir():
-                        if not entry.name.startswith("."):
-                            deeper.append(rel)
-                    elif entry.is_file():
-                        files.append(rel)
-        folders = deeper
-    return folders, files
-
-
-def read(spark: SparkSession, root: str, depth: int = 2, content: bool = True) -> DataFrame:
-    """Files of a vault without dot folders: path, length, mtime, content (NULL when not read)."""
-    root = os.path.abspath(root)
-    folders, files = _shallow(root, depth)
-    starts = [(f, True) for f in sorted(folders)] + [(f, False) for f in sorted(files)]
-    parts = spark.createDataFrame(starts, "start string, is_folder boolean")
-    if starts:
-        parts = parts.repartition(min(len(starts), 10_000), "start")
-
-    def walk(start: str, is_folder: bool) -> Iterator[str]:
-        if not is_folder:
-            yield start
-            return
-        for base, subfolders, found in os.walk(os.path.join(root, start)):
-            subfolders[:] = [d for d in subfolders if not d.startswith(".")]
-            for name in found:
-                yield os.path.relpath(os.path.join(base, name), root)
+def _entries(folders: DataFrame, root: str) -> DataFrame:
+    """Files and visible folders directly in ``folders`` (path): path, is_folder, length, mtime."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "is_folder", "length", "mtime"]
         for batch in batches:
-            for start, is_folder in zip(batch["start"], batch["is_folder"]):
-                out, size = [], 0
-                for path in walk(start, is_folder):
-                    full = os.path.join(root, path)
-                    stat = os.stat(full)
-                    data = None
-                    if content:
-                        with open(full, "rb") as f:
-                            data = f.read()
-                    out.append((path, stat.st_size, int(stat.st_mtime), data))
-                    size += len(data or b"")
-                    # bounded batches: about 16 MB or 5,000 files
-                    if size > 16 << 20 or len(out) >= 5000:
-                        yield pd.DataFrame(out, columns=["path", "length", "mtime", "content"])
-                        out, size = [], 0
+            for folder in batch["path"]:
+                out = []
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for entry in entries:
+                        rel = os.path.join(folder, entry.name)
+                        if entry.is_dir():
+                            # like a walk: links to folders are not followed
+                            if not entry.name.startswith(".") and not entry.is_symlink():
+                                out.append((rel, True, 0, 0))
+                        elif entry.is_file():
+                            stat = entry.stat()
+                            out.append((rel, False, stat.st_size, int(stat.st_mtime)))
+                        if len(out) >= LIST_ROWS:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
                 if out:
-                    yield pd.DataFrame(out, columns=["path", "length", "mtime", "content"])
+                    yield pd.DataFrame(out, columns=columns)
 
-    return parts.mapInPandas(rows, SCHEMA)
+    return folders.mapInPandas(rows, "path string, is_folder boolean, length bigint, mtime bigint")
+
+
+def listed(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Files of a vault without dot folders: path, length, mtime."""
+    root = os.path.abspath(root)
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        entries = checkpointed(_entries(folders, root))
+        levels.append(entries.where("NOT is_folder").select("path", "length", "mtime"))
+        deeper = entries.where("is_folder").select("path")
+        if deeper.isEmpty():
+            break
+        folders = deeper.repartition(tasks, "path")
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def read(spark: SparkSession, root: str, content: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Files of a vault without dot folders: path, length, mtime, content (NULL when not read)."""
+    root = os.path.abspath(root)
+    files = listed(spark, root)
+    if not content:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    total, number = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+    # by a hash of the path: files of one folder, and large ones, come apart
+    parts = min(max(-(-(total or 0) // split_bytes), 1, min(number, spark.sparkContext.defaultParallelism)), 1_000_000)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "length", "mtime", "content"]
+        for batch in batches:
+            out, size = [], 0
+            for path, length, mtime in zip(batch["path"], batch["length"], batch["mtime"]):
+                with open(os.path.join(root, path), "rb") as f:
+                    data = f.read()
+                out.append((path, length, mtime, data))
+                size += len(data)
+                if size > BATCH_BYTES or len(out) >= BATCH_FILES:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return files.repartition(parts, "path").mapInPandas(rows, SCHEMA)
+
+
+def after_moves(files: DataFrame, moves: DataFrame) -> DataFrame:
+    """The same table with the paths that moves (old, new) give, without reading anything again."""
+    renamed = files.join(moves.select(F.col("old").alias("path"), F.col("new").alias("_new")), "path", "left")
+    return renamed.withColumn("path", F.coalesce("_new", "path")).select(files.columns)
 
 
 def from_binary_files(files: DataFrame, root_uri: str) -> DataFrame:
