@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import coverage, ledger, relocation, rewrite, stamping
+from ..operators import coverage, edits, ledger, relocation, rewrite, stamping
 from ..session import checkpoint_folder
 from ..sinks import reports
 from ..sources import ledger as log_source
@@ -280,6 +280,76 @@ def files_after_moves(spark, sf):
     return relocation.files_after(paths_.select("path"), moves)
 
 
+@query(
+    "offset_edits",
+    """SELECT doc_id AS key, md5(CASE WHEN n < 40 THEN 'AB' || text
+           ELSE 'AB' || text[1:2] || 'C' || text[6:10] || text[14:14] || 'long insert' || text[15:20] || '😀' || text[28:n] || 'end' END) AS content_md5,
+         CASE WHEN n < 40 THEN 1 ELSE 6 END AS applied
+       FROM (SELECT doc_id, text, length(text) AS n FROM documents)""",
+)
+def offset_edits(spark, sf):
+    """Whole documents with insertions, deletions and replacements; some overlap, some lie outside."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id"), s(F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    n = F.length("content")
+
+    def edit(start, stop, text_):
+        return F.struct(F.lit(start).cast("bigint").alias("start") if isinstance(start, int) else start.cast("bigint").alias("start"),
+                        F.lit(stop).cast("bigint").alias("stop") if isinstance(stop, int) else stop.cast("bigint").alias("stop"), F.lit(text_).alias("text"))
+
+    long = F.array(
+        edit(0, 0, "AB"), edit(2, 5, "C"), edit(4, 9, "overlaps"), edit(10, 13, ""), edit(12, 12, "inside"), edit(14, 14, "long insert"),
+        edit(20, 27, "😀"), edit(26, 30, "overlaps too"), edit(n, n, "end"), edit(n, n + 1, "outside"), edit(33, 31, "backwards"),
+    )
+    short = F.array(edit(0, 0, "AB"), edit(n + 5, n + 6, "outside"))
+    edits_ = docs.select("path", F.explode(F.when(n < 40, short).otherwise(long)).alias("e")).select("path", "e.*")
+    rows = edits.applied(docs, edits_)
+    return rows.select(F.col("path").cast("bigint").alias("key"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.col("applied").cast("int").alias("applied"))
+
+
+@query(
+    "migration_links",
+    """SELECT o_orderkey AS key, c_custkey IS NOT NULL AS changed,
+         '---' || chr(10) || 'source: "' || CASE WHEN c_custkey IS NULL THEN 'converted/n ' || o_custkey || '.pdf' ELSE '_resources/n ' || o_custkey || '.pdf' END || '"' || chr(10)
+         || '---' || chr(10) || '[[n ' || o_custkey || '.pdf]] ![[' || CASE WHEN c_custkey IS NULL THEN 'converted/n ' ELSE 'raw/c/_resources/n ' END || o_custkey || '.pdf|x]] [t]('
+         || CASE WHEN c_custkey IS NULL THEN 'converted/n%20' ELSE 'raw/c/_resources/n%20' END || o_custkey || '.pdf#p) [[' ||
+         CASE WHEN c_custkey IS NULL THEN 'converted/N ' || o_custkey ELSE 'raw/c/N ' || o_custkey END || '|y]] ![i](' ||
+         CASE WHEN c_custkey IS NULL THEN 'raw/c/converted/n ' ELSE 'raw/c/_resources/n ' END || o_custkey || '.pdf) [[Order ' || o_orderkey || ']]' AS content
+       FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) ON c_custkey = o_custkey""",
+)
+def migration_links(spark, sf):
+    """Order notes that cite files of an older layout by every kind of link; two thirds of those files move."""
+    key, k = F.col("o_orderkey"), s(F.col("o_custkey"))
+    owners = table(spark, sf, "customer").select(F.col("c_custkey"), s(F.col("c_custkey")).alias("k"))
+    moves = owners.where("c_custkey % 3 > 0").select(F.explode(F.array(
+        F.struct(_cat("raw/c/converted/n ", F.col("k"), ".pdf").alias("old"), _cat("raw/c/_resources/n ", F.col("k"), ".pdf").alias("new")),
+        F.struct(_cat("raw/c/converted/N ", F.col("k"), ".md").alias("old"), _cat("raw/c/N ", F.col("k"), ".md").alias("new")),
+    )).alias("m")).select("m.*")
+    notes = table(spark, sf, "orders").select(
+        key, _cat("raw/c/Order ", s(key), ".md").alias("path"),
+        _cat('---\nsource: "converted/n ', k, '.pdf"\n---\n[[n ', k, ".pdf]] ![[converted/n ", k, ".pdf|x]] [t](converted/n%20", k, ".pdf#p) [[converted/N ", k,
+             "|y]] ![i](raw/c/converted/n ", k, ".pdf) [[Order ", s(key), "]]").alias("content"),
+    )
+    files = notes.select("path").unionByName(owners.select(_cat("raw/c/converted/n ", F.col("k"), ".pdf").alias("path"))).unionByName(
+        owners.select(_cat("raw/c/converted/N ", F.col("k"), ".md").alias("path"))
+    )
+    done = edits.applied(notes, edits.migration_edits(notes.select("path", "content"), files, moves)).select("path", F.col("content").alias("_new"))
+    rows = notes.join(done, "path", "left")
+    return rows.select(F.col("o_orderkey").alias("key"), F.col("_new").isNotNull().alias("changed"), F.coalesce("_new", "content").alias("content"))
+
+
+@query(
+    "log_after_moves",
+    """SELECT event_id AS line_no, 'raw/' || CASE WHEN user_id % 3 = 0 THEN 'new' ELSE 'users' END || '/u' || user_id || '.md' AS file, user_id % 3 = 0 AS moved
+       FROM events WHERE event_id % 97 <> 5 AND event_id % 101 <> 7""",
+)
+def log_after_moves(spark, sf):
+    log = documents_vault.event_log(spark, sf)
+    users = table(spark, sf, "events").where("user_id % 3 = 0").select(s(F.col("user_id")).alias("u")).distinct()
+    moves = users.select(_cat("raw/users/u", F.col("u"), ".md").alias("old"), _cat("raw/new/u", F.col("u"), ".md").alias("new"))
+    lines = edits.log_after_moves(log, moves).where(F.try_parse_json("value").isNotNull())
+    return lines.select("line_no", F.get_json_object("value", "$.file").alias("file"), "moved")
+
+
 # streams ---------------------------------------------------------------------------------------
 def _work_folder(spark) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
