@@ -144,3 +144,15 @@ def ingest_order_key(path: Column, mtime: Column) -> Column:
 
     clock = F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd'T'HH:mm:ss")
     return F.coalesce(text.let(F.try_element_at(hits, F.lit(-1)), coded), clock)
+
+
+def from_argument(c: Column) -> Column:
+    """A day given as year-month-day, day-month-year or year/month/day; NULL for anything else."""
+    def day(pattern: str, year: int, month: int, date: int) -> Column:
+        parts = [F.regexp_extract(c, pattern, i) for i in (year, month, date)]
+        return F.when(c.rlike(pattern), F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d"))
+
+    return F.coalesce(
+        day(r"\A([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\z", 1, 2, 3), day(r"\A([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})\z", 3, 2, 1),
+        day(r"\A([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})\z", 1, 2, 3),
+    )

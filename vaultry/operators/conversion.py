@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths, text
 from ..session import checkpointed
+from .mail import text_callout
 
 # The line that names a note's source, the lines it is looked for in, and files that are no originals.
 _SOURCE = r"""\Asource:\s*"?([^"\n]*?)"?\s*\z"""
@@ -133,3 +134,77 @@ def match(notes: DataFrame, files: DataFrame) -> DataFrame:
     fuzzy = _settled(rest.select("note", "order", "original"), _only_free)
     found = exact.select("note", "original", F.lit("exact").alias("way")).unionByName(fuzzy.select("note", "original", F.lit("fuzzy").alias("way")))
     return scanned.select("note").join(found, "note", "left").withColumn("way", F.coalesce("way", F.lit("none")))
+
+
+# companions ------------------------------------------------------------------------------------
+# How a front-matter block and the header fence of a mail begin.
+_FRONT = r"(?s)\A---\r?\n(.*?)\n---\n?"
+_HEADER = r"\A(?:Date|From|To|CC|BCC|Subject):"
+
+
+def _after_blanks(lines: Column, at: Column) -> Column:
+    """First place from ``at`` on whose line is not blank, or the number of lines."""
+    return F.coalesce(
+        F.array_min(F.filter(F.transform(lines, lambda l, i: F.when(text.strip(l) != "", i)), lambda i: i >= at)), F.size(lines)
+    )
+
+
+def preamble_split(body: Column) -> Column:
+    """Struct (preamble, rest): a leading first-level heading and the fenced header of a mail stay apart from the text.
+
+    A rule that follows the header goes.
+    """
+    def split(lines: Column) -> Column:
+        line = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+        titled = line(F.lit(0)).startswith("# ")
+
+        def headed(at: Column) -> Column:
+            marks = F.filter(F.transform(lines, lambda l, i: F.when(text.strip(l) == "```", i)), lambda i: i > at + 1)
+            fence = (text.strip(line(at)) == "```") & text.strip(line(at + 1)).rlike(_HEADER)
+            close = F.when(fence, F.array_min(marks))
+
+            def ended(end: Column) -> Column:
+                def ruled(next_: Column) -> Column:
+                    return F.when(text.strip(line(next_)) == "---", _after_blanks(lines, next_ + 1)).otherwise(next_)
+
+                start = F.when(end.isNull(), at).otherwise(text.let(_after_blanks(lines, end + 1), ruled))
+                header = F.slice(lines, at + 1, end - at + 1)
+                title = F.when(titled, F.array(line(F.lit(0)))).otherwise(F.array().cast("array<string>"))
+                gap = F.when(titled, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+                pre = F.when(end.isNull(), title).otherwise(F.concat(title, gap, header))
+                rest = text.let(start, lambda s: F.array_join(F.slice(lines, s + 1, F.greatest(F.size(lines) - s, F.lit(0))), "\n"))
+                return F.struct(F.array_join(pre, "\n").alias("preamble"), text.rstrip(rest).alias("rest"))
+
+            return text.let(close, ended)
+
+        return text.let(F.when(titled, _after_blanks(lines, F.lit(1))).otherwise(F.lit(0)), headed)
+
+    return text.let(text.lines(F.regexp_replace(body, r"\A\n+", "")), split)
+
+
+def pointed_front(front: Column, source: Column, now: str) -> Column:
+    """Front matter (without its marks, NULL if there is none) whose ``source:`` names ``source``."""
+    entry = F.concat(F.lit('source: "'), source, F.lit('"'))
+
+    def put(lines: Column) -> Column:
+        replaced = F.transform(lines, lambda l: F.when(l.startswith("source:"), entry).otherwise(l))
+        given = F.exists(lines, lambda l: l.startswith("source:"))
+        return F.array_join(F.when(given, replaced).otherwise(F.concat(lines, F.array(entry))), "\n")
+
+    return F.when(front.isNull(), F.concat(entry, F.lit(f"\nconverted: {now}"))).otherwise(text.let(text.lines(front), put))
+
+
+def companion(legacy: Column, original: Column, source: Column, now: str) -> Column:
+    """Companion note made of a converted note: its front matter, an embed of the original, its preamble, and its text in a callout."""
+    closed = legacy.rlike(_FRONT)
+    front = F.when(closed, F.regexp_extract(legacy, _FRONT, 1))
+    body = F.when(closed, F.regexp_replace(legacy, _FRONT, "")).otherwise(legacy)
+
+    def built(parts: Column) -> Column:
+        pre = F.when(parts["preamble"] != "", F.concat(F.lit("\n"), parts["preamble"], F.lit("\n"))).otherwise("")
+        return F.concat(
+            F.lit("---\n"), pointed_front(front, source, now), F.lit("\n---\n\n![["), original, F.lit("]]\n"), pre,
+            F.lit("\n"), text_callout(parts["rest"]), F.lit("\n"),
+        )
+
+    return text.let(preamble_split(body), built)

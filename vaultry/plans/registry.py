@@ -32,6 +32,7 @@ def load_all() -> None:
         index_queries,
         ingest_queries,
         link_queries,
+        notes_queries,
         text_queries,
         change_queries,
     )

@@ -100,15 +100,6 @@ def after_moves(files: DataFrame, moves: DataFrame) -> DataFrame:
     return renamed.withColumn("path", F.coalesce("_new", "path")).select(files.columns)
 
 
-def from_binary_files(files: DataFrame, root_uri: str) -> DataFrame:
-    """The same table from Spark's ``binaryFile`` source, for object stores without odd names."""
-    prefix = root_uri.rstrip("/") + "/"
-    return files.select(
-        F.regexp_replace(F.substring_index("path", prefix, -1), r"\A/+", "").alias("path"), "length",
-        F.unix_timestamp("modificationTime").alias("mtime"), "content",
-    )
-
-
 def as_text(files: DataFrame, strict: bool = False) -> DataFrame:
     """Content decoded as UTF-8; ``strict`` drops files that are not valid UTF-8."""
     if strict:
