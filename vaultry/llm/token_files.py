@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chunks
+from .piece_table import PieceTable, resolve
 from .shared import text_slices, texts_of, trimmed, work_folder
 
-#: Pieces whose ids a worker keeps; a bound on memory only.
-KNOWN_PIECES = 1_000_000
+#: Chunks whose ids a worker keeps; a bound on memory only.
+KNOWN_PIECES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,13 @@ def _library(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, chunks.Known(KNOWN_PIECES)
+    return tokenizer, PieceTable(KNOWN_PIECES)
 
 
 def _ids_of(words: pa.Array, path: str) -> pa.ListArray:
     """Ids of different chunks by the tokenizers library; a worker encodes a piece again only after it has forgotten it."""
     tokenizer, known = _library(path)
-    return chunks.resolve(
+    return resolve(
         words, known, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
     )
 
@@ -59,7 +60,7 @@ def write(
     """Encode ``doc_id, text`` of every row and write the ids with ``end_id`` after each document.
 
     A NULL or empty text is its end id alone.  Rows with a NULL ``doc_id`` come first; rows with one ``doc_id`` are written
-    each, side by side in no stated order.  Other columns are not read.  An empty table gives an empty set.
+    each, sorted by a digest of their texts.  Other columns are not read.  An empty table gives an empty set.
     """
     spark = docs.sparkSession
     folder = work_folder(spark, "tokens")
@@ -86,7 +87,8 @@ def write(
                 })
                 at += int(ends[-1])
 
-    rows = ranged.sortWithinPartitions("doc_id").mapInArrow(
+    # rows of one doc_id lie in one range: a digest of the text orders them, so positions do not change between runs
+    rows = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(
         trimmed(run), "doc_id long, file_start long, n_tokens long, ids array<int>"
     )
     out = TokenFiles(f"{folder}/data", f"{folder}/manifest")
