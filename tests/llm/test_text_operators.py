@@ -198,80 +198,6 @@ def test_token_files(spark, odd, none):
     assert token_files.read(spark, token_files.write(none, PATH)).count() == 0
 
 
-# language model
-
-
-def test_language_model(spark, none):
-    rng = np.random.default_rng(2)
-    vocabulary = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(vocabulary[: 3 + i % 27], 40)) for i in range(80)] + [None, "", "Unseen WORDS here", "w1 w1 w1"]
-    docs = documents(spark, texts)
-    settings = lm.Settings(word_share=1e-3, gram_share=1e-3)
-    got = {r.doc_id: r for r in lm.scored(docs, settings).collect()}
-    assert len(got) == len(texts)
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in got}
-    counts = Counter()
-    for i, t in enumerate(texts):
-        if not held[i]:
-            counts.update([*words(lower(t)), "\n"])
-    n, v = sum(counts.values()), len(counts)
-    for i, t in enumerate(texts):
-        tokens = [*words(lower(t)), "\n"]
-        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.train_tokens, r.n_known) == (held[i], len(tokens), n, sum(counts[w] > 0 for w in tokens))
-        assert r.base_score == pytest.approx(base) and r.score <= 0
-    # another split into blocks changes nothing
-    small = lm._counted(lm.blocks(docs, block_bytes=100), settings)[1]
-    whole = lm._counted(lm.blocks(docs), settings)[1]
-    assert small == whole
-    # every state's probabilities sum to one over all words and the unknown one
-    coded = lm.blocks(docs)
-    back, unigrams = lm._counted(coded, settings)
-    automaton = lm.fit(lm._ready(coded, back, unigrams), unigrams, settings)
-    assert len(automaton.fails) > 1 + len(unigrams.frequent) and automaton.arcs
-    rest = sum(10 ** float(unigrams.log10(c)) for w, c in counts.items() if w not in unigrams.frequent)
-    unknown = 10 ** float(unigrams.log10(0)) + rest
-    for state in range(len(automaton.fails)):
-        total, back_off, s = 0.0, 0.0, state
-        for w in range(len(unigrams.frequent)):
-            total += 10 ** automaton.step(state, w)[0]
-        while s:
-            back_off += automaton.backoff[s]
-            s = automaton.fails[s]
-        assert total + 10**back_off * unknown == pytest.approx(1)
-    assert lm.scored(none).count() == 0
-
-
-def test_language_model_odd_rows(odd):
-    got = lm.scored(odd).collect()
-    assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
-
-
-def test_language_model_keeps_rare_grams(spark):
-    """What occurs a few times is in the model however long the corpus is, and the shards say what one automaton says."""
-    rng = np.random.default_rng(4)
-    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 30)) for _ in range(60)] + ["alpha beta gamma delta"] * 5
-    texts = ["filler " * 700_000, *texts]  # document 0 is in the training fold
-    docs = documents(spark, texts)
-    coded = lm.blocks(docs, block_bytes=2000)
-    back, unigrams = lm._counted(coded, lm.Settings())
-    automaton = lm.fit(lm._ready(coded, back, unigrams), unigrams, lm.Settings())
-    number = {w: i for i, w in enumerate(unigrams.frequent)}
-    assert unigrams.tokens * 1e-5 > 5
-    shards, lm.SHARD_ENTRIES = lm.SHARD_ENTRIES, 1 << 15
-    try:
-        got = {r.doc_id: r for r in lm.scored(docs).collect()}
-    finally:
-        lm.SHARD_ENTRIES = shards
-    for i, text in enumerate(texts):
-        found = [number.get(w, -1) for w in [*text.split(), "\n"]]
-        singles = [automaton.single[w] if w >= 0 else float(unigrams.log10(1)) for w in found]
-        if all(w >= 0 for w in found):
-            assert got[i].score == pytest.approx(automaton.traverse(found, singles))
-    assert got[len(texts) - 1].score > got[len(texts) - 1].base_score + 10
-
-
 # mixing
 
 

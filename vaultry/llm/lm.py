@@ -1,39 +1,48 @@
 """Language-model scores by a weighted backoff automaton.
 
-The tokens of all training documents are counted.  N-grams that occur twice become states, their continuations weighted arcs, and a
-failure arc leads from every state to the one of its longest shorter suffix, at the price of the backoff weight.  The state before a
-word is the longest kept suffix of what precedes it, so two words before it name it: states and arcs lie in shards by the hash of
-their words, grow with the corpus, and no process holds all of them.
-
-Documents are coded in blocks of some megabytes: a block has its own list of words and the texts as numbers.  Only the words and
-n-grams of a block, with their counts, are exchanged with the other blocks, so the volume follows what is different in blocks, not the
-tokens, and a word or n-gram that every document has is one entry for each block.  Words and n-grams go by hashes of 64 bits: among ``n``
-different ones about ``n * n / 2**65`` pairs share a hash and are counted together.
+The tokens of all training documents are counted.  Words, pairs and triples that occur twice are kept, their probabilities smoothed by an
+absolute discount.  Kept words and pairs are states; a kept pair is an arc from its first word, a kept triple one from its first pair, each with
+its log probability and the next state.  A failure arc leads from a pair to its second word and from a word to the empty state, at the price
+of the backoff weight.  The automaton is compiled into sorted arrays in files below the shared folder, which scoring tasks map into
+memory; it grows with the corpus, and no process reads more of it than its texts need.
+
+A text is scored by one traversal from left to right that carries the state.  Many stretches of text go side by side; a long text is
+cut into stretches that begin two words early, since a state holds two words at most and nothing further back can reach it.
+
+Documents are coded in blocks of some megabytes, each with its own list of words and the texts as numbers.  Only a block's different
+words, pairs and triples with their counts are sent, once each.  Words go by hashes of 64 bits: among ``n`` different ones about
+``n * n / 2**65`` pairs share a hash and are counted together.  Pairs and triples are exact.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod5, stored, text_slices, texts_of, trimmed, words_of
+from .shared import bounded_sample, crc_mod5, stored, text_slices, texts_of, trimmed, words_of, work_folder
 
 #: Stands for the end of a text; no word has a line feed.
 END = "\n"
-BLOCK_BYTES = 8 << 20
-#: About as many n-grams of all blocks meet in a shard.
-SHARD_ENTRIES = 1 << 20
+BLOCK_BYTES = 16 << 20
+#: About as many entries of all blocks meet in a shard, and about as many lie in a compiled file.
+SHARD_ENTRIES, FILE_ENTRIES = 1 << 21, 1 << 26
+#: Blocks whose keys show how to cut the shards (their sizes, not what is counted), and keys taken of each.
+SAMPLE_BLOCKS, SAMPLE_KEYS = 64, 4096
+#: Tokens of a stretch that goes through the automaton, without the words it begins early.
+STRETCH = 512
 
 
 @dataclass(frozen=True)
@@ -122,428 +131,468 @@ def _log10(count, tokens: int, different: int):
     return np.log10((count + 0.5) / (tokens + 0.5 * (different + 1)))
 
 
+# stored arrays ---------------------------------------------------------------------------------
+def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Arrays as a file, complete under its name; a task that is repeated finds the equal file there."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+    path, part = f"{root}/{name}", f"{root}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        for array in arrays:
+            if len(array):
+                out.write(pa.py_buffer(np.ascontiguousarray(array)))
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        store.move(part, path)
+    else:
+        store.delete_file(part)
+
+
+@functools.lru_cache(maxsize=512)
+def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
+    store, root = fs.FileSystem.from_uri(folder)
+    path = f"{root}/{name}"
+    if not store.get_file_info(path).size:
+        return np.zeros(0, kind)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.asarray(np.memmap(path, kind, "r"))
+    with store.open_input_file(path) as file:
+        return np.frombuffer(file.read(), kind)
+
+
 @dataclass(frozen=True)
-class Unigrams:
-    """``tokens`` of training, ``whole`` with all others; ``least`` occurrences make a word a context.  The words themselves stay in ``known`` until they are asked for."""
+class Table:
+    """Arrays by the order of their ``keys``, in files: where each begins, its first key, and the kind of every column."""
+
+    folder: str
+    name: str
+    starts: tuple[int, ...]
+    firsts: tuple[int, ...]
+    n: int
+    columns: tuple[tuple[str, str], ...]
+
+    def column(self, name: str, file: int) -> np.ndarray:
+        return _mapped(self.folder, f"{self.name}-{name}-{file}", dict(self.columns)[name])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that are not there."""
+        out = np.full(len(keys), -1, np.int64)
+        if not self.n or not len(keys):
+            return out
+        file_of = np.maximum(np.searchsorted(np.asarray(self.firsts, np.uint64), keys, side="right") - 1, 0) if len(self.starts) > 1 else None
+        for file in range(len(self.starts)) if file_of is None else np.unique(file_of):
+            here = slice(None) if file_of is None else np.flatnonzero(file_of == file)
+            there, wanted = self.column("keys", int(file)), keys[here]
+            at = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+            out[here] = np.where(there[at] == wanted, at + self.starts[file], -1)
+        return out
+
+    def take(self, name: str, places: np.ndarray) -> np.ndarray:
+        if len(self.starts) == 1:
+            return self.column(name, 0)[places]
+        out = np.zeros(len(places), dict(self.columns)[name])
+        if len(places):
+            file_of = np.searchsorted(np.asarray(self.starts), places, side="right") - 1
+            for file in np.unique(file_of):
+                here = np.flatnonzero(file_of == file)
+                out[here] = self.column(name, int(file))[places[here] - self.starts[file]]
+        return out
+
+
+def _gathered(frame: DataFrame, emit: Callable, finish: Callable, entries: int, folder: str, name: str, columns: tuple) -> tuple[Table, int]:
+    """Sums of ``emit(batch, i) -> keys, values`` over all rows, as a table of what ``finish(keys, sums)`` keeps; and the number of keys.
+
+    ``keys`` are sorted and different in a row of ``frame``; shards are ranges of keys of about equal weight, so a context with very many
+    continuations is cut as well.  ``finish`` returns the arrays of ``columns``, keys first.
+    """
+    spark = frame.sparkSession
+    shards = 1 + entries // SHARD_ENTRIES
+    edges = _edges(frame, emit, shards)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, values = emit(batch, i)
+                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    if b > a:
+                        yield pa.RecordBatch.from_pydict({
+                            "shard": pa.array([k], pa.int32()), "keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0)))], pa.binary()),
+                            "values": pa.array([_packed(values[:, a:b])], pa.binary()), "kind": pa.array([values.dtype.str]),
+                        })
+
+    def meet(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+        parts = [np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64) for keys, _, _ in rows]
+        values = np.concatenate([_unpacked(v, np.dtype(kind)).reshape(-1, len(p)) for p, (_, v, kind) in zip(parts, rows)], axis=1)
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sums = np.add.reduceat(values[:, order].astype(np.float64), heads, axis=1)
+        kept = finish(keys[heads], sums)
+        for (column, kind), array in zip(columns, kept):
+            _write(folder, f"{name}-{column}.{shard}", np.asarray(array).astype(kind))
+        return pa.RecordBatch.from_pydict({
+            "shard": pa.array([shard], pa.int32()), "n": pa.array([len(kept[0])], pa.int64()), "seen": pa.array([int((sums[0] > 0).sum())], pa.int64()),
+            "first": pa.array([str(kept[0][0]) if len(kept[0]) else "0"]),
+        })
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "values", "kind"))):
+                if shard is not None and row[0] != shard:
+                    yield meet(shard, rows)
+                    rows = []
+                shard = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield meet(shard, rows)
+
+    sent = frame.mapInArrow(trimmed(cut), "shard int, keys binary, values binary, kind string")
+    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    made = stored(dealt.mapInArrow(trimmed(merge), "shard int, n long, seen long, first string"), f"lm-{name}")
+    found = sorted(made.collect())  # a row for every shard
+    return _compiled(spark, folder, name, columns, [(r.shard, r.n, int(r.first)) for r in found if r.n]), sum(r.seen for r in found)
+
+
+def _edges(frame: DataFrame, emit: Callable, shards: int) -> np.ndarray:
+    """Keys that cut what a sample of rows emits into equal parts."""
+    if shards == 1:
+        return np.zeros(0, np.uint64)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, _ = emit(batch, i)
+                if len(keys):
+                    taken = keys[np.linspace(0, len(keys) - 1, min(len(keys), SAMPLE_KEYS)).astype(np.int64)]
+                    yield pa.RecordBatch.from_pydict({"keys": pa.array([taken.tobytes()], pa.binary())})
+
+    rows = bounded_sample(frame, ["block"], SAMPLE_BLOCKS).mapInArrow(trimmed(some), "keys binary").collect()
+    keys = np.sort(np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])) if rows else np.zeros(1, np.uint64)
+    return np.unique(keys[np.arange(1, shards) * len(keys) // shards])
+
+
+def _compiled(spark: SparkSession, folder: str, name: str, columns: tuple, shards: list[tuple[int, int, int]]) -> Table:
+    """Shards (number, size, first key) in order put together into few large files."""
+    files, starts, firsts, total = [], [], [], 0
+    for shard, n, first in shards:
+        if not files or total + n - starts[-1] > FILE_ENTRIES:
+            files.append([])
+            starts.append(total)
+            firsts.append(first)
+        files[-1].append(shard)
+        total += n
+    jobs = [(column, kind, k, part) for column, kind in columns for k, part in enumerate(files)]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column, kind, k, part in zip(*(batch.column(c).to_pylist() for c in ("column", "kind", "k", "part"))):
+                _write(folder, f"{name}-{column}-{k}", *(_mapped(folder, f"{name}-{column}.{x}", kind) for x in part))
+            yield batch.select(["k"])
+
+    if jobs:
+        frame = spark.createDataFrame(jobs, "column string, kind string, k int, part array<int>").repartition(len(jobs))
+        frame.mapInArrow(join, "k int").count()
+    return Table(folder, name, tuple(starts), tuple(firsts), total, columns)
+
+
+# the model -------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Model:
+    """Tables by word hash, word number, pair and triple, and the totals of training.
+
+    ``words``: count and number (-1 for words that are no contexts); ``kept``: counts of the numbered words; ``pairs`` and ``triples``: arcs; a pair's
+    place is its number; ``word_weights``, ``pair_weights``: backoff weights by number, where there is one.
+    """
 
     tokens: int
     different: int
-    least: int
-    whole: int
-    known: DataFrame = field(compare=False, repr=False)
+    width: int
+    words: Table
+    kept: Table
+    pairs: Table
+    triples: Table
+    word_weights: Table
+    pair_weights: Table
+
+    def single(self, counts: np.ndarray) -> np.ndarray:
+        return _log10(counts.astype(float), self.tokens, self.different)
+
+    def weight(self, table: Table, numbers: np.ndarray) -> np.ndarray:
+        at = table.find(numbers.astype(np.uint64))
+        return np.where(at >= 0, table.take("weight", np.maximum(at, 0)) if table.n else 0.0, 0.0)
 
-    @cached_property
-    def _rows(self) -> list:
-        return self.known.orderBy(F.desc("c"), "word").collect()
 
-    @property
-    def frequent(self) -> list[str]:
-        return [r.word for r in self._rows]
+@dataclass(frozen=True)
+class _Block:
+    """A block's tokens: counts and numbers of their words, texts' bounds, and what is training."""
+
+    counts: np.ndarray
+    numbers: np.ndarray
+    lengths: np.ndarray
+    text: np.ndarray
+    training: np.ndarray
+
+
+def _block(batch: pa.RecordBatch, i: int, words: Table) -> _Block:
+    codes = _unpacked(batch.column("codes")[i].as_py(), np.int32)
+    at = words.find(_unpacked(batch.column("hashes")[i].as_py(), np.uint64))
+    there = np.maximum(at, 0)
+    counts = np.where(at >= 0, words.take("count", there) if words.n else 0, 0)[codes]
+    numbers = np.where(at >= 0, words.take("number", there) if words.n else -1, -1)[codes]
+    lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    held = batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+    return _Block(counts, numbers, lengths, text, ~held[text])
 
-    @property
-    def counts(self) -> list[int]:
-        return [r.c for r in self._rows]
 
-    def log10(self, count):
-        return _log10(count, self.tokens, self.different)
+def _pairs(block: _Block, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of training tokens that end a pair of numbered words, and the pairs' keys."""
+    a, b = block.numbers[:-1], block.numbers[1:]
+    at = np.flatnonzero((a >= 0) & (b >= 0) & (block.text[:-1] == block.text[1:]) & block.training[1:])
+    return at + 1, a[at].astype(np.uint64) * np.uint64(width) + b[at].astype(np.uint64)
 
 
-def _words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the block in row ``i``, in order, and their places in its list."""
-    hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], order
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    different, counts = np.unique(keys, return_counts=True)
+    return different, counts.astype(np.int32)[None]
 
 
-def _counted(coded: DataFrame, settings: Settings) -> tuple[DataFrame, Unigrams]:
-    """``block, global``: global counts of every block's words in the order of their hashes; and the corpus's totals."""
+def fit(coded: DataFrame, settings: Settings = Settings()) -> Model:
+    """Count the training documents of :func:`blocks` and compile the automaton."""
+    spark = coded.sparkSession
+    folder = work_folder(spark, "lm-automaton")
     size = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
     tokens, whole = (x or 0 for x in coded.select(size("counts"), size("lengths")).first())
-    least = _least(settings, settings.word_share, tokens)
+    least, often = _least(settings, settings.word_share, tokens), _least(settings, settings.gram_share, tokens)
+    discount = settings.discount
 
-    def emit(batch: pa.RecordBatch, i: int):
-        keys, order = _words(batch, i)
-        return keys, np.asarray(batch.column("counts")[i].values, np.float64)[order][None]
+    def word_counts(batch: pa.RecordBatch, i: int):
+        hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)
+        counts = np.asarray(batch.column("counts")[i].values, np.int64)
+        order = np.flatnonzero(counts)[np.argsort(hashes[counts > 0], kind="stable")]
+        return hashes[order], counts[order][None]
 
-    back, different = _exchanged(coded.select("block", "hashes", "counts"), emit, lambda sums: sums[0], 1 + whole // SHARD_ENTRIES, "global")
-    rows = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).groupBy(F.col("e.words").alias("word"))
-    known = rows.agg(F.sum("e.counts").alias("c")).where(F.col("c") >= least)
-    return back, Unigrams(tokens, different, least, whole, known)
+    counted, different = _gathered(
+        coded.select("block", "hashes", "counts"), word_counts, lambda keys, sums: (keys, sums[0]), whole, folder, "counts", (("keys", "<u8"), ("count", "<i8"))
+    )
+    words, kept = _numbered(spark, counted, least)
+    width = max(kept.n, 1)
+    if kept.n and kept.n * max(whole, 1) >= 1 << 63:
+        raise ValueError("too many words and pairs for keys of 64 bits")
 
+    arcs = (("keys", "<u8"), ("count", "<i8"))
+    narrow = coded.select("block", "codes", "hashes", "lengths", "held")
 
-def _ready(coded: DataFrame, back: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Blocks whose words have given way to their hashes and global counts."""
-    kind = coded.schema["ids"].dataType.simpleString()
+    def frequent(keys: np.ndarray, sums: np.ndarray):
+        enough = sums[0] >= often
+        return keys[enough], sums[0][enough]
 
-    least = unigrams.least
+    def pair_counts(batch: pa.RecordBatch, i: int):
+        return _counted(_pairs(_block(batch, i, words), width)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                hashes, order = _words(row, 0)
-                counts = np.empty(len(order), np.int64)
-                counts[order] = _returned(row, 0, "global")[0]
-                plain = np.empty(len(order), np.uint64)
-                plain[order] = hashes
-                plain[counts < least] = 0  # such words are in no n-gram
-                yield pa.RecordBatch.from_pydict({
-                    **{c: row.column(c) for c in ("block", "ids", "held", "lengths", "codes")},
-                    "hashes": pa.array([_packed(plain)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
-                })
+    none = Table(folder, "none", (), (), 0, arcs)
+    pairs = _gathered(narrow, pair_counts, frequent, whole, folder, "pairs", arcs)[0] if settings.order > 1 else none
 
-    joined = coded.drop("counts", "words").join(back, "block")
-    schema = f"block long, ids {kind}, held array<boolean>, lengths array<long>, codes binary, hashes binary, counts binary"
-    return stored(joined.mapInArrow(trimmed(run), schema), "lm-ready")
+    def triple_counts(batch: pa.RecordBatch, i: int):
+        block = _block(batch, i, words)
+        at, keys = _pairs(block, width)
+        number = np.full(len(block.numbers), -1, np.int64)
+        unique, of = np.unique(keys, return_inverse=True)
+        number[at] = pairs.find(unique)[of]
+        end = at[(number[at] >= 0) & (number[at - 1] >= 0) & (block.text[at - 1] == block.text[at])]
+        return _counted(number[end - 1].astype(np.uint64) * np.uint64(width) + block.numbers[end].astype(np.uint64))
 
+    triples = _gathered(narrow, triple_counts, frequent, whole, folder, "triples", arcs)[0] if settings.order > 2 and pairs.n else none
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A permutation of the numbers of 64 bits without visible order."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    # probabilities and next states of the arcs, and what each context gives away
+    def pair_arcs(keys: np.ndarray, counts: np.ndarray):
+        a, b = (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64)
+        below = 10 ** _log10(kept.take("count", b).astype(float), tokens, different)
+        return a, (counts - discount) / kept.take("count", a), below, b
 
+    def triple_arcs(keys: np.ndarray, counts: np.ndarray):
+        p, c = (keys // np.uint64(width)).astype(np.int64), keys % np.uint64(width)
+        b = pairs.take("keys", p) % np.uint64(width)
+        after = pairs.find(b * np.uint64(width) + c)  # a kept triple's last pair is kept
+        below = (pairs.take("count", after) - discount) / kept.take("count", b.astype(np.int64))
+        return p, (counts - discount) / pairs.take("count", p), below, after
 
-def _joint(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(context + np.uint64(0x9E3779B97F4A7C15)) + word)
+    pairs, word_weights = _weighed(spark, pairs, pair_arcs, whole)
+    triples, pair_weights = _weighed(spark, triples, triple_arcs, whole)
+    return Model(tokens, different, width, words, kept, pairs, triples, word_weights, pair_weights)
 
 
-class _Grams:
-    """Pairs and triples of kept words in the block of row ``i``.
+def _pieces(spark: SparkSession, table: Table, size: int = SHARD_ENTRIES) -> DataFrame:
+    """Stretches of a table's files as rows: block, file, begin, end, start (of the file in the table)."""
+    rows, sizes = [], np.diff([*table.starts, table.n])
+    for file, (start, n) in enumerate(zip(table.starts, sizes.tolist())):
+        rows += [(len(rows) + k, file, a, min(a + size, n), start) for k, a in enumerate(range(0, n, size))]
+    frame = spark.createDataFrame(rows, "block long, file int, begin long, end long, start long")
+    return frame.repartition(max(len(rows), 1), "block")
 
-    ``at`` are the places where one ends, ``keys`` the different ones in order, ``of`` the number of the key by place, and ``example``
-    a place of every key.
-    """
 
-    def __init__(self, batch: pa.RecordBatch, i: int, least: int):
-        codes = _unpacked(batch.column("codes")[i].as_py(), np.int32)
-        self.known = _unpacked(batch.column("counts")[i].as_py(), np.int64)[codes]
-        self.hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)[codes]
-        self.lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.training = np.repeat(~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool), self.lengths)
-        self.inside = np.ones(len(codes), bool)
-        self.inside[self.starts] = False
-        kept = self.known >= least
-        self.after = np.flatnonzero(self.inside & np.roll(kept, 1))  # a kept word precedes
-        self.at = self.after[kept[self.after]]
-        self._number(_joint(self.hashes[self.at - 1], self.hashes[self.at]))
-
-    def _number(self, keys: np.ndarray) -> None:
-        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
-        self.example = self.at[first]
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.of, self.training[self.at], len(self.keys))
-
-    def lengthen(self, counts: np.ndarray) -> None:
-        """From pairs, with the counts of all (0: not kept), to triples.  ``n2`` and ``pair``: count and key of the pair that ends at a place."""
-        self.n2, self.pair = np.zeros(len(self.known)), np.zeros(len(self.known), np.uint64)
-        self.n2[self.at], self.pair[self.at] = counts[self.of], self.keys[self.of]
-        self.paired = np.flatnonzero(self.inside & np.roll(self.n2 > 0, 1))  # a kept pair precedes
-        self.at = self.paired[self.n2[self.paired] > 0]
-        self._number(_joint(self.pair[self.at - 1], self.hashes[self.at]))
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the words and pairs that precede a word, and their numbers at ``after`` and ``paired``."""
-        keys, of = np.unique(np.concatenate((self.hashes[self.after - 1], self.pair[self.paired - 1])), return_inverse=True)
-        return keys, of[: len(self.after)], of[len(self.after) :]
-
-
-def _returned(batch: pa.RecordBatch, i: int, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """What the shards say to the keys of the block in row ``i``, and whether the block is the first that has the key."""
-    rows = batch.column(column)[i].as_py() or []
-    values, first = ([_unpacked(r[c], kind) for r in rows] for c, kind in (("value", np.float64), ("first", np.bool_)))
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (values, first))
-
-
-def _exchanged(
-    frame: DataFrame, emit: Callable, finish: Callable, shards: int, name: str,
-) -> tuple[DataFrame, int]:
-    """``block, <name>``: for the keys of every block, what ``finish`` makes of the sums over all blocks; and how many keys are above 0.
-
-    ``emit(batch, i)`` gives the different keys of the block in order, and values to be added, one row for each measure.  Keys go by
-    their size to ``shards``, where the blocks' pieces meet; a block has one entry for a key at most, so shards are alike in size.
-    """
-    width = -(-(1 << 64) // shards)
-    edges = np.asarray([k * width for k in range(1, shards)], np.uint64)
+def _piece(batch: pa.RecordBatch, i: int) -> tuple[int, int, int, int, int]:
+    return tuple(batch.column(c)[i].as_py() for c in ("block", "file", "begin", "end", "start"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, values = emit(batch, i)
-                bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                pieces = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([batch.column("block")[i].as_py()] * len(pieces), pa.int64()),
-                    "shard": pa.array([k for k, _, _ in pieces], pa.int32()),
-                    "keys": pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in pieces], pa.binary()),
-                    "sums": pa.array([_packed(values[:, a:b]) for _, a, b in pieces], pa.binary()),
-                })
 
-    def meet(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64) for _, _, keys, _ in rows]
-        values = np.concatenate([_unpacked(sums, np.float64).reshape(-1, len(p)) for p, (_, _, _, sums) in zip(parts, rows)], axis=1)
-        keys = np.concatenate(parts)
-        order = np.argsort(keys, kind="stable")  # blocks come in order
-        keys = keys[order]
-        new = np.diff(keys, prepend=~keys[:1]) != 0
-        sums = finish(np.add.reduceat(values[:, order], np.flatnonzero(new), axis=1))
-        value, first = np.empty(len(keys)), np.empty(len(keys), bool)
-        value[order], first[order] = sums[np.cumsum(new) - 1], new
-        ends = np.cumsum([len(p) for p in parts])[:-1]
-        return pa.RecordBatch.from_pydict({
-            "block": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int32()),
-            "value": pa.array([_packed(v) for v in np.split(value, ends)], pa.binary()),
-            "first": pa.array([_packed(v) for v in np.split(first, ends)], pa.binary()),
-            "above": pa.array([int((sums > 0).sum())] + [0] * (len(rows) - 1), pa.int64()),
-        })
+def _numbered(spark: SparkSession, counted: Table, least: int) -> tuple[Table, Table]:
+    """Numbers, in the order of their hashes, for words of ``least`` occurrences; and the table of those words' counts by number."""
+    folder = counted.folder
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "keys", "sums"))):
-                if rows and rows[0][1] != row[1]:
-                    yield meet(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield meet(rows)
-
-    sent = frame.mapInArrow(trimmed(cut), "block long, shard int, keys binary, sums binary")
-    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    back = stored(dealt.mapInArrow(trimmed(merge), "block long, shard int, value binary, first binary, above long"), f"lm-{name}")
-    above = back.agg(F.sum("above")).first()[0] or 0
-    return back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "value", "first"))).alias(name)), above
-
-
-def _model(ready: DataFrame, unigrams: Unigrams, settings: Settings) -> DataFrame:
-    """``ready`` with ``pairs``, ``triples`` (counts of those that the block has, 0 if not kept) and ``weights`` (backoff, log10)."""
-    tokens, different, known, discount = unigrams.tokens, unigrams.different, unigrams.least, settings.discount
-    least = _least(settings, settings.gram_share, tokens)
-    shards = 1 + unigrams.whole // SHARD_ENTRIES
-
-    def pairs(batch: pa.RecordBatch, i: int):
-        grams = _Grams(batch, i, known)
-        return grams.keys, grams.counts()[None]
-
-    def triples(batch: pa.RecordBatch, i: int):
-        grams = _Grams(batch, i, known)
-        grams.lengthen(_returned(batch, i, "pairs")[0])
-        return grams.keys, grams.counts()[None]
-
-    def weights(batch: pa.RecordBatch, i: int):
-        """The shares that the arcs of a context take, and those of the same words one order below; each arc in one block."""
-        grams = _Grams(batch, i, known)
-        counts, own = _returned(batch, i, "pairs")
-        mine = np.flatnonzero((counts > 0) & (own > 0))
-        at = grams.example[mine]
-        of = [grams.hashes[at - 1]]
-        taken, below = [(counts[mine] - discount) / grams.known[at - 1]], [10 ** _log10(grams.known[at], tokens, different)]
-        grams.lengthen(counts)
-        counts, own = _returned(batch, i, "triples")
-        mine = np.flatnonzero((counts > 0) & (own > 0))
-        at = grams.example[mine]
-        of.append(grams.pair[at - 1])
-        taken.append((counts[mine] - discount) / grams.n2[at - 1])
-        below.append((grams.n2[at] - discount) / grams.known[at - 1])
-        keys, _, _ = grams.contexts()
-        place = np.searchsorted(keys, np.concatenate(of))
-        return keys, np.stack([np.bincount(place, np.concatenate(x), len(keys)) for x in (taken, below)])
-
-    def often(order: int) -> Callable:
-        return lambda sums: np.where((sums[0] >= least) & (settings.order >= order), sums[0], 0.0)
-
-    def weighed(sums: np.ndarray) -> np.ndarray:
-        return np.where(sums[0] > 0, np.log10(np.maximum(1 - sums[0], 1e-12) / np.maximum(1 - sums[1], 1e-12)), 0.0)
-
-    steps = (("pairs", pairs, often(2)), ("triples", triples, often(3)), ("weights", weights, weighed))
-    for name, emit, finish in steps:
-        ready = ready.join(_exchanged(ready, emit, finish, shards, name)[0], "block", "left")
-    return ready
-
-
-def _tokens(batch: pa.RecordBatch, i: int, unigrams_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent-word numbers and text bounds of the block in row ``i``."""
-    codes = _unpacked(batch.column("codes")[i].as_py(), np.int32)
-    hashes = _unpacked(batch.column("hashes")[i].as_py(), np.uint64)
-    order = np.argsort(unigrams_hashes)
-    ordered = unigrams_hashes[order]
-    at = np.minimum(np.searchsorted(ordered, hashes), len(order) - 1)
-    numbers = np.where(ordered[at] == hashes, order[at], -1) if len(order) else np.full(len(hashes), -1)
-    lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
-    return numbers[codes].astype(np.int64), np.concatenate(([0], np.cumsum(lengths)))
+            for i in range(len(batch)):
+                block, file, a, b, _ = _piece(batch, i)
+                yield pa.RecordBatch.from_pydict({"block": [block], "n": [int((counted.column("count", file)[a:b] >= least).sum())]})
 
+    pieces = _pieces(spark, counted)
+    sizes = sorted(pieces.mapInArrow(trimmed(sized), "block long, n long").collect()) if counted.n else []  # a row for every stretch
+    begins = np.concatenate(([0], np.cumsum([r.n for r in sizes]))).astype(int).tolist()
 
-def _grams(ready: DataFrame, contexts: dict[int, int], order: int, least: int, hashes: np.ndarray) -> dict[int, int]:
-    """Counts of the n-grams of ``order`` with at least ``least`` training occurrences, by ``context id * width + word``.
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, file, a, b, _ = _piece(batch, i)
+                count = counted.column("count", file)[a:b]
+                enough = count >= least
+                number = np.where(enough, begins[block] + np.cumsum(enough) - 1, -1)
+                for name, array in (("words-keys", counted.column("keys", file)[a:b]), ("words-count", count), ("words-number", number)):
+                    _write(folder, f"{name}.{block}", array)
+                _write(folder, f"kept-count.{block}", count[enough])
+                first = str(counted.column("keys", file)[a])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([b - a], pa.int64()), "first": pa.array([first])})
+
+    columns, of_kept = (("keys", "<u8"), ("count", "<i8"), ("number", "<i8")), (("count", "<i8"),)
+    made = sorted(pieces.mapInArrow(trimmed(numbered), "block long, n long, first string").collect()) if counted.n else []
+    words = _compiled(spark, folder, "words", columns, [(r.block, r.n, int(r.first)) for r in made])
+    kept = _compiled(spark, folder, "kept", of_kept, [(r.block, r.n, begins[r.block]) for r in sizes if r.n])
+    return words, kept
+
+
+def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable, entries: int) -> tuple[Table, Table]:
+    """A table of arcs with log probabilities and next states, and the backoff weights of the contexts they leave from."""
+    weights = (("keys", "<u8"), ("weight", "<f8"))
+    if not arcs.n:
+        return arcs, Table(arcs.folder, f"{arcs.name}-none", (), (), 0, weights)
+    folder = arcs.folder
+
+    def rows(batch: pa.RecordBatch, i: int):
+        block, file, a, b, _ = _piece(batch, i)
+        return block, arcs.column("keys", file)[a:b], arcs.column("count", file)[a:b]
 
-    A context is a kept n-gram of one order less; every suffix of a kept n-gram is at least as frequent, so nothing is lost
-    by looking at continuations of kept contexts alone.
-    """
-    width = len(hashes) + 1
-    keys = np.asarray(sorted(contexts), np.int64)
-    ids = np.asarray([contexts[k] for k in keys.tolist()], np.int64)
+    def emit(batch: pa.RecordBatch, i: int):
+        _, keys, counts = rows(batch, i)
+        context, taken, below, _ = arcs_of(keys, counts)
+        different, of = np.unique(context, return_inverse=True)
+        return different.astype(np.uint64), np.stack([np.bincount(of, x, len(different)) for x in (taken, below)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(keys: np.ndarray, sums: np.ndarray):
+        return keys, np.log10(np.maximum(1 - sums[0], 1e-12) / np.maximum(1 - sums[1], 1e-12))
+
+    def arced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                numbers, bounds = _tokens(batch, i, hashes)
-                training = ~np.asarray(batch.column("held")[i].values.to_numpy(zero_copy_only=False))
-                text = np.repeat(np.where(training, np.arange(len(training)), -1), np.diff(bounds))
-                if order == 2:
-                    context = numbers
-                else:
-                    pair = np.where((numbers[:-1] >= 0) & (numbers[1:] >= 0), numbers[:-1] * width + numbers[1:], -1)
-                    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    context = np.where(keys[at] == pair, ids[at], -1)
-                back = order - 1
-                context, word = context[: len(numbers) - back], numbers[back:]
-                ok = (context >= 0) & (word >= 0) & (text[back:] >= 0) & (text[: len(text) - back] == text[back:])
-                key, n = np.unique(context[ok] * width + word[ok], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(key), "n": pa.array(n)})
-
-    counted = ready.mapInArrow(trimmed(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r.gram: r.n for r in counted.orderBy("gram").collect()}  # at most tokens / least rows
-
-
-class Automaton:
-    """The model in one process.  States are contexts: 0 is empty, ``1 + w`` is the frequent word ``w``, the rest are kept pairs.
-
-    ``arcs`` leads from ``state * width + word`` to the log probability and the next state; ``fails`` and ``backoff`` have the
-    failure arc of every state.
-    """
+            for i in range(len(batch)):
+                block, keys, counts = rows(batch, i)
+                _, share, _, after = arcs_of(keys, counts)
+                for name, array in (("keys", keys), ("count", counts), ("log10", np.log10(share)), ("next", after)):
+                    _write(folder, f"{arcs.name}-arcs-{name}.{block}", array)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "first": pa.array([str(keys[0])])})
 
-    def __init__(self, unigrams: Unigrams, width: int):
-        self.width, self.unigrams = width, unigrams
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fails = [0] * (1 + len(unigrams.frequent))
-        self.backoff = [0.0] * (1 + len(unigrams.frequent))
-        self.single = unigrams.log10(np.asarray(unigrams.counts, float)).tolist()
-
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """Log probability of a frequent word after ``state``, and the next state."""
-        total = 0.0
-        while state:
-            if arc := self.arcs.get(state * self.width + word):
-                return total + arc[0], arc[1]
-            total += self.backoff[state]
-            state = self.fails[state]
-        return total + self.single[word], 1 + word
-
-    def add_order(self, grams: dict[int, int], state_of: dict[int, int], context_counts: dict[int, int], discount: float) -> None:
-        """Arcs of one order, lower orders first.  ``grams``: count by ``context id * width + word``."""
-        by_context: dict[int, list[tuple[int, int]]] = {}
-        for gram, n in grams.items():
-            by_context.setdefault(gram // self.width, []).append((gram % self.width, n))
-        made = {}
-        for context, words in by_context.items():
-            state, count = state_of[context], context_counts[context]
-            left = 1 - sum(n - discount for _, n in words) / count
-            lower = 1.0
-            for word, n in words:
-                below, target = self.step(self.fails[state], word)
-                lower -= 10**below
-                made[state * self.width + word] = (math.log10((n - discount) / count), target)
-            self.backoff[state] = math.log10(max(left, 1e-12) / max(lower, 1e-12))
-        self.arcs |= made
-
-    def add_states(self, grams: dict[int, int], state_of: dict[int, int]) -> dict[int, int]:
-        """A state for every kept n-gram; its arc leads there, its failure arc to the state without its first word."""
-        new = {}
-        for gram in sorted(grams):
-            key = state_of[gram // self.width] * self.width + gram % self.width
-            weight, lower = self.arcs[key]
-            new[gram] = len(self.fails)
-            self.arcs[key] = (weight, new[gram])
-            self.fails.append(lower)
-            self.backoff.append(0.0)
-        return new
-
-    def traverse(self, numbers: list[int], singles: list[float]) -> float:
-        """Log probability of a whole text.  ``numbers``: frequent-word numbers or -1; ``singles``: unigram log probabilities."""
-        arcs, fails, backoff, width = self.arcs, self.fails, self.backoff, self.width
-        state, total = 0, 0.0
-        for word, single in zip(numbers, singles):
-            if word < 0:
-                while state:
-                    total += backoff[state]
-                    state = fails[state]
-                total += single
-                continue
-            while state:
-                arc = arcs.get(state * width + word)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += backoff[state]
-                state = fails[state]
-            else:
-                total += single
-                state = 1 + word
-        return total
-
-
-def fit(ready: DataFrame, unigrams: Unigrams, settings: Settings) -> Automaton:
-    """The model of :func:`scored` as one automaton, for corpora whose states fit into this process: the tests hold one against the other."""
-    width = len(unigrams.frequent) + 1
-    automaton = Automaton(unigrams, width)
-    least = _least(settings, settings.gram_share, unigrams.tokens)
-    hashes = _hashed(unigrams.frequent)
-    state_of = {w: 1 + w for w in range(len(unigrams.frequent))}
-    counts = dict(enumerate(unigrams.counts))
-    contexts: dict[int, int] = {}
-    for order in range(2, min(settings.order, 3) + 1):
-        grams = _grams(ready, contexts, order, least, hashes)
-        automaton.add_order(grams, state_of, counts, settings.discount)
-        if order == 2:
-            contexts = {g: i for i, g in enumerate(sorted(grams))}
-            states = automaton.add_states(grams, state_of)
-            state_of = {contexts[g]: s for g, s in states.items()}
-            counts = {contexts[g]: n for g, n in grams.items()}
-            if not contexts:
-                break
-    return automaton
+    pieces = _pieces(spark, arcs)
+    found, _ = _gathered(pieces, emit, finish, min(arcs.n, entries), folder, f"{arcs.name}-weights", weights)
+    made = sorted(pieces.mapInArrow(trimmed(arced), "block long, n long, first string").collect())
+    columns = (("keys", "<u8"), ("count", "<i8"), ("log10", "<f8"), ("next", "<i8"))
+    return _compiled(spark, folder, f"{arcs.name}-arcs", columns, [(r.block, r.n, int(r.first)) for r in made]), found
+
+
+def traverse(model: Model, numbers: np.ndarray, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, early: np.ndarray) -> np.ndarray:
+    """Log probabilities of stretches ``starts, lengths`` of tokens, all side by side, one token a step; the first ``early`` tokens do not count.
+
+    ``numbers``: words' numbers or -1; ``singles``: their log probabilities without context.  States: 0 is empty, ``1 + w`` a word, behind them the pairs.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths, early = starts[order], lengths[order], early[order]
+    state, total = np.zeros(len(order), np.int64), np.zeros(len(order))
+    width, pairs, triples = model.width, model.pairs, model.triples
+    for step in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -step, side="left"))  # stretches that go on
+        at = starts[:n] + step
+        word, s = numbers[at], state[:n]
+        gain, after, open_ = np.zeros(n), np.where(word >= 0, 1 + word, 0), np.ones(n, bool)
+        deep = np.flatnonzero(s > width)
+        if len(deep):
+            pair = s[deep] - 1 - width
+            found = np.where(word[deep] >= 0, triples.find((pair * width + np.maximum(word[deep], 0)).astype(np.uint64)), -1)
+            hit, fall = found >= 0, found < 0
+            if hit.any():
+                gain[deep[hit]] = triples.take("log10", found[hit])
+                after[deep[hit]] = 1 + width + triples.take("next", found[hit])
+                open_[deep[hit]] = False
+            if fall.any():  # failure arc of a pair: its second word
+                gain[deep[fall]] = model.weight(model.pair_weights, pair[fall])
+                s[deep[fall]] = 1 + (pairs.take("keys", pair[fall]) % np.uint64(width)).astype(np.int64)
+        flat = np.flatnonzero(open_ & (s > 0))
+        if len(flat):
+            context = s[flat] - 1
+            found = np.where(word[flat] >= 0, pairs.find((context * width + np.maximum(word[flat], 0)).astype(np.uint64)), -1)
+            hit, fall = found >= 0, found < 0
+            if hit.any():
+                gain[flat[hit]] += pairs.take("log10", found[hit])
+                after[flat[hit]] = 1 + width + found[hit]
+                open_[flat[hit]] = False
+            if fall.any():  # failure arc of a word: the empty state
+                gain[flat[fall]] += model.weight(model.word_weights, context[fall])
+        gain[open_] += singles[at[open_]]
+        total[:n] += np.where(step >= early[:n], gain, 0.0)
+        state[:n] = after
+    out = np.empty(len(order))
+    out[order] = total
+    return out
+
+
+def _stretches(lengths: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, early tokens and texts of the stretches that texts of ``lengths`` are cut into."""
+    pieces = -(-lengths // STRETCH)
+    text = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = nth * STRETCH
+    early = np.minimum(begin, back)
+    stop = np.minimum(begin + STRETCH, lengths[text])
+    first = (np.cumsum(lengths) - lengths)[text]
+    return first + begin - early, stop - begin + early, early, text
 
 
 def scored(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, by a model of the training rows.
 
     Tokens are the words of the whole lower-cased (A-Z) text and one end.  A NULL or empty text is the end alone.  Repeated rows
     count and are scored each; a NULL key counts as empty text for the fold.  Other columns are not read.  Without training
     documents all counts are 0.  An empty table gives an empty result.
     """
     coded = blocks(docs, text, key, words=False)
-    back, unigrams = _counted(coded, settings)
-    ready = _ready(coded, back, unigrams)
-    kind = docs.schema[key].dataType.simpleString()
-    tokens, different, least, discount = unigrams.tokens, unigrams.different, unigrams.least, settings.discount
+    return scores(coded, fit(coded, settings), settings)
+
+
+def scores(coded: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
+    """The scores of :func:`scored` for blocks of any corpus."""
+    kind = coded.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grams = _Grams(batch, i, least)
-                single = _log10(grams.known.astype(float), tokens, different)
-                score = single.copy()
-                grams.lengthen(_returned(batch, i, "pairs")[0])
-                _, word_of, pair_of = grams.contexts()
-                backoff, _ = _returned(batch, i, "weights")
-                score[grams.after] += backoff[word_of]
-                arc = np.flatnonzero(grams.n2)
-                score[arc] = np.log10((grams.n2[arc] - discount) / grams.known[arc - 1])
-                score[grams.paired] += backoff[pair_of]
-                n = _returned(batch, i, "triples")[0][grams.of]
-                arc = grams.at[n > 0]
-                score[arc] = np.log10((n[n > 0] - discount) / grams.n2[arc - 1])
+                block = _block(batch, i, model.words)
+                single = model.single(block.counts)
+                starts, lengths, early, text = _stretches(block.lengths, settings.order - 1)
+                got = traverse(model, block.numbers, single, starts, lengths, early)
+                first, n = np.cumsum(block.lengths) - block.lengths, len(block.lengths)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("ids")[i].values, "held_out": batch.column("held")[i].values,
-                    "n_tokens": pa.array(grams.lengths),
-                    "n_known": pa.array(np.add.reduceat((grams.known > 0).astype(np.int64), grams.starts)),
-                    "train_tokens": pa.array(np.full(len(grams.starts), tokens)),
-                    "base_score": pa.array(np.add.reduceat(single, grams.starts)), "score": pa.array(np.add.reduceat(score, grams.starts)),
+                    "doc_id": batch.column("ids")[i].values, "held_out": batch.column("held")[i].values, "n_tokens": pa.array(block.lengths),
+                    "n_known": pa.array(np.add.reduceat((block.counts > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, model.tokens)),
+                    "base_score": pa.array(np.add.reduceat(single, first)), "score": pa.array(np.bincount(text, got, n)),
                 })
 
-    return _model(ready, unigrams, settings).mapInArrow(
+    return coded.mapInArrow(
         trimmed(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
