@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
+from . import chunks
+from .piece_table import PieceTable, resolve
 from .shared import plain_offsets, stored, trimmed, work_folder
 
 #: The marks of the template around a turn, and the role that is learnt.
 START, END, LEARNT = "<|im_start|>", "<|im_end|>", "assistant"
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+#: Chunks of texts whose ids a worker keeps, and conversations it takes at a time; bounds on memory only.
+KNOWN_PIECES, SLICE_ROWS = 1_000_000, 512
 
 _NODE = "pos long, depth int, digest string, ids array<int>, loss_start int, loss_stop int, offset long, segment long"
 
@@ -65,7 +69,14 @@ def _library(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, tokenizer.get_vocab_size()
+    return tokenizer, tokenizer.get_vocab_size(), PieceTable(KNOWN_PIECES)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred conversations: a bound on memory."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def _encoded(texts: list[str], tokenizer) -> list[list[int]]:
@@ -110,10 +121,10 @@ def _own_turns(convs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, first = _library(tokenizer)
+        library, first, table = _library(tokenizer)
         newline = _encoded(["\n"], library)[0]
-        heads: dict[str, list[int]] = {}
-        for batch in batches:
+        heads: dict[str, np.ndarray] = {}
+        for batch in _slices(batches):
             bounds, inner = plain_offsets(batch.column("turns")), batch.column("turns").flatten()
             shared = np.asarray(batch.column("shared"))
             depth = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
@@ -121,22 +132,26 @@ def _own_turns(convs: DataFrame, tokenizer: str) -> DataFrame:
             part = inner.take(pa.array(own))
             roles = part.field("role").to_pylist()
             new = [r for r in dict.fromkeys(roles) if r not in heads]
-            heads.update(zip(new, _encoded([_head(r) + "\n" for r in new], library)))
-            bodies = _encoded([escaped(t) for t in part.field("text").to_pylist()], library)
-            ids, spans = [], []
-            for role, body in zip(roles, bodies):
-                head = heads[role]
-                begin = 1 + len(head)
-                spans.append((begin, begin + len(body)) if role == LEARNT else (0, 0))
-                ids.append([first, *head, *body, first + 1, *newline])
+            heads.update((r, np.array([first, *ids], np.int32)) for r, ids in zip(new, _encoded([_head(r) + "\n" for r in new], library)))
+            texts = pa.array([escaped(t) if "<" in t else t for t in part.field("text").to_pylist()], pa.string())
+            flat, at = chunks.encode(texts, lambda w: resolve(w, table, lambda x: _encoded(x, library)))
+            tail = np.array([first + 1, *newline], np.int32)
+            begin = np.array([len(heads[r]) for r in roles], np.int64)
+            stop = begin + np.diff(at)
+            total = np.concatenate(([0], np.cumsum(stop + len(tail)))).astype(np.int64)
+            ids = np.empty(total[-1], np.int32)
+            for role, o, x, y, a_, b_ in zip(roles, total.tolist(), begin.tolist(), stop.tolist(), at.tolist(), at[1:].tolist()):
+                ids[o : o + x] = heads[role]
+                ids[o + x : o + y] = flat[a_:b_]
+                ids[o + y : o + y + len(tail)] = tail
+            learnt = np.array([r == LEARNT for r in roles], bool)
             path = batch.column("path").flatten().take(pa.array(own))
-            total = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
             rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[own]
             begins = total[np.searchsorted(rows, np.arange(len(bounds)))]
             yield pa.RecordBatch.from_pydict({
                 "pos": pa.array(np.asarray(batch.column("pos"))[rows]), "depth": pa.array(depth[own].astype(np.int32)),
-                "digest": path, "ids": pa.array(ids, pa.list_(pa.int32())),
-                "loss_start": pa.array([a for a, _ in spans], pa.int32()), "loss_stop": pa.array([b for _, b in spans], pa.int32()),
+                "digest": path, "ids": pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids)),
+                "loss_start": pa.array(np.where(learnt, begin, 0).astype(np.int32)), "loss_stop": pa.array(np.where(learnt, stop, 0).astype(np.int32)),
                 "offset": pa.array(total[:-1] - begins[rows]), "segment": pa.array(np.diff(begins)[rows]),
             })
 
@@ -242,8 +257,8 @@ def read(spark: SparkSession, tree: ChatTree) -> DataFrame:
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "ids", "loss_start", "loss_stop"))).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, first = _library(tree.tokenizer)
-        for batch in batches:
+        library, first, _ = _library(tree.tokenizer)
+        for batch in _slices(batches):
             bounds, inner = plain_offsets(batch.column("nodes")), batch.column("nodes").flatten()
             lists = inner.field("ids")
             at, flat = plain_offsets(lists), lists.flatten().to_numpy(zero_copy_only=False)
