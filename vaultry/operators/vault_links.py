@@ -266,11 +266,20 @@ def counts_by_type(found: DataFrame, broken_links: DataFrame) -> DataFrame:
 
 
 def source_context(entries: DataFrame, notes: DataFrame, around: int = 2) -> DataFrame:
-    """Lines around each entry (path, line): path, line, context_line, text."""
-    near = entries.select("path", "line").distinct().withColumn(
-        "context_line", F.explode(F.sequence(F.greatest(F.col("line") - around, F.lit(1)), F.col("line") + around))
-    )
-    all_lines = notes.select("path", F.posexplode(text.lines(F.col("content"))).alias("_at", "text")).select(
-        "path", (F.col("_at") + 1).alias("context_line"), "text"
-    )
-    return near.join(all_lines, ["path", "context_line"])
+    """Lines around each entry (path, line): path, line, context_line, text.
+
+    Only notes with entries are split into lines, and only the lines asked for leave the row.
+    """
+    wanted = entries.groupBy("path").agg(F.collect_set("line").alias("_wanted"))  # lines of one note
+
+    def near(all_lines: Column) -> Column:
+        def of(line: Column) -> Column:
+            first, last = F.greatest(line - around, F.lit(1)), F.least(line + around, F.size(all_lines))
+            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: F.struct(line.alias("line"), at.alias("context_line"), F.get(all_lines, at - 1).alias("text")))
+
+        return F.flatten(F.transform(F.col("_wanted").cast("array<int>"), of))
+
+    rows = notes.select("path", "content").join(wanted, "path")
+    found = rows.select("path", F.explode_outer(text.let(text.lines(F.col("content")), near)).alias("c"))
+    return found.where("c IS NOT NULL").select("path", "c.line", "c.context_line", "c.text")

@@ -347,3 +347,17 @@ def fix_cycle_summary(spark, sf):
 def fix_cycle_report(spark, sf):
     summary = fix_cycle.repair(_with_ghosts(spark, sf), text_vault.vault_files(spark, sf)).summary
     return fix_cycle.summary_lines(summary).orderBy("at").select("line")
+
+
+@query(
+    "link_context_text",
+    with_views(LINKS)
+    + r"""SELECT b.path, b.line, c.c AS context_line, ['---', 'related: [[Part ' || o_custkey || ']]', '---', 'See [[Part ' || o_custkey || ']] and [[wiki/' || kind || '/Part ' || o_custkey || '|alias]].',
+            '![[' || kind || '/Part ' || o_custkey || '.md]] [text](../../wiki/' || kind || '/Part%20' || o_custkey || '.md#anchor)', '- [[Part-' || o_custkey || '\|table]]', 'x [[Part ' || o_orderkey || ']] y',
+            '[web](https://example.com/' || o_orderkey || ')', '![alt](wiki/' || kind || '/Part%20' || o_orderkey || '.md) [[Part ' || o_custkey || ' .md]]',
+            '[[Part ' || o_orderkey || '|(broken link) gone]]'][c.c] AS text
+          FROM (SELECT DISTINCT path, line FROM broken_v) b JOIN orders_v USING (path), LATERAL (SELECT unnest(range(greatest(b.line - 2, 1), least(b.line + 2, 10) + 1)) AS c) c""",
+)
+def link_context_text(spark, sf):
+    rows = vault_links.source_context(_broken(spark, sf)[1], text_vault.order_notes(spark, sf))
+    return rows.select("path", F.col("line").cast("bigint").alias("line"), F.col("context_line").cast("bigint").alias("context_line"), "text")

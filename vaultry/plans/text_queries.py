@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import (
-    date_assignment, freshness, mail, mapping, page_checks, retrieval, supersession, topics, transcripts,
+    contamination, date_assignment, freshness, mail, mapping, page_checks, retrieval, supersession, topics, transcripts,
 )
 from ..session import checkpointed
 from ..sources.tables import table
@@ -657,3 +657,19 @@ def quality_filter_join(spark, sf):
 @query("contamination_anti_join", "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
 def contamination_anti_join(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "benchmark").select("text").distinct(), "text", "left_anti").select("doc_id")
+
+
+@query(
+    "contamination_runs",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      b AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run
+            FROM (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark)),
+      r AS (SELECT DISTINCT doc_id FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run FROM w) JOIN b USING (run))
+      SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)""",
+)
+def contamination_runs(spark, sf):
+    """Documents without any run of 13 words of a benchmark item."""
+    docs = table(spark, sf, "documents")
+    found = contamination.holders(docs, "doc_id", "text", table(spark, sf, "benchmark"), "text")
+    return docs.select("doc_id").join(found, "doc_id", "left_anti")
