@@ -230,7 +230,7 @@ def _gathered(frame: DataFrame, emit: Callable, finish: Callable, entries: int,
         sums = np.add.reduceat(values[:, order].astype(np.float64), heads, axis=1)
         kept = finish(keys[heads], sums)
         for (column, kind), array in zip(columns, kept):
-            _write(folder, f"{name}-{column}.{shard}", np.asarray(array).astype(kind))
+            _write(f"{folder}/{name}", f"{column}.{shard}", np.asarray(array).astype(kind))
         return pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "n": pa.array([len(kept[0])], pa.int64()), "seen": pa.array([int((sums[0] > 0).sum())], pa.int64()),
             "first": pa.array([str(kept[0][0]) if len(kept[0]) else "0"]),
@@ -283,18 +283,63 @@ def _compiled(spark: SparkSession, folder: str, name: str, columns: tuple, shard
             firsts.append(first)
         files[-1].append(shard)
         total += n
+    _joined(spark, folder, name, name, columns, files)
+    return Table(folder, name, tuple(starts), tuple(firsts), total, columns)
+
+
+def _joined(spark: SparkSession, folder: str, shards: str, name: str, columns: tuple, files: list[list[int]]) -> None:
+    """The columns of a table's files, each from its shards; these are dropped afterwards."""
     jobs = [(column, kind, k, part) for column, kind in columns for k, part in enumerate(files)]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for column, kind, k, part in zip(*(batch.column(c).to_pylist() for c in ("column", "kind", "k", "part"))):
-                _write(folder, f"{name}-{column}-{k}", *(_mapped(folder, f"{name}-{column}.{x}", kind) for x in part))
-            yield batch.select(["k"])
+                _write(folder, f"{name}-{column}-{k}", *(_mapped.__wrapped__(f"{folder}/{shards}", f"{column}.{x}", kind) for x in part))
+            yield batch.select(["k"])  # not kept mapped: what is deleted would stay on disk
 
     if jobs:
         frame = spark.createDataFrame(jobs, "column string, kind string, k int, part array<int>").repartition(len(jobs))
         frame.mapInArrow(join, "k int").count()
-    return Table(folder, name, tuple(starts), tuple(firsts), total, columns)
+    _dropped(spark, f"{folder}/{shards}")
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _pieces(spark: SparkSession, table: Table) -> DataFrame:
+    """Stretches of a table's files as rows: block, file, begin, end."""
+    rows = []
+    for file, n in enumerate(np.diff([*table.starts, table.n]).tolist() if table.n else []):
+        rows += [(len(rows) + k, file, a, min(a + SHARD_ENTRIES, n)) for k, a in enumerate(range(0, n, SHARD_ENTRIES))]
+    frame = spark.createDataFrame(rows, "block long, file int, begin long, end long")
+    return frame.repartition(max(len(rows), 1), "block")
+
+
+def _piece(batch: pa.RecordBatch, i: int) -> tuple[int, int, int, int]:
+    return tuple(batch.column(c)[i].as_py() for c in ("block", "file", "begin", "end"))
+
+
+def _extended(spark: SparkSession, table: Table, columns: tuple, compute: Callable) -> Table:
+    """A table with more columns: ``compute(piece, keys, counts)`` gives their arrays for a stretch."""
+    folder, shards = table.folder, f"{table.name}-more"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, file, a, b = _piece(batch, i)
+                arrays = compute(block, table.column("keys", file)[a:b], table.column("count", file)[a:b])
+                for (column, kind), array in zip(columns, arrays):
+                    _write(f"{folder}/{shards}", f"{column}.{block}", np.asarray(array).astype(kind))
+                yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "block": pa.array([block], pa.int64())})
+
+    made = sorted(_pieces(spark, table).mapInArrow(trimmed(run), "file int, block long").collect())  # a row for every stretch
+    files: list[list[int]] = [[] for _ in table.starts]
+    for r in made:
+        files[r.file].append(r.block)
+    _joined(spark, folder, shards, table.name, columns, files)
+    return Table(folder, table.name, table.starts, table.firsts, table.n, (*table.columns, *columns))
 
 
 # the model -------------------------------------------------------------------------------------
@@ -375,7 +420,7 @@ def fit(coded: DataFrame, settings: Settings = Settings()) -> Model:
         return hashes[order], counts[order][None]
 
     counted, different = _gathered(
-        coded.select("block", "hashes", "counts"), word_counts, lambda keys, sums: (keys, sums[0]), whole, folder, "counts", (("keys", "<u8"), ("count", "<i8"))
+        coded.select("block", "hashes", "counts"), word_counts, lambda keys, sums: (keys, sums[0]), whole, folder, "words", (("keys", "<u8"), ("count", "<i8"))
     )
     words, kept = _numbered(spark, counted, least)
     width = max(kept.n, 1)
@@ -419,92 +464,57 @@ def fit(coded: DataFrame, settings: Settings = Settings()) -> Model:
         below = (pairs.take("count", after) - discount) / kept.take("count", b.astype(np.int64))
         return p, (counts - discount) / pairs.take("count", p), below, after
 
-    pairs, word_weights = _weighed(spark, pairs, pair_arcs, whole)
-    triples, pair_weights = _weighed(spark, triples, triple_arcs, whole)
+    pairs, word_weights = _weighed(spark, pairs, pair_arcs, ())
+    triples, pair_weights = _weighed(spark, triples, triple_arcs, (("next", "<i8"),))
     return Model(tokens, different, width, words, kept, pairs, triples, word_weights, pair_weights)
 
 
-def _pieces(spark: SparkSession, table: Table, size: int = SHARD_ENTRIES) -> DataFrame:
-    """Stretches of a table's files as rows: block, file, begin, end, start (of the file in the table)."""
-    rows, sizes = [], np.diff([*table.starts, table.n])
-    for file, (start, n) in enumerate(zip(table.starts, sizes.tolist())):
-        rows += [(len(rows) + k, file, a, min(a + size, n), start) for k, a in enumerate(range(0, n, size))]
-    frame = spark.createDataFrame(rows, "block long, file int, begin long, end long, start long")
-    return frame.repartition(max(len(rows), 1), "block")
-
-
-def _piece(batch: pa.RecordBatch, i: int) -> tuple[int, int, int, int, int]:
-    return tuple(batch.column(c)[i].as_py() for c in ("block", "file", "begin", "end", "start"))
-
-
 def _numbered(spark: SparkSession, counted: Table, least: int) -> tuple[Table, Table]:
-    """Numbers, in the order of their hashes, for words of ``least`` occurrences; and the table of those words' counts by number."""
+    """Words with numbers, in the order of their hashes, for those of ``least`` occurrences; and the table of these words' counts by number."""
     folder = counted.folder
+    if not counted.n:
+        return counted, Table(folder, "kept", (), (), 0, (("count", "<i8"),))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                block, file, a, b, _ = _piece(batch, i)
-                yield pa.RecordBatch.from_pydict({"block": [block], "n": [int((counted.column("count", file)[a:b] >= least).sum())]})
+                block, file, a, b = _piece(batch, i)
+                count = counted.column("count", file)[a:b]
+                _write(f"{folder}/kept", f"count.{block}", count[count >= least])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([int((count >= least).sum())], pa.int64())})
 
-    pieces = _pieces(spark, counted)
-    sizes = sorted(pieces.mapInArrow(trimmed(sized), "block long, n long").collect()) if counted.n else []  # a row for every stretch
+    sizes = sorted(_pieces(spark, counted).mapInArrow(trimmed(sized), "block long, n long").collect())  # a row for every stretch
     begins = np.concatenate(([0], np.cumsum([r.n for r in sizes]))).astype(int).tolist()
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                block, file, a, b, _ = _piece(batch, i)
-                count = counted.column("count", file)[a:b]
-                enough = count >= least
-                number = np.where(enough, begins[block] + np.cumsum(enough) - 1, -1)
-                for name, array in (("words-keys", counted.column("keys", file)[a:b]), ("words-count", count), ("words-number", number)):
-                    _write(folder, f"{name}.{block}", array)
-                _write(folder, f"kept-count.{block}", count[enough])
-                first = str(counted.column("keys", file)[a])
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([b - a], pa.int64()), "first": pa.array([first])})
-
-    columns, of_kept = (("keys", "<u8"), ("count", "<i8"), ("number", "<i8")), (("count", "<i8"),)
-    made = sorted(pieces.mapInArrow(trimmed(numbered), "block long, n long, first string").collect()) if counted.n else []
-    words = _compiled(spark, folder, "words", columns, [(r.block, r.n, int(r.first)) for r in made])
-    kept = _compiled(spark, folder, "kept", of_kept, [(r.block, r.n, begins[r.block]) for r in sizes if r.n])
-    return words, kept
-
-
-def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable, entries: int) -> tuple[Table, Table]:
-    """A table of arcs with log probabilities and next states, and the backoff weights of the contexts they leave from."""
-    weights = (("keys", "<u8"), ("weight", "<f8"))
+    def numbers(block: int, keys: np.ndarray, counts: np.ndarray):
+        enough = counts >= least
+        return (np.where(enough, begins[block] + np.cumsum(enough) - 1, -1),)
+
+    kept = _compiled(spark, folder, "kept", (("count", "<i8"),), [(r.block, r.n, begins[r.block]) for r in sizes if r.n])
+    return _extended(spark, counted, (("number", "<i8"),), numbers), kept
+
+
+def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable, more: tuple) -> tuple[Table, Table]:
+    """A table of arcs with log probabilities and, where ``more`` names it, next states; and the backoff weights of the contexts they leave from."""
+    weights = (("keys", "<u8"), ("weight", "<f4"))
     if not arcs.n:
         return arcs, Table(arcs.folder, f"{arcs.name}-none", (), (), 0, weights)
-    folder = arcs.folder
-
-    def rows(batch: pa.RecordBatch, i: int):
-        block, file, a, b, _ = _piece(batch, i)
-        return block, arcs.column("keys", file)[a:b], arcs.column("count", file)[a:b]
 
     def emit(batch: pa.RecordBatch, i: int):
-        _, keys, counts = rows(batch, i)
-        context, taken, below, _ = arcs_of(keys, counts)
+        _, file, a, b = _piece(batch, i)
+        context, taken, below, _ = arcs_of(arcs.column("keys", file)[a:b], arcs.column("count", file)[a:b])
         different, of = np.unique(context, return_inverse=True)
         return different.astype(np.uint64), np.stack([np.bincount(of, x, len(different)) for x in (taken, below)])
 
     def finish(keys: np.ndarray, sums: np.ndarray):
         return keys, np.log10(np.maximum(1 - sums[0], 1e-12) / np.maximum(1 - sums[1], 1e-12))
 
-    def arced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                block, keys, counts = rows(batch, i)
-                _, share, _, after = arcs_of(keys, counts)
-                for name, array in (("keys", keys), ("count", counts), ("log10", np.log10(share)), ("next", after)):
-                    _write(folder, f"{arcs.name}-arcs-{name}.{block}", array)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "first": pa.array([str(keys[0])])})
-
-    pieces = _pieces(spark, arcs)
-    found, _ = _gathered(pieces, emit, finish, min(arcs.n, entries), folder, f"{arcs.name}-weights", weights)
-    made = sorted(pieces.mapInArrow(trimmed(arced), "block long, n long, first string").collect())
-    columns = (("keys", "<u8"), ("count", "<i8"), ("log10", "<f8"), ("next", "<i8"))
-    return _compiled(spark, folder, f"{arcs.name}-arcs", columns, [(r.block, r.n, int(r.first)) for r in made]), found
+    def arrays(block: int, keys: np.ndarray, counts: np.ndarray):
+        _, share, _, after = arcs_of(keys, counts)
+        return np.log10(share), after
+
+    found, _ = _gathered(_pieces(spark, arcs), emit, finish, arcs.n, arcs.folder, f"{arcs.name}-weights", weights)
+    return _extended(spark, arcs, (("log10", "<f4"), *more), arrays), found
 
 
 def traverse(model: Model, numbers: np.ndarray, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, early: np.ndarray) -> np.ndarray:
