@@ -1,7 +1,6 @@
 """Operators on documents against plain loops, over nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
-import math
 import re
 import zlib
 from collections import Counter
@@ -14,7 +13,7 @@ from llm_tables import PROSE, SCHEMA, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vaultry.llm import bpe, lexicon, lm, mixing, rules, secrets, simhash, token_files, toxicity
+from vaultry.llm import bpe, lexicon, mixing, rules, secrets, simhash, token_files, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)

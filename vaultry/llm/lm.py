@@ -1,8 +1,8 @@
 """Language-model scores by a weighted backoff automaton.
 
 The tokens of all training documents are counted.  Words, pairs and triples that occur twice are kept, their probabilities smoothed by an
-absolute discount.  Kept words and pairs are states; a kept pair is an arc from its first word, a kept triple one from its first pair, each with
-its log probability and the next state.  A failure arc leads from a pair to its second word and from a word to the empty state, at the price
+absolute discount.  Kept words and pairs are states; a kept pair is an arc from its first word, a kept triple one from its first pair, with
+a log probability; it leads to the pair that it ends in.  A failure arc leads from a pair to its second word and from a word to the empty state, at the price
 of the backoff weight.  The automaton is compiled into sorted arrays in files below the shared folder, which scoring tasks map into
 memory; it grows with the corpus, and no process reads more of it than its texts need.
 
@@ -451,21 +451,21 @@ def fit(coded: DataFrame, settings: Settings = Settings()) -> Model:
 
     triples = _gathered(narrow, triple_counts, frequent, whole, folder, "triples", arcs)[0] if settings.order > 2 and pairs.n else none
 
-    # probabilities and next states of the arcs, and what each context gives away
+    # contexts of the arcs, their probabilities, and those of the same words one order below
     def pair_arcs(keys: np.ndarray, counts: np.ndarray):
         a, b = (keys // np.uint64(width)).astype(np.int64), (keys % np.uint64(width)).astype(np.int64)
         below = 10 ** _log10(kept.take("count", b).astype(float), tokens, different)
-        return a, (counts - discount) / kept.take("count", a), below, b
+        return a, (counts - discount) / kept.take("count", a), below
 
     def triple_arcs(keys: np.ndarray, counts: np.ndarray):
         p, c = (keys // np.uint64(width)).astype(np.int64), keys % np.uint64(width)
         b = pairs.take("keys", p) % np.uint64(width)
         after = pairs.find(b * np.uint64(width) + c)  # a kept triple's last pair is kept
         below = (pairs.take("count", after) - discount) / kept.take("count", b.astype(np.int64))
-        return p, (counts - discount) / pairs.take("count", p), below, after
+        return p, (counts - discount) / pairs.take("count", p), below
 
-    pairs, word_weights = _weighed(spark, pairs, pair_arcs, ())
-    triples, pair_weights = _weighed(spark, triples, triple_arcs, (("next", "<i8"),))
+    pairs, word_weights = _weighed(spark, pairs, pair_arcs)
+    triples, pair_weights = _weighed(spark, triples, triple_arcs)
     return Model(tokens, different, width, words, kept, pairs, triples, word_weights, pair_weights)
 
 
@@ -494,15 +494,15 @@ def _numbered(spark: SparkSession, counted: Table, least: int) -> tuple[Table, T
     return _extended(spark, counted, (("number", "<i8"),), numbers), kept
 
 
-def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable, more: tuple) -> tuple[Table, Table]:
-    """A table of arcs with log probabilities and, where ``more`` names it, next states; and the backoff weights of the contexts they leave from."""
+def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable) -> tuple[Table, Table]:
+    """A table of arcs with log probabilities, and the backoff weights of the contexts they leave from."""
     weights = (("keys", "<u8"), ("weight", "<f4"))
     if not arcs.n:
         return arcs, Table(arcs.folder, f"{arcs.name}-none", (), (), 0, weights)
 
     def emit(batch: pa.RecordBatch, i: int):
         _, file, a, b = _piece(batch, i)
-        context, taken, below, _ = arcs_of(arcs.column("keys", file)[a:b], arcs.column("count", file)[a:b])
+        context, taken, below = arcs_of(arcs.column("keys", file)[a:b], arcs.column("count", file)[a:b])
         different, of = np.unique(context, return_inverse=True)
         return different.astype(np.uint64), np.stack([np.bincount(of, x, len(different)) for x in (taken, below)])
 
@@ -510,53 +510,79 @@ def _weighed(spark: SparkSession, arcs: Table, arcs_of: Callable, more: tuple) -
         return keys, np.log10(np.maximum(1 - sums[0], 1e-12) / np.maximum(1 - sums[1], 1e-12))
 
     def arrays(block: int, keys: np.ndarray, counts: np.ndarray):
-        _, share, _, after = arcs_of(keys, counts)
-        return np.log10(share), after
+        return (np.log10(arcs_of(keys, counts)[1]),)
 
     found, _ = _gathered(_pieces(spark, arcs), emit, finish, arcs.n, arcs.folder, f"{arcs.name}-weights", weights)
-    return _extended(spark, arcs, (("log10", "<f4"), *more), arrays), found
+    return _extended(spark, arcs, (("log10", "<f4"),), arrays), found
 
 
-def traverse(model: Model, numbers: np.ndarray, singles: np.ndarray, starts: np.ndarray, lengths: np.ndarray, early: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class _Arcs:
+    """What the automaton has for every token of a block: the arc that leads over it from the word before and from the pair before (-1: none, so the
+    failure arc is taken), their log probabilities, and the backoff weights of the word and of the pair that end here."""
+
+    numbers: np.ndarray
+    singles: np.ndarray
+    pair: np.ndarray
+    pair_log10: np.ndarray
+    triple: np.ndarray
+    triple_log10: np.ndarray
+    word_weight: np.ndarray
+    pair_weight: np.ndarray
+
+
+def _found(table: Table, keys: np.ndarray) -> np.ndarray:
+    """Places of keys that repeat: each different one is looked for once, in order."""
+    unique, of = np.unique(keys, return_inverse=True)
+    return table.find(unique)[of]
+
+
+def _fetched(block: _Block, model: Model) -> _Arcs:
+    """A block's arcs, fetched together in the order of their keys rather than one by one."""
+    n, width = len(block.numbers), np.uint64(model.width)
+    pair, triple = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    logs = [np.zeros(n) for _ in range(4)]
+    a, b = block.numbers[:-1], block.numbers[1:]
+    at = np.flatnonzero((a >= 0) & (b >= 0) & (block.text[:-1] == block.text[1:])) + 1
+    pair[at] = _found(model.pairs, a[at - 1].astype(np.uint64) * width + b[at - 1].astype(np.uint64))
+    end = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0) & (block.text[:-1] == block.text[1:])) + 1  # a kept triple's pairs are kept
+    triple[end] = _found(model.triples, pair[end - 1].astype(np.uint64) * width + block.numbers[end].astype(np.uint64))
+    for k, (table, places) in enumerate(((model.pairs, pair), (model.triples, triple))):
+        there = np.flatnonzero(places >= 0)
+        if len(there):
+            logs[k][there] = table.take("log10", places[there])
+    for k, (table, places) in enumerate(((model.word_weights, block.numbers), (model.pair_weights, pair))):
+        there = np.flatnonzero(places >= 0)
+        if len(there):
+            unique, of = np.unique(places[there], return_inverse=True)
+            logs[2 + k][there] = model.weight(table, unique)[of]
+    return _Arcs(block.numbers, model.single(block.counts), pair, logs[0], triple, logs[1], logs[2], logs[3])
+
+
+def traverse(arcs: _Arcs, starts: np.ndarray, lengths: np.ndarray, early: np.ndarray) -> np.ndarray:
     """Log probabilities of stretches ``starts, lengths`` of tokens, all side by side, one token a step; the first ``early`` tokens do not count.
 
-    ``numbers``: words' numbers or -1; ``singles``: their log probabilities without context.  States: 0 is empty, ``1 + w`` a word, behind them the pairs.
+    A stretch's state is empty (0), the word before (1) or the pair before (2).  A token is taken by the arc that its state has for it, or after as many
+    failure arcs as it needs, whose weights are added up.
     """
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, early = starts[order], lengths[order], early[order]
-    state, total = np.zeros(len(order), np.int64), np.zeros(len(order))
-    width, pairs, triples = model.width, model.pairs, model.triples
+    state, total = np.zeros(len(order), np.int8), np.zeros(len(order))
     for step in range(int(lengths[0]) if len(lengths) else 0):
         n = int(np.searchsorted(-lengths, -step, side="left"))  # stretches that go on
-        at = starts[:n] + step
-        word, s = numbers[at], state[:n]
-        gain, after, open_ = np.zeros(n), np.where(word >= 0, 1 + word, 0), np.ones(n, bool)
-        deep = np.flatnonzero(s > width)
-        if len(deep):
-            pair = s[deep] - 1 - width
-            found = np.where(word[deep] >= 0, triples.find((pair * width + np.maximum(word[deep], 0)).astype(np.uint64)), -1)
-            hit, fall = found >= 0, found < 0
-            if hit.any():
-                gain[deep[hit]] = triples.take("log10", found[hit])
-                after[deep[hit]] = 1 + width + triples.take("next", found[hit])
-                open_[deep[hit]] = False
-            if fall.any():  # failure arc of a pair: its second word
-                gain[deep[fall]] = model.weight(model.pair_weights, pair[fall])
-                s[deep[fall]] = 1 + (pairs.take("keys", pair[fall]) % np.uint64(width)).astype(np.int64)
-        flat = np.flatnonzero(open_ & (s > 0))
-        if len(flat):
-            context = s[flat] - 1
-            found = np.where(word[flat] >= 0, pairs.find((context * width + np.maximum(word[flat], 0)).astype(np.uint64)), -1)
-            hit, fall = found >= 0, found < 0
-            if hit.any():
-                gain[flat[hit]] += pairs.take("log10", found[hit])
-                after[flat[hit]] = 1 + width + found[hit]
-                open_[flat[hit]] = False
-            if fall.any():  # failure arc of a word: the empty state
-                gain[flat[fall]] += model.weight(model.word_weights, context[fall])
-        gain[open_] += singles[at[open_]]
+        at, s = starts[:n] + step, state[:n]
+        before = np.maximum(at - 1, 0)
+        known = arcs.numbers[at] >= 0
+        deep = s == 2
+        by_triple = deep & (arcs.triple[at] >= 0)
+        gain = np.where(by_triple, arcs.triple_log10[at], np.where(deep, arcs.pair_weight[before], 0.0))
+        word = (s > 0) & ~by_triple  # in a word's state now, after a failure arc or from the beginning
+        by_pair = word & (arcs.pair[at] >= 0)
+        gain += np.where(by_pair, arcs.pair_log10[at], np.where(word, arcs.word_weight[before], 0.0))
+        taken = by_triple | by_pair
+        gain += np.where(taken, 0.0, arcs.singles[at])
         total[:n] += np.where(step >= early[:n], gain, 0.0)
-        state[:n] = after
+        state[:n] = np.where(taken, 2, known)
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -593,14 +619,14 @@ def scores(coded: DataFrame, model: Model, settings: Settings = Settings()) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _block(batch, i, model.words)
-                single = model.single(block.counts)
+                arcs = _fetched(block, model)
                 starts, lengths, early, text = _stretches(block.lengths, settings.order - 1)
-                got = traverse(model, block.numbers, single, starts, lengths, early)
+                got = traverse(arcs, starts, lengths, early)
                 first, n = np.cumsum(block.lengths) - block.lengths, len(block.lengths)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("ids")[i].values, "held_out": batch.column("held")[i].values, "n_tokens": pa.array(block.lengths),
                     "n_known": pa.array(np.add.reduceat((block.counts > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, model.tokens)),
-                    "base_score": pa.array(np.add.reduceat(single, first)), "score": pa.array(np.bincount(text, got, n)),
+                    "base_score": pa.array(np.add.reduceat(arcs.singles, first)), "score": pa.array(np.bincount(text, got, n)),
                 })
 
     return coded.mapInArrow(
