@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import frontmatter, names, paths, text, vocab
+from ..functions import frontmatter, names, paths, text
 from . import mentions, vault_links
 
 
