@@ -70,8 +70,8 @@ def test_index_follows_changes(spark, tmp_path):
     assert len(content["postings"]) <= search_index.MOST_GENERATIONS
     changed = {r.change: r["count"] for r in search_index.changes(spark, folder, frame()).groupBy("change").count().collect()}
     assert changed == {"added": 1, "changed": 1, "deleted": 1, "same": len(texts) - 2}
-    near = [r.key for r in search_index.nearest(spark, folder, [1.0, 0.0], 10).collect()]
-    assert near == sorted(map(str, range(10)))
+    near = [r.key for r in search_index.nearest(spark, folder, [1.0, 0.0], 9).collect()]
+    assert near == sorted(map(str, range(9)))
     search_index.compact(spark, folder)
     assert commits.current(spark, folder)[1]["dead"] == []
     assert [r.key for r in search_index.lexical(spark, folder, "word18").collect()] == ["18"]
