@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """``side`` of an equi-join that is sorted and merged, never sent to the driver.
+
+    A size estimated from files knows nothing of exploded rows and of text built from columns: a table that seems to be a few MB can be
+    GB. Sides whose rows grow with the vault are marked; those that stay small by what they are (terms of a question, types) need not be.
+    """
+    return side.hint("merge")
+
+
 def numbered(
     df: DataFrame, order: Sequence[Column], column: str = "row_number", partitions: int | None = None
 ) -> DataFrame:

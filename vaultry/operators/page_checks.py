@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, names, paths, text
+from ..functions.skew import shuffled
 from . import mentions, vault_links
 
 
@@ -41,7 +42,7 @@ def unlinked(pages: DataFrame, wikilinks: DataFrame, files: DataFrame) -> DataFr
     targets = wikilinks.select("target").distinct()
     inbound = vault_links.resolve_to_page(targets, files, pages).select("path").distinct()
     outbound = wikilinks.select("path").distinct()
-    return pages.join(inbound, "path", "left_anti").join(outbound, "path", "left_anti")
+    return pages.join(shuffled(inbound), "path", "left_anti").join(shuffled(outbound), "path", "left_anti")
 
 
 def backlinks(wikilinks: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def backlinks(wikilinks: DataFrame, files: DataFrame, pages: DataFrame) -> DataF
     resolved = vault_links.resolve_to_page(edges.select("target"), files, pages).withColumnRenamed(
         "path", "page"
     )
-    return edges.join(resolved, "target").groupBy("page").agg(F.countDistinct("path").alias("sources"))
+    return edges.join(shuffled(resolved), "target").groupBy("page").agg(F.countDistinct("path").alias("sources"))
 
 
 def word_count(all_lines: Column) -> Column:

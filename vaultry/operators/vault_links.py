@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, links, names, paths, text, vocab
+from ..functions.skew import shuffled
 
 
 def extract(notes: DataFrame, images: bool = False, skip_front_matter: bool = False) -> DataFrame:
@@ -155,10 +156,10 @@ def broken(found: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("k"),
     ).select("wiki_style", "target", "_folder", "k.*")
-    resolved = keyed.join(file_keys(files), ["scope", "key"], "left_semi").select(
+    resolved = keyed.join(shuffled(file_keys(files)), ["scope", "key"], "left_semi").select(
         "wiki_style", "target", "_folder"
     ).distinct()
-    missing = local.join(resolved, ["wiki_style", "target", "_folder"], "left_anti")
+    missing = local.join(shuffled(resolved), ["wiki_style", "target", "_folder"], "left_anti")
     return missing.select(
         "path", "line", "position", "type", "raw", "target", "in_front_matter", "wiki_style",
         F.lit("file not found").alias("reason"),
@@ -186,9 +187,9 @@ def suggestions(targets: DataFrame, files: DataFrame) -> DataFrame:
     unique = pages.where(paths.is_scanned_page(F.col("path"))).groupBy("_key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_stem").alias("_fix")
     ).where("_n = 1").select("_key", "_fix")
-    bare = wanted.where("_folder = '' AND _key <> ''").join(unique, "_key").select("target", "_fix")
+    bare = wanted.where("_folder = '' AND _key <> ''").join(shuffled(unique), "_key").select("target", "_fix")
     in_folder = pages.groupBy("_folder", "_key").agg(F.min("_stem").alias("_stem"))
-    placed = wanted.where("_folder <> '' AND _key <> ''").join(in_folder, ["_folder", "_key"]).select(
+    placed = wanted.where("_folder <> '' AND _key <> ''").join(shuffled(in_folder), ["_folder", "_key"]).select(
         "target", F.concat("_folder", F.lit("/"), "_stem").alias("_fix")
     )
     fuzzy = bare.unionByName(placed).select("target", F.col("_fix").alias("fuzzy"))
@@ -204,11 +205,11 @@ def suggestions(targets: DataFrame, files: DataFrame) -> DataFrame:
     )
     suffixes = file_keys(files).where("scope = 'suffix'").select(F.col("key").alias("_fixed"))
     is_md = F.lower(paths.suffix(target)) == ".md"
-    space = spaced.join(suffixes, "_fixed").select(
+    space = spaced.join(shuffled(suffixes), "_fixed").select(
         "target",
         F.when(is_md & (F.col("_folder") == ""), paths.stem(F.col("_fixed"))).otherwise(F.col("_fixed")).alias("space"),
     )
-    return wanted.select("target").join(fuzzy, "target", "left").join(space, "target", "left").where(
+    return wanted.select("target").join(shuffled(fuzzy), "target", "left").join(shuffled(space), "target", "left").where(
         "fuzzy IS NOT NULL OR space IS NOT NULL"
     ).select(
         "target", F.coalesce("fuzzy", "space").alias("suggested_fix"),
@@ -246,13 +247,13 @@ def resolve_to_page(targets: DataFrame, files: DataFrame, pages: DataFrame) -> D
                 lambda c: c["path"].isNotNull(),
             )
         ).alias("c"),
-    ).select("target", "c.*").join(files.select("path"), "path", "left_semi")
+    ).select("target", "c.*").join(shuffled(files.select("path")), "path", "left_semi")
     stems = pages.groupBy(paths.stem(F.col("path")).alias("_stem")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")
     ).where("_n = 1")
     by_stem = wanted.withColumn(
         "_stem", F.when(known, paths.stem(target)).otherwise(paths.name(target))
-    ).join(stems, "_stem").select("target", F.lit(7).alias("order"), "path")
+    ).join(shuffled(stems), "_stem").select("target", F.lit(7).alias("order"), "path")
     return exact.select("target", "order", "path").unionByName(by_stem).groupBy("target").agg(
         F.min_by("path", "order").alias("path")
     )
@@ -280,6 +281,6 @@ def source_context(entries: DataFrame, notes: DataFrame, around: int = 2) -> Dat
 
         return F.flatten(F.transform(F.col("_wanted").cast("array<int>"), of))
 
-    rows = notes.select("path", "content").join(wanted, "path")
+    rows = notes.select("path", "content").join(shuffled(wanted), "path")
     found = rows.select("path", F.explode_outer(text.let(text.lines(F.col("content")), near)).alias("c"))
     return found.where("c IS NOT NULL").select("path", "c.line", "c.context_line", "c.text")
