@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vaultry.operators import page_checks, vault_links
+from vaultry.operators import edits, fix_cycle, page_checks, relocation, vault_links
 
 
 def joins(df):
@@ -38,3 +38,21 @@ def test_backlinks_broadcast_nothing(vault):
     edges = page_checks.note_wikilinks(vault)
     assert "Broadcast" not in joins(page_checks.backlinks(edges, files, files))
     assert "Broadcast" not in joins(page_checks.unlinked(files, edges, files))
+
+
+def test_moves_broadcast_nothing(vault):
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    moves = vault.select(F.col("path").alias("old"), F.concat(F.lit("raw/m/"), name).alias("new"))
+    targets = vault.select(name.alias("target"), F.lit("raw/x").alias("folder"))
+    out = relocation.moved_targets(targets, moves)
+    assert "Broadcast" not in joins(out) and out.where("new_path = concat('raw/m/', target)").count() == 40
+
+
+def test_edits_and_repairs_broadcast_nothing(vault):
+    files = vault.select("path")
+    moves = files.select(F.col("path").alias("old"), F.regexp_replace("path", "raw/n/", "raw/m/Moved ").alias("new"))
+    changed = edits.migration_edits(vault, files, moves)
+    assert "Broadcast" not in joins(changed) and changed.count() == 39
+    assert "Broadcast" not in joins(edits.applied(vault, changed))
+    bad = vault_links.broken(vault_links.extract(vault, images=True), files)
+    assert "Broadcast" not in joins(fix_cycle.one_round(vault, bad, files))

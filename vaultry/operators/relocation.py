@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from ..functions.skew import shuffled
 
 
 def loose_file_moves(loose: DataFrame, files: DataFrame) -> DataFrame:
@@ -22,13 +23,13 @@ def loose_file_moves(loose: DataFrame, files: DataFrame) -> DataFrame:
     key = ["_folder", "_stem", "_ext"]
     used = F.coalesce("_taken", F.array().cast("array<int>"))
     first = F.get(F.array_except(F.sequence(F.lit(1), F.size(used) + 1), used), F.lit(0))
-    free = rows.join(taken, key, "left").select("old", F.concat("_folder", _numbered("_stem", "_ext", first)).alias("new"))
-    placed = rows.select("old").join(free, "old", "left").withColumn(
+    free = rows.join(shuffled(taken), key, "left").select("old", F.concat("_folder", _numbered("_stem", "_ext", first)).alias("new"))
+    placed = rows.select("old").join(shuffled(free), "old", "left").withColumn(
         "note",
         F.concat(paths.parent(paths.parent(F.col("new"))), F.lit("/"), paths.stem(F.col("new")), F.lit(".md")),
     )
     known = files.select(F.col("path").alias("note"), F.lit(True).alias("note_exists"))
-    return placed.join(known, "note", "left").na.fill(False, ["note_exists"])
+    return placed.join(shuffled(known), "note", "left").na.fill(False, ["note_exists"])
 
 
 def _taken_numbers(names_: DataFrame) -> DataFrame:
@@ -70,18 +71,18 @@ def moved_targets(targets: DataFrame, moves: DataFrame) -> DataFrame:
                 paths.resolved(F.concat("folder", F.lit("/"), "path")),
             )
         ).alias("way", "old"), (F.col("form") * 10).alias("form"),
-    ).join(moves, "old").select(
+    ).join(shuffled(moves), "old").select(
         "target", "folder", "new", (F.col("form") + F.col("way")).alias("order"), F.lit(0).alias("score"), "old"
     )
     # the best moved file for a tail below every folder above it; a note then asks for its own folders, the deepest first
     tails = moves.select(
         "old", "new", F.explode(paths.trailing_paths(names.straight_quotes(F.col("old")))).alias("path")
-    ).join(forms.select("path").distinct(), "path", "left_semi")
+    ).join(shuffled(forms.select("path").distinct()), "path", "left_semi")
     nearest = F.struct(F.length("old").alias("l"), F.col("old").alias("o"))
     below = tails.select("path", "old", "new", F.posexplode(_leading_paths(F.col("old"))).alias("depth", "above"))
     best = below.groupBy("path", "above").agg(F.min_by(F.struct("old", "new"), nearest).alias("b"))
     asked = forms.select("target", "folder", "path", F.posexplode(_leading_paths(F.col("folder"))).alias("depth", "above"))
-    by_tail = asked.join(best, ["path", "above"]).select(
+    by_tail = asked.join(shuffled(best), ["path", "above"]).select(
         "target", "folder", F.col("b.new").alias("new"), F.lit(100).alias("order"), F.col("depth").alias("score"), F.col("b.old").alias("old")
     )
     rank = F.struct("order", (-F.col("score")).alias("s"), F.length("old").alias("l"), F.col("old").alias("o"))
@@ -96,7 +97,7 @@ def _leading_paths(path: Column) -> Column:
 
 def files_after(files: DataFrame, moves: DataFrame) -> DataFrame:
     """Paths of the vault once the moves are done."""
-    return files.join(moves.select(F.col("old").alias("path"), "new"), "path", "left").select(
+    return files.join(shuffled(moves.select(F.col("old").alias("path"), "new")), "path", "left").select(
         F.coalesce("new", "path").alias("path")
     )
 
@@ -114,17 +115,17 @@ def safe_names(files: DataFrame) -> DataFrame:
     ).where(F.concat("_folder", "_name") != F.col("old"))
     there = files.select(folder, name, F.lit(True).alias("_there")).distinct()
     turn = F.row_number().over(Window.partitionBy("_folder", "_name").orderBy("old"))
-    placed = wanted.withColumn("_turn", turn).join(there, ["_folder", "_name"], "left").select(
+    placed = wanted.withColumn("_turn", turn).join(shuffled(there), ["_folder", "_name"], "left").select(
         "old", "_folder", "_name", paths.stem(F.col("_name")).alias("_stem"), paths.suffix(F.col("_name")).alias("_ext"),
         # 0 keeps the name, n takes the n-th free number
         (F.col("_turn") - F.coalesce(F.col("_there"), F.lit(False)).eqNullSafe(False).cast("int")).cast("int").alias("_n"),
     )
     series = ["_folder", "_stem", "_ext"]
     taken = _taken_numbers(files.select(folder, name).unionByName(wanted.select("_folder", "_name")))
-    needed = placed.groupBy(*series).agg(F.max("_n").alias("_most")).where("_most > 0").join(taken, series, "left")
+    needed = placed.groupBy(*series).agg(F.max("_n").alias("_most")).where("_most > 0").join(shuffled(taken), series, "left")
     used = F.coalesce("_taken", F.array().cast("array<int>"))
     free = F.slice(F.array_except(F.sequence(F.lit(2), F.size(used) + F.col("_most") + 1), used), F.lit(1), F.col("_most"))
     numbers = needed.select(*series, F.posexplode(free).alias("_at", "_number")).withColumn("_n", F.col("_at") + 1).drop("_at")
-    return placed.join(numbers, [*series, "_n"], "left").select(
+    return placed.join(shuffled(numbers), [*series, "_n"], "left").select(
         "old", F.concat("_folder", F.when(F.col("_n") == 0, F.col("_name")).otherwise(_numbered("_stem", "_ext", F.col("_number")))).alias("new")
     )
