@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import shuffled
 from ..session import checkpointed
 from . import rewrite, vault_links
 
@@ -29,12 +30,12 @@ def one_round(notes: DataFrame, broken: DataFrame, files: DataFrame) -> DataFram
     """Notes that change (path, content): suggested targets are put in, broken wikilinks of front matter without a suggestion go."""
     wiki = broken.where("wiki_style")
     known = checkpointed(vault_links.suggestions(wiki, files))
-    named = wiki.select("path", "target", "in_front_matter", "raw").join(known.select("target", "suggested_fix"), "target", "left")
+    named = wiki.select("path", "target", "in_front_matter", "raw").join(shuffled(known.select("target", "suggested_fix")), "target", "left")
     fixes = named.where("suggested_fix IS NOT NULL AND suggested_fix <> target")
     fixed = rewrite.fixed_links(notes, fixes).select("path", F.col("content").alias("_fixed"))
     hopeless = named.where(F.col("suggested_fix").isNull() & F.col("in_front_matter") & F.col("raw").startswith("[["))
     gone = hopeless.groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("_gone"))  # targets of one note
-    rows = notes.join(fixed.join(gone, "path", "full"), "path")
+    rows = notes.join(shuffled(fixed.join(shuffled(gone), "path", "full")), "path")
     content = F.coalesce("_fixed", "content")
     cut = F.when(F.col("_gone").isNotNull(), _deleted(content, F.col("_gone"))).otherwise(content)
     return rows.select("path", cut.alias("_new"), "content").where("_new <> content").select("path", F.col("_new").alias("content"))
@@ -50,14 +51,14 @@ def repair(notes: DataFrame, files: DataFrame, most_rounds: int | None = None) -
     broken = checkpointed(vault_links.broken(vault_links.extract(notes, images=True), files))
     first, changed, rounds = broken, None, 0
     while most_rounds is None or rounds < most_rounds:
-        affected = notes.join(broken.select("path").distinct(), "path", "left_semi")
+        affected = notes.join(shuffled(broken.select("path").distinct()), "path", "left_semi")
         new = checkpointed(one_round(affected, broken, files))
         if new.isEmpty():
             break
         rounds += 1
         again = vault_links.broken(vault_links.extract(new, images=True), files)
-        broken = checkpointed(broken.join(new.select("path"), "path", "left_anti").unionByName(again))
-        changed = new if changed is None else checkpointed(changed.join(new.select("path"), "path", "left_anti").unionByName(new))
+        broken = checkpointed(broken.join(shuffled(new.select("path")), "path", "left_anti").unionByName(again))
+        changed = new if changed is None else checkpointed(changed.join(shuffled(new.select("path")), "path", "left_anti").unionByName(new))
         notes = new  # what did not change has nothing that can change
     found = first.groupBy("type").agg(F.count(F.lit(1)).alias("found"))
     left = broken.groupBy("type").agg(F.count(F.lit(1)).alias("remaining"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, links, names, paths, text
+from ..functions.skew import shuffled
 from .ledger import content_hash
 
 # A line worth dropping once its link is gone, and raw-path references.
@@ -136,7 +137,7 @@ def fixed_links(notes: DataFrame, fixes: DataFrame) -> DataFrame:
             (acc["changes"] + F.regexp_count(acc["text"], pattern)).alias("changes"),
         )
 
-    done = notes.join(per_note, "path").withColumn("_done", F.aggregate("fixes", start, step))
+    done = notes.join(shuffled(per_note), "path").withColumn("_done", F.aggregate("fixes", start, step))
     return plan(done, F.col("_done.text"), F.col("_done.changes"))
 
 
