@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import links, paths
+from ..functions.skew import shuffled
 from ..sources.ledger import updated_line
 from . import relocation, vault_links
 
@@ -50,7 +51,7 @@ def applied(notes: DataFrame, edits: DataFrame) -> DataFrame:
                     "path": part.column("path"), "content": pa.array([m[0] for m in made], pa.string()), "applied": pa.array([m[1] for m in made], pa.int64()),
                 })
 
-    rows = notes.select("path", "content").join(per_note, "path").select("path", "content", F.col("edits").cast(_EDITS).alias("edits"))
+    rows = notes.select("path", "content").join(shuffled(per_note), "path").select("path", "content", F.col("edits").cast(_EDITS).alias("edits"))
     return rows.mapInArrow(run, "path string, content string, applied bigint")
 
 
@@ -84,7 +85,7 @@ def _quoted(targets: Column) -> Column:
 def _first_move(rows: DataFrame, moves: DataFrame, keys: list[Column], by: list[str]) -> DataFrame:
     """``new`` of the first of several spellings that is a moved path, for every row of ``by``."""
     spelled = rows.select(*by, F.posexplode(F.array(*keys)).alias("_order", "old")).where("old IS NOT NULL")
-    return spelled.join(moves, "old").groupBy(*by).agg(F.min_by("new", "_order").alias("new"))
+    return spelled.join(shuffled(moves), "old").groupBy(*by).agg(F.min_by("new", "_order").alias("new"))
 
 
 def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> DataFrame:
@@ -95,10 +96,10 @@ def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> Dat
     from the root, percent-encoded if it was; a ``source:`` line keeps its relative form where the new place lies below the note's folder.
     """
     after = relocation.files_after(files, moves)
-    there = notes.select("path").join(moves.select(F.col("old").alias("path"), "new"), "path", "left").select(
+    there = notes.select("path").join(shuffled(moves.select(F.col("old").alias("path"), "new")), "path", "left").select(
         "path", F.coalesce("new", "path").alias("_new_path"), paths.parent(F.col("path")).alias("folder")
     )
-    places = link_places(notes).join(there, "path").where((F.col("target") != "") & ~F.col("target").startswith("#"))
+    places = link_places(notes).join(shuffled(there), "path").where((F.col("target") != "") & ~F.col("target").startswith("#"))
     found = places.where("type <> 'source'").select(
         F.col("_new_path").alias("path"), F.lit(0).alias("line"), F.struct("path", "start", "stop", "folder").alias("position"), "type", "raw", "target",
         F.lit(False).alias("in_front_matter"),
@@ -108,7 +109,7 @@ def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> Dat
     wiki = gone.where("wiki_style")
     wiki_moves = relocation.moved_targets(wiki.select("target", "folder"), moves)
     bare = F.col("new_path").endswith(".md") & ~F.col("target").endswith(".md")
-    wiki_edits = wiki.join(wiki_moves, ["target", "folder"]).select(
+    wiki_edits = wiki.join(shuffled(wiki_moves), ["target", "folder"]).select(
         "path", "start", "stop", F.when(bare, F.regexp_replace("new_path", r"\.md\z", "")).otherwise(F.col("new_path")).alias("text")
     )
 
@@ -119,15 +120,15 @@ def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> Dat
     spelled = md.select("target", "folder").distinct().withColumn("_plain", paths.url_decoded(F.col("target")))
     near, root = paths.resolved(inside(F.col("folder"), F.col("_plain"))), paths.resolved(F.col("_plain"))
     md_moves = _first_move(spelled, moves, [near, F.concat(near, F.lit(".md")), root, F.concat(root, F.lit(".md"))], ["target", "folder"])
-    md_edits = md.join(md_moves, ["target", "folder"]).select(
+    md_edits = md.join(shuffled(md_moves), ["target", "folder"]).select(
         "path", "start", "stop", F.when(F.col("target").contains("%"), _quoted(F.col("new"))).otherwise(F.col("new")).alias("text")
     )
 
     told = places.where("type = 'source'").select("path", "start", "stop", "target", "folder", paths.parent(F.col("_new_path")).alias("_below"))
     plain = F.regexp_replace("target", r"\A\./", "")
-    whole = told.join(moves.withColumnRenamed("old", "_plain"), plain == F.col("_plain")).select("path", "start", "stop", F.col("new").alias("text"), "target")
-    rest = told.join(moves.select(F.col("old").alias("_plain")), plain == F.col("_plain"), "left_anti")
-    beside = rest.join(moves.withColumnRenamed("old", "_near"), paths.resolved(inside(F.col("folder"), plain)) == F.col("_near"))
+    whole = told.join(shuffled(moves.withColumnRenamed("old", "_plain")), plain == F.col("_plain")).select("path", "start", "stop", F.col("new").alias("text"), "target")
+    rest = told.join(shuffled(moves.select(F.col("old").alias("_plain"))), plain == F.col("_plain"), "left_anti")
+    beside = rest.join(shuffled(moves.withColumnRenamed("old", "_near")), paths.resolved(inside(F.col("folder"), plain)) == F.col("_near"))
     prefix = F.concat("_below", F.lit("/"))
     relative = F.when((F.col("_below") != "") & F.startswith("new", prefix), F.substring("new", F.length(prefix) + 1, F.length("new"))).otherwise(F.col("new"))
     source_edits = whole.unionByName(beside.select("path", "start", "stop", relative.alias("text"), "target")).where("text <> target").drop("target")
@@ -136,7 +137,7 @@ def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> Dat
 
 def log_after_moves(log: DataFrame, moves: DataFrame) -> DataFrame:
     """Log rows (of a reader, with ``raw``) as lines in which moved files have their new paths: line_no, value, moved; damaged lines stay."""
-    joined = log.withColumn("_old", paths.tidy(F.col("file"))).join(moves.select(F.col("old").alias("_old"), "new"), "_old", "left")
+    joined = log.withColumn("_old", paths.tidy(F.col("file"))).join(shuffled(moves.select(F.col("old").alias("_old"), "new")), "_old", "left")
     moved = F.col("new").isNotNull() & ~F.col("malformed")
     line = F.when(moved, updated_line(F.col("raw"), {"file": F.col("new")})).otherwise(F.col("raw"))
     return joined.select("line_no", line.alias("value"), moved.alias("moved"))

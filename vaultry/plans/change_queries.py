@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.skew import shuffled
 from ..operators import coverage, edits, ledger, relocation, rewrite, stamping
 from ..session import checkpoint_folder
 from ..sinks import reports
@@ -265,7 +266,7 @@ def moved_link_branches(spark, sf):
         .when(way == 3, _cat("../../f", s(k % 7), "/d", s(k % 3), "/n", s(k), ".pdf")).when(way == 4, _cat("./n", s(k)))
         .otherwise(_cat("d", s(k % 3), "/n", s(k), ".md"))
     )
-    asked = table(spark, sf, "orders").join(kept, k == F.col("c_custkey"), "left_semi")
+    asked = table(spark, sf, "orders").join(shuffled(kept), k == F.col("c_custkey"), "left_semi")
     targets = asked.select(target.alias("target"), _cat("raw/f", s(key % 9), "/d", s(key % 4)).alias("folder"))
     return relocation.moved_targets(targets, moves)
 
@@ -333,7 +334,7 @@ def migration_links(spark, sf):
         owners.select(_cat("raw/c/converted/N ", F.col("k"), ".md").alias("path"))
     )
     done = edits.applied(notes, edits.migration_edits(notes.select("path", "content"), files, moves)).select("path", F.col("content").alias("_new"))
-    rows = notes.join(done, "path", "left")
+    rows = notes.join(shuffled(done), "path", "left")
     return rows.select(F.col("o_orderkey").alias("key"), F.col("_new").isNotNull().alias("changed"), F.coalesce("_new", "content").alias("content"))
 
 
