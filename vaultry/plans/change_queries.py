@@ -431,17 +431,26 @@ def _delivered_sql() -> str:
       SELECT file, hash, mtime FROM h WHERE n = first_hash"""
 
 
+#: Documents for each file of a delivery; the smallest delivery has a seventh of them, so that no file of several stays empty.
+_DOCS_OF_FILE = 10_000
+
+
+def _files_of_delivery(docs: int) -> int:
+    return docs // _DOCS_OF_FILE + 1
+
+
 @query("stream_ingest_deliveries", _delivered_sql())
 def stream_ingest_deliveries(spark, sf):
     """Documents delivered as files six times, a micro-batch each, with a restart after the third."""
     docs, work = table(spark, sf, "documents"), _work_folder(spark)
     schema = "path string, mtime bigint, content string"
+    files = _files_of_delivery(docs.count())  # as many in each delivery, so that each is one micro-batch
     for n, (wanted, name, late, more) in enumerate(_DELIVERIES):
         docs.where(wanted).select(
             F.expr(f"'raw/' || {name} || '.md'").alias("path"), (F.col("doc_id") * 100 + late).cast("bigint").alias("mtime"),
             _cat(F.col("text"), more).alias("content"),
-        ).coalesce(1).write.parquet(f"{work}/in/{n}")  # a delivery is one file, so that it is one micro-batch
+        ).repartition(files, "path").write.parquet(f"{work}/in/{n}")
         if n in (2, len(_DELIVERIES) - 1):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in/*")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{work}/in/*")
             stream_ingest_module.start(stream, f"{work}/log", f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/log").select("file", "hash", "mtime")
