@@ -2,11 +2,12 @@
 
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from vaultry.operators import search_index
+from vaultry.operators import retrieval, search_index
 from vaultry.sinks import commits
 
 
@@ -97,3 +98,17 @@ def test_fused_ranks(spark):
     got = search_index.fused(a, b).collect()
     assert [(r.key, r.lexical_rank, r.vector_rank) for r in got] == [("r", 3, 1), ("p", 1, None), ("q", 2, None), ("s", None, 2)]
     assert got[0].score == round(1 / 63 + 1 / 61, 9)
+
+
+def test_terms_are_counted_within_their_rows(spark):
+    rows = [("a", "b a B c, a b 3"), ("b", ""), ("c", None), ("d", "é É e"), ("e", "one"), ("f", "!!")] + [(f"g{i}", " ".join(f"w{j % 7}" for j in range(i))) for i in range(60)]
+    made = retrieval.lexical_index(spark.createDataFrame(rows, "key string, content string"), "key", "content")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    expected = set()
+    for key, content in rows:
+        words = re.findall(r"[^\W_]+", (content or "").lower())
+        expected |= {(key, len(words), w, n) for w, n in Counter(words).items()}
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert dict(made.dtypes) == {"key": "string", "doc_length": "int", "term": "string", "tf": "bigint"}

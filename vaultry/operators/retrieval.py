@@ -23,11 +23,25 @@ def question_terms(question: str) -> list[str]:
 
 
 def lexical_index(texts: DataFrame, key: str, content: str) -> DataFrame:
-    """Rows (key, doc_length, term, tf); terms are counted by partial aggregation."""
-    rows = texts.select(key, tokens(F.col(content)).alias("_tokens"))
-    return rows.select(
-        key, F.size("_tokens").alias("doc_length"), F.explode("_tokens").alias("term")
-    ).groupBy(key, "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Rows (key, doc_length, term, tf) of texts with unique keys; terms are counted within the text's row."""
+    rows = texts.select(key, F.sort_array(tokens(F.col(content))).alias("_tokens"))
+    # the outer form keeps Spark from adding filters that would cut every text again
+    found = rows.select(key, F.size("_tokens").alias("doc_length"), F.explode_outer(_counted(F.col("_tokens"))).alias("c"))
+    return found.where("c IS NOT NULL").select(key, "doc_length", "c.term", "c.tf")
+
+
+def _counted(ordered: Column) -> Column:
+    """(term, tf) of the terms in a sorted array."""
+
+    def counted(terms: Column) -> Column:
+        ends = F.filter(
+            F.sequence(F.lit(1), F.size(terms)), lambda i: ~F.get(terms, i).eqNullSafe(F.get(terms, i - 1))
+        )
+        return text.let(ends, lambda last: F.transform(last, lambda end, i: F.struct(
+            F.get(terms, end - 1).alias("term"), (end - F.coalesce(F.get(last, i - 1), F.lit(0))).cast("bigint").alias("tf")
+        )))
+
+    return F.when(F.size(ordered) > 0, text.let(ordered, counted))
 
 
 def bm25(texts: DataFrame, key: str, content: str, question: str, k: int = 15) -> DataFrame:
