@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,20 @@ def test_nothing(spark):
     notes = spark.createDataFrame([("a.md", "x"), ("b.md", None)], "path string, content string")
     assert mentions.linked(notes, none).where("changed").count() == 0
     assert mentions.mentioned(notes, none.withColumnRenamed("path", "stem")).agg(F.count("stem")).first()[0] == 0
+
+
+def test_an_occurrence_is_three_numbers(spark):
+    words = [f"word{i}" for i in range(50)]
+    stems = spark.createDataFrame([(w, f"wiki/a/{w}.md", None) for w in words], "stem string, first string, second string")
+    folder = mentions._sharded(stems)
+    text = " ".join(words[i * 7 % 50] for i in range(60_000))
+    tracemalloc.start()
+    try:
+        found, pages = mentions._occurrences(folder, mentions._files(folder), [("x", text), ("y", "word3"), ("z", "")])
+        size = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    places = sorted((found[0][i], found[0][i + 1], pages[found[0][i + 2]][0]) for i in range(0, len(found[0]), 3))
+    assert places == sorted((m.start() + k.start(), m.start() + k.end(), f"wiki/a/{k[0]}.md") for m in re.finditer(r"\S+", text) for w in {m[0], m[0][:5]} & set(words) for k in [re.match(w, m[0])])
+    assert [pages[i][0] for i in found[1][2::3]] == ["wiki/a/word3.md"] and not found[2]
+    assert size < 40 * len(places) + 200_000

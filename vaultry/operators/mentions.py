@@ -10,6 +10,7 @@ import bisect
 import functools
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -156,6 +157,21 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]
         yield rows
 
 
+def _occurrences(folder: str, files: list[str], rows: list[tuple[str, str]]) -> tuple[list[array], list[tuple[str, str | None]]]:
+    """Titles that stand in texts (path, content): start, stop and title number one after the other for each text, and the pages of each number.
+
+    Common titles are found millions of times in a slice, so an occurrence is three numbers and no object.
+    """
+    found, numbers = [array("q") for _ in rows], {}
+    for file in files:
+        automaton = _automaton(folder, file)
+        if automaton is not None:
+            for hits, (_, content) in zip(found, rows):
+                for end, (n, first, second) in automaton.iter(content):
+                    hits.extend((end + 1 - n, end + 1, numbers.setdefault((first, second), len(numbers))))
+    return found, list(numbers)
+
+
 def linked(notes: DataFrame, orphans: DataFrame) -> DataFrame:
     """Notes (path, content) with the plain mentions of ``orphans`` (path) made links: path, content, links, changed.
 
@@ -167,13 +183,11 @@ def linked(notes: DataFrame, orphans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _files(folder)
         for rows in _slices(batches):
-            found: list[list] = [[] for _ in rows]
-            for file in files:
-                automaton = _automaton(folder, file)
-                if automaton is not None:
-                    for hits, (_, content) in zip(found, rows):
-                        hits += [(end + 1 - n, end + 1, first, second) for end, (n, first, second) in automaton.iter(content)]
-            made = [_linked(path, content, hits) if hits else (content, {}) for hits, (path, content) in zip(found, rows)]
+            found, pages = _occurrences(folder, files, rows)
+            made = [
+                _linked(path, content, [(a, b, *pages[i]) for a, b, i in zip(hits[::3], hits[1::3], hits[2::3])]) if hits else (content, {})
+                for hits, (path, content) in zip(found, rows)
+            ]
             yield pa.RecordBatch.from_pydict({
                 "path": pa.array([r[0] for r in rows], pa.string()), "content": pa.array([m[0] for m in made], pa.string()),
                 "links": pa.array([[{"page": p, "n": n} for p, n in sorted(m[1].items())] for m in made], pa.list_(pa.struct([("page", pa.string()), ("n", pa.int64())]))),
