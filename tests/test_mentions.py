@@ -109,3 +109,26 @@ def test_an_occurrence_is_three_numbers(spark):
     assert places == sorted((m.start() + k.start(), m.start() + k.end(), f"wiki/a/{k[0]}.md") for m in re.finditer(r"\S+", text) for w in {m[0], m[0][:5]} & set(words) for k in [re.match(w, m[0])])
     assert [pages[i][0] for i in found[1][2::3]] == ["wiki/a/word3.md"] and not found[2]
     assert size < 40 * len(places) + 200_000
+
+
+def test_repairs_go_through_the_notes_once_for_their_links(spark, monkeypatch):
+    """Titles for the raw texts, their count and the result all need the links of the notes."""
+    read = spark.sparkContext.accumulator(0)
+    plain = mentions.linked
+
+    def counted(notes, orphans, **kwargs):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return plain(notes.mapInArrow(run, notes.schema), orphans, **kwargs)
+
+    monkeypatch.setattr(mentions, "linked", counted)
+    notes = spark.createDataFrame([("wiki/a/alpha.md", "---\norphan: false\n---\nbeta"), ("wiki/a/beta.md", "x"), ("wiki/a/gamma.md", "orphan: false")], "path string, content string")
+    raw = spark.createDataFrame([("raw/a.md", "gamma")], "path string, content string")
+    rows = mentions.repairs(notes, raw, notes.select("path")).collect()
+    assert sorted((r["path"], r["references_linked"], r["frontmatter"]) for r in rows) == [
+        ("wiki/a/alpha.md", 0, None), ("wiki/a/beta.md", 1, None), ("wiki/a/gamma.md", 0, "added_orphan_false")
+    ]
+    assert read.value == 3

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, paths, text
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, checkpointed
 from . import rewrite
 
 #: Titles of a shard; it bounds the memory of a task, not what is found.
@@ -45,6 +45,8 @@ def titles(pages: DataFrame) -> DataFrame:
 
 def _sharded(found: DataFrame) -> str:
     spark = found.sparkSession
+    # counted and written: whatever gives the titles runs once
+    found = checkpointed(found)
     folder = f"{checkpoint_folder(spark).rstrip('/')}/titles-{uuid.uuid4().hex}"
     shards = max(-(-found.count() // SHARD), 1)
     found.repartition(shards, "stem").write.option("maxRecordsPerFile", 2 * SHARD).parquet(folder)
@@ -89,6 +91,15 @@ def _segments(content: str) -> list[tuple[int, int]]:
     return [s for s in out if s[0] < s[1]]
 
 
+def _in_word(content: str, left: int, right: int) -> bool:
+    """Whether a word goes on over an end of an occurrence: it is no mention then, whatever else stands in the text."""
+
+    def word(at: int) -> bool:
+        return content[at].isalnum() or content[at] == "_"
+
+    return (left > 0 and word(left - 1) and word(left)) or (right < len(content) and word(right) and word(right - 1))
+
+
 def settled(content: str, left: int, right: int, found: list[Occurrence]) -> list[tuple[str, int, int, int]]:
     """The occurrences (page, start, stop) within ``left`` to ``right`` that become links: page, start, stop of the title and of what is replaced.
 
@@ -131,6 +142,8 @@ def _linked(path: str, content: str, found: list[tuple[int, int, str, str | None
     lefts = [a for a, _ in spans]
     inside: dict[int, list[Occurrence]] = {}
     for a, b, first, second in found:
+        if _in_word(content, a, b):
+            continue
         owner = second if first == path else first
         i = bisect.bisect(lefts, a) - 1
         if owner is not None and i >= 0 and b <= spans[i][1]:
@@ -172,9 +185,11 @@ def _occurrences(folder: str, files: list[str], rows: list[tuple[str, str]]) ->
     return found, list(numbers)
 
 
-def linked(notes: DataFrame, orphans: DataFrame) -> DataFrame:
+def linked(notes: DataFrame, orphans: DataFrame, texts: bool = True) -> DataFrame:
     """Notes (path, content) with the plain mentions of ``orphans`` (path) made links: path, content, links, changed.
 
+    Without ``texts`` the new content is left out (NULL), for those who only need the links.
+
     ``links`` is an array of (page, n).  A page does not get links from its own text; of pages of one stem the first in path order that is not
     the note itself is credited.  Where titles overlap the page that comes first in path order has its mention.
     """
@@ -189,7 +204,7 @@ def linked(notes: DataFrame, orphans: DataFrame) -> DataFrame:
                 for hits, (path, content) in zip(found, rows)
             ]
             yield pa.RecordBatch.from_pydict({
-                "path": pa.array([r[0] for r in rows], pa.string()), "content": pa.array([m[0] for m in made], pa.string()),
+                "path": pa.array([r[0] for r in rows], pa.string()), "content": pa.array([m[0] if texts else None for m in made], pa.string()),
                 "links": pa.array([[{"page": p, "n": n} for p, n in sorted(m[1].items())] for m in made], pa.list_(pa.struct([("page", pa.string()), ("n", pa.int64())]))),
                 "changed": pa.array([bool(m[1]) for m in made]),
             })
@@ -218,7 +233,7 @@ def mentioned(texts: DataFrame, stems: DataFrame) -> DataFrame:
                     seen: set[str] = set()
                     for end, (n, _, _) in automaton.iter(content):
                         stem = content[end + 1 - n : end + 1]
-                        if stem not in seen and settled(content, 0, len(content), [("", end + 1 - n, end + 1)]):
+                        if stem not in seen and not _in_word(content, end + 1 - n, end + 1) and settled(content, 0, len(content), [("", end + 1 - n, end + 1)]):
                             seen.add(stem)
                     stems += seen
                     where += [path] * len(seen)
@@ -233,12 +248,15 @@ def repairs(notes: DataFrame, raw_texts: DataFrame, orphans: DataFrame) -> DataF
     ``frontmatter``: an orphan with new links loses ``orphan: false`` (removed_orphan_false), one that only raw texts mention gains it
     (added_orphan_false); NULL where the flag stays as it is.
     """
-    links = linked(notes, orphans).where("changed").select(F.explode("links").alias("l")).select("l.page", "l.n")
+    links = linked(notes, orphans, texts=False).where("changed").select(F.explode("links").alias("l")).select("l.page", "l.n")
     counts = links.groupBy(F.col("page").alias("path")).agg(F.sum("n").alias("references_linked"), F.count(F.lit(1)).alias("files_changed"))
-    flagged = notes.join(orphans.select("path"), "path", "left_semi").select(
-        "path", frontmatter.has_flag(text.lines(F.col("content")), "orphan", "false").alias("_flag"), paths.stem(F.col("path")).alias("stem")
-    )
-    rows = flagged.join(counts, "path", "left").na.fill(0, ["references_linked", "files_changed"])
+    # read in the row, so that no text is shuffled; the substring test spares most notes the line split
+    flag = F.col("content").contains("orphan") & frontmatter.has_flag(text.lines(F.col("content")), "orphan", "false")
+    flagged = notes.select(
+        "path", F.coalesce(flag, F.lit(False)).alias("_flag"), paths.stem(F.col("path")).alias("stem")
+    ).join(orphans.select("path"), "path", "left_semi")
+    # both the titles sought in raw texts and the result come from here: the notes are gone through once
+    rows = checkpointed(flagged.join(counts, "path", "left").na.fill(0, ["references_linked", "files_changed"]))
     lonely = rows.where("references_linked = 0 AND NOT _flag").where(F.length("stem") >= _LEAST)
     raw = mentioned(raw_texts, lonely).select("stem").distinct().withColumn("_raw", F.lit(True))
     some = F.col("references_linked") > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vocab
+from ..functions import text, vocab
 from ..operators import fix_cycle, inventory, mentions, page_checks, provenance, vault_links
 from ..session import checkpointed
 from ..sources.tables import table
@@ -267,7 +267,8 @@ word_v AS (SELECT w, min(path) AS first, count(*) AS n FROM titled_v WHERE asked
 
 def _titled(spark, sf):
     """Documents as pages named by their third word, so that thousands of titles are common words; every second one is looked for."""
-    word = F.get(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lit(2))
+    # up to the third word and no further into the text
+    word = text.find(F.col("text"), r"\A(?:[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++){2}[^\p{L}\p{N}_]++([\p{L}\p{N}_]++)")
     path = F.concat(F.lit("wiki/t"), F.col("doc_id").cast("string"), F.lit("/"), F.coalesce(word, F.lit("none")), F.lit(".md"))
     pages = table(spark, sf, "documents").select("doc_id", "lang", path.alias("path"), F.col("text").alias("content"), word.alias("word"))
     return pages.drop("word"), pages.where("doc_id % 2 = 0 AND length(word) >= 3").select("path")
