@@ -99,29 +99,43 @@ def index_pages(files: DataFrame) -> DataFrame:
 
 
 def index_blocks(files: DataFrame) -> DataFrame:
-    """Block rows from (path, content), metadata joined on (path, id)."""
+    """Block rows from (path, content); the callout's metadata meets them in the row of their page."""
     body = text.lines(frontmatter.inventory_body(F.col("content")))
-    found = files.where(F.col("content").contains("^")).select(
+
+    def joined(blocks: Column, known: Column) -> Column:
+        def looked_up(metadata: Column) -> Column:
+            return text.let(
+                F.transform(metadata, lambda m: m["block_id"]),
+                lambda ids: F.transform(
+                    blocks,
+                    lambda b, i: F.struct(
+                        i.alias("ordinal"), *[b[key].alias(key) for key in ("id", "text", "heading_path")],
+                        F.get(metadata, (F.array_position(ids, b["id"]) - 1).cast("int")).alias("m"),
+                    ),
+                ),
+            )
+
+        return text.let(known, looked_up)
+
+    marked = provenance.callouts(files.where(F.col("content").contains("^")))
+    found = marked.select(
         # the outer form keeps Spark from adding filters that would parse every page again
-        "path", F.posexplode_outer(blocks_of(body)).alias("ordinal", "block")
-    ).where("block IS NOT NULL").select("path", "ordinal", "block.*")
-    metadata = provenance.block_metadata(provenance.callouts(files)).withColumnRenamed("block_id", "id")
-    return with_metadata(found, metadata)
+        "path", F.explode_outer(joined(blocks_of(body), provenance.metadata_of(F.col("callout")))).alias("block")
+    ).where("block IS NOT NULL").select("path", "block.*")
+    return with_defaults(found)
 
 
-def with_metadata(found: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join of blocks and callout metadata with the defaults of absent entries."""
-    joined = found.join(metadata, ["path", "id"], "left")
+def with_defaults(found: DataFrame) -> DataFrame:
+    """Blocks with their callout metadata ``m`` (NULL where there is none) and the defaults of absent entries."""
 
     def default(key: str) -> Column:
-        return F.when(F.coalesce(F.col(f"{key}_given"), F.lit(False)), F.col(key)).otherwise("unknown")
-
-    return joined.select(
-        "path", "ordinal", "id", "text", "heading_path",
-        default("status").alias("status"), default("confidence").alias("confidence"),
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
-        "observed", "checked", "superseded_by", "provenance_quality", "review_mode",
-        "evidence_latest", (F.coalesce("field_count", F.lit(0)) > 0).alias("has_provenance"),
+        return F.when(F.coalesce(F.col(f"m.{key}_given"), F.lit(False)), F.col(f"m.{key}")).otherwise("unknown").alias(key)
+
+    return found.select(
+        "path", "ordinal", "id", "text", "heading_path", default("status"), default("confidence"),
+        F.coalesce("m.sources", F.array().cast("array<string>")).alias("sources"),
+        "m.observed", "m.checked", "m.superseded_by", "m.provenance_quality", "m.review_mode",
+        "m.evidence_latest", (F.coalesce("m.field_count", F.lit(0)) > 0).alias("has_provenance"),
     )
 
 

@@ -1,7 +1,8 @@
 """Provenance callouts: parsing and validation.
 
-Parsing stays inside the row of its page (array functions, no shuffle); only the small metadata
-rows are shuffled afterwards, by ``(path, block_id)``.
+Parsing, the metadata of the blocks and the checks stay inside the row of their page (array
+functions, no shuffle), so a task holds one page at a time, however many pages its split has.
+A path is one row.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def is_list(raw: Column) -> Column:
 
 def scalar(raw: Column) -> Column:
     """Text of a scalar value; NULL for null words."""
-    value = text.strip(raw)
-    return F.when(~F.lower(value).isin("null", "none", "~"), unquoted(value))
+    return text.let(
+        text.strip(raw), lambda value: F.when(~F.lower(value).isin("null", "none", "~"), unquoted(value))
+    )
 
 
 def _inner(raw: Column) -> Column:
@@ -231,46 +233,104 @@ def callouts(pages: DataFrame, content: str = "content") -> DataFrame:
     ).drop("_payload", "_parsed")
 
 
+def _block_fields(entries: Column) -> Column:
+    """Fields under every block id, in order of its first header: array<struct(block_id, position, fields)>."""
+    marked = F.transform(
+        entries,
+        lambda e, i: F.struct(i.alias("position"), e["block"].alias("block"), e["key"].alias("key"), e["raw"].alias("raw")),
+    )
+
+    def runs(all_entries: Column) -> Column:
+        def of(heads: Column) -> Column:
+            def fields(h: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(heads, i + 1)["position"], F.size(all_entries))
+                return F.slice(all_entries, h["position"] + 2, end - h["position"] - 1)
+
+            return F.transform(
+                heads,
+                lambda h, i: F.struct(h["block"].alias("block_id"), h["position"].alias("position"), fields(h, i).alias("fields")),
+            )
+
+        return text.let(F.filter(all_entries, lambda e: e["key"] == ""), of)
+
+    def merged(found: Column) -> Column:
+        ids = F.transform(found, lambda r: r["block_id"])
+
+        def one(same: Column) -> Column:
+            return F.struct(
+                F.get(same, F.lit(0))["block_id"].alias("block_id"), F.get(same, F.lit(0))["position"].alias("position"),
+                F.flatten(F.transform(same, lambda r: r["fields"])).alias("fields"),
+            )
+
+        # ids named twice are rare
+        return text.let(
+            F.array_distinct(ids),
+            lambda names: F.when(F.size(names) == F.size(found), found).otherwise(
+                F.transform(names, lambda n: text.let(F.filter(found, lambda r: r["block_id"] == n), one))
+            ),
+        )
+
+    return text.let(text.let(marked, runs), merged)
+
+
+def metadata_of(callout: Column) -> Column:
+    """Metadata of the block ids of a callout: array of structs, see :func:`block_metadata`; NULL without a callout."""
+
+    def record(block: Column) -> Column:
+        def latest(key: str) -> Column:
+            return F.try_element_at(F.filter(block["fields"], lambda e: e["key"] == key), F.lit(-1))["raw"]
+
+        def read(given: Column) -> Column:
+            return F.struct(
+                block["block_id"].alias("block_id"), block["position"].alias("position"),
+                F.size(block["fields"]).cast("bigint").alias("field_count"),
+                source_items(given["sources"]).alias("sources"),
+                scalar(given["sources"]).isNotNull().alias("sources_given"),
+                *[given[key].isNotNull().alias(f"{key}_given") for key in ("status", "confidence")],
+                *[scalar(given[key]).alias(key) for key in NAMED_FIELDS],
+            )
+
+        return text.let(F.struct(*[latest(key).alias(key) for key in ("sources", *NAMED_FIELDS)]), read)
+
+    usable = F.when(callout["form"] != "other", callout["entries"])
+    return F.transform(_block_fields(usable), record)
+
+
 def block_metadata(with_callouts: DataFrame) -> DataFrame:
     """One row per (page, block id) named in a callout.
 
     Columns: path, block_id, position, the named fields, ``sources`` (array), ``sources_given``,
-    ``sources_listed``, ``status_given`` / ``confidence_given``, ``field_count``.
+    ``status_given`` / ``confidence_given``, ``field_count``.
     """
-    usable = F.when(F.col("callout.form") != "other", F.col("callout.entries"))
-    entries = with_callouts.select(
-        "path", F.posexplode_outer(usable).alias("position", "entry")
-    ).where("entry IS NOT NULL").select("path", "position", "entry.*")
-
-    def latest(key: str) -> Column:
-        return F.max(
-            F.when(F.col("key") == key, F.struct("position", "raw"))
-        )["raw"]
-
-    rows = entries.groupBy("path", F.col("block").alias("block_id")).agg(
-        F.min("position").alias("position"),
-        F.count_if(F.col("key") != "").alias("field_count"),
-        latest("sources").alias("_sources"),
-        *[latest(key).alias(f"_{key}") for key in NAMED_FIELDS],
-    )
-    return rows.select(
-        "path", "block_id", "position", "field_count",
-        source_items(F.col("_sources")).alias("sources"),
-        (scalar(F.col("_sources")).isNotNull()).alias("sources_given"),
-        *[F.col(f"_{key}").isNotNull().alias(f"{key}_given") for key in ("status", "confidence")],
-        *[scalar(F.col(f"_{key}")).alias(key) for key in NAMED_FIELDS],
-    )
+    return with_callouts.select(
+        "path", F.explode_outer(metadata_of(F.col("callout"))).alias("m")
+    ).where("m IS NOT NULL").select("path", "m.*")
 
 
-def block_ids(pages: DataFrame, content: str = "content") -> DataFrame:
-    """Occurrences of block ids outside fences: path, block_id, occurrences."""
-    ids = F.regexp_extract_all(
-        text.outside_fences(text.lines(F.col(content))), F.lit(BLOCK_ID), F.lit(1)
-    )
-    found = pages.where(F.col(content).contains("^")).select(
-        "path", F.explode_outer(ids).alias("block_id")
-    ).where("block_id IS NOT NULL")
-    return found.groupBy("path", "block_id").agg(F.count(F.lit(1)).alias("occurrences"))
+def ids_in(content: Column) -> Column:
+    """Block ids outside fences, in order, repeats kept."""
+    found = F.regexp_extract_all(text.outside_fences(text.lines(content)), F.lit(BLOCK_ID), F.lit(1))
+    # the substring test spares pages without a mark the line split
+    return F.when(content.contains("^"), found).otherwise(F.array().cast("array<string>"))
+
+
+def occurrences(ids: Column) -> Column:
+    """How often each of some strings occurs: array<struct(block_id, occurrences)>."""
+
+    def counted(ordered: Column) -> Column:
+        first = F.transform(ordered, lambda v, i: F.when((i == 0) | (v != F.get(ordered, i - 1)), i))
+        return text.let(
+            F.filter(first, lambda i: i.isNotNull()),
+            lambda starts: F.transform(
+                starts,
+                lambda at, i: F.struct(
+                    F.get(ordered, at).alias("block_id"),
+                    (F.coalesce(F.get(starts, i + 1), F.size(ordered)) - at).cast("bigint").alias("occurrences"),
+                ),
+            ),
+        )
+
+    return text.let(F.sort_array(ids), counted)
 
 
 # validation ------------------------------------------------------------------------------------
@@ -281,19 +341,18 @@ def _issue(when: Column, code: str, message: Column, severity: str = "error") ->
     )
 
 
+_ISSUES = "array<struct<block_id:string,code:string,message:string,severity:string>>"
+
+
 def _date(value: Column) -> Column:
     return F.try_to_date(value, "yyyy-M-d")
 
 
-def metadata_issues(metadata: DataFrame) -> DataFrame:
-    """Issues of metadata rows, one output row per issue, without a shuffle.
-
-    Needs the columns of :func:`block_metadata` plus ``in_text`` (the id occurs in the page) and
-    ``minimal_stamp``.
-    """
-    block = F.col("block_id")
-    status, confidence = F.col("status"), F.col("confidence")
-    listed = F.col("sources").isNotNull()
+def _issues_of(named, in_text: Column, minimal_stamp: Column) -> Column:
+    """Issues of the metadata of one block: array<struct(code, message, severity)>; ``named(key)`` gives its columns."""
+    block = named("block_id")
+    status, confidence = named("status"), named("confidence")
+    listed = named("sources").isNotNull()
 
     def says(*pieces) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in pieces])
@@ -302,7 +361,7 @@ def metadata_issues(metadata: DataFrame) -> DataFrame:
         return F.coalesce(c, F.lit("")) != ""
 
     def bad_date(key: str) -> Column:
-        value = F.col(key)
+        value = named(key)
         return _issue(
             some(value) & (_date(value).isNull() | ~value.rlike(r"\A\d{4}-\d{1,2}-\d{1,2}\z")),
             "invalid-date", says(key, " for '", block, "' must use YYYY-MM-DD."),
@@ -310,16 +369,16 @@ def metadata_issues(metadata: DataFrame) -> DataFrame:
 
     issues = F.array(
         _issue(
-            ~F.col("in_text"), "missing-block-id",
+            ~in_text, "missing-block-id",
             says("Provenance references '", block, "', but no matching block ID exists."),
         ),
         _issue(
-            F.col("sources_given") & ~listed, "invalid-sources",
+            named("sources_given") & ~listed, "invalid-sources",
             says("Sources for '", block, "' must be a list."),
         ),
         _issue(
-            ~F.col("minimal_stamp") & status.isin(vocab.CLAIM_STATUSES)
-            & (F.coalesce(F.size("sources"), F.lit(0)) <= 0),
+            ~minimal_stamp & status.isin(vocab.CLAIM_STATUSES)
+            & (F.coalesce(F.size(named("sources")), F.lit(0)) <= 0),
             "missing-sources",
             says("Block '", block, "' asserts status '", status, "' but lists no sources."), "warning",
         ),
@@ -332,64 +391,84 @@ def metadata_issues(metadata: DataFrame) -> DataFrame:
             says("Confidence '", confidence, "' is not allowed."),
         ),
         _issue(
-            (status == "superseded") & ~some(F.col("superseded_by")), "missing-superseded-by",
+            (status == "superseded") & ~some(named("superseded_by")), "missing-superseded-by",
             says("Superseded block '", block, "' must name superseded_by."),
         ),
         bad_date("observed"),
         bad_date("checked"),
         _issue(
-            _date(F.col("observed")) > _date(F.col("checked")), "date-order",
+            _date(named("observed")) > _date(named("checked")), "date-order",
             says("observed must not be later than checked for '", block, "'."),
         ),
     )
+    return F.filter(issues, lambda i: i.isNotNull())
+
+
+def metadata_issues(metadata: DataFrame) -> DataFrame:
+    """Issues of metadata rows, one output row per issue, without a shuffle.
+
+    Needs the columns of :func:`block_metadata` plus ``in_text`` (the id occurs in the page) and
+    ``minimal_stamp``.
+    """
+    issues = _issues_of(F.col, F.col("in_text"), F.col("minimal_stamp"))
     return metadata.select(
-        "path", "block_id", F.explode_outer(F.filter(issues, lambda i: i.isNotNull())).alias("issue")
+        "path", "block_id", F.explode_outer(issues).alias("issue")
     ).where("issue IS NOT NULL").select("path", "block_id", "issue.*")
 
 
 def validate(pages: DataFrame, content: str = "content") -> DataFrame:
     """All issues of a set of pages: path, block_id, code, message, severity."""
-    ids = block_ids(pages, content)
-    parsed = callouts(pages, content)
-    none = F.lit(None).cast("string")
-    duplicates = ids.where("occurrences > 1").select(
-        "path", "block_id", F.lit("duplicate-block-id").alias("code"),
-        F.concat(
-            F.lit("Block ID '"), "block_id", F.lit("' appears "),
-            F.col("occurrences").cast("string"), F.lit(" times."),
-        ).alias("message"),
-        F.lit("error").alias("severity"),
+    callout = F.col("callout")
+
+    def located(block: Column, issue: Column) -> Column:
+        return F.struct(block.alias("block_id"), *[issue[key].alias(key) for key in ("code", "message", "severity")])
+
+    def duplicates(ids: Column) -> Column:
+        def issue(o: Column) -> Column:
+            return F.struct(
+                o["block_id"].alias("block_id"), F.lit("duplicate-block-id").alias("code"),
+                F.concat(
+                    F.lit("Block ID '"), o["block_id"], F.lit("' appears "), o["occurrences"].cast("string"), F.lit(" times."),
+                ).alias("message"),
+                F.lit("error").alias("severity"),
+            )
+
+        return F.transform(F.filter(occurrences(ids), lambda o: o["occurrences"] > 1), issue)
+
+    page_level = F.filter(
+        F.array(
+            _issue(
+                callout.isNotNull() & ~F.col("callout.schema").eqNullSafe(vocab.PROVENANCE_SCHEMA), "invalid-schema",
+                F.lit(f"Expected schema '{vocab.PROVENANCE_SCHEMA}'."),
+            ),
+            _issue(
+                F.col("callout.form") == "other", "invalid-blocks",
+                F.lit("Provenance callout must contain a blocks mapping."),
+            ),
+        ),
+        lambda i: i.isNotNull(),
     )
-    page_level = parsed.select(
-        "path", none.alias("block_id"),
-        F.explode_outer(
-            F.filter(
-                F.array(
-                    _issue(
-                        F.col("callout").isNotNull() & ~F.col("callout.schema").eqNullSafe(vocab.PROVENANCE_SCHEMA), "invalid-schema",
-                        F.lit(f"Expected schema '{vocab.PROVENANCE_SCHEMA}'."),
-                    ),
-                    _issue(
-                        F.col("callout.form") == "other", "invalid-blocks",
-                        F.lit("Provenance callout must contain a blocks mapping."),
-                    ),
-                ),
-                lambda i: i.isNotNull(),
+
+    def of_blocks(ids: Column, minimal: Column) -> Column:
+        def of(block: Column) -> Column:
+            return F.transform(
+                _issues_of(lambda key: block[key], F.array_contains(ids, block["block_id"]), minimal),
+                lambda i: located(block["block_id"], i),
             )
-        ).alias("issue"),
-    ).where("issue IS NOT NULL").select("path", "block_id", "issue.*")
-    metadata = (
-        block_metadata(parsed)
-        .join(ids.select("path", "block_id", F.lit(True).alias("_seen")), ["path", "block_id"], "left")
-        .join(
-            parsed.select("path", F.col("callout.migration_status").alias("_migration")), "path", "left"
-        )
-        .withColumn("in_text", F.coalesce("_seen", F.lit(False)))
-        .withColumn(
-            "minimal_stamp", F.coalesce(F.col("_migration") == vocab.MINIMAL_MIGRATION, F.lit(False))
+
+        found = F.flatten(F.transform(metadata_of(callout), of))
+        return F.coalesce(found, F.array().cast(_ISSUES))
+
+    def issues(page: Column) -> Column:
+        return F.concat(
+            duplicates(page["ids"]), F.transform(page_level, lambda i: located(F.lit(None).cast("string"), i)),
+            of_blocks(page["ids"], page["minimal"]),
         )
-    )
-    return duplicates.unionByName(page_level).unionByName(metadata_issues(metadata))
+
+    minimal = F.coalesce(F.col("callout.migration_status") == vocab.MINIMAL_MIGRATION, F.lit(False))
+    page = F.struct(ids_in(F.col(content)).alias("ids"), minimal.alias("minimal"))
+    found = callouts(pages, content).select("path", F.explode_outer(text.let(page, issues)).alias("issue"))
+    return found.where("issue IS NOT NULL").select("path", "issue.*")
 
 
 def lint_summary(pages: DataFrame, issues: DataFrame) -> DataFrame:
