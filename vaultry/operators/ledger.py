@@ -35,16 +35,15 @@ def prune(log: DataFrame, existing: DataFrame) -> DataFrame:
     dates compare as text.  Output order is ``line_no`` of the kept entry.
     """
     usable = log.where(~F.col("malformed") & (F.coalesce("file", F.lit("")) != ""))
-    alive = usable.join(existing.select(F.col("path").alias("file")), "file", "left_semi")
-    # partial aggregation keeps one candidate per file and task
-    fields = [c for c in alive.columns if c not in ("file", "malformed", "pages_created", "pages_updated")]
-    best = alive.groupBy("file").agg(
+    # partial aggregation keeps one candidate per file and task; what is left meets the files
+    fields = [c for c in usable.columns if c not in ("file", "malformed", "pages_created", "pages_updated")]
+    best = usable.groupBy("file").agg(
         F.max_by(F.struct(*fields, "pages_created", "pages_updated"), F.struct("date", "line_no")).alias("e"),
         F.count(F.lit(1)).alias("entries"),
-    )
-    merged = best.join(_merged_list(alive, "pages_created").withColumnRenamed("pages_created", "_created"),
+    ).join(existing.select(F.col("path").alias("file")), "file", "left_semi")
+    merged = best.join(_merged_list(usable, "pages_created").withColumnRenamed("pages_created", "_created"),
                        "file", "left").join(
-        _merged_list(alive, "pages_updated").withColumnRenamed("pages_updated", "_updated"), "file", "left"
+        _merged_list(usable, "pages_updated").withColumnRenamed("pages_updated", "_updated"), "file", "left"
     )
 
     def pages(own: str, union: str, given: str) -> Column:

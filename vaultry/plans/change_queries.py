@@ -25,6 +25,10 @@ from .text_vault import _cat, s
 from .vault_sql import with_views
 
 
+#: Lines of a log file, about.
+LINES_A_FILE = 100_000
+
+
 def linked_text(spark, sf):
     """Orders as notes with one link of each spelling."""
     key = s(F.col("o_custkey"))
@@ -156,9 +160,11 @@ def log_prune_many_files(spark, sf):
         F.date_format("ts", "yyyy-MM-dd").alias("date"), _cat("raw/u", s(F.col("user_id")), ".md").alias("file"), s(F.col("event_id")).alias("summary")
     ))
     folders = []
+    # many files, and no more lines in one than a task sorts at ease
+    files = max(7, -(-events.count() // (2 * LINES_A_FILE)))
     for odd in (1, 0):
         folders.append(f"{work}/{odd}")
-        part = events.where(F.col("event_id") % 2 == odd).repartitionByRange(7, "event_id").sortWithinPartitions("event_id")
+        part = events.where(F.col("event_id") % 2 == odd).repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
         part.select(line.alias("value")).write.text(folders[-1])
     log = log_source.read(spark, *folders)
     existing = events.select(_cat("raw/u", s(F.col("user_id")), ".md").alias("path")).distinct()
