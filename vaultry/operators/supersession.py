@@ -199,6 +199,9 @@ def queue_order() -> list[Column]:
 
 def counters(superseded_by: DataFrame, supersedes: DataFrame) -> DataFrame:
     """One row: pages with either key, dangling and ambiguous targets, missing back links, cycles."""
+    # several counters read the edges; the pages are parsed for them once
+    superseded_by = checkpointed(superseded_by.select("path", "position", "resolved", "outcome"))
+    supersedes = checkpointed(supersedes.select("path", "resolved", "outcome"))
     base = superseded_by.agg(
         F.countDistinct("path").alias("pages_superseded"),
         F.count_if(F.col("outcome") == "dangling").alias("dangling"),
