@@ -20,6 +20,8 @@ LIVE_WIKILINK = WIKILINK + _MARKED
 EMBED = r"!\[\[" + _WIKI_TARGET
 MDLINK = r"(?<!!)\[[^\]]*+\]\(" + _MD_TARGET
 MDIMAGE = r"!\[[^\]]*+\]\(" + _MD_TARGET
+# LIVE_WIKILINK for a whole text: the target ends at every break of a line, so no text need be split.
+_LIVE_IN_TEXT = r"(?<!!)\[\[((?:[^\]|\\\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]++|\\(?!\|)|\](?!\]))++)" + _MARKED
 
 # Looser reading used when whole notes are related to pages by title.
 TITLE_LINK = r"\[\[([^\]|#]++)(?:#[^\]|]++)?(?:\|[^\]]++)?\]\]"
@@ -68,6 +70,11 @@ def in_lines(all_lines: Column, images: bool) -> Column:
     return F.flatten(F.transform(numbered, of))
 
 
+def wikilink_targets(content: Column) -> Column:
+    """Targets of the wikilinks that :func:`in_lines` finds, in order, repeats kept."""
+    return F.transform(F.regexp_extract_all(content, F.lit(_LIVE_IN_TEXT), F.lit(1)), text.strip)
+
+
 def title_targets(content: Column) -> Column:
     """Targets under the looser reading, stripped, in order, repeats kept."""
     return F.transform(F.regexp_extract_all(content, F.lit(TITLE_LINK), F.lit(1)), text.strip)

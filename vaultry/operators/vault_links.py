@@ -224,37 +224,39 @@ def resolve_to_page(targets: DataFrame, files: DataFrame, pages: DataFrame) -> D
     folder), the only page of that stem.  ``pages`` gives the stems.
     """
     target = F.col("target")
-    known = paths.known_extension(target)
-    full, md = paths.resolved(target), paths.resolved(F.concat(target, F.lit(".md")))
-    folder = paths.tidy(target).contains("/")
+    full, md, known, folder = (F.col(c) for c in ("_full", "_md", "_known", "_nested"))
+    inside = ~target.startswith("/")
 
-    def candidate(order: int, path: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(order).alias("order"), path.alias("path")))
+    def candidate(order: int, scope: str, key: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(order).alias("order"), F.lit(scope).alias("scope"), key.alias("key")))
 
     def below(top: str, path: Column) -> Column:
         return F.concat(F.lit(f"{top}/"), path)
 
-    wanted = targets.select("target").distinct()
-    exact = wanted.where(~target.startswith("/")).select(
+    # all candidates in one pass, so that whatever gives the targets runs once
+    keyed = _with_forms(targets.select("target").distinct()).select(
         "target",
         F.explode_outer(
             F.filter(
                 F.array(
-                    candidate(1, full, F.lit(True)), candidate(2, md, ~known),
-                    candidate(3, below("wiki", full), folder), candidate(4, below("wiki", md), folder & ~known),
-                    candidate(5, below("raw", full), folder), candidate(6, below("raw", md), folder & ~known),
+                    candidate(1, "path", full, inside), candidate(2, "path", md, inside & ~known),
+                    candidate(3, "path", below("wiki", full), inside & folder),
+                    candidate(4, "path", below("wiki", md), inside & folder & ~known),
+                    candidate(5, "path", below("raw", full), inside & folder),
+                    candidate(6, "path", below("raw", md), inside & folder & ~known),
+                    candidate(7, "stem", F.when(known, paths.stem(target)).otherwise(paths.name(target)), F.lit(True)),
                 ),
-                lambda c: c["path"].isNotNull(),
+                lambda c: c["key"].isNotNull(),
             )
         ).alias("c"),
-    ).select("target", "c.*").join(shuffled(files.select("path")), "path", "left_semi")
-    stems = pages.groupBy(paths.stem(F.col("path")).alias("_stem")).agg(
+    ).select("target", "c.*")
+    stems = pages.groupBy(paths.stem(F.col("path")).alias("key")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("path").alias("path")
     ).where("_n = 1")
-    by_stem = wanted.withColumn(
-        "_stem", F.when(known, paths.stem(target)).otherwise(paths.name(target))
-    ).join(shuffled(stems), "_stem").select("target", F.lit(7).alias("order"), "path")
-    return exact.select("target", "order", "path").unionByName(by_stem).groupBy("target").agg(
+    known_keys = files.select(F.lit("path").alias("scope"), F.col("path").alias("key"), "path").unionByName(
+        stems.select(F.lit("stem").alias("scope"), "key", "path")
+    )
+    return keyed.join(shuffled(known_keys), ["scope", "key"]).groupBy("target").agg(
         F.min_by("path", "order").alias("path")
     )
 
