@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import frontmatter, names, paths, text
+from ..functions import frontmatter, links, names, paths, text
 from ..functions.skew import shuffled
 from . import mentions, vault_links
 
@@ -23,18 +23,25 @@ def orphans(notes: DataFrame, files: DataFrame) -> DataFrame:
 
     Pages saying ``orphan: false`` are exempt and do not lend their stem to links.
     """
-    pages = topic_pages(notes).withColumn("_lines", text.lines(F.col("content"))).where(
-        ~frontmatter.has_flag(F.col("_lines"), "orphan", "false")
-    ).select("path")
+    # only texts with the word can hold the flag; the others are not split
+    exempt = F.coalesce(F.col("content").contains("orphan"), F.lit(False)) & frontmatter.has_flag(
+        text.lines(F.col("content")), "orphan", "false"
+    )
+    pages = topic_pages(notes).where(~exempt).select("path")
     return unlinked(pages, note_wikilinks(notes), files)
 
 
 def note_wikilinks(notes: DataFrame) -> DataFrame:
-    """(path, target) of the wikilinks that count as relations between notes."""
-    scanned = notes.where(paths.is_scanned_page(F.col("path")))
-    return vault_links.extract(scanned).where("type = 'wikilink'").where(
-        (F.col("target") != "") & ~F.col("target").startswith("#") & ~names.is_external(F.col("target"))
-    ).select("path", "target")
+    """(path, target) of the wikilinks that count as relations between notes; a note names each target once.
+
+    The same links as :func:`vault_links.extract` finds, without their lines and places: no text is split.
+    """
+    scanned = notes.where(paths.is_scanned_page(F.col("path")) & F.col("content").contains("[["))
+    targets = F.array_distinct(links.wikilink_targets(F.col("content")))
+    return scanned.select("path", F.explode_outer(targets).alias("target")).where(
+        F.col("target").isNotNull() & (F.col("target") != "")
+        & ~F.col("target").startswith("#") & ~names.is_external(F.col("target"))
+    )
 
 
 def unlinked(pages: DataFrame, wikilinks: DataFrame, files: DataFrame) -> DataFrame:
