@@ -23,20 +23,22 @@ def shuffled(side: DataFrame) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, order: Sequence[Column], column: str = "row_number", partitions: int | None = None
+    df: DataFrame, order: Sequence[Column], column: str = "row_number", partitions: int | None = None,
+    kept: Sequence[str] = ("*",),
 ) -> DataFrame:
     """1-based position in a total order, computed without gathering the rows in one task.
 
     Rows are range-partitioned and sorted; a checkpoint fixes that layout, so the per-partition
     counts and the numbering see the same rows even when executors are lost.  ``order`` must end
     in a unique key, which also lets a run of equal leading values be split over partitions.
+    Columns that only the order needs are written nowhere when ``kept`` leaves them out.
     """
     ranged = (
         df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     )
     laid_out = checkpointed(
         ranged.sortWithinPartitions(*order).select(
-            "*",
+            *kept,
             F.spark_partition_id().alias("_part"),
             F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_offset"),
         )

@@ -16,18 +16,27 @@ _NOTE_COLUMNS = [
 ]
 
 
+# Block columns behind each annotation.
+_READ = {
+    "freshness_score": ["status", "confidence"],
+    "freshness_action": ["status", "provenance_quality"],
+    "freshness_note": _NOTE_COLUMNS,
+}
+
+
+def _with_intent(blocks: DataFrame, question: str | Column) -> DataFrame:
+    asked = F.lit(question) if isinstance(question, str) else question
+    return blocks.withColumn("query_intent", ranking.query_intent(asked))
+
+
+def _annotation(name: str) -> Column:
+    reading = {"freshness_score": ranking.score, "freshness_action": ranking.action, "freshness_note": ranking.note}[name]
+    return reading(*[F.col(c) for c in _READ[name]], F.col("query_intent"))
+
+
 def annotate(blocks: DataFrame, question: str | Column) -> DataFrame:
     """Blocks plus query_intent, freshness_score, freshness_action and freshness_note."""
-    asked = F.lit(question) if isinstance(question, str) else question
-    with_intent = blocks.withColumn("query_intent", ranking.query_intent(asked))
-    intent = F.col("query_intent")
-    return with_intent.withColumns(
-        {
-            "freshness_score": ranking.score(F.col("status"), F.col("confidence"), intent),
-            "freshness_action": ranking.action(F.col("status"), F.col("provenance_quality"), intent),
-            "freshness_note": ranking.note(*[F.col(c) for c in _NOTE_COLUMNS], intent),
-        }
-    )
+    return _with_intent(blocks, question).withColumns({name: _annotation(name) for name in _READ})
 
 
 def _order() -> list[Column]:
@@ -37,26 +46,43 @@ def _order() -> list[Column]:
     ]
 
 
-def rank(blocks: DataFrame, question: str | Column, limit: int | None = 10) -> DataFrame:
+def _order_keys() -> dict[str, Column]:
+    return {
+        "_month": ranking.check_month(F.col("checked")),
+        "_page_order": paths.component_order(F.col("path")),
+    }
+
+
+def _ranked_in_full(blocks: DataFrame, question: str | Column, columns: list[str] | None) -> DataFrame:
+    """Every block with its rank; what follows from columns of the block is added after the sort."""
+    rows = _with_intent(blocks, question)
+    kept = columns or list(dict.fromkeys([*rows.columns, *_READ, "rank"]))
+    read = {c for name in _READ if name in kept for c in _READ[name]} | {"query_intent"}
+    carried = [c for c in rows.columns if c in read or c in kept and c not in _READ]
+    keyed = rows.withColumns({"freshness_score": _annotation("freshness_score"), **_order_keys()}).select(
+        *dict.fromkeys([*carried, "id", "ordinal", "freshness_score", "_month", "_page_order"])
+    )
+    placed = skew.numbered(keyed, _order(), "rank", kept=carried)
+    return placed.withColumns({name: _annotation(name) for name in _READ if name in kept}).select(*kept)
+
+
+def rank(
+    blocks: DataFrame, question: str | Column, limit: int | None = 10, columns: list[str] | None = None
+) -> DataFrame:
     """Blocks in order of suitability with their rank; no block is filtered out.
 
     With a limit the plan is a distributed top-k.  ``limit=None`` ranks every block and numbers
-    them by range partitions.
+    them by range partitions.  ``columns`` are those of the result, all when None: a sort of all
+    blocks carries no others.
     """
-    keyed = annotate(blocks, question).withColumns(
-        {
-            "_month": ranking.check_month(F.col("checked")),
-            "_page_order": paths.component_order(F.col("path")),
-        }
-    )
     if limit is None:
-        ranked = skew.numbered(keyed, _order(), "rank")
-    else:
-        # the window sees at most `limit` rows
-        ranked = keyed.orderBy(*_order()).limit(limit).withColumn(
-            "rank", F.row_number().over(Window.orderBy(*_order()))
-        )
-    return ranked.drop("_month", "_page_order")
+        return _ranked_in_full(blocks, question, columns)
+    keyed = annotate(blocks, question).withColumns(_order_keys())
+    # the window sees at most `limit` rows
+    ranked = keyed.orderBy(*_order()).limit(limit).withColumn(
+        "rank", F.row_number().over(Window.orderBy(*_order()))
+    ).drop("_month", "_page_order")
+    return ranked if columns is None else ranked.select(*columns)
 
 
 def selected_pages(pages: DataFrame, requested: DataFrame | None) -> DataFrame:

@@ -53,11 +53,9 @@ def _rank_sql(intent: str, limit: int | None) -> str:
 
 
 def _ranked(spark: SparkSession, sf: str, intent: str, limit: int | None) -> DataFrame:
-    ranked = freshness.rank(vault.block_facts(spark, sf), QUESTIONS[intent], limit)
-    return ranked.select(
-        F.col("rank").cast("bigint").alias("rank"), "path", "id", "status", "confidence", "checked",
-        "freshness_score", "freshness_action",
-    )
+    columns = ["rank", "path", "id", "status", "confidence", "checked", "freshness_score", "freshness_action"]
+    ranked = freshness.rank(vault.block_facts(spark, sf), QUESTIONS[intent], limit, columns)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("freshness_rank_current", _rank_sql("current", TOP))
