@@ -28,7 +28,9 @@ def fuzzy_name(c: Column) -> Column:
 
 def plain_title(c: Column) -> Column:
     """Trimmed, lower-cased title with single blanks."""
-    return text.collapse_spaces(F.lower(text.strip(c)))
+    # ASCII words with one blank between them need no more than lower case
+    plain = c.rlike(r"\A[!-~]++(?: [!-~]++)*+\z")
+    return F.when(plain, F.lower(c)).otherwise(text.collapse_spaces(F.lower(text.strip(c))))
 
 
 def title_key(c: Column) -> Column:

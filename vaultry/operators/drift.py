@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import links, names, paths, skew, vocab
-from .page_state import valid_day
+from ..functions import links, names, paths, vocab
+from .page_state import latest_day
+
+#: Places that share the notes of a title before they are reduced to one row.
+PARTS = 16
 
 
 def note_relations(raw_files: DataFrame, raw_notes: DataFrame | None = None) -> DataFrame:
@@ -30,24 +33,34 @@ def note_relations(raw_files: DataFrame, raw_notes: DataFrame | None = None) ->
 def evidence_by_title(relations: DataFrame, related_limit: int = 10) -> DataFrame:
     """One row per title: number of notes, latest date, the first ``related_limit`` notes.
 
-    A title that a third of all notes refer to is reduced before the shuffle: the counters by
-    partial aggregation, the first notes by the rank filter.
+    The relations are dealt once, a title's notes to ``PARTS`` places by their hash, and sorted once: a part knows each of its notes
+    once, counts them and lists its first ones.  Only parts meet by title, so a title that a third of all notes refer to is no
+    task's work.
     """
-    once = relations.groupBy("title_key", "note").agg(F.min("date").alias("date"))
-    counters = once.groupBy("title_key").agg(
-        F.count(F.lit(1)).alias("related_raw_count"),
-        F.max(valid_day(F.col("date"))).alias("latest_related_raw_date"),
+    dealt = relations.where("title_key IS NOT NULL").select(
+        "title_key", F.pmod(F.xxhash64("note"), F.lit(PARTS)).alias("_part"), "note", "date"
+    ).repartition("title_key", "_part")
+    # in a part the notes are numbered; the first row of a note has its least date
+    rows = Window.partitionBy("title_key", "_part").orderBy("_order", "note", F.asc_nulls_last("date"))
+    notes = Window.partitionBy("title_key", "_part").orderBy("_order", "note")
+    placed = dealt.withColumn("_order", paths.component_order(F.col("note"))).withColumns(
+        {"_before": F.lag(F.struct("note")).over(rows), "_place": F.dense_rank().over(notes)}
     )
-    first = skew.first_k(
-        once.select("title_key", "note"), ["title_key"],
-        [paths.component_order(F.col("note")), F.col("note")], related_limit,
+    new = F.col("_before").isNull() | ~F.col("_before.note").eqNullSafe(F.col("note"))
+    parts = placed.where(new).groupBy("title_key", "_part").agg(
+        F.count(F.lit(1)).alias("_notes"), latest_day(F.col("date")).alias("_latest"),
+        F.collect_list(F.when(F.col("_place") <= related_limit, F.struct("note"))).alias("_first"),
     )
-    listed = first.groupBy("title_key").agg(
+    ordered = F.array_sort(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_rn", "note"))), lambda e: e["note"]
-        ).alias("related_raw")
+            F.flatten(F.collect_list("_first")),
+            lambda e: F.struct(paths.component_order(e["note"]).alias("order"), e["note"].alias("note")),
+        )
+    )
+    return parts.groupBy("title_key").agg(
+        F.sum("_notes").alias("related_raw_count"), F.max("_latest").alias("latest_related_raw_date"),
+        F.transform(F.slice(ordered, 1, related_limit), lambda e: e["note"]).alias("related_raw"),
     )
-    return counters.join(listed, "title_key")
 
 
 def _reason(when: Column, code: str) -> Column:

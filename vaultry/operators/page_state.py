@@ -8,9 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 
 
+def day_of(value: Column) -> Column:
+    """The first ten characters as a date, NULL when they are none."""
+    short = F.substring(value, 1, 10)
+    # a cast reads the usual spelling faster than a pattern
+    usual = short.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    return F.when(usual, short.try_cast("date")).otherwise(F.try_to_date(short, "yyyy-M-d"))
+
+
 def valid_day(value: Column) -> Column:
     """ISO text of the first ten characters when they are a date."""
-    return F.date_format(F.try_to_date(F.substring(value, 1, 10), "yyyy-M-d"), "yyyy-MM-dd")
+    return F.date_format(day_of(value), "yyyy-MM-dd")
+
+
+def latest_day(value: Column) -> Column:
+    """Aggregate: the greatest :func:`valid_day`.
+
+    Dates are compared, since Spark reduces texts by sorting all rows; years of five digits ("+12345-1-1") stand before others, as in text.
+    """
+    day = day_of(value)
+    usual, far = F.max(F.when(F.year(day) <= 9999, day)), F.max(F.when(F.year(day) > 9999, day))
+    return F.date_format(F.coalesce(usual, far), "yyyy-MM-dd")
 
 
 def page_state(pages: DataFrame, blocks: DataFrame, issues: DataFrame | None = None) -> DataFrame:
@@ -25,7 +43,7 @@ def page_state(pages: DataFrame, blocks: DataFrame, issues: DataFrame | None = N
     by_page = blocks.groupBy("path").agg(
         F.count(F.lit(1)).alias("block_count"),
         F.count_if(~F.col("has_provenance")).alias("unproven_blocks"),
-        F.max(valid_day(F.col("checked"))).alias("last_checked"),
+        latest_day(F.col("checked")).alias("last_checked"),
         has("disputed"), has("stale"), has("superseded"),
     )
     state = pages.join(by_page, "path", "left").na.fill(0, ["block_count", "unproven_blocks"]).na.fill(

@@ -115,10 +115,11 @@ def raw_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def note_links(spark: SparkSession, sf: str) -> DataFrame:
     """(order_key, target): links of a raw note to the parts of its order."""
-    return table(spark, sf, "lineitem").select(
+    # keys are told apart as numbers; their text is written once for each
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct().select(
         F.col("l_orderkey").alias("order_key"),
         F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("target"),
-    ).distinct()
+    )
 
 
 def relations(spark: SparkSession, sf: str) -> DataFrame:
