@@ -23,6 +23,8 @@ from .text import SPACE
 
 # Fixed value: the block that the inventory reads.
 _INVENTORY = r"(?s)\A---\n(.*?)\n(?:---|\.\.\.)\n"
+# A line that closes a block, blanks around it.
+_RULE = rf"(?U)\A{SPACE}*+(?:---|\.\.\.){SPACE}*+\z"
 
 
 def _none() -> Column:
@@ -73,11 +75,12 @@ def inventory_map(content: Column) -> Column:
 def _closing(all_lines: Column) -> Column:
     """0-based index of the closing line, NULL without a closed leading block."""
     opened = text.strip(F.get(all_lines, F.lit(0))) == "---"
+    # most lines hold no rule and need no pattern
     is_rule = F.transform(
-        all_lines, lambda line, i: (i > 0) & text.strip(line).isin("---", "...")
+        all_lines, lambda line, i: (i > 0) & (line.contains("---") | line.contains("...")) & line.rlike(_RULE)
     )
-    at = F.array_position(is_rule, F.lit(True))
-    return F.when(opened, F.nullif(at, F.lit(0)) - 1)
+    found = text.let(F.array_position(is_rule, F.lit(True)), lambda at: F.when(at > 0, at - 1))
+    return F.when(opened, found)
 
 
 def closed_lines(all_lines: Column) -> Column:

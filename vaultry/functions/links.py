@@ -15,63 +15,67 @@ from . import paths, text
 _WIKI_TARGET = r"((?:[^\]|\n\\]++|\\(?!\|)|\](?!\]))++)"
 _MD_TARGET = r"((?:[^()#\n]++|\([^()\n]*+\))++)(?:#[^)]*+)?\)"
 _MARKED = r"(?!\\?\|\(broken link\))"
-WIKILINK = r"(?<!!)\[\[" + _WIKI_TARGET
+# The bracket comes first and what stands before it is looked at then: a find passes other characters quickly.
+_OPEN, _OPEN_MD = r"\[\[(?<!!\[\[)", r"\[(?<!!\[)"
+WIKILINK = _OPEN + _WIKI_TARGET
 LIVE_WIKILINK = WIKILINK + _MARKED
 EMBED = r"!\[\[" + _WIKI_TARGET
-MDLINK = r"(?<!!)\[[^\]]*+\]\(" + _MD_TARGET
+MDLINK = _OPEN_MD + r"[^\]]*+\]\(" + _MD_TARGET
 MDIMAGE = r"!\[[^\]]*+\]\(" + _MD_TARGET
 # LIVE_WIKILINK for a whole text: the target ends at every break of a line, so no text need be split.
-_LIVE_IN_TEXT = r"(?<!!)\[\[((?:[^\]|\\\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]++|\\(?!\|)|\](?!\]))++)" + _MARKED
+_LIVE_IN_TEXT = _OPEN + r"((?:[^\]|\\\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]++|\\(?!\|)|\](?!\]))++)" + _MARKED
 
 # Looser reading used when whole notes are related to pages by title.
 TITLE_LINK = r"\[\[([^\]|#]++)(?:#[^\]|]++)?(?:\|[^\]]++)?\]\]"
 
 
-def _matches(line: Column, opening: str, pattern: str, kind: str) -> Column:
-    """Matches in a line, skipped without a regex when the line lacks the opening."""
-    raws = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    wiki = pattern in (LIVE_WIKILINK, EMBED)
-    found = F.transform(
-        raws,
-        lambda raw: F.struct(
-            F.lit(kind).alias("type"), raw.alias("raw"),
-            text.strip(
-                F.regexp_replace(raw, r"\A!?\[\[", "") if wiki else F.regexp_extract(raw, pattern, 1)
-            ).alias("target"),
-        ),
-    )
-    none = F.array().cast("array<struct<type:string,raw:string,target:string>>")
-    return F.when(line.contains(opening), found).otherwise(none)
+#: Links of a line in reading order: type, opening, pattern, whether the match is the opening and the target.
+_KINDS = [
+    ("wikilink", "[[", LIVE_WIKILINK, True), ("image", "![[", EMBED, True), ("markdown", "](", MDLINK, False), ("image", "](", MDIMAGE, False),
+]
+
+
+def in_line(line: Column, images: bool) -> list[Column]:
+    """Matches in a line: wikilinks, embeds, Markdown links, Markdown images; embeds and images only with ``images``."""
+    none = F.array().cast("array<string>")
+    return [
+        # skipped without a regex when the line lacks the opening
+        F.when(line.contains(opening), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))).otherwise(none)
+        if images or kind != "image" else none for kind, opening, pattern, _ in _KINDS
+    ]
+
+
+def kind_and_target(raw: Column, position: Column, counts: list[Column]) -> tuple[Column, Column]:
+    """Type and target of a match at ``position`` of a line's matches; ``counts``: how many :func:`in_line` found of each."""
+    kind, target, end = None, None, F.lit(0)
+    for (name, opening, pattern, plain), n in zip(_KINDS, counts):
+        end = end + n
+        value = F.substring(raw, len(opening) + 1, 1 << 30) if plain else F.regexp_extract(raw, pattern, 1)
+        here = position < end
+        kind = F.when(here, name) if kind is None else kind.when(here, name)
+        target = F.when(here, value) if target is None else target.when(here, value)
+    return kind, text.strip(target)
 
 
 def in_lines(all_lines: Column, images: bool) -> Column:
-    """Links in reading order: per line wikilinks, embeds, Markdown links, Markdown images."""
-    numbered = F.filter(
-        F.transform(all_lines, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))),
-        lambda entry: entry["text"].contains("["),
-    )
+    """Links in reading order as one array: line, position, type, raw, target."""
+
+    def of(line: Column, at: Column) -> Column:
+        found = in_line(line, images)
+
+        def link(raw: Column, position: Column) -> Column:
+            kind, target = kind_and_target(raw, position, [F.size(raws) for raws in found])
+            return F.struct(
+                (at + 1).alias("line"), position.alias("position"), kind.alias("type"), raw.alias("raw"), target.alias("target")
+            )
+
+        return F.transform(F.flatten(F.array(*found)), link)
 
-    def of(entry: Column) -> Column:
-        line = entry["text"]
-        found = [_matches(line, "[[", LIVE_WIKILINK, "wikilink")]
-        if images:
-            found.append(_matches(line, "![[", EMBED, "image"))
-        found.append(_matches(line, "](", MDLINK, "markdown"))
-        if images:
-            found.append(_matches(line, "](", MDIMAGE, "image"))
-        return F.transform(
-            F.concat(*found),
-            lambda link, i: F.struct(
-                entry["line"].alias("line"), i.alias("position"), link["type"].alias("type"),
-                link["raw"].alias("raw"), link["target"].alias("target"),
-            ),
-        )
-
-    return F.flatten(F.transform(numbered, of))
+    return F.flatten(F.transform(all_lines, of))
 
 
 def wikilink_targets(content: Column) -> Column:
-    """Targets of the wikilinks that :func:`in_lines` finds, in order, repeats kept."""
+    """Targets of the wikilinks that :func:`in_line` finds, in order, repeats kept."""
     return F.transform(F.regexp_extract_all(content, F.lit(_LIVE_IN_TEXT), F.lit(1)), text.strip)
 
 

@@ -19,7 +19,8 @@ def tidy(c: Column) -> Column:
 
 def resolved(c: Column) -> Column:
     """``tidy`` that also folds ``..``; NULL when the path climbs above its root."""
-    return text.let(c, _resolved)
+    # a path without empty and dotted components is left as it is
+    return F.when(~c.rlike(r"(?:\A|/)(?:\.\.?)?(?:/|\z)"), c).otherwise(text.let(c, _resolved))
 
 
 def _resolved(c: Column) -> Column:
@@ -42,17 +43,18 @@ def _resolved(c: Column) -> Column:
     climbed = text.let(
         folded, lambda state: F.when(~state["escaped"], F.array_join(state["kept"], "/"))
     )
-    untidy = c.rlike(r"(?:\A|/)(?:\.\.?)?(?:/|\z)")
-    return F.when(~untidy, c).when(c.contains(".."), climbed).otherwise(F.array_join(parts(c), "/"))
+    return F.when(c.contains(".."), climbed).otherwise(F.array_join(parts(c), "/"))
 
 
 def name(c: Column) -> Column:
-    return F.regexp_extract(c, r"([^/]*)/*\z", 1)
+    # a pattern that ends at the end is tried at every character; only slashes at the end need it
+    return F.when(c.endswith("/"), F.regexp_extract(c, r"([^/]*)/*\z", 1)).otherwise(F.substring_index(c, "/", -1))
 
 
 def parent(c: Column) -> Column:
     """Directory part, empty for a bare name."""
-    return F.regexp_replace(c, r"/?[^/]*/*\z", "")
+    cut = F.left(c, F.length(c) - F.length(F.substring_index(c, "/", -1)) - 1)
+    return F.when(c.endswith("/"), F.regexp_replace(c, r"/?[^/]*/*\z", "")).otherwise(cut)
 
 
 def suffix(c: Column) -> Column:
@@ -74,11 +76,14 @@ def drop_md(c: Column) -> Column:
 
 def trailing_paths(c: Column) -> Column:
     """Every trailing run of components, the whole path first."""
-    components = F.split(c, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(components)),
-        lambda i: F.array_join(F.slice(components, i, F.size(components)), "/"),
-    )
+
+    def runs(components: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(components)),
+            lambda i: F.array_join(F.slice(components, i, F.size(components)), "/"),
+        )
+
+    return text.let(F.split(c, "/"), runs)
 
 
 def component_order(c: Column) -> Column:
@@ -119,4 +124,4 @@ def in_resources(c: Column) -> Column:
 def url_decoded(c: Column) -> Column:
     """Percent-decoding that leaves ``+`` and stray ``%`` alone."""
     safe = F.replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(safe)
+    return F.when(c.contains("%"), F.url_decode(safe)).otherwise(c)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
 _BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
-_FINAL_BREAK = rf"(?:{_BREAK})\z"
+_RARE_BREAK = r"[\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+# Fixed value: the characters that SPACE matches under (?U).
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body) -> Column:
@@ -20,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def rstrip(c: Column) -> Column:
@@ -33,8 +35,9 @@ def lstrip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """All lines of a text without terminators; a final terminator opens no extra line."""
-    body = F.split(F.regexp_replace(c, _FINAL_BREAK, ""), _BREAK, -1)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(body)
+    # a split by one plain character needs no pattern; most texts have no other break
+    rows = F.when(c.rlike(_RARE_BREAK), F.split(c, _BREAK, -1)).otherwise(F.split(c, "\n", -1))
+    return let(rows, lambda r: F.when(F.element_at(r, -1) == "", F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
 def collapse_spaces(c: Column) -> Column:
