@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import shuffled
@@ -22,42 +22,49 @@ class Repair:
     rounds: int
 
 
-def _deleted(content: Column, targets: Column) -> Column:
-    return F.aggregate(targets, content, lambda acc, t: rewrite.deleted_wikilink(acc, t))
+def one_round(notes: DataFrame, broken: DataFrame, files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Notes that change (path, content): suggested targets are put in, broken wikilinks of front matter without a suggestion go.
 
-
-def one_round(notes: DataFrame, broken: DataFrame, files: DataFrame) -> DataFrame:
-    """Notes that change (path, content): suggested targets are put in, broken wikilinks of front matter without a suggestion go."""
+    ``known``: target, suggested_fix of the broken targets, looked up in ``files`` unless given.
+    """
     wiki = broken.where("wiki_style")
-    known = checkpointed(vault_links.suggestions(wiki, files))
+    if known is None:
+        known = checkpointed(vault_links.suggestions(wiki, files))
     named = wiki.select("path", "target", "in_front_matter", "raw").join(shuffled(known.select("target", "suggested_fix")), "target", "left")
-    fixes = named.where("suggested_fix IS NOT NULL AND suggested_fix <> target")
-    fixed = rewrite.fixed_links(notes, fixes).select("path", F.col("content").alias("_fixed"))
-    hopeless = named.where(F.col("suggested_fix").isNull() & F.col("in_front_matter") & F.col("raw").startswith("[["))
-    gone = hopeless.groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("_gone"))  # targets of one note
-    rows = notes.join(shuffled(fixed.join(shuffled(gone), "path", "full")), "path")
-    content = F.coalesce("_fixed", "content")
-    cut = F.when(F.col("_gone").isNotNull(), _deleted(content, F.col("_gone"))).otherwise(content)
-    return rows.select("path", cut.alias("_new"), "content").where("_new <> content").select("path", F.col("_new").alias("content"))
+    hopeless = F.col("suggested_fix").isNull() & F.col("in_front_matter") & F.col("raw").startswith("[[")
+    edits = named.where((F.col("suggested_fix") != F.col("target")) | hopeless).select("path", "target", "suggested_fix")
+    return rewrite.fixed_links(notes, edits).select("path", "content")
 
 
 def repair(notes: DataFrame, files: DataFrame, most_rounds: int | None = None) -> Repair:
     """Repair the links of ``notes`` (path, content) against the vault's ``files`` (path) up to a fixed point.
 
-    Only notes that changed are read again.  A link counts as fixed when it is no longer among the broken ones at the end, put right or deleted.
+    Only notes that changed are read again, and only targets that no earlier round had are looked up, since the files stay.  A link counts as
+    fixed when it is no longer among the broken ones at the end, put right or deleted.
     A text that keeps changing would go on for ever; ``most_rounds`` ends it.
     """
     notes = checkpointed(notes.select("path", "content"))
-    broken = checkpointed(vault_links.broken(vault_links.extract(notes, images=True), files))
-    first, changed, rounds = broken, None, 0
+    keys = checkpointed(vault_links.file_keys(files))
+
+    def broken_links(of: DataFrame) -> DataFrame:
+        # resolution reads the links twice; parsing the notes once is cheaper
+        return vault_links.broken(checkpointed(vault_links.extract(of, images=True)), files, keys)
+
+    broken = checkpointed(broken_links(notes))
+    first, changed, rounds, asked, known = broken, None, 0, None, None
     while most_rounds is None or rounds < most_rounds:
-        affected = notes.join(shuffled(broken.select("path").distinct()), "path", "left_semi")
-        new = checkpointed(one_round(affected, broken, files))
+        targets = broken.where("wiki_style").select("target").distinct()
+        if asked is not None:
+            targets = checkpointed(targets.join(shuffled(asked), "target", "left_anti"))
+        if known is None or not targets.isEmpty():
+            found = vault_links.suggestions(targets, files, keys).select("target", "suggested_fix")
+            known = checkpointed(found if known is None else known.unionByName(found))
+            asked = targets if asked is None else checkpointed(asked.unionByName(targets))
+        new = checkpointed(one_round(notes, broken, files, known))
         if new.isEmpty():
             break
         rounds += 1
-        again = vault_links.broken(vault_links.extract(new, images=True), files)
-        broken = checkpointed(broken.join(shuffled(new.select("path")), "path", "left_anti").unionByName(again))
+        broken = checkpointed(broken.join(shuffled(new.select("path")), "path", "left_anti").unionByName(broken_links(new)))
         changed = new if changed is None else checkpointed(changed.join(shuffled(new.select("path")), "path", "left_anti").unionByName(new))
         notes = new  # what did not change has nothing that can change
     found = first.groupBy("type").agg(F.count(F.lit(1)).alias("found"))

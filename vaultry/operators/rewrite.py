@@ -6,6 +6,9 @@ a plan, which checks ``hash_before``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,49 +99,69 @@ def delinked_mdlink(content: Column, target: Column, embed: bool = False) -> Col
     return F.regexp_replace(named, _pattern(_md(embed), target, _MD_END), literal(paths.name(target)))
 
 
-def _deleted(content: Column, link: Column) -> Column:
-    """Link removed; a line left bare goes with it; line ends of other lines stay."""
+def _deleted(content: Column, link: Column, opening: Column) -> Column:
+    """Link removed; a line left bare goes with it; line ends of other lines stay.  No link is in a line without its ``opening``."""
     both = F.concat(F.lit(" "), link, F.lit(" "))
     single = F.concat(F.lit(" ?"), link, F.lit(" ?"))
     rows = F.regexp_extract_all(content, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
 
     def line(l: Column) -> Column:
         cut = F.regexp_replace(F.regexp_replace(l, both, F.lit(" ")), single, F.lit(""))
-        return text.let(
+        done = text.let(
             cut, lambda c: F.when((c != l) & F.regexp_replace(c, r"[\r\n]+\z", "").rlike(_BARE), "").otherwise(c)
         )
+        return F.when(l.contains(opening), done).otherwise(l)
 
     return F.array_join(F.transform(rows, line), "")
 
 
 def deleted_wikilink(content: Column, target: Column, embed: bool = False) -> Column:
-    return _deleted(content, _pattern(_wiki(embed), target, r"(?: ?#[^|\\\]]*)?(?:\\?\|[^\]]*)?\]\]"))
+    link = _pattern(_wiki(embed), target, r"(?: ?#[^|\\\]]*)?(?:\\?\|[^\]]*)?\]\]")
+    return _deleted(content, link, F.concat(F.lit("[["), target))
 
 
 def deleted_mdlink(content: Column, target: Column, embed: bool = False) -> Column:
-    return _deleted(content, _pattern(_md(embed), target, _MD_END))
+    return _deleted(content, _pattern(_md(embed), target, _MD_END), F.concat(F.lit("]("), target))
 
 
 def fixed_links(notes: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Apply suggested wikilink fixes (path, target, suggested_fix) to notes (path, content).
+    """Apply suggested wikilink fixes (path, target, suggested_fix) to notes (path, content); links without a suggestion are deleted.
 
-    Distinct fixes of one note are applied one after the other inside its row; ``changes`` counts
+    Distinct fixes of one note are applied one after the other inside its row, the deletions after them; ``changes`` counts
     replaced links.  The number of fixes per note is bounded by the links the note holds.
     """
-    per_note = fixes.select("path", "target", "suggested_fix").distinct().groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("target", "suggested_fix"))).alias("fixes")
+    fixed = F.col("suggested_fix").isNotNull()
+    per_note = fixes.groupBy("path").agg(
+        F.array_sort(F.collect_set(F.when(fixed, F.struct("target", "suggested_fix")))).alias("fixes"),
+        F.array_sort(F.collect_set(F.when(~fixed, F.col("target")))).alias("gone"),
     )
-    start = F.struct(F.col("content").alias("text"), F.lit(0).alias("changes"))
 
-    def step(acc: Column, fix: Column) -> Column:
+    def replaced(acc: Column, fix: Column) -> Column:
+        new = replaced_wikilink(acc, fix["target"], fix["suggested_fix"])
+        return F.when(_may_be_replaced(acc, fix["target"]), new).otherwise(acc)
+
+    def deleted(acc: Column, target: Column) -> Column:
+        return F.when(acc.contains(F.concat(F.lit("[["), target)), deleted_wikilink(acc, target)).otherwise(acc)
+
+    def counted(acc: Column, fix: Column) -> Column:
         pattern = _pattern(r"(?<!!)\[\[", fix["target"], r"(?=[\]|#\n]| #)")
         return F.struct(
-            replaced_wikilink(acc["text"], fix["target"], fix["suggested_fix"]).alias("text"),
-            (acc["changes"] + F.regexp_count(acc["text"], pattern)).alias("changes"),
+            replaced(acc["text"], fix).alias("text"), (acc["changes"] + F.regexp_count(acc["text"], pattern)).alias("changes")
         )
 
-    done = notes.join(shuffled(per_note), "path").withColumn("_done", F.aggregate("fixes", start, step))
-    return plan(done, F.col("_done.text"), F.col("_done.changes"))
+    new = F.aggregate("gone", F.aggregate("fixes", F.col("content"), replaced), deleted)
+    # a row of an array: the filter on changed texts would make a plain column's text a second time
+    done = notes.join(shuffled(per_note), "path").select(*notes.columns, "fixes", F.explode_outer(F.array(new)).alias("_text"))
+    # of its own, so that who wants no count pays for none
+    changes = F.aggregate("fixes", F.struct(F.col("content").alias("text"), F.lit(0).alias("changes")), counted)["changes"]
+    return plan(done, F.col("_text"), changes)
+
+
+def _may_be_replaced(content: Column, target: Column) -> Column:
+    """Whether the target opens a link before one of the endings of :func:`replaced_wikilink`; no pattern is compiled for the others."""
+    head = F.concat(F.lit("[["), target)
+    ends = [content.contains(F.concat(head, F.lit(end))) for end in ("]", "|", "#", " #", "\n")]
+    return content.contains(head) & reduce(or_, ends)
 
 
 def plan(notes: DataFrame, new_content: Column, changes: Column | None = None) -> DataFrame:

@@ -222,8 +222,8 @@ def checked_links(found: DataFrame) -> DataFrame:
     )
 
 
-def broken(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Links whose target is not in the vault, with the reason.
+def broken(found: DataFrame, files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Links whose target is not in the vault, with the reason; ``keys``: :func:`file_keys` of the files where they are at hand.
 
     Every distinct target is resolved once, however many links share it.
     """
@@ -231,7 +231,7 @@ def broken(found: DataFrame, files: DataFrame) -> DataFrame:
         "_folder", F.when(F.col("wiki_style"), "").otherwise(paths.parent(F.col("path")))
     )
     keyed = _target_keys(local.select("wiki_style", "target", "_folder").distinct())
-    resolved = _existing(keyed, file_keys(files)).select("wiki_style", "target", "_folder")
+    resolved = _existing(keyed, file_keys(files) if keys is None else keys).select("wiki_style", "target", "_folder")
     missing = local.join(shuffled(resolved), ["wiki_style", "target", "_folder"], "left_anti")
     return missing.select(
         "path", "line", "position", "type", "raw", "target", "in_front_matter", "wiki_style",
@@ -239,8 +239,8 @@ def broken(found: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def suggestions(targets: DataFrame, files: DataFrame) -> DataFrame:
-    """Replacement for broken wikilink targets: target, suggested_fix, rule.
+def suggestions(targets: DataFrame, files: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Replacement for broken wikilink targets: target, suggested_fix, rule; ``keys``: see :func:`broken`.
 
     ``fuzzy``: the only page (or the page in the named folder) whose name is equal after
     normalisation.  ``space``: the file exists once blanks before the extension are removed.
@@ -277,7 +277,8 @@ def suggestions(targets: DataFrame, files: DataFrame) -> DataFrame:
         ),
     )
     is_md = F.lower(paths.suffix(target)) == ".md"
-    space = _existing(_each_key_once(spaced, ["target", "_folder", "_fixed"], [_key(F.col("_fixed"), {"suffix": None})]), file_keys(files)).select(
+    keyed = _each_key_once(spaced, ["target", "_folder", "_fixed"], [_key(F.col("_fixed"), {"suffix": None})])
+    space = _existing(keyed, file_keys(files) if keys is None else keys).select(
         "target",
         F.when(is_md & (F.col("_folder") == ""), paths.stem(F.col("_fixed"))).otherwise(F.col("_fixed")).alias("space"),
     )
