@@ -50,3 +50,19 @@ def test_strip_is_the_pattern(spark):
     given = codes.select(F.concat("c", F.lit("a"), "c", F.lit("b"), "c").alias("t"))
     by_pattern = F.regexp_replace("t", rf"(?U)\A{text.SPACE}+|{text.SPACE}+\z", "")
     assert given.where(~text.strip(F.col("t")).eqNullSafe(by_pattern)).count() == 0
+
+
+def test_targets_of_suggestions_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    targets = frame(spark, ["No_te", "a/pag_e", "Page .md", "gone", "pic .png"], "target").mapInArrow(run, "target string")
+    rows = vault_links.suggestions(targets, frame(spark, [*FILES, "raw/n/No te.md", "a/Pag e.md"], "path")).collect()
+    assert {r.target: (r.suggested_fix, r.rule) for r in rows} == {
+        "No_te": ("No te", "fuzzy"), "a/pag_e": ("a/Pag e", "fuzzy"), "Page .md": ("Page", "fuzzy"), "pic .png": ("pic.png", "space"),
+    }
+    assert made.value == 5

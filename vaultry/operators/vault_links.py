@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter, links, names, paths, text, vocab
 from ..functions.skew import shuffled
+from ..session import checkpointed
 
 
 def extract(notes: DataFrame, images: bool = False, skip_front_matter: bool = False) -> DataFrame:
@@ -247,25 +248,25 @@ def suggestions(targets: DataFrame, files: DataFrame, keys: DataFrame | None = N
     """
     target = F.col("target")
     known = paths.known_extension(target)
-    wanted = targets.select("target").distinct().withColumns(
+    named = targets.select("target").distinct().withColumns(
         {
             "_tidy": paths.tidy(target),
             "_key": names.fuzzy_name(F.when(known, paths.stem(target)).otherwise(paths.name(target))),
         }
-    ).withColumn("_folder", paths.parent(F.col("_tidy")))
+    )
+    # both rules read them; whatever gives the targets runs once
+    wanted = checkpointed(named.select("target", "_key", paths.parent(F.col("_tidy")).alias("_folder")))
     pages = files.where(F.col("path").endswith(".md")).select(
         "path", paths.parent(F.col("path")).alias("_folder"), paths.stem(F.col("path")).alias("_stem"),
         names.fuzzy_name(paths.stem(F.col("path"))).alias("_key"),
     )
     unique = pages.where(paths.is_scanned_page(F.col("path"))).groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_stem").alias("_fix")
-    ).where("_n = 1").select("_key", "_fix")
-    bare = wanted.where("_folder = '' AND _key <> ''").join(shuffled(unique), "_key").select("target", "_fix")
-    in_folder = pages.groupBy("_folder", "_key").agg(F.min("_stem").alias("_stem"))
-    placed = wanted.where("_folder <> '' AND _key <> ''").join(shuffled(in_folder), ["_folder", "_key"]).select(
-        "target", F.concat("_folder", F.lit("/"), "_stem").alias("_fix")
-    )
-    fuzzy = bare.unionByName(placed).select("target", F.col("_fix").alias("fuzzy"))
+        F.count(F.lit(1)).alias("_n"), F.min("_stem").alias("fuzzy")
+    ).where("_n = 1").select(F.lit("").alias("_folder"), "_key", "fuzzy")
+    in_folder = pages.where("_folder <> ''").groupBy("_folder", "_key").agg(F.min("_stem").alias("_stem"))
+    placed = in_folder.select("_folder", "_key", F.concat("_folder", F.lit("/"), "_stem").alias("fuzzy"))
+    # a bare name means the only page, a name in a folder the page there
+    fuzzy = wanted.where("_key <> ''").join(shuffled(unique.unionByName(placed)), ["_folder", "_key"]).select("target", "fuzzy")
 
     spaced = wanted.where(
         (paths.suffix(target) != "") & paths.stem(target).rlike(rf"(?U)[^\s]{text.SPACE}+\z")
@@ -282,9 +283,9 @@ def suggestions(targets: DataFrame, files: DataFrame, keys: DataFrame | None = N
         "target",
         F.when(is_md & (F.col("_folder") == ""), paths.stem(F.col("_fixed"))).otherwise(F.col("_fixed")).alias("space"),
     )
-    return wanted.select("target").join(shuffled(fuzzy), "target", "left").join(shuffled(space), "target", "left").where(
-        "fuzzy IS NOT NULL OR space IS NOT NULL"
-    ).select(
+    none = F.lit(None).cast("string")
+    either = fuzzy.withColumn("space", none).unionByName(space.withColumn("fuzzy", none))
+    return either.groupBy("target").agg(F.max("fuzzy").alias("fuzzy"), F.max("space").alias("space")).select(
         "target", F.coalesce("fuzzy", "space").alias("suggested_fix"),
         F.when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("space").alias("rule"),
     )

@@ -132,10 +132,10 @@ def links_extract_roundtrip(spark, sf):
     return found.select("path", F.col("line").cast("bigint").alias("line"), "type", "target")
 
 
-def _broken(spark, sf):
+def _broken(spark, sf, keys=None):
     # resolution reads the links twice; parsing the notes once is cheaper
     found = checkpointed(vault_links.extract(text_vault.order_notes(spark, sf), images=True))
-    return found, vault_links.broken(found, text_vault.vault_files(spark, sf))
+    return found, vault_links.broken(found, text_vault.vault_files(spark, sf), keys)
 
 
 @query("broken_links", with_views(LINKS) + "SELECT path, line, type, target FROM broken_v")
@@ -161,8 +161,10 @@ def broken_links_by_type(spark, sf):
          WHERE starts_with(target, 'Part-') OR target LIKE '% .md'""",
 )
 def link_fix_suggestions(spark, sf):
-    bad = _broken(spark, sf)[1].where("wiki_style")
-    return vault_links.suggestions(bad, text_vault.vault_files(spark, sf))
+    files = text_vault.vault_files(spark, sf)
+    keys = checkpointed(vault_links.file_keys(files))
+    bad = _broken(spark, sf, keys)[1].where("wiki_style")
+    return vault_links.suggestions(bad, files, keys)
 
 
 @query(
