@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import links, paths
 from ..functions.skew import shuffled
+from ..session import checkpointed
 from ..sources.ledger import updated_line
 from . import relocation, vault_links
 
@@ -99,12 +100,13 @@ def migration_edits(notes: DataFrame, files: DataFrame, moves: DataFrame) -> Dat
     there = notes.select("path").join(shuffled(moves.select(F.col("old").alias("path"), "new")), "path", "left").select(
         "path", F.coalesce("new", "path").alias("_new_path"), paths.parent(F.col("path")).alias("folder")
     )
-    places = link_places(notes).join(shuffled(there), "path").where((F.col("target") != "") & ~F.col("target").startswith("#"))
+    # kept once: every kind of edit reads them, and each would parse the notes and shuffle their links again
+    places = checkpointed(link_places(notes).join(shuffled(there), "path").where((F.col("target") != "") & ~F.col("target").startswith("#")))
     found = places.where("type <> 'source'").select(
         F.col("_new_path").alias("path"), F.lit(0).alias("line"), F.struct("path", "start", "stop", "folder").alias("position"), "type", "raw", "target",
         F.lit(False).alias("in_front_matter"),
     )
-    gone = vault_links.broken(found, after).select("position.*", "target", "wiki_style")
+    gone = checkpointed(vault_links.broken(found, after).select("position.*", "target", "wiki_style"))
 
     wiki = gone.where("wiki_style")
     wiki_moves = relocation.moved_targets(wiki.select("target", "folder"), moves)
